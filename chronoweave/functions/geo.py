@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_M = 6_371_000.0
@@ -93,36 +93,89 @@ def utm_zone_value(lon: float) -> int:
     return int((lon + 180) / 6) % 60 + 1
 
 
-def to_utm(lon: Column, lat: Column, zone: int, south: bool = False) -> Column:
-    """``struct<x,y>`` metres in one UTM zone."""
-    lam = F.radians(lon) - math.radians(zone * 6 - 183)
-    sin_lat = F.sin(F.radians(lat))
+# The series is evaluated in stages, each bound to a name, so no intermediate is computed twice.
+
+
+def _utm_angles(lon: Column, lat: Column, zone: int) -> dict[str, Column]:
     e = 2 * math.sqrt(_N) / (1 + _N)
-    t = F.sinh(F.atanh(sin_lat) - e * F.atanh(sin_lat * e))
-    xi = F.atan2(t, F.cos(lam))
-    eta = F.atanh(F.sin(lam) / F.sqrt(t * t + 1))
-    northing, easting = xi, eta
+    s = F.sin(F.radians(lat))
+    return {"lam": F.radians(lon) - math.radians(zone * 6 - 183), "t": F.sinh(F.atanh(s) - e * F.atanh(s * e))}
+
+
+def _utm_plane(v: dict[str, Column]) -> dict[str, Column]:
+    return {"xi": F.atan2(v["t"], F.cos(v["lam"])), "eta": F.atanh(F.sin(v["lam"]) / F.sqrt(v["t"] * v["t"] + 1))}
+
+
+def _utm_metres(v: dict[str, Column], south: bool) -> dict[str, Column]:
+    xi, eta = v["xi"], v["eta"]
+    north, east = xi, eta
     for j, a in enumerate(ALPHA, start=1):
-        northing = northing + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        easting = easting + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    offset = _FALSE_N_SOUTH if south else 0.0
-    return vertex(easting * (_K0 * _RECT) + _FALSE_E, northing * (_K0 * _RECT) + offset)
+        north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    return {"x": east * (_K0 * _RECT) + _FALSE_E, "y": north * (_K0 * _RECT) + (_FALSE_N_SOUTH if south else 0.0)}
+
+
+def _deg_plane(x: Column, y: Column, south: bool) -> dict[str, Column]:
+    return {"xi": (y - (_FALSE_N_SOUTH if south else 0.0)) / (_K0 * _RECT), "eta": (x - _FALSE_E) / (_K0 * _RECT)}
 
 
-def from_utm(x: Column, y: Column, zone: int, south: bool = False) -> Column:
-    """``struct<x,y>`` longitude and latitude in degrees."""
-    xi = (y - (_FALSE_N_SOUTH if south else 0.0)) / (_K0 * _RECT)
-    eta = (x - _FALSE_E) / (_K0 * _RECT)
+def _deg_sphere(v: dict[str, Column]) -> dict[str, Column]:
+    xi, eta = v["xi"], v["eta"]
     xi_p, eta_p = xi, eta
     for j, b in enumerate(BETA, start=1):
         xi_p = xi_p - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
         eta_p = eta_p - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    chi = F.asin(F.sin(xi_p) / F.cosh(eta_p))
-    phi = chi
+    return {"xi": xi_p, "eta": eta_p}
+
+
+def _deg_lines(v: dict[str, Column]) -> dict[str, Column]:
+    return {"lam": F.atan2(F.sinh(v["eta"]), F.cos(v["xi"])), "chi": F.asin(F.sin(v["xi"]) / F.cosh(v["eta"]))}
+
+
+def _deg_final(v: dict[str, Column], zone: int) -> dict[str, Column]:
+    phi = v["chi"]
     for j, d in enumerate(DELTA, start=1):
-        phi = phi + d * F.sin(2 * j * chi)
-    lam = F.atan2(F.sinh(eta_p), F.cos(xi_p))
-    return vertex(F.degrees(lam) + (zone * 6 - 183), F.degrees(phi))
+        phi = phi + d * F.sin(2 * j * v["chi"])
+    return {"x": F.degrees(v["lam"]) + (zone * 6 - 183), "y": F.degrees(phi)}
+
+
+def _staged(df: DataFrame, quads: list[tuple[str, str, str, str]], first, *rest) -> DataFrame:
+    """Run the stages for several coordinate columns at once and name the results.
+
+    The last step goes through a one-row generator: later filters on the results then use the
+    computed values instead of being rewritten onto the whole series.
+    """
+    keep = df.columns
+    out = df.withColumns({f"_{n}_{i}": c for i, (a, b, _, _) in enumerate(quads) for n, c in first(F.col(a), F.col(b)).items()})
+    names = [n for n in first(F.lit(0.0), F.lit(0.0))]
+    for stage in rest:
+        made, new = [], []
+        for i in range(len(quads)):
+            got = stage({n: F.col(f"_{n}_{i}") for n in names})
+            new = list(got)
+            made += [c.alias(f"_{n}_{i}") for n, c in got.items()]
+        out, names = out.select(*keep, *made), new
+    done = F.struct(*[F.col(f"_{n}_{i}").alias(q[2 + k]) for i, q in enumerate(quads) for k, n in enumerate(("x", "y"))])
+    replaced = {q[2] for q in quads} | {q[3] for q in quads}
+    return out.select(*[c for c in keep if c not in replaced], F.inline(F.array(done)))
+
+
+def with_utm(df: DataFrame, quads: list[tuple[str, str, str, str]], zone: int, south: bool = False) -> DataFrame:
+    """Add metre columns: each quad is ``(lon column, lat column, new x, new y)``, all in one UTM zone."""
+    return _staged(df, quads, lambda a, b: _utm_angles(a, b, zone), _utm_plane, lambda v: _utm_metres(v, south))
+
+
+def with_lonlat(df: DataFrame, quads: list[tuple[str, str, str, str]], zone: int, south: bool = False) -> DataFrame:
+    """Inverse of ``with_utm``: ``(x column, y column, new lon, new lat)``."""
+    return _staged(df, quads, lambda a, b: _deg_plane(a, b, south), _deg_sphere, _deg_lines, lambda v: _deg_final(v, zone))
+
+
+def ring_lonlat(ring: Column, zone: int, south: bool = False) -> Column:
+    """A ring in metres -> longitude and latitude."""
+    out = F.transform(ring, lambda p: F.struct(*[c.alias(n) for n, c in _deg_plane(p["x"], p["y"], south).items()]))
+    for stage, names in ((_deg_sphere, ("xi", "eta")), (_deg_lines, ("xi", "eta")), (lambda v: _deg_final(v, zone), ("lam", "chi"))):
+        out = F.transform(out, lambda p, s=stage, ns=names: F.struct(*[c.alias(n) for n, c in s({n: p[n] for n in ns}).items()]))
+    return out
 
 
 # ---------------------------------------------------------------- rings
@@ -222,38 +275,6 @@ def point_in_convex(x: Column, y: Column, ring: Column) -> Column:
     )
 
 
-def clip_convex(subject: Column, clipper: Column) -> Column:
-    """Intersection ring of two convex counter-clockwise rings (empty array when disjoint).
-
-    Successive half-plane cuts: the subject ring is folded over the clipper's sides, each fold
-    keeping the vertices on the inner side and adding the two crossing points.
-    """
-    sides = F.transform(clipper, lambda p, i: F.struct(
-        p["x"].alias("px"), p["y"].alias("py"),
-        (_next_vertex(clipper, i + 1)["x"] - p["x"]).alias("ex"),
-        (_next_vertex(clipper, i + 1)["y"] - p["y"]).alias("ey"),
-    ))
-
-    def cut(ring: Column, e: Column) -> Column:
-        scored = F.transform(ring, lambda p: F.struct(
-            p["x"].alias("x"), p["y"].alias("y"),
-            (e["ex"] * (p["y"] - e["py"]) - e["ey"] * (p["x"] - e["px"])).alias("s")))
-
-        def emit(p: Column, i: Column) -> Column:
-            q = _next_vertex(scored, i + 1)
-            f = p["s"] / (p["s"] - q["s"])
-            crossing = vertex(p["x"] + f * (q["x"] - p["x"]), p["y"] + f * (q["y"] - p["y"]))
-            kept = vertex(p["x"], p["y"])
-            crosses = (p["s"] >= 0) != (q["s"] >= 0)
-            none = F.array().cast("array<struct<x:double,y:double>>")
-            return F.when((p["s"] >= 0) & crosses, F.array(kept, crossing)) \
-                .when(p["s"] >= 0, F.array(kept)).when(crosses, F.array(crossing)).otherwise(none)
-
-        return F.flatten(F.transform(scored, emit))
-
-    return F.aggregate(sides, subject, cut)
-
-
 def project_on_segment(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """Foot of the perpendicular clamped to the segment: ``struct<fraction,x,y,distance>``."""
     vx, vy = bx - ax, by - ay

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.functions.geo import capsule, clip_segment, ellipse, from_utm, ring_bounds, to_utm
+from chronoweave.functions.geo import capsule, clip_segment, ellipse, ring_bounds, ring_lonlat, with_lonlat, with_utm
 from chronoweave.operators.nearest import nearest
 from chronoweave.operators.sequence import Timeline
 from chronoweave.operators.skew import lookup_join
@@ -15,8 +15,7 @@ def segment_ppas(traj: DataFrame, speed_ms: float, zone: int, south: bool = Fals
                  skip_empty: bool = True, hot_rows: int | None = None) -> DataFrame:
     """One convex ring (planar metres) per consecutive pair of fixes: ellipse, or a corridor when the
     person moved faster than the speed. ``skip_empty`` leaves out pairs without time between them."""
-    m = to_utm(F.col("lon"), F.col("lat"), zone, south)
-    placed = traj.withColumn("_m", m).withColumns({"x": F.col("_m.x"), "y": F.col("_m.y")}).drop("_m")
+    placed = with_utm(traj, [("lon", "lat", "x", "y")], zone, south)
     line = Timeline(placed, ["user_id"], "t_ms", "point_id", hot_rows)
     line = line.neighbours(following={"nx": F.col("x"), "ny": F.col("y"), "n_ms": F.col("t_ms")}).running(_i=F.lit(1))
     pairs = line.result().filter("n_ms is not null").withColumn("budget_s", (F.col("n_ms") - F.col("t_ms")) / 1000)
@@ -30,7 +29,7 @@ def segment_ppas(traj: DataFrame, speed_ms: float, zone: int, south: bool = Fals
 
 def ppa_features(ppas: DataFrame, zone: int, south: bool = False) -> DataFrame:
     """The rings in longitude and latitude."""
-    return ppas.withColumn("ring", F.transform("ring", lambda p: from_utm(p["x"], p["y"], zone, south)))
+    return ppas.withColumn("ring", ring_lonlat(F.col("ring"), zone, south))
 
 
 def _cells(x0: Column, y0: Column, x1: Column, y1: Column, cell: float) -> dict[str, Column]:
@@ -70,8 +69,8 @@ def union_pieces(pieces: DataFrame, hot_rows: int | None = None) -> DataFrame:
 
 def nearest_fix(parts: DataFrame, traj: DataFrame, zone: int, south: bool = False, hot_rows: int | None = None) -> DataFrame:
     """Give each road part the time of the user's fix nearest to its middle."""
-    m = to_utm(F.col("lon"), F.col("lat"), zone, south)
-    fixes = traj.select("user_id", m["x"].alias("fx"), m["y"].alias("fy"), F.col("point_id").alias("fix_id"), F.col("t_ms").alias("fix_ms"))
+    fixes = with_utm(traj, [("lon", "lat", "fx", "fy")], zone, south).select(
+        "user_id", "fx", "fy", F.col("point_id").alias("fix_id"), F.col("t_ms").alias("fix_ms"))
     mid = (F.col("a") + F.col("b")) / 2
     pts = parts.withColumns({"mx": F.col("x0") + mid * (F.col("x1") - F.col("x0")), "my": F.col("y0") + mid * (F.col("y1") - F.col("y0")),
                              "_pid": F.concat_ws("/", "user_id", "edge_id", "part")})
@@ -82,11 +81,10 @@ def nearest_fix(parts: DataFrame, traj: DataFrame, zone: int, south: bool = Fals
 
 def piece_lines(pieces: DataFrame, zone: int, south: bool = False) -> DataFrame:
     """Add the two ends of each piece in longitude and latitude."""
-    def at(s: str) -> Column:
-        f = F.col(s)
-        return from_utm(F.col("x0") + f * (F.col("x1") - F.col("x0")), F.col("y0") + f * (F.col("y1") - F.col("y0")), zone, south)
-
-    return pieces.withColumns({"start": at("a"), "end": at("b")})
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    ends = pieces.withColumns({f"_{k}{s}": F.col(f"{k}0") + F.col(s) * d for s in "ab" for k, d in (("x", dx), ("y", dy))})
+    return with_lonlat(ends, [("_xa", "_ya", "lon0", "lat0"), ("_xb", "_yb", "lon1", "lat1")], zone, south) \
+        .drop("_xa", "_ya", "_xb", "_yb")
 
 
 def straight_path(pairs: DataFrame, points: int = 20, duration_min: float = 45.0, now_ms: int | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoweave.functions.geo import from_utm, project_on_segment, to_utm
+from chronoweave.functions.geo import project_on_segment, with_lonlat, with_utm
 from chronoweave.functions.intervals import feasible_spans, reachable_spans, span_times, travel_lines
 from chronoweave.functions.roads import (
     MINOR, ModeProfile, clamp_factor, class_speed_table, edge_kmh, maxspeed_kmh)
@@ -44,11 +44,8 @@ def build_edges(roads: DataFrame, profile: ModeProfile, zone: int, south: bool =
                     (kmh / 3.6).alias("_mps"), F.posexplode(pairs).alias("_leg", "_e")))
     metric = legs.select(
         (F.shiftleft("source_id", 20) + F.col("_leg")).alias("edge_id"), "source_id", "highway", "class_kmh", "_mps",
-        to_utm(F.col("_e.p.x"), F.col("_e.p.y"), zone, south).alias("_p"),
-        to_utm(F.col("_e.q.x"), F.col("_e.q.y"), zone, south).alias("_q"))
-    out = metric.select(
-        "edge_id", "source_id", "highway", "class_kmh", "_mps",
-        F.col("_p.x").alias("x0"), F.col("_p.y").alias("y0"), F.col("_q.x").alias("x1"), F.col("_q.y").alias("y1"))
+        F.col("_e.p.x").alias("px"), F.col("_e.p.y").alias("py"), F.col("_e.q.x").alias("qx"), F.col("_e.q.y").alias("qy"))
+    out = with_utm(metric, [("px", "py", "x0", "y0"), ("qx", "qy", "x1", "y1")], zone, south).drop("px", "py", "qx", "qy")
     out = out.withColumns({"u": node_id(F.col("x0"), F.col("y0")), "v": node_id(F.col("x1"), F.col("y1")),
                            "length_m": F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))})
     return out.filter((F.col("length_m") >= NODE_M) & (F.col("u") != F.col("v"))) \
@@ -229,6 +226,7 @@ def origin_ppa(origins: DataFrame, edges: DataFrame, zone: int, south: bool = Fa
         "_lines": travel_lines(F.col("du"), F.col("dv"), F.col("cost_sec"), on_own, f)})
     pieces = spans.select("*", F.inline("_spans")).withColumn("_t", span_times(F.col("a"), F.col("b"), F.col("_lines")))
     budget = F.col("budget_sec")
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     out = pieces.select(
         "origin_id", "edge_id", "highway", "a", "b", "length_m",
         F.col("_t.travel_min").alias("travel_sec_min"), F.col("_t.travel_mid").alias("travel_sec_mid"),
@@ -237,13 +235,10 @@ def origin_ppa(origins: DataFrame, edges: DataFrame, zone: int, south: bool = Fa
         (budget - 2 * F.col("_t.travel_mid")).alias("activity_sec_mid"),
         (budget - 2 * F.col("_t.travel_min")).alias("activity_sec_max"),
         "cutoff", "budget_sec", "min_activity_sec",
-        _clip(F.col("a"), zone, south).alias("start"), _clip(F.col("b"), zone, south).alias("end"))
-    return out.filter(F.col("activity_sec_min") + 1e-6 >= F.col("min_activity_sec")), snapped
-
-
-def _clip(s: Column, zone: int, south: bool) -> Column:
-    """Longitude and latitude at a fraction of the edge."""
-    return from_utm(F.col("x0") + s * (F.col("x1") - F.col("x0")), F.col("y0") + s * (F.col("y1") - F.col("y0")), zone, south)
+        *[(F.col(f"{k}0") + F.col(s) * d).alias(f"_{k}{s}") for s in "ab" for k, d in (("x", dx), ("y", dy))])
+    kept = out.filter(F.col("activity_sec_min") + 1e-6 >= F.col("min_activity_sec"))
+    return with_lonlat(kept, [("_xa", "_ya", "lon0", "lat0"), ("_xb", "_yb", "lon1", "lat1")], zone, south) \
+        .drop("_xa", "_ya", "_xb", "_yb"), snapped
 
 
 def origin_summary(origins: DataFrame, pieces: DataFrame, snapped: DataFrame, top_n: int = 0) -> DataFrame:
@@ -293,9 +288,7 @@ def network_prism(pairs: DataFrame, edges: DataFrame, zone: int, south: bool = F
                     F.struct(F.lit("B").alias("role"), F.col("b_lon").alias("lon"), F.col("b_lat").alias("lat")))
     ends = jobs.filter("travel_k > 0").select(
         "pair_id", (F.col("travel_k") * F.col("speed_factor")).alias("cutoff"), F.inline(roles))
-    xy = to_utm(F.col("lon"), F.col("lat"), zone, south)
-    ends = ends.withColumn("origin_id", F.struct("pair_id", "role")).withColumn("_m", xy) \
-        .withColumns({"x": F.col("_m.x"), "y": F.col("_m.y")}).drop("_m")
+    ends = with_utm(ends.withColumn("origin_id", F.struct("pair_id", "role")), [("lon", "lat", "x", "y")], zone, south)
     snapped = cut_lineage(snap(ends, edges, max_snap_m, hot_rows=hot_rows))
     both = snapped.groupBy("pair_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n = 2").drop("_n")
     snapped = snapped.join(both, "pair_id", "left_semi")
@@ -363,16 +356,15 @@ def _two_cone(full: DataFrame, zone: int, south: bool) -> DataFrame:
         keep = keep | (F.size("spans") > 0)
     fwd, bwd = F.least(ua, va), F.least(ub, vb)
     progress = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (fwd - bwd) / (2 * t) + 0.5))
-    start, end = from_utm(F.col("x0"), F.col("y0"), zone, south), from_utm(F.col("x1"), F.col("y1"), zone, south)
-    return full.withColumns({"_low": low}).filter(keep).select(
-        "pair_id", "edge_id", "highway", "length_m",
-        start["x"].alias("lon0"), start["y"].alias("lat0"), end["x"].alias("lon1"), end["y"].alias("lat1"),
+    out = full.withColumns({"_low": low}).filter(keep).select(
+        "pair_id", "edge_id", "highway", "length_m", "x0", "y0", "x1", "y1",
         fwd.alias("forward_sec"), bwd.alias("backward_sec"), F.col("_low").alias("travel_total_min"),
         F.greatest(F.lit(0.0), t - high).alias("activity_sec_min"), (t - mid).alias("activity_sec_mid"),
         (t - F.col("_low")).alias("activity_sec_max"), progress.alias("time_progress"),
         (F.col("z_start") + progress * (F.col("z_end") - F.col("z_start"))).alias("z"),
         "budget_sec", "min_activity_sec", "shortest_path_sec",
         *(["spans"] if "spans" in full.columns else []))
+    return with_lonlat(out, [("x0", "y0", "lon0", "lat0"), ("x1", "y1", "lon1", "lat1")], zone, south).drop("x0", "y0", "x1", "y1")
 
 
 def drop_minor(roads: DataFrame, mode: str, group: str = "pair_id") -> DataFrame:
@@ -406,8 +398,7 @@ def speed_factor(traj: DataFrame, edges: DataFrame, profile: ModeProfile, zone:
     rows = lookup_join(ranked, totals, ["user_id"], hot_rows=hot_rows).filter("_n >= 9")
     stride = F.greatest(F.lit(1), F.floor((F.col("_n") - 1) / 300))
     picked = rows.filter((F.col("_i") - 1) % stride == 0)
-    m = to_utm(F.col("lon"), F.col("lat"), zone, south)
-    picked = picked.select("user_id", "t_ms", "point_id", m["x"].alias("mx"), m["y"].alias("my"))
+    picked = with_utm(picked.select("user_id", "t_ms", "point_id", "lon", "lat"), [("lon", "lat", "mx", "my")], zone, south)
     w = Window.partitionBy("user_id").orderBy("t_ms", "point_id")  # at most ~600 picked rows per user
     pair = picked.withColumns({f"n_{c}": F.lead(c).over(w) for c in ("t_ms", "mx", "my")}).filter("n_t_ms is not null")
     dt = (F.col("n_t_ms") - F.col("t_ms")) / 1000

@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.functions.geo import CIRCLE_M_PER_DEG, circle, clip_convex, haversine_m, point_in_convex, ring_area, ring_bounds
-from chronoweave.functions.hexgrid import hex_ring, to_hex
+from chronoweave.functions.geo import CIRCLE_M_PER_DEG, GRID_M_PER_DEG, haversine_m, height_scale_value
+from chronoweave.functions.hexgrid import SAMPLE_STEP_M, cell_area_km2, hex_center, hex_ring, hexes_in_box, to_hex
+from chronoweave.functions.lens import circle_overlap
 from chronoweave.operators.network import relax
 from chronoweave.operators.sequence import Timeline
 from chronoweave.operators.skew import lookup_join
@@ -21,29 +22,24 @@ def normalise_anchors(pairs: DataFrame, duration_min: float = 0.0, now_ms: int |
 
     Pairs without coordinates, or without any length, fail the query.
     """
-    def end(p: str, label: str) -> Column:
-        named = F.coalesce(F.nullif(F.col(f"{p}_label"), F.lit("")), F.lit(label)) if f"{p}_label" in pairs.columns else F.lit(label)
-        alt = F.coalesce(F.col(f"{p}_alt"), F.lit(0.0)) if f"{p}_alt" in pairs.columns else F.lit(0.0)
-        return F.struct(F.coalesce(F.col(f"{p}_ms"), F.lit(0)).alias("ms"), F.col(f"{p}_lon").alias("lon"),
-                        F.col(f"{p}_lat").alias("lat"), alt.alias("alt"), named.alias("label"))
-
-    p, q = end("a", "Anchor A"), end("b", "Anchor B")
-    swapped = F.col("_q.ms") < F.col("_p.ms")
-    ordered = pairs.withColumns({"_p": p, "_q": q}).withColumns({
-        "_a": F.when(swapped, F.col("_q")).otherwise(F.col("_p")), "_b": F.when(swapped, F.col("_p")).otherwise(F.col("_q"))})
-    equal = F.col("_a.ms") == F.col("_b.ms")
-    bad = (F.when(F.col("_a.lon").isNull() | F.col("_a.lat").isNull() | F.col("_b.lon").isNull() | F.col("_b.lat").isNull(),
-                  F.lit("anchors need lon and lat"))
-           .when(equal & F.lit(duration_min <= 0), F.lit("anchors need different times or a duration")))
-    start = F.when(equal, F.lit(now_ms).cast("long") if now_ms is not None else F.unix_millis(F.current_timestamp())).otherwise(F.col("_a.ms"))
-    stop = F.when(equal, F.col("a_ms") + int(duration_min * 60_000)).otherwise(F.col("_b.ms"))
-    others = [c for c in pairs.columns if c[:2] not in ("a_", "b_")]
-    out = ordered.withColumn("_bad", bad).withColumn(
-        "a_ms", F.when(F.col("_bad").isNotNull(), F.raise_error(F.col("_bad")).cast("long")).otherwise(start)).withColumn("b_ms", stop)
-    return out.select(*others, F.col("_a.lon").alias("a_lon"), F.col("_a.lat").alias("a_lat"), "a_ms",
-                      F.col("_a.alt").alias("a_alt"), F.col("_a.label").alias("a_label"),
-                      F.col("_b.lon").alias("b_lon"), F.col("_b.lat").alias("b_lat"), "b_ms",
-                      F.col("_b.alt").alias("b_alt"), F.col("_b.label").alias("b_label"))
+    cols = pairs.columns
+    full = pairs.withColumns({
+        "a_ms": F.coalesce("a_ms", F.lit(0)), "b_ms": F.coalesce("b_ms", F.lit(0)),
+        **{f"{p}_alt": F.coalesce(f"{p}_alt", F.lit(0.0)) if f"{p}_alt" in cols else F.lit(0.0) for p in "ab"},
+        **{f"{p}_label": F.coalesce(F.nullif(F.col(f"{p}_label"), F.lit("")) if f"{p}_label" in cols else F.lit(None).cast("string"),
+                                    F.lit(f"Anchor {p.upper()}")) for p in "ab"}})
+    swapped, equal = F.col("b_ms") < F.col("a_ms"), F.col("a_ms") == F.col("b_ms")
+    now = F.lit(now_ms).cast("long") if now_ms is not None else F.unix_millis(F.current_timestamp())
+    missing = F.col("a_lon").isNull() | F.col("a_lat").isNull() | F.col("b_lon").isNull() | F.col("b_lat").isNull()
+    start = F.when(missing, F.raise_error(F.lit("anchors need lon and lat")).cast("long"))
+    if duration_min <= 0:
+        start = start.when(equal, F.raise_error(F.lit("anchors need different times or a duration")).cast("long"))
+    start = start.when(equal, now).otherwise(F.least("a_ms", "b_ms"))
+    stop = F.when(equal, now + int(duration_min * 60_000)).otherwise(F.greatest("a_ms", "b_ms"))
+    names = [f"{p}_{c}" for p in "ab" for c in ("lon", "lat", "alt", "label")]
+    picked = [F.when(swapped, F.col(("b" if n[0] == "a" else "a") + n[1:])).otherwise(F.col(n)).alias(n) for n in names]
+    others = [c for c in cols if c[:2] not in ("a_", "b_")]
+    return full.select(*others, start.alias("a_ms"), stop.alias("b_ms"), *picked)
 
 
 def with_trip(pairs: DataFrame, speed_ms: float) -> DataFrame:
@@ -75,33 +71,33 @@ def euclid_slices(pairs: DataFrame, speed_ms: float, n: int = 15, steps: int = 4
     frac = F.col("slice") / n
     s = s.withColumns({"time_progress": frac, "timestamp_ms": F.col("a_ms") + frac * (F.col("b_ms") - F.col("a_ms")),
                        "r1": F.col("dt_s") * speed_ms * frac, "r2": F.col("dt_s") * speed_ms * (1 - frac)}).filter("r1 > 0 and r2 > 0")
-    c1 = circle(F.col("a_lon"), F.col("a_lat"), F.col("r1"), steps)
-    c2 = circle(F.col("b_lon"), F.col("b_lat"), F.col("r2"), steps)
-    return s.withColumn("ring", clip_convex(c1, c2)).filter(F.size("ring") >= 3) \
-        .withColumn("area_m2", F.abs(ring_area(F.col("ring"))) * CIRCLE_M_PER_DEG**2)
-
-
-def ppa_cells(slices: DataFrame, keys: list[str], resolution: int, lat0: float) -> DataFrame:
-    """Distinct hexagons whose centre any slice covers: the potential path area as cells."""
-    b = ring_bounds(F.col("ring"))
-    from chronoweave.functions.hexgrid import edge_length_m, hex_center
-    from chronoweave.functions.geo import GRID_M_PER_DEG
-
-    e = edge_length_m(resolution)
-    sx, sy = GRID_M_PER_DEG * math.cos(math.radians(lat0)), GRID_M_PER_DEG
-    rows = slices.withColumn("_box", b).withColumn("hex_r", F.explode(F.sequence(
-        F.ceil(F.col("_box.y0") * sy / (1.5 * e)), F.greatest(F.ceil(F.col("_box.y0") * sy / (1.5 * e)), F.floor(F.col("_box.y1") * sy / (1.5 * e))))))
-    w = e * math.sqrt(3)
-    q0 = F.ceil(F.col("_box.x0") * sx / w - F.col("hex_r") / 2)
-    q1 = F.floor(F.col("_box.x1") * sx / w - F.col("hex_r") / 2)
-    cells = rows.withColumn("hex_q", F.explode(F.sequence(q0, F.greatest(q0, q1))))
-    c = hex_center(F.col("hex_q"), F.col("hex_r"), resolution, lat0)
-    return cells.filter(point_in_convex(c["x"], c["y"], F.col("ring"))).select(*keys, "hex_q", "hex_r").distinct()
+    overlap = circle_overlap(steps)(F.col("a_lon"), F.col("a_lat"), F.col("r1"), F.col("b_lon"), F.col("b_lat"), F.col("r2"))
+    return s.withColumn("_o", overlap).filter(F.col("_o.ring").isNotNull()).select(
+        *s.columns, F.col("_o.ring").alias("ring"), (F.col("_o.area") * CIRCLE_M_PER_DEG**2).alias("area_m2"))
 
 
-def ppa_area(cells: DataFrame, keys: list[str], resolution: int) -> DataFrame:
-    from chronoweave.functions.hexgrid import cell_area_km2
+def ppa_cells(pairs: DataFrame, speed_ms: float, n: int, keys: list[str], resolution: int, lat0: float) -> DataFrame:
+    """Distinct hexagons whose centre any slice covers: the potential path area as cells.
+
+    A centre at distances d1, d2 from the anchors is covered by the slices from ``d1 n / (v T)`` to
+    ``n - d2 n / (v T)``, so each pair lists its cells once instead of once per slice.
+    """
+    trips = pairs.filter("feasible").withColumns({
+        "_mx": (F.col("a_lon") + F.col("b_lon")) / 2, "_my": (F.col("a_lat") + F.col("b_lat")) / 2, "_r": F.col("dt_s") * (speed_ms / 2)})
+    cells = trips.select(*keys, "a_lon", "a_lat", "b_lon", "b_lat", "dt_s",
+                         F.explode(hexes_in_box(F.col("_mx"), F.col("_my"), F.col("_r"), resolution, lat0)).alias("_h"))
+    c = hex_center(F.col("_h.hex_q"), F.col("_h.hex_r"), resolution, lat0)
+
+    def away(lon: Column, lat: Column) -> Column:
+        return F.hypot((c["x"] - lon) * F.cos(F.radians(lat)), c["y"] - lat) * CIRCLE_M_PER_DEG
+
+    per_slice = F.col("dt_s") * (speed_ms / n)
+    first = F.greatest(F.lit(1), F.ceil(away(F.col("a_lon"), F.col("a_lat")) / per_slice))
+    last = F.least(F.lit(n - 1), F.floor(n - away(F.col("b_lon"), F.col("b_lat")) / per_slice))
+    return cells.filter(first <= last).select(*keys, F.col("_h.hex_q").alias("hex_q"), F.col("_h.hex_r").alias("hex_r")).distinct()
 
+
+def ppa_area(cells: DataFrame, keys: list[str], resolution: int) -> DataFrame:
     return cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("cells"), (F.count(F.lit(1)) * cell_area_km2(resolution)).alias("area_km2"))
 
 
@@ -122,8 +118,6 @@ def anchor_heights(pairs: DataFrame, path_extent=None) -> DataFrame:
     """Add ``z_start, z_end``: on the trajectory's own scale when its extent is given, else from the
     anchors' distance."""
     if path_extent is not None:
-        from chronoweave.functions.geo import height_scale_value
-
         e = path_extent
         total = F.lit(height_scale_value(e.min_lon, e.max_lon, e.min_lat, e.max_lat))
         t0, span = F.lit(float(e.t_min)), F.lit(max(float(e.t_max - e.t_min), 1.0))
@@ -290,9 +284,6 @@ def prism_at(roads: DataFrame, t: float) -> DataFrame:
 
 def dwell_surface(roads: DataFrame, resolution: int, lat0: float, keys: list[str] | None = None) -> DataFrame:
     """Longest possible stay and edge count per hexagon, from samples along each reachable edge."""
-    from chronoweave.functions.geo import GRID_M_PER_DEG
-    from chronoweave.functions.hexgrid import SAMPLE_STEP_M
-
     keys = keys or ["pair_id"]
     cos = max(0.1, abs(math.cos(math.radians(lat0))))
     length = F.hypot((F.col("lon1") - F.col("lon0")) * (GRID_M_PER_DEG * cos), (F.col("lat1") - F.col("lat0")) * GRID_M_PER_DEG)

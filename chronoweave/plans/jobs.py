@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.functions.geo import GRID_M_PER_DEG, height_scale_value, lift, to_utm, utm_zone_value
+from chronoweave.functions.geo import GRID_M_PER_DEG, height_scale_value, lift, utm_zone_value, with_utm
 from chronoweave.functions.hexgrid import auto_resolution
 from chronoweave.functions.roads import mode_profile, mode_speed_kmh, resolve_speed_factor
 from chronoweave.operators import corridor as corridors
@@ -67,7 +67,7 @@ def path_prism(df: DataFrame, *, mode: str = "walking", custom_kmh: float | None
     span = float(ext.t_max - ext.t_min or 1)
     slices = prism.euclid_slices(pairs, speed, n, steps=32).withColumn("time_progress", (F.col("timestamp_ms") - ext.t_min) / span)
     slices = slices.withColumns({"z": F.col("time_progress") * height, "height_m": F.col("dt_s") / n * (height / (span / 1000))})
-    cells = prism.ppa_cells(slices, ["user_id"], resolution, round(ext.mean_lat))
+    cells = prism.ppa_cells(pairs, speed, n, ["user_id"], resolution, round(ext.mean_lat))
     path = df.withColumn("time_progress", (F.col("t_ms") - ext.t_min) / span).withColumn("height_m", F.col("time_progress") * height)
     return {"slices": slices, "trajectory": path, "anchors": path, "ppa_cells": cells,
             "ppa": prism.ppa_area(cells, ["user_id"], resolution), "counts": prism.feasibility_counts(pairs)}
@@ -82,7 +82,7 @@ def two_anchor_prism(pairs: DataFrame, *, mode: str = "walking", custom_kmh: flo
     slices = prism.euclid_slices(trips, speed, n)
     slices = slices.withColumn("z", F.col("z_start") + F.col("time_progress") * F.greatest(F.col("z_end") - F.col("z_start"), F.lit(1.0)))
     lat0 = round(pairs.agg(F.avg("a_lat")).first()[0] or 0.0)
-    cells = prism.ppa_cells(slices, ["pair_id"], resolution, lat0)
+    cells = prism.ppa_cells(trips, speed, n, ["pair_id"], resolution, lat0)
     return {"slices": slices, "anchors": prism.prism_anchors(named), "ppa_cells": cells,
             "ppa": prism.ppa_area(cells, ["pair_id"], resolution), "counts": prism.feasibility_counts(trips)}
 
@@ -147,14 +147,13 @@ def origin_areas(pairs: DataFrame, traj: DataFrame, roads: DataFrame, *, mode: s
     sampled = origin_fixes(pairs, traj, max_origins, int(where["longest"] or 1), hot_rows)
     origins = cut_lineage(static_clusters(sampled, "pair_id", cluster_m))
     budgets = auto_budget(origins, min_act) if budget_min is None else None
-    xy = to_utm(F.col("lon"), F.col("lat"), zone, south)
-    keyed = origins.withColumns({"origin_id": F.struct("pair_id", "cluster"), "_m": xy})
+    keyed = with_utm(origins.withColumn("origin_id", F.struct("pair_id", "cluster")), [("lon", "lat", "x", "y")], zone, south)
     if budgets is not None:
         keyed = lookup_join(keyed, budgets, ["pair_id"], hot_rows=hot_rows)
     else:
         keyed = keyed.withColumn("budget_sec", F.lit(budget_min * 60.0))
     keyed = cut_lineage(keyed.select("origin_id", "pair_id", "cluster", "lon", "lat", "z", "t_ms", "size",
-                                     F.col("_m.x").alias("x"), F.col("_m.y").alias("y"), F.col("budget_sec").cast("double"),
+                                     "x", "y", F.col("budget_sec").cast("double"),
                                      F.lit(min_act).alias("min_activity_sec")))
     edges = cut_lineage(net.build_edges(roads, profile, zone, south))
     pieces, snapped = net.origin_ppa(keyed.select("origin_id", "x", "y", "budget_sec", "min_activity_sec"), edges, zone, south,
