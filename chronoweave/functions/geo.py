@@ -173,9 +173,13 @@ def with_lonlat(df: DataFrame, quads: list[tuple[str, str, str, str]], zone: int
 def ring_lonlat(ring: Column, zone: int, south: bool = False) -> Column:
     """A ring in metres -> longitude and latitude."""
     out = F.transform(ring, lambda p: F.struct(*[c.alias(n) for n, c in _deg_plane(p["x"], p["y"], south).items()]))
-    for stage, names in ((_deg_sphere, ("xi", "eta")), (_deg_lines, ("xi", "eta")), (lambda v: _deg_final(v, zone), ("lam", "chi"))):
-        out = F.transform(out, lambda p, s=stage, ns=names: F.struct(*[c.alias(n) for n, c in s({n: p[n] for n in ns}).items()]))
-    return out
+
+    def apply(stage, names: tuple[str, str]):
+        return lambda p: F.struct(*[c.alias(n) for n, c in stage({n: p[n] for n in names}).items()])
+
+    out = F.transform(out, apply(_deg_sphere, ("xi", "eta")))
+    out = F.transform(out, apply(_deg_lines, ("xi", "eta")))
+    return F.transform(out, apply(lambda v: _deg_final(v, zone), ("lam", "chi")))
 
 
 # ---------------------------------------------------------------- rings
@@ -243,38 +247,6 @@ def ring_bounds(ring: Column) -> Column:
                     F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
 
 
-def clip_segment(ax: Column, ay: Column, bx: Column, by: Column, ring: Column) -> Column:
-    """Part of A->B inside a convex counter-clockwise ring: ``struct<t0,t1>`` (empty if t0 > t1)."""
-
-    def step(acc: Column, e: Column) -> Column:
-        # inside half-plane: num + t * den >= 0
-        num = e["ex"] * (ay - e["py"]) - e["ey"] * (ax - e["px"])
-        den = e["ex"] * (by - ay) - e["ey"] * (bx - ax)
-        t = -num / den
-        parallel = F.abs(den) < 1e-15
-        lo = F.when(parallel, F.when(num < 0, F.lit(2.0)).otherwise(acc["t0"])) \
-            .otherwise(F.when(den > 0, F.greatest(acc["t0"], t)).otherwise(acc["t0"]))
-        hi = F.when(parallel, acc["t1"]).otherwise(F.when(den < 0, F.least(acc["t1"], t)).otherwise(acc["t1"]))
-        return F.struct(lo.alias("t0"), hi.alias("t1"))
-
-    sides = F.transform(ring, lambda p, i: F.struct(
-        p["x"].alias("px"), p["y"].alias("py"),
-        (_next_vertex(ring, i + 1)["x"] - p["x"]).alias("ex"),
-        (_next_vertex(ring, i + 1)["y"] - p["y"]).alias("ey"),
-    ))
-    start = F.struct(F.lit(0.0).alias("t0"), F.lit(1.0).alias("t1"))
-    return F.aggregate(sides, start, step)
-
-
-def point_in_convex(x: Column, y: Column, ring: Column) -> Column:
-    """Inside or on a convex counter-clockwise ring."""
-    return F.forall(
-        F.transform(ring, lambda p, i: (_next_vertex(ring, i + 1)["x"] - p["x"]) * (y - p["y"])
-                    - (_next_vertex(ring, i + 1)["y"] - p["y"]) * (x - p["x"])),
-        lambda v: v >= -1e-15,
-    )
-
-
 def project_on_segment(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """Foot of the perpendicular clamped to the segment: ``struct<fraction,x,y,distance>``."""
     vx, vy = bx - ax, by - ay

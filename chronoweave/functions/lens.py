@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from chronoweave.functions.geo import CIRCLE_M_PER_DEG
@@ -65,3 +66,29 @@ def circle_overlap(steps: int):
         return pd.DataFrame({"ring": pd.Series(rings, dtype=object), "area": pd.Series(areas, dtype=float)})
 
     return overlap.asNondeterministic()  # keeps the planner from evaluating it once more inside a filter
+
+
+def _clip(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+    a = np.column_stack([ax, ay]).astype(float)
+    d = np.column_stack([bx, by]).astype(float) - a
+    t0, t1 = np.zeros(len(a)), np.ones(len(a))
+    sides = np.array([len(v) for v in xs])
+    for n in np.unique(sides):  # rings of one length are handled together
+        for rows in np.array_split(np.flatnonzero(sides == n), max(1, (sides == n).sum() // 4096)):
+            x, y = np.stack(xs.iloc[rows].to_list()), np.stack(ys.iloc[rows].to_list())
+            ex, ey = np.roll(x, -1, axis=1) - x, np.roll(y, -1, axis=1) - y
+            num = ex * (a[rows, 1:2] - y) - ey * (a[rows, 0:1] - x)
+            den = ex * d[rows, 1:2] - ey * d[rows, 0:1]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                t = -num / den
+            lo = np.where(den > 0, t, 0.0).max(axis=1).clip(0.0, None)
+            hi = np.where(den < 0, t, 1.0).min(axis=1).clip(None, 1.0)
+            out = ((den == 0) & (num < 0)).any(axis=1)
+            t0[rows], t1[rows] = np.where(out, 1.0, lo), np.where(out, 0.0, hi)
+    return pd.DataFrame({"t0": t0, "t1": t1})
+
+
+def clip_to_ring(ax: Column, ay: Column, bx: Column, by: Column, xs: Column, ys: Column) -> Column:
+    """Part of A->B inside a convex counter-clockwise ring given as two arrays: ``struct<t0,t1>``, empty if t0 > t1."""
+    clip = F.pandas_udf(_clip, "struct<t0:double,t1:double>").asNondeterministic()  # evaluated once, not again inside a filter on it
+    return clip(ax, ay, bx, by, xs, ys)

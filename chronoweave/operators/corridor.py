@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.functions.geo import capsule, clip_segment, ellipse, ring_bounds, ring_lonlat, with_lonlat, with_utm
+from chronoweave.functions.geo import capsule, ellipse, ring_bounds, ring_lonlat, with_lonlat, with_utm
+from chronoweave.functions.lens import clip_to_ring
 from chronoweave.operators.nearest import nearest
 from chronoweave.operators.sequence import Timeline
 from chronoweave.operators.skew import lookup_join
@@ -52,7 +53,7 @@ def clip_roads(ppas: DataFrame, edges: DataFrame, cell_m: float = 500.0, hot_row
     ox, oy = F.greatest(F.col("_b.x0"), lo_x), F.greatest(F.col("_b.y0"), lo_y)
     once = ((ox <= F.least(F.col("_b.x1"), hi_x)) & (oy <= F.least(F.col("_b.y1"), hi_y))
             & (F.floor(ox / cell_m) == F.col("_cx")) & (F.floor(oy / cell_m) == F.col("_cy")))
-    cut = met.filter(once).withColumn("_t", clip_segment(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), F.col("ring")))
+    cut = met.filter(once).withColumn("_t", clip_to_ring(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), F.col("ring.x"), F.col("ring.y")))
     return cut.filter(F.col("_t.t1") > F.col("_t.t0") + 1e-12).select(
         "user_id", "segment_index", "point_id", "t_ms", "edge_id", "highway", "source_id", "length_m", "x0", "y0", "x1", "y1",
         F.col("_t.t0").alias("a"), F.col("_t.t1").alias("b"))

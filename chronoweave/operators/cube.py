@@ -39,7 +39,7 @@ def space_time_cube(df: DataFrame, *, cell_m: float | None = None, cell_deg: flo
     warnings: list[str] = []
     timed, aligned = with_elapsed(df, align, hot_rows=hot_rows)
     elapsed = F.col("elapsed_ms") if aligned else F.col("t_ms") - F.lit(ext.t_min)
-    timed = timed.withColumn("t_s", elapsed / 1000.0)
+    timed = timed.withColumn("elapsed_ms", elapsed).withColumn("t_s", elapsed / 1000.0)
     grid = grid_spec(ext, spatial_bandwidth(df, ext), cell_m, cell_deg)
     anchor_s = None
     if method == "fixed_duration" and anchor_ms is not None:
@@ -72,13 +72,13 @@ def space_time_cube(df: DataFrame, *, cell_m: float | None = None, cell_deg: flo
 
 def cube_segments(timed: DataFrame, grid: Grid, slices: Slices, t_min: int, env: str | None = None,
                   hot_rows: int | None = None) -> DataFrame:
-    """The path threaded through the cube stack, coloured by mean exposure of both ends."""
+    """The path threaded through the cube stack, with the mean exposure of both ends."""
     carry = ["t_s", *([env] if env else [])]
     seg = segments(timed, carry, hot_rows)
     out = seg.select(
         "user_id", "point_id", "lon", "lat", slices.height(F.col("t_s"), grid.height_m).alias("z"),
         "next_lon", "next_lat", slices.height(F.col("next_t_s"), grid.height_m).alias("next_z"),
-        ((F.col("t_s") * 1000).cast("long") + t_min).alias("timestamp_ms"),
+        (F.col("elapsed_ms") + t_min).alias("timestamp_ms"),
         *([F.col(env).cast("double").alias("_a"), F.col(f"next_{env}").cast("double").alias("_b")] if env else []),
     )
     if not env:

@@ -12,11 +12,11 @@ from chronoweave.functions.intervals import feasible_spans, reachable_spans, spa
 from chronoweave.functions.roads import (
     MINOR, ModeProfile, clamp_factor, class_speed_table, edge_kmh, maxspeed_kmh)
 from chronoweave.operators.sequence import Timeline
-from chronoweave.operators.skew import lookup_join
+from chronoweave.operators.skew import fits_broadcast, lookup_join
 from chronoweave.session import cut_lineage
 
 NODE_M = 0.01  # end points within a centimetre are one node
-HOPS = 4  # expansions between two writes of the labels
+HOPS = 6  # expansions between two writes of the labels
 
 
 def routable(roads: DataFrame, profile: ModeProfile) -> DataFrame:
@@ -135,44 +135,45 @@ def seeds_of(snapped: DataFrame, key: str = "origin_id") -> DataFrame:
 
 
 def relax(seeds: DataFrame, expand: Callable[[DataFrame], DataFrame], key: list[str]) -> DataFrame:
-    """Least cost per ``key`` from all seeds, expanding only what improved, up to each row's ``cutoff``.
+    """Least cost per ``key`` from all seeds, up to each row's ``cutoff``.
 
-    ``seeds`` holds ``key + cost, cutoff``; ``expand`` turns such rows into the next ones. Every
-    few expansions the labels are merged and written, which bounds both the plan and the work
-    lost with an executor. The number of rounds depends on the cutoff, not on the data size.
+    ``seeds`` holds ``key + cost, cutoff``. ``expand`` takes rows with a ``fresh`` flag and returns
+    every row itself (``own`` true) plus the next ones of the fresh rows, so several expansions form
+    one straight plan in which only rows that just improved are expanded. Every few expansions the
+    labels are merged and written, which bounds both the plan and the work lost with an executor.
+    The number of rounds depends on the cutoff, not on the data size.
     """
     labels = cut_lineage(seeds.groupBy(*key).agg(F.min("cost").alias("cost"), F.max("cutoff").alias("cutoff"))
                          .filter("cost <= cutoff").withColumn("fresh", F.lit(True)))
     while not labels.filter("fresh").isEmpty():
-        wave = labels.filter("fresh").drop("fresh")
-        grown = []
+        wave = labels.filter("fresh")
         for _ in range(HOPS):
             wave = expand(wave).filter("cost <= cutoff").groupBy(*key).agg(
-                F.min("cost").alias("cost"), F.max("cutoff").alias("cutoff"))
-            grown.append(wave)
-        old = labels.select(*key, "cost", "cutoff", F.col("cost").alias("_old"))
-        merged = old
-        for g in grown:
-            merged = merged.unionByName(g.withColumn("_old", F.lit(None).cast("double")))
+                F.min("cost").alias("cost"), F.max("cutoff").alias("cutoff"), F.min(F.when(F.col("own"), F.col("cost"))).alias("_was"))
+            wave = wave.withColumn("fresh", F.col("_was").isNull() | (F.col("cost") < F.col("_was"))).drop("_was")
+        old = labels.select(*key, "cost", "cutoff", F.col("cost").alias("_old"), F.lit(False).alias("_hot"))
+        merged = old.unionByName(wave.withColumn("_old", F.lit(None).cast("double")).withColumnRenamed("fresh", "_hot"))
+        better = F.col("_hot") & (F.col("_old").isNull() | (F.col("cost") < F.col("_old")))
         labels = cut_lineage(
-            merged.groupBy(*key).agg(F.min("cost").alias("cost"), F.max("cutoff").alias("cutoff"), F.min("_old").alias("_old"))
-            .withColumn("fresh", F.col("_old").isNull() | (F.col("cost") < F.col("_old"))).drop("_old"))
+            merged.groupBy(*key).agg(F.min("cost").alias("cost"), F.max("cutoff").alias("cutoff"), F.min("_old").alias("_old"),
+                                     F.max("_hot").alias("_hot")).withColumn("fresh", better).drop("_old", "_hot"))
     return labels.drop("fresh", "cutoff")
 
 
 def shortest_times(sources: DataFrame, edges: DataFrame) -> DataFrame:
     """``source, node, cost`` for every node within ``cutoff`` of each source node."""
-    adj = adjacency(edges)
-    adj = cut_lineage(adj)
+    steps = adjacency(edges)
+    stay = steps.select("node", F.col("node").alias("nbr"), F.lit(0.0).alias("step")).distinct()
+    adj = cut_lineage(steps.unionByName(stay).withColumnRenamed("node", "_from"))
+    table = F.broadcast(adj) if fits_broadcast(adj) else adj
 
     def expand(wave: DataFrame) -> DataFrame:
-        return lookup_or_shuffle(wave, adj).select(
-            "source", F.col("nbr").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), "cutoff")
-
-    small = adj.limit(200_001).count() <= 200_000
-
-    def lookup_or_shuffle(wave: DataFrame, table: DataFrame) -> DataFrame:
-        return wave.join(F.broadcast(table) if small else table, "node")
+        # rows that did not improve get keys no node has, each its own, so they spread evenly and meet nothing
+        idle = -F.abs(F.xxhash64("source", "node") % (1 << 62)) - 1
+        placed = wave.withColumn("_from", F.when(F.col("fresh"), F.col("node")).otherwise(idle))
+        return placed.join(table, "_from", "left").select(
+            "source", F.coalesce("nbr", "node").alias("node"), (F.col("cost") + F.coalesce("step", F.lit(0.0))).alias("cost"), "cutoff",
+            (F.coalesce("nbr", "node") == F.col("node")).alias("own"))
 
     start = sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), "cutoff")
     return relax(start, expand, ["source", "node"])

@@ -131,7 +131,7 @@ def anchor_heights(pairs: DataFrame, path_extent=None) -> DataFrame:
 # ---------------------------------------------------------------- obstacle grid
 
 ROOT2 = math.sqrt(2)
-MOVES = [(dr, dc, ROOT2 if dr and dc else 1.0) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc]
+MOVES = [(dr, dc, ROOT2 if dr and dc else float(bool(dr or dc))) for dr in (-1, 0, 1) for dc in (-1, 0, 1)]
 
 
 def pair_grids(pairs: DataFrame, speed_ms: float, n: int = 60) -> DataFrame:
@@ -174,11 +174,12 @@ def grid_times(grids: DataFrame, blocked: DataFrame) -> DataFrame:
     seeds = grids.select("pair_id", F.inline(roles), F.lit(0.0).alias("cost"), F.col("dt_s").alias("cutoff"))
     frame = cut_lineage(grids.select("pair_id", "rows", "cols", "step_s"))
     moves = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc"), F.lit(c).alias("k")) for a, b, c in MOVES])
+    stay = F.array(F.struct(F.lit(0).alias("dr"), F.lit(0).alias("dc"), F.lit(0.0).alias("k")))
 
     def expand(wave: DataFrame) -> DataFrame:
-        moved = wave.join(frame, "pair_id").withColumn("_m", F.explode(moves)).select(
+        moved = wave.join(frame, "pair_id").withColumn("_m", F.explode(F.when(F.col("fresh"), moves).otherwise(stay))).select(
             "pair_id", "role", (F.col("row") + F.col("_m.dr")).alias("row"), (F.col("col") + F.col("_m.dc")).alias("col"),
-            (F.col("cost") + F.col("step_s") * F.col("_m.k")).alias("cost"), "cutoff", "rows", "cols")
+            (F.col("cost") + F.col("step_s") * F.col("_m.k")).alias("cost"), "cutoff", "rows", "cols", (F.col("_m.k") == 0).alias("own"))
         inside = moved.filter("row >= 0 and row < rows and col >= 0 and col < cols").drop("rows", "cols")
         return inside.join(walls, ["pair_id", "row", "col"], "left_anti")
 

@@ -83,11 +83,11 @@ def proximity_stays(spark, sf):
 
 @query(f"""WITH {S.TRAJ}, c AS (SELECT *, CASE WHEN label = lag(label) OVER w THEN 0 ELSE 1 END AS ch FROM traj WINDOW w AS (PARTITION BY user_id ORDER BY t_ms, point_id)),
 i AS (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY t_ms, point_id ROWS UNBOUNDED PRECEDING) AS run FROM c)
-SELECT user_id, CAST(run AS BIGINT) AS run, any_value(label) AS label, round(avg(lon), 6) AS lon, round(avg(lat), 6) AS lat, count(*) AS point_count,
+SELECT user_id, CAST(run AS BIGINT) AS run, any_value(label) AS label, round(avg(lon), 8) AS lon, round(avg(lat), 8) AS lat, count(*) AS point_count,
   (min(t_ms) + max(t_ms)) / 2 AS timestamp_ms, (max(t_ms) - min(t_ms)) / 1000 AS duration_s FROM i GROUP BY 1, 2""")
 def attribute_stays(spark, sf):
     out = JOBS["trajectory"](t.traj(spark, sf), stays=True, stay_field="label")["stay_points"]
-    return out.select("user_id", F.col("run").cast("long").alias("run"), "label", r("lon").alias("lon"), r("lat").alias("lat"), "point_count",
+    return out.select("user_id", F.col("run").cast("long").alias("run"), "label", r("lon", 8).alias("lon"), r("lat", 8).alias("lat"), "point_count",
                       "timestamp_ms", "duration_s")
 
 
@@ -132,11 +132,11 @@ _D = "sqrt(pow((n.lon - w.cx) * 111000 * cos(radians((w.cy + n.lat) / 2)), 2) +
 @query(f"""WITH RECURSIVE {S.TRAJ}, {_walk('', f"CASE WHEN {_D} <= 2500 THEN w.cx + (n.lon - w.cx) / (w.cn + 1) ELSE n.lon END, "
        f"CASE WHEN {_D} <= 2500 THEN w.cy + (n.lat - w.cy) / (w.cn + 1) ELSE n.lat END, CASE WHEN {_D} <= 2500 THEN w.cn + 1 ELSE 1 END, "
        f"CASE WHEN {_D} <= 2500 THEN w.cluster ELSE n.point_id END", 'lon AS cx, lat AS cy, 1 AS cn, point_id AS cluster', 'traj', 'user_id', 'lon, lat, t_ms')}
-SELECT user_id, cluster, round(avg(lon), 6) AS lon, round(avg(lat), 6) AS lat, CAST(floor(median(t_ms)) AS BIGINT) AS t_ms, count(*) AS size FROM walk GROUP BY 1, 2""")
+SELECT user_id, cluster, round(avg(lon), 8) AS lon, round(avg(lat), 8) AS lat, CAST(floor(median(t_ms)) AS BIGINT) AS t_ms, count(*) AS size FROM walk GROUP BY 1, 2""")
 def static_clusters(spark, sf):
     df = t.traj(spark, sf).withColumn("z", F.lit(0.0))
     out = fold.static_clusters(df, "user_id", 2500.0)
-    return out.select("user_id", "cluster", r("lon").alias("lon"), r("lat").alias("lat"), "t_ms", "size")
+    return out.select("user_id", "cluster", r("lon", 8).alias("lon"), r("lat", 8).alias("lat"), "t_ms", "size")
 
 
 # ================================================================ cube
@@ -155,7 +155,8 @@ def cube_ground(spark, sf):
 
 
 @query(f"""WITH {S.TRAJ}, q AS (SELECT list_sort(list_distinct(quantile_cont((t_ms - (SELECT min(t_ms) FROM traj)) / 1000e0, [0, 0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875, 1]))) AS e FROM traj),
-b AS (SELECT least(7, len(list_filter(e[2:], lambda x: x <= (t_ms - (SELECT min(t_ms) FROM traj)) / 1000e0))) AS t_idx FROM traj, q)
+v AS (SELECT (t_ms - m) / 1000e0 AS t_s FROM traj, (SELECT min(t_ms) AS m FROM traj)),
+b AS (SELECT least(7, len(list_filter(e[2:], lambda x: x <= t_s))) AS t_idx FROM v, q)
 SELECT CAST(t_idx AS INTEGER) AS t_idx, count(*) AS points FROM b GROUP BY 1""")
 def equal_count_slices(spark, sf):
     df = t.traj(spark, sf)
@@ -409,7 +410,7 @@ def _origin_areas(spark, sf):
                                 max_origins=4, cluster_m=0.0, zone=t.ZONE, max_segments=12)
 
 
-# Reachable share of each edge in closed form: without a snap point it is what both ends reach, clipped to the whole edge.
+# Reachable share of each edge by inclusion and exclusion of what each end and the snap point reach.
 _ORIGINS = f"""{S.EDGES}, {_TRACK},
 n AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY t_ms, point_id) - 1 AS i, count(*) OVER (PARTITION BY pair_id) AS c FROM track),
 j AS (SELECT DISTINCT c, CAST(floor(j.j * (c - 1) / 3e0) AS BIGINT) AS i FROM (SELECT DISTINCT c FROM n WHERE c > 4), range(0, 4) j(j)),
@@ -423,13 +424,10 @@ lab(point_id, node, cost) USING KEY (point_id, node) AS (
 t0 AS (SELECT l.point_id, e.edge_id, min(CASE WHEN l.node = e.u THEN l.cost END) AS du, min(CASE WHEN l.node = e.v THEN l.cost END) AS dv, CAST(NULL AS DOUBLE) AS f
     FROM lab l JOIN edges e ON l.node = e.u OR l.node = e.v GROUP BY 1, 2 UNION ALL SELECT point_id, edge_id, NULL, NULL, fraction FROM snapped),
 t1 AS (SELECT t0.point_id, t0.edge_id, min(du) AS du, min(dv) AS dv, max(f) AS f, any_value(e.cost_sec) AS c, any_value(e.length_m) AS len FROM t0 JOIN edges e USING (edge_id) GROUP BY 1, 2),
-spans AS (SELECT *, coalesce(least(1, (90 - du) / c), 0) AS left_to, coalesce(greatest(0, 1 - (90 - dv) / c), 1) AS right_from,
+spans AS (SELECT *, CASE WHEN du IS NULL THEN 0 ELSE least(1, (90 - du) / c) END AS left_to, CASE WHEN dv IS NULL THEN 1 ELSE greatest(0, 1 - (90 - dv) / c) END AS right_from,
     CASE WHEN f IS NOT NULL THEN greatest(0, f - 90 / c) END AS s0, CASE WHEN f IS NOT NULL THEN least(1, f + 90 / c) END AS s1 FROM t1),
-cover AS (SELECT *, CASE WHEN f IS NULL THEN least(1, left_to + 1 - right_from) ELSE
-    least(1, (CASE WHEN left_to >= s0 THEN greatest(left_to, s1) ELSE left_to + s1 - s0 END)
-      + (CASE WHEN right_from <= (CASE WHEN left_to >= s0 THEN greatest(left_to, s1) ELSE s1 END)
-         THEN 1 - (CASE WHEN left_to >= s0 THEN greatest(left_to, s1) ELSE s1 END) - (CASE WHEN left_to >= s0 THEN 0 ELSE greatest(0, s0 - right_from) - greatest(0, s0 - right_from) END)
-         ELSE 1 - right_from END)) END AS share FROM spans)"""
+cover AS (SELECT *, left_to + 1 - right_from - greatest(0, left_to - right_from) + CASE WHEN f IS NULL THEN 0 ELSE
+    s1 - s0 - greatest(0, least(left_to, s1) - s0) - greatest(0, s1 - greatest(right_from, s0)) + greatest(0, least(left_to, s1) - greatest(right_from, s0)) END AS share FROM spans)"""
 
 
 @query(f"""WITH RECURSIVE {_ORIGINS} SELECT o.pair_id, o.point_id AS cluster, s.point_id IS NOT NULL AS reachable, round(coalesce(sum(share * len), 0), 3) AS reachable_length_m,
@@ -455,7 +453,7 @@ def automatic_budget(spark, sf):
 
 def _walkers(spark, sf):
     """Each supplier walks along the streets, one fix per delivered line."""
-    li = t.table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber")
+    li = t.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("l_suppkey"))
     k = F.col("l_orderkey")
     return li.select((k * 8 + F.col("l_linenumber")).alias("point_id"), F.col("l_suppkey").cast("string").alias("user_id"),
                      (F.lit(1_704_067_200_000) + k * 4_000 + F.col("l_linenumber") * 500).alias("t_ms"),
@@ -464,7 +462,7 @@ def _walkers(spark, sf):
 
 
 _WALKERS = f"""walkers AS (SELECT l_orderkey * 8 + l_linenumber AS point_id, CAST(l_suppkey AS VARCHAR) AS user_id, 1704067200000 + l_orderkey * 4000 + l_linenumber * 500 AS t_ms,
-  -79.5e0 + (l_orderkey % 1500) * 0.00005::DOUBLE AS lon, 43.6e0 + l_suppkey % 3 * 0.002::DOUBLE + 0.0001::DOUBLE AS lat FROM lineitem)"""
+  -79.5e0 + (l_orderkey % 1500) * 0.00005::DOUBLE AS lon, 43.6e0 + l_suppkey % 3 * 0.002::DOUBLE + 0.0001::DOUBLE AS lat FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1, 2))"""
 
 
 @query(f"""WITH {S.EDGES}, {_WALKERS}, n AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id) AS c FROM walkers WINDOW w AS (PARTITION BY user_id ORDER BY t_ms, point_id)),
@@ -536,10 +534,10 @@ def activity_surface(spark, sf):
 b AS (SELECT window_id, row, col, g, CAST(trunc(from_ms + go_s * 1000) AS BIGINT) AS early, CAST(trunc(to_ms - back_s * 1000) AS BIGINT) AS late FROM cells, o),
 v AS (SELECT b.*, unnest(range(CAST(ceil((early - g) / 300000e0) AS BIGINT), CAST(floor((late - g) / 300000e0) AS BIGINT) + 1)) AS time_bin FROM b),
 x AS (SELECT *, least(late, g + (time_bin + 1) * 300000) - greatest(early, g + time_bin * 300000) AS ov FROM v)
-SELECT window_id, CAST(time_bin AS BIGINT) AS time_bin, count(*) AS cells, round(sum(ov) / 60000e0, 4) AS dwell_minutes FROM x WHERE ov > 0 GROUP BY 1, 2""")
+SELECT window_id, CAST(time_bin AS BIGINT) AS time_bin, count(*) AS cells, CAST(sum(ov) AS BIGINT) AS dwell_ms FROM x WHERE ov > 0 GROUP BY 1, 2""")
 def activity_voxels(spark, sf):
     out = JOBS["activity_surface"](t.episodes(spark, sf))["voxels"]
-    return out.groupBy("window_id", F.col("time_bin").cast("long").alias("time_bin")).agg(F.count(F.lit(1)).alias("cells"), r(F.sum("dwell_minutes"), 4).alias("dwell_minutes"))
+    return out.groupBy("window_id", F.col("time_bin").cast("long").alias("time_bin")).agg(F.count(F.lit(1)).alias("cells"), F.round(F.sum("dwell_minutes") * 60_000).cast("long").alias("dwell_ms"))
 
 
 @query(f"""WITH {S.PASTA}, o AS (SELECT min(from_ms) AS g, greatest((max(to_ms) - min(from_ms)) / 300000e0 * 20, 1000) / greatest(max(to_ms) - min(from_ms), 1) AS zp FROM checked)

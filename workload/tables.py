@@ -32,7 +32,7 @@ def traj(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TRAJ = """traj AS (
-  SELECT event_id AS point_id, CAST(user_id AS VARCHAR) AS user_id, epoch_ms(ts) AS t_ms,
+  SELECT event_id AS point_id, CAST(user_id AS VARCHAR) AS user_id, epoch_us(ts) // 1000 AS t_ms,
     -79.5e0 + (user_id * 37 % 100) / 500e0 + (event_id * 7919 % 1000) / 20000e0 AS lon,
     43.6e0 + (user_id * 53 % 100) / 500e0 + (event_id * 6271 % 1000) / 20000e0 AS lat,
     event_type AS label, value
@@ -60,7 +60,7 @@ _LIMITS = [None, "50", "30 mph", "40 km/h", "", "walk", "4"]
 
 def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A street lattice: each part is a crossing with one street east and one north, a bend half way."""
-    k = F.col("p_partkey") - 1
+    k = F.col("p_partkey")
     col, row = k % LATTICE_COLS, F.floor(k / LATTICE_COLS)
     s = STREET_DEG
     x0, y0 = F.lit(ORIGIN_LON) + col * s, F.lit(ORIGIN_LAT) + row * s
@@ -73,7 +73,7 @@ def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
     names, limits = F.array(*[F.lit(c) for c in _CLASSES]), F.array(*[F.lit(c) for c in _LIMITS])
     base = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.posexplode(F.array(
         F.array(pt(x0, y0), pt(mx, y0), pt(x1, y0)), F.array(pt(x0, y0), pt(x0, my), pt(x0, y1)))).alias("dir", "coords"))
-    base = base.filter((F.col("dir") == 1) | ((F.col("p_partkey") - 1) % LATTICE_COLS < LATTICE_COLS - 1))
+    base = base.filter((F.col("dir") == 1) | (F.col("p_partkey") % LATTICE_COLS < LATTICE_COLS - 1))
     return base.select((F.col("p_partkey") * 2 + F.col("dir")).alias("source_id"),
                        F.element_at(names, ((F.col("p_size") + F.col("dir")) % 7 + 1).cast("int")).alias("highway"),
                        F.element_at(limits, (F.col("p_size") % 7 + 1).cast("int")).alias("maxspeed"), "coords")
@@ -81,7 +81,7 @@ def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _S = repr(STREET_DEG) + "::DOUBLE"
 ROADS = f"""crossings AS (
-  SELECT p_partkey, p_size, (p_partkey - 1) % {LATTICE_COLS} AS c, (p_partkey - 1) // {LATTICE_COLS} AS r FROM part),
+  SELECT p_partkey, p_size, p_partkey % {LATTICE_COLS} AS c, p_partkey // {LATTICE_COLS} AS r FROM part),
 corners AS (
   SELECT *, -79.5e0 + c * {_S} AS x0, 43.6e0 + r * {_S} AS y0, -79.5e0 + (c + 1) * {_S} AS x1, 43.6e0 + (r + 1) * {_S} AS y1,
     -79.5e0 + (c + 0.5e0) * {_S} AS mx, 43.6e0 + (r + 0.5e0) * {_S} AS my FROM crossings),
@@ -126,7 +126,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(ORIGIN_LON) + c0 * STREET_DEG + (k % 7) * 0.0001).alias("a_lon"), (F.lit(ORIGIN_LAT) + r0 * STREET_DEG + 0.00003).alias("a_lat"),
         start.alias("a_ms"),
         (F.lit(ORIGIN_LON) + c1 * STREET_DEG + (k % 5) * 0.0001).alias("b_lon"), (F.lit(ORIGIN_LAT) + r1 * STREET_DEG - 0.00003).alias("b_lat"),
-        (start + (F.lit(420) + (F.floor(F.abs(F.col("c_acctbal"))).cast("long") % 5) * 120) * 1000).alias("b_ms"))
+        (start + (F.lit(300) + (F.floor(F.abs(F.col("c_acctbal"))).cast("long") % 4) * 60) * 1000).alias("b_ms"))
 
 
 PAIRS = f"""size AS (SELECT max(p_partkey) // {LATTICE_COLS} AS rows FROM part),
@@ -138,7 +138,7 @@ pairs AS (
     -79.5e0 + c0 * {_S} + (k % 7) * 0.0001::DOUBLE AS a_lon, 43.6e0 + r0 * {_S} + 0.00003::DOUBLE AS a_lat, a_ms,
     -79.5e0 + (c0 + k % 2) * {_S} + (k % 5) * 0.0001::DOUBLE AS b_lon,
     43.6e0 + least(rows - 1, r0 + k % 3) * {_S} - 0.00003::DOUBLE AS b_lat,
-    a_ms + (420 + (CAST(floor(abs(c_acctbal)) AS BIGINT) % 5) * 120) * 1000 AS b_ms FROM trips)"""
+    a_ms + (300 + (CAST(floor(abs(c_acctbal)) AS BIGINT) % 4) * 60) * 1000 AS b_ms FROM trips)"""
 
 
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
