@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.functions.bind import bind
+
 EARTH_M = 6_371_000.0
 # Three metres-per-degree constants, each tied to the operators that use it.
 GRID_M_PER_DEG = 111_320.0
@@ -142,8 +144,7 @@ def _deg_final(v: dict[str, Column], zone: int) -> dict[str, Column]:
 def _staged(df: DataFrame, quads: list[tuple[str, str, str, str]], first, *rest) -> DataFrame:
     """Run the stages for several coordinate columns at once and name the results.
 
-    The last step goes through a one-row generator: later filters on the results then use the
-    computed values instead of being rewritten onto the whole series.
+    The results are bound, so later filters read them instead of repeating the series.
     """
     keep = df.columns
     out = df.withColumns({f"_{n}_{i}": c for i, (a, b, _, _) in enumerate(quads) for n, c in first(F.col(a), F.col(b)).items()})
@@ -155,9 +156,8 @@ def _staged(df: DataFrame, quads: list[tuple[str, str, str, str]], first, *rest)
             new = list(got)
             made += [c.alias(f"_{n}_{i}") for n, c in got.items()]
         out, names = out.select(*keep, *made), new
-    done = F.struct(*[F.col(f"_{n}_{i}").alias(q[2 + k]) for i, q in enumerate(quads) for k, n in enumerate(("x", "y"))])
-    replaced = {q[2] for q in quads} | {q[3] for q in quads}
-    return out.select(*[c for c in keep if c not in replaced], F.inline(F.array(done)))
+    done = {q[2 + k]: F.col(f"_{n}_{i}") for i, q in enumerate(quads) for k, n in enumerate(("x", "y"))}
+    return bind(out, done).select(*[c for c in keep if c not in done], *done)
 
 
 def with_utm(df: DataFrame, quads: list[tuple[str, str, str, str]], zone: int, south: bool = False) -> DataFrame:

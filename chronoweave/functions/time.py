@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronoweave.functions.bind import bind
+
 DAY_MS = 86_400_000
 
 # Text layouts accepted besides ISO.
@@ -72,7 +74,7 @@ def with_epoch_ms(df: DataFrame, time_col: str, on_bad: str = "drop") -> DataFra
         parsed = F.when(parsed.isNull(), F.raise_error(F.concat(
             F.lit("cannot parse time "), F.coalesce(F.col(time_col).cast("string"), F.lit("null")),
         )).cast("bigint")).otherwise(parsed)
-    out = df.withColumn("t_ms", parsed)
+    out = bind(df, {"t_ms": parsed})
     return out.filter(F.col("t_ms").isNotNull()) if on_bad == "drop" else out
 
 

@@ -33,8 +33,8 @@ def ground(cells: DataFrame) -> DataFrame:
 
 def space_time_cube(df: DataFrame, *, cell_m: float | None = None, cell_deg: float | None = None, n_slices: int = 10,
                     method: str = "equal_interval", duration_s: float | None = None, anchor_ms: float | None = None,
-                    env: str | None = None, align: bool = False, hot_rows: int | None = None) -> dict:
-    """``cubes``, ``ground``, ``segments`` and the layout (``grid``, ``slices``, ``warnings``)."""
+                    env: str | None = None, align: bool = False, path: bool = True, hot_rows: int | None = None) -> dict:
+    """``cubes``, ``ground``, ``segments`` (unless ``path`` is off) and the layout (``grid``, ``slices``, ``warnings``)."""
     ext = extent(df)
     warnings: list[str] = []
     timed, aligned = with_elapsed(df, align, hot_rows=hot_rows)
@@ -66,7 +66,7 @@ def space_time_cube(df: DataFrame, *, cell_m: float | None = None, cell_deg: flo
         stamp((lo + hi) / 2).alias("timestamp_ms"),
         F.concat(readable(stamp(lo)), F.lit(" – "), readable(stamp(hi))).alias("time_range"),
     )
-    return {"cubes": cubes, "ground": ground(cells), "segments": cube_segments(timed, grid, slices, ext.t_min, env, hot_rows),
+    return {"cubes": cubes, "ground": ground(cells), "segments": cube_segments(timed, grid, slices, ext.t_min, env, hot_rows) if path else None,
             "grid": grid, "slices": slices, "warnings": warnings}
 
 

@@ -68,7 +68,8 @@ def nearest(points: DataFrame, items: DataFrame, by: list[str], point_id: str, i
     if rest.isEmpty():
         return done
     walked = _walk(rest, spots, by, point_id, item_id, xy, box, side)
-    return done.unionByName(walked)
+    # points of a group without items come out of the walk with nothing
+    return done.unionByName(rest.join(walked.select(point_id, "hit"), point_id, "left"))
 
 
 def _hit_type(spots: DataFrame) -> str:

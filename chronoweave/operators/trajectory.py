@@ -128,7 +128,7 @@ def stay_points(df: DataFrame, dist_m: float = 100.0, window_ms: int = 300_000,
                              .when(~in_p & ~in_n, F.lit(0)))
     step1 = step1.drop(*[f"{s}{k}" for s in "pn" for k in near])
     if step1.filter(F.col("_state").isNull()).isEmpty():
-        return step1.filter(F.col("_state") == 1).drop("_state")
+        return step1.filter(F.col("_state") == 1).select(*df.columns)
 
     lat_deg = dist_m / CIRCLE_M_PER_DEG
     cos = F.greatest(F.lit(0.01), F.cos(F.radians((F.floor(F.col("lat")) + F.lit(0.5)))))
@@ -168,4 +168,4 @@ def stay_points(df: DataFrame, dist_m: float = 100.0, window_ms: int = 300_000,
                     & (haversine_m(F.col("_plon"), F.col("_plat"), F.col("lon"), F.col("lat")) < dist_m))
             .select(F.col("_pid").alias("point_id"), "user_id").distinct())
     found = rest.join(hits, ["user_id", "point_id"], "left_semi")
-    return step2.filter(F.col("_state") == 1).unionByName(found).drop("_state")
+    return step2.filter(F.col("_state") == 1).unionByName(found).select(*df.columns)

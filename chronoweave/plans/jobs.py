@@ -51,7 +51,9 @@ def stkde(df: DataFrame, *, show_trajectory: bool = False, ground: bool = False,
 def space_time_cube(df: DataFrame, *, ground: bool = False, **options) -> Outputs:
     res = cubes.space_time_cube(df, **options)
     grid = res["grid"]
-    out = {"cubes": res["cubes"].withColumn("ring", lift(grid.ring(F.col("col"), F.col("row")), F.col("z"))), "segments": res["segments"]}
+    out = {"cubes": res["cubes"].withColumn("ring", lift(grid.ring(F.col("col"), F.col("row")), F.col("z")))}
+    if res["segments"] is not None:
+        out["segments"] = res["segments"]
     if ground:
         out["ground"] = res["ground"].withColumn("ring", grid.ring(F.col("col"), F.col("row")))
     return out

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronoweave.functions.bind import bind
 from chronoweave.functions.coords import coordinate_error, parse_coordinate
 from chronoweave.functions.roads import LANDED_CLASSES
 from chronoweave.functions.time import readable
@@ -31,15 +32,15 @@ def csv_to_points(df: DataFrame, lon: str, lat: str, alt: str | None = None, ski
     if not lon or not lat:
         raise ValueError("longitude and latitude columns must be named")
     others = [c for c in df.columns if c not in {lon, lat, alt}]
-    placed = df.select(parse_coordinate(F.col(lon)).alias("lon"), parse_coordinate(F.col(lat)).alias("lat"),
-                       (parse_coordinate(F.col(alt)) if alt else F.lit(None).cast("double")).alias("alt"),
-                       F.col(lon).cast("string").alias("_raw_lon"), F.col(lat).cast("string").alias("_raw_lat"), *others)
-    reason = coordinate_error(F.col("lon"), F.col("lat"))
-    checked = placed.withColumn("error", reason)
+    raw = df.select(F.col(lon).cast("string").alias("_raw_lon"), F.col(lat).cast("string").alias("_raw_lat"),
+                    (F.col(alt).cast("string") if alt else F.lit(None).cast("string")).alias("_raw_alt"), *others)
+    placed = bind(raw, {c: parse_coordinate(F.col(f"_raw_{c}")) for c in ("lon", "lat", "alt")})
+    checked = placed.withColumn("error", coordinate_error(F.col("lon"), F.col("lat")))
+    fine = F.col("error").isNull()
     if not skip_invalid:
-        checked = checked.withColumn("lon", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("double")).otherwise(F.col("lon")))
-    good = checked.filter("error is null").drop("error", "_raw_lon", "_raw_lat")
-    rejected = checked.filter("error is not null").withColumns({"lon": F.col("_raw_lon"), "lat": F.col("_raw_lat")}).drop("_raw_lon", "_raw_lat")
+        fine = F.when(fine, F.lit(True)).otherwise(F.raise_error(F.col("error")).cast("boolean"))
+    good = checked.filter(fine).select("lon", "lat", "alt", *others)
+    rejected = checked.filter("error is not null").select(F.col("_raw_lon").alias("lon"), F.col("_raw_lat").alias("lat"), *others, "error")
     stats = checked.agg(F.count(F.lit(1)).alias("total_rows"), F.count_if(F.col("error").isNull()).alias("valid_rows"),
                         F.count_if(F.col("error").isNotNull()).alias("invalid_rows"))
     return good, rejected, stats

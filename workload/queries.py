@@ -144,13 +144,13 @@ def static_clusters(spark, sf):
 
 @query(f"""WITH {S.CUBE} SELECT t_idx, row, col, count(*) AS count, round(avg(value), 6) AS env_value FROM binned GROUP BY 1, 2, 3""")
 def cube_cells(spark, sf):
-    out = JOBS["space_time_cube"](t.traj(spark, sf), env="value")["cubes"]
+    out = JOBS["space_time_cube"](t.traj(spark, sf), env="value", path=False)["cubes"]
     return out.select("t_idx", "row", "col", "count", r("env_value").alias("env_value"))
 
 
 @query(f"""WITH {S.CUBE} SELECT row, col, count(*) AS count, round(avg(value), 6) AS env_value FROM binned GROUP BY 1, 2""")
 def cube_ground(spark, sf):
-    out = JOBS["space_time_cube"](t.traj(spark, sf), env="value", ground=True)["ground"]
+    out = JOBS["space_time_cube"](t.traj(spark, sf), env="value", ground=True, path=False)["ground"]
     return out.select("row", "col", "count", r("env_value").alias("env_value"))
 
 
