@@ -7,9 +7,11 @@ edge an anchor was snapped to, two from the snap point. Unreached ends are null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.functions.bind import bind
+
 _LINE = "struct<m:double,b:double,lo:double,hi:double>"
 _SPAN = "struct<a:double,b:double>"
 EPS = 1e-9
@@ -92,27 +94,26 @@ def span_times(a: Column, b: Column, lines: Column) -> Column:
                     F.array_max(samples).alias("travel_max"))
 
 
-def feasible_spans(lines_a: Column, lines_b: Column, budget: Column) -> Column:
-    """Parts of an edge where time from A plus time to B stays within the budget (exact)."""
-    raw = F.concat(F.array(F.lit(0.0), F.lit(1.0)), _breakpoints(lines_a), _breakpoints(lines_b))
-    stops = F.array_sort(F.array_distinct(F.filter(raw, lambda s: (s >= 0) & (s <= 1))))
-
-    def both(s: Column) -> Column:
-        return travel_time(s, lines_a) + travel_time(s, lines_b)
-
-    valued = F.transform(stops, lambda s: F.struct(s.alias("s"), both(s).alias("g")))
-    pieces = F.zip_with(F.slice(valued, F.lit(1), F.size(valued) - 1), F.slice(valued, F.lit(2), F.size(valued)),
-                        lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+def with_feasible_spans(df: DataFrame, lines_a: Column, lines_b: Column, budget: Column, out: str = "spans") -> DataFrame:
+    """Add the parts of an edge where time from A plus time to B stays within the budget (exact)."""
+    df = bind(df, {"_la": lines_a, "_lb": lines_b, "_k": budget})
+    la, lb, k = F.col("_la"), F.col("_lb"), F.col("_k")
+    raw = F.concat(F.array(F.lit(0.0), F.lit(1.0)), _breakpoints(la), _breakpoints(lb))
+    df = bind(df, {"_s": F.array_sort(F.array_distinct(F.filter(raw, lambda s: (s >= 0) & (s <= 1))))})
+    df = bind(df, {"_g": F.transform("_s", lambda s: F.struct(s.alias("s"), (travel_time(s, la) + travel_time(s, lb)).alias("g")))})
+    n = F.size("_g")
+    pieces = F.zip_with(F.slice("_g", F.lit(1), n - 1), F.slice("_g", F.lit(2), n), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
 
     def keep(piece: Column) -> Column:
         p, q = piece["p"], piece["q"]
-        in_p, in_q = p["g"] <= budget + 1e-6, q["g"] <= budget + 1e-6
+        in_p, in_q = p["g"] <= k + 1e-6, q["g"] <= k + 1e-6
         rise = q["g"] - p["g"]
-        share = F.when(F.abs(rise) < 1e-12, F.lit(0.5)).otherwise(_clamp((budget - p["g"]) / rise))
+        share = F.when(F.abs(rise) < 1e-12, F.lit(0.5)).otherwise(_clamp((k - p["g"]) / rise))
         cross = p["s"] + share * (q["s"] - p["s"])
         return F.when(in_p & in_q, _span(p["s"], q["s"])).when(in_p, _span(p["s"], cross)) \
             .when(in_q, _span(cross, q["s"]))
 
-    usable = F.filter(F.transform(pieces, keep), lambda s: s.isNotNull() & (s["b"] - s["a"] >= EPS))
-    both_reached = (F.size(lines_a) > 0) & (F.size(lines_b) > 0)
-    return F.when(both_reached, merge_spans(usable)).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    df = bind(df, {"_p": F.filter(F.transform(pieces, keep), lambda s: s.isNotNull() & (s["b"] - s["a"] >= EPS))})
+    both_reached = (F.size(la) > 0) & (F.size(lb) > 0)
+    spans = F.when(both_reached, merge_spans(F.col("_p"))).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    return bind(df, {out: spans}).drop("_la", "_lb", "_k", "_s", "_g", "_p")

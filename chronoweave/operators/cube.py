@@ -84,5 +84,5 @@ def cube_segments(timed: DataFrame, grid: Grid, slices: Slices, t_min: int, env:
     if not env:
         return out
     a, b = F.nanvl("_a", F.lit(None)), F.nanvl("_b", F.lit(None))
-    mean = F.bround((a + b) / 2, 1)
+    mean = F.rint((a + b) / 2 * 10) / 10
     return out.withColumn("env_exposure", F.coalesce(mean, a, b)).drop("_a", "_b")

@@ -12,6 +12,7 @@ from chronoweave.session import cut_lineage
 
 LEAF = 64  # items an index cell may hold
 MAX_DEPTH = 40
+STRIDE = 2  # quadtree levels per step
 
 
 def nearest(points: DataFrame, items: DataFrame, by: list[str], point_id: str, item_id: str,
@@ -98,13 +99,13 @@ def _walk(points: DataFrame, spots: DataFrame, by: list[str], point_id: str, ite
         top = spots.groupBy(*by, *[c.alias(n) for n, c in at(depth).items()]).count().agg(F.max("count")).first()[0]
         if top <= LEAF:
             break
-        depth += 2
+        depth += STRIDE
     state = points.withColumn("_cand", F.array(F.struct(F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy"))))
     cols = points.columns
-    for level in range(1, depth + 1):
+    for level in range(STRIDE, depth + 1, STRIDE):
         s = width / 2**level
         kids = (spots.select(*by, *[c.alias(n) for n, c in at(level).items()]).distinct()
-                .groupBy(*by, F.shiftright("_cx", 1).alias("cx"), F.shiftright("_cy", 1).alias("cy"))
+                .groupBy(*by, F.shiftright("_cx", STRIDE).alias("cx"), F.shiftright("_cy", STRIDE).alias("cy"))
                 .agg(F.collect_list(F.struct(F.col("_cx").alias("cx"), F.col("_cy").alias("cy"))).alias("_kids")))
         parents = state.select("*", F.inline("_cand")).drop("_cand")
         merged = (lookup_join(parents, kids, [*by, "cx", "cy"])
@@ -129,6 +130,8 @@ def _walk(points: DataFrame, spots: DataFrame, by: list[str], point_id: str, ite
         state = merged.select("_row.*", F.transform(
             F.filter("_b", lambda b: b["near"] <= F.col("_limit")),
             lambda b: F.struct(b["cx"].alias("cx"), b["cy"].alias("cy"))).alias("_cand"))
+        if level % (4 * STRIDE) == 0:
+            state = cut_lineage(state)
     leaf = (spots.select(*by, *[c.alias(n) for n, c in zip(("cx", "cy"), at(depth).values())],
                          F.struct(F.col("_ix").alias("x"), F.col("_iy").alias("y"), "item").alias("e"))
             .groupBy(*by, "cx", "cy").agg(F.collect_list("e").alias("_items")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweave.functions.geo import project_on_segment, with_lonlat, with_utm
-from chronoweave.functions.intervals import feasible_spans, reachable_spans, span_times, travel_lines
+from chronoweave.functions.intervals import reachable_spans, span_times, travel_lines, with_feasible_spans
 from chronoweave.functions.roads import (
     MINOR, ModeProfile, clamp_factor, class_speed_table, edge_kmh, maxspeed_kmh)
 from chronoweave.operators.sequence import Timeline
@@ -334,8 +334,7 @@ def network_prism(pairs: DataFrame, edges: DataFrame, zone: int, south: bool = F
         full = full.join(mark, "pair_id")
         lines = {r: travel_lines(F.col(f"u{r.lower()}"), F.col(f"v{r.lower()}"), F.col("cost_sec"),
                                  F.col(f"{r}_edge") == F.col("edge_id"), F.col(f"{r}_fraction")) for r in "AB"}
-        full = full.withColumn("spans", feasible_spans(lines["A"], lines["B"], F.col("travel_k"))) \
-            .drop("A_edge", "A_fraction", "B_edge", "B_fraction")
+        full = with_feasible_spans(full, lines["A"], lines["B"], F.col("travel_k")).drop("A_edge", "A_fraction", "B_edge", "B_fraction")
     roads = _two_cone(full, zone, south)
     return {"roads": roads, "status": status}
 

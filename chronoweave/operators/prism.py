@@ -222,45 +222,40 @@ def sheet_hulls(sheets: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """
     keys = keys or ["pair_id", "sheet"]
     ends = F.array(F.struct(F.col("lon0").alias("x"), F.col("lat0").alias("y")), F.struct(F.col("lon1").alias("x"), F.col("lat1").alias("y")))
-    points = sheets.select(*keys, F.inline(ends)).distinct()
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema if f.name in keys) + ", x double, y double, ord int"
-
-    def outline(pdf: pd.DataFrame) -> pd.DataFrame:
-        pts = sorted(set(zip(pdf["x"], pdf["y"])))
-
-        def chain(order):
-            kept: list = []
-            for p in order:
-                while len(kept) > 1 and ((kept[-1][0] - kept[-2][0]) * (p[1] - kept[-2][1])
-                                         - (kept[-1][1] - kept[-2][1]) * (p[0] - kept[-2][0])) <= 0:
-                    kept.pop()
-                kept.append(p)
-            return kept
-
-        ring = pts if len(pts) < 3 else chain(pts)[:-1] + chain(pts[::-1])[:-1]
-        out = pd.DataFrame(ring, columns=["x", "y"])
-        out["ord"] = range(len(out))
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "x", "y", "ord"]]
+    points = cut_lineage(sheets.select(*keys, F.inline(ends)).distinct())
+
+    @F.pandas_udf("array<struct<x:double,y:double>>")
+    def outline(groups: pd.Series) -> pd.Series:
+        return groups.map(lambda g: [{"x": x, "y": y} for x, y in _hull(sorted({(p["x"], p["y"]) for p in g}))])
+
+    def outlines(df: DataFrame, by: list[str]) -> DataFrame:
+        return df.groupBy(*by).agg(F.collect_list(F.struct("x", "y")).alias("_p")).select(*by, outline("_p").alias("ring"))
 
     current = points
     while True:
-        sizes = current.groupBy(*keys).count()
-        top = sizes.agg(F.max("count")).first()[0] or 0
+        top = current.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
         if top <= HULL_PART:
             break
-        parts = math.ceil(top / HULL_PART)
-        spread = F.pmod(F.xxhash64("x", "y"), F.lit(parts))
-        smaller = cut_lineage(current.withColumn("_part", spread).groupBy(*keys, "_part").applyInPandas(
-            lambda pdf: outline(pdf), schema).drop("ord"))
-        if (smaller.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) >= top:
-            current = smaller
+        parts = current.withColumn("_part", F.pmod(F.xxhash64("x", "y"), F.lit(math.ceil(2 * top / HULL_PART))))
+        current = cut_lineage(outlines(parts, [*keys, "_part"]).select(*keys, F.inline("ring")))
+        if (current.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) >= top:
             break  # every point lies on the outline: the answer itself is that long
-        current = smaller
-    hulls = current.groupBy(*keys).applyInPandas(outline, schema)
-    ring = F.transform(F.array_sort(F.collect_list(F.struct("ord", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
-    return hulls.groupBy(*keys).agg(ring.alias("ring")).filter(F.size("ring") >= 3)
+    return outlines(current, keys).filter(F.size("ring") >= 3)
+
+
+def _hull(pts: list) -> list:
+    """Outline of sorted distinct points; fewer than three come back as they are."""
+
+    def chain(order: list) -> list:
+        kept: list = []
+        for p in order:
+            while len(kept) > 1 and ((kept[-1][0] - kept[-2][0]) * (p[1] - kept[-2][1])
+                                     - (kept[-1][1] - kept[-2][1]) * (p[0] - kept[-2][0])) <= 0:
+                kept.pop()
+            kept.append(p)
+        return kept[:-1]
+
+    return pts if len(pts) < 3 else chain(pts) + chain(pts[::-1])
 
 
 def time_slice(df: DataFrame, progress: float, mode: str = "progressive", slices: int = 0, column: str = "time_progress") -> DataFrame:

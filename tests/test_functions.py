@@ -124,7 +124,7 @@ def test_span_times_peak_in_the_middle(spark):
                                         ((0.0, 100.0), (0.0, 100.0), 100.0, [(0, 0.5)])])
 def test_feasible_spans(spark, a, b, k, want):
     line = [intervals.travel_lines(F.lit(u), F.lit(v), F.lit(100.0), F.lit(False), F.lit(0.0)) for u, v in (a, b)]
-    got = one(spark, intervals.feasible_spans(*line, F.lit(k)))
+    got = intervals.with_feasible_spans(spark.range(1), *line, F.lit(k)).first().spans
     assert [(s.a, s.b) for s in got] == [pytest.approx(w) for w in want]
 
 

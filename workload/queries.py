@@ -263,7 +263,10 @@ def _area_sides(spark):
 
 
 def _inside_sql(x: str, y: str) -> str:
-    return (f"count(*) FILTER ((y1 > {y}) <> (y2 > {y}) AND x1 + ({y} - y1) * (x2 - x1) / nullif(y2 - y1, 0) > {x}) % 2 = 1")
+    border = (f"abs((x2 - x1) * ({y} - y1) - (y2 - y1) * ({x} - x1)) <= 1e-14 AND {x} BETWEEN least(x1, x2) AND greatest(x1, x2) "
+              f"AND {y} BETWEEN least(y1, y2) AND greatest(y1, y2)")
+    return (f"(count(*) FILTER ((y1 > {y}) <> (y2 > {y}) AND x1 + ({y} - y1) * (x2 - x1) / nullif(y2 - y1, 0) > {x}) % 2 = 1 "
+            f"OR count(*) FILTER ({border}) > 0)")
 
 
 @query(f"""WITH {S.TRAJ}, {_SIDES_SQL}, p AS (SELECT point_id, area_id, {_inside_sql('lon', 'lat')} AS ins FROM traj, sides GROUP BY point_id, lon, lat, area_id)
@@ -342,9 +345,10 @@ def road_prism_status(spark, sf):
     return out.select("pair_id", "snapped", "feasible", r("shortest_path_sec", 4).alias("shortest_path_sec"))
 
 
-@query(f"""WITH RECURSIVE {S.PRISM}, m AS (SELECT pair_id, bool_or(highway IS DISTINCT FROM 'service') AS major FROM prism GROUP BY 1)
-SELECT pair_id, edge_id, CAST(s.s AS BIGINT) AS sheet FROM prism JOIN m USING (pair_id) JOIN range(0, 8) s(s)
-  ON forward_sec <= budget * s.s / 7e0 + 1e-6 AND backward_sec <= budget - budget * s.s / 7e0 + 1e-6 WHERE NOT major OR highway <> 'service'""")
+@query(f"""WITH RECURSIVE {S.PRISM}, d AS MATERIALIZED (SELECT pair_id, edge_id, forward_sec, backward_sec, budget, coalesce(highway = 'service', false) AS minor FROM prism),
+m AS (SELECT pair_id, bool_or(NOT minor) AS major FROM d GROUP BY 1)
+SELECT pair_id, edge_id, CAST(s.s AS BIGINT) AS sheet FROM d JOIN m USING (pair_id) JOIN range(0, 8) s(s)
+  ON forward_sec <= budget * s.s / 7e0 + 1e-6 AND backward_sec <= budget - budget * s.s / 7e0 + 1e-6 WHERE NOT major OR NOT minor""")
 def prism_sheets(spark, sf):
     return _road_prism(spark, sf, sheets=8, resolution=10)["sheets"].select("pair_id", "edge_id", F.col("sheet").cast("long").alias("sheet"))
 
