@@ -11,7 +11,9 @@ from chronoweave.functions.time import readable
 from chronoweave.operators.grid import (
     Extent, Grid, Slices, extent, grid_spec, spatial_bandwidth, temporal_bandwidth, time_slices)
 from chronoweave.operators.quantiles import exact_quantiles
+from chronoweave.operators.skew import spread
 from chronoweave.operators.trajectory import with_elapsed
+from chronoweave.session import cut_lineage
 
 # Up to this many slices every slice is one running sum of the same aggregation.
 WIDE_SLICES = 24
@@ -147,7 +149,8 @@ def stkde(df: DataFrame, *, h_spatial: float | None = None, h_temporal: float |
         warnings += slices.warnings
         centers = slices.centers()
 
-    cells = density(timed, grid, centers, h_s, h_t)
+    # at most grid cells x slices rows, read several times below
+    cells = cut_lineage(density(spread(timed, ext.n), grid, centers, h_s, h_t))
     slab = grid.height_m / max(len(centers), 1)
     stamp = (F.element_at(F.array(*[F.lit(float(c)) for c in centers]), F.col("t_idx") + 1) * 1000).cast("long") + ext.t_min
     classified = classify(cells, per_slice=per_slice).withColumns({
@@ -161,7 +164,7 @@ def stkde(df: DataFrame, *, h_spatial: float | None = None, h_temporal: float |
         classified = classified.withColumn("time_range", F.concat(edge(1), F.lit(" – "), edge(2)))
     if aligned:
         classified = classified.withColumn("elapsed_ms", F.col("timestamp_ms") - ext.t_min)
-    return {"cells": cells, "classified": classified, "ground": density_2d(df, grid, h_s), "grid": grid,
+    return {"cells": cells, "classified": classified, "ground": density_2d(spread(df, ext.n), grid, h_s), "grid": grid,
             "centers": centers, "h_spatial": h_s, "h_temporal": h_t, "warnings": warnings}
 
 

@@ -7,12 +7,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.operators.skew import lookup_join
+from chronoweave.operators.sequence import union_all
+from chronoweave.operators.skew import lookup_join, spread
 from chronoweave.session import cut_lineage
 
 LEAF = 64  # items an index cell may hold
 MAX_DEPTH = 40
 STRIDE = 2  # quadtree levels per step
+WALK_LEAF = 8  # items left to compare at the bottom of the quadtree
 
 
 def nearest(points: DataFrame, items: DataFrame, by: list[str], point_id: str, item_id: str,
@@ -42,15 +44,32 @@ def nearest(points: DataFrame, items: DataFrame, by: list[str], point_id: str, i
     area = max((box["x1"] - box["x0"]) * (box["y1"] - box["y0"]), side * side * 1e-6)
     cell = max(1.5 * math.sqrt(area / box["n"]), side * 1e-6)
 
+    done: list[DataFrame] = []
+    rest = spread(points)
+    for side_len in (cell, 4 * cell):  # a second, wider look settles points in uneven layouts
+        tried = cut_lineage(_look(rest, spots, by, item_id, xy, box, side_len, hot_rows))
+        sure = F.coalesce(~F.col("_full") & (F.col("hit")["d2"] <= side_len * side_len), F.lit(False))
+        done.append(tried.filter(sure).drop("_full"))
+        rest = tried.filter(~sure).drop("_full", "hit")
+        if rest.isEmpty():
+            return union_all(done)
+    walked = _walk(rest, spots, by, point_id, item_id, xy, box, side)
+    # points of a group without items come out of the walk with nothing
+    return union_all([*done, rest.join(walked.select(point_id, "hit"), point_id, "left")])
+
+
+def _look(points: DataFrame, spots: DataFrame, by: list[str], item_id: str, xy: tuple[str, str], box, cell: float,
+          hot_rows: int | None) -> DataFrame:
+    """Best item among the 3x3 cells around each point (``hit``), and whether a cell there was over-full."""
+
     def cell_of(x: Column, y: Column) -> dict[str, Column]:
         return {"_cx": F.floor((x - box["x0"]) / cell), "_cy": F.floor((y - box["y0"]) / cell)}
 
+    keyed = spots.withColumns(cell_of(F.col("_ix"), F.col("_iy")))
     entry = F.struct(F.col("_ix").alias("x"), F.col("_iy").alias("y"), F.col("item"))
-    crowd = spots.withColumns(cell_of(F.col("_ix"), F.col("_iy"))).groupBy(*by, "_cx", "_cy")
     # lists exist only for cells within the bound; the others are marked and left to the quadtree
-    sizes = crowd.agg(F.count(F.lit(1)).alias("_n"))
-    listed = (spots.withColumns(cell_of(F.col("_ix"), F.col("_iy")))
-              .join(sizes.filter(F.col("_n") <= LEAF), [*by, "_cx", "_cy"], "left_semi")
+    sizes = keyed.groupBy(*by, "_cx", "_cy").agg(F.count(F.lit(1)).alias("_n"))
+    listed = (keyed.join(sizes.filter(F.col("_n") <= LEAF), [*by, "_cx", "_cy"], "left_semi")
               .groupBy(*by, "_cx", "_cy").agg(F.collect_list(entry).alias("_items"), F.lit(False).alias("_full")))
     over = sizes.filter(F.col("_n") > LEAF).select(
         *by, "_cx", "_cy", F.array().cast(listed.schema["_items"].dataType).alias("_items"), F.lit(True).alias("_full"))
@@ -58,19 +77,9 @@ def nearest(points: DataFrame, items: DataFrame, by: list[str], point_id: str, i
     around = (listed.unionByName(over).withColumn("_dx", F.explode(reach)).withColumn("_dy", F.explode(reach))
               .groupBy(*by, (F.col("_cx") + F.col("_dx")).alias("_cx"), (F.col("_cy") + F.col("_dy")).alias("_cy"))
               .agg(F.flatten(F.collect_list("_items")).alias("_items"), F.max("_full").alias("_full")))
-
     px, py = F.col(xy[0]), F.col(xy[1])
-    placed = points.withColumns(cell_of(px, py))
-    tried = lookup_join(placed, around, [*by, "_cx", "_cy"], "left", max_rows=50_000, hot_rows=hot_rows)
-    tried = cut_lineage(tried.withColumn("hit", _best(F.col("_items"), px, py, item_id)).drop("_items", "_cx", "_cy"))
-    sure = F.coalesce(~F.col("_full") & (F.col("hit")["d2"] <= cell * cell), F.lit(False))
-    done = tried.filter(sure).drop("_full")
-    rest = tried.filter(~sure).drop("_full", "hit")
-    if rest.isEmpty():
-        return done
-    walked = _walk(rest, spots, by, point_id, item_id, xy, box, side)
-    # points of a group without items come out of the walk with nothing
-    return done.unionByName(rest.join(walked.select(point_id, "hit"), point_id, "left"))
+    met = lookup_join(points.withColumns(cell_of(px, py)), around, [*by, "_cx", "_cy"], "left", max_rows=50_000, hot_rows=hot_rows)
+    return met.withColumn("hit", _best(F.col("_items"), px, py, item_id)).drop("_items", "_cx", "_cy")
 
 
 def _hit_type(spots: DataFrame) -> str:
@@ -97,7 +106,7 @@ def _walk(points: DataFrame, spots: DataFrame, by: list[str], point_id: str, ite
 
     while depth < MAX_DEPTH:
         top = spots.groupBy(*by, *[c.alias(n) for n, c in at(depth).items()]).count().agg(F.max("count")).first()[0]
-        if top <= LEAF:
+        if top <= WALK_LEAF:
             break
         depth += STRIDE
     state = points.withColumn("_cand", F.array(F.struct(F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy"))))

@@ -13,6 +13,7 @@ from chronoweave.functions.hexgrid import hex_center, hex_ring, hexes_in_box
 from chronoweave.functions.roads import preset_kmh
 from chronoweave.operators.grid import extent
 from chronoweave.operators.sequence import Timeline
+from chronoweave.operators.skew import spread
 
 # Activity types.
 FIXED = ("home", "work", "school", "hospital", "errand", "worship", "family", "friend")
@@ -142,7 +143,7 @@ def window_cells(windows: DataFrame, grid: PastaGrid, min_dwell_min: float = 10.
     Only rows and columns within the window's reach are listed: a usable cell lies within
     ``budget * speed / 2 + half the anchor distance`` of the middle of the two anchors.
     """
-    w = windows.filter("feasible").withColumn("_reach", (F.col("budget_s") - min_dwell_min * 60) * F.col("speed_ms") / 2)
+    w = spread(windows.filter("feasible")).withColumn("_reach", (F.col("budget_s") - min_dwell_min * 60) * F.col("speed_ms") / 2)
     mid_lat, mid_lon = (F.col("from_lat") + F.col("to_lat")) / 2, (F.col("from_lon") + F.col("to_lon")) / 2
     half = F.greatest(F.abs(F.col("from_lat") - F.col("to_lat")), F.lit(0.0)) / 2
     half_lon = F.abs(F.col("from_lon") - F.col("to_lon")) / 2
@@ -249,7 +250,7 @@ def circle_features(circles: DataFrame, steps: int = 32) -> DataFrame:
 
 def point_hexes(circles: DataFrame, speed_ms: float, resolution: int, lat0: float) -> DataFrame:
     """One row per fix and hexagon it could stay in, with the stay length."""
-    near = circles.withColumn("_h", F.explode(hexes_in_box(F.col("lon"), F.col("lat"), F.col("radius_m"), resolution, lat0)))
+    near = spread(circles).withColumn("_h", F.explode(hexes_in_box(F.col("lon"), F.col("lat"), F.col("radius_m"), resolution, lat0)))
     c = hex_center(F.col("_h.hex_q"), F.col("_h.hex_r"), resolution, lat0)
     away = haversine_m(F.col("lon"), F.col("lat"), c["x"], c["y"])
     return near.select("*", F.col("_h.hex_q").alias("hex_q"), F.col("_h.hex_r").alias("hex_r"),

@@ -13,7 +13,7 @@ from chronoweave.functions.hexgrid import SAMPLE_STEP_M, cell_area_km2, hex_cent
 from chronoweave.functions.lens import circle_overlap
 from chronoweave.operators.network import relax
 from chronoweave.operators.sequence import Timeline
-from chronoweave.operators.skew import lookup_join
+from chronoweave.operators.skew import lookup_join, spread
 from chronoweave.session import cut_lineage
 
 
@@ -67,7 +67,7 @@ def euclid_slices(pairs: DataFrame, speed_ms: float, n: int = 15, steps: int = 4
 
     ``ring`` is the region's outline. Slices where the circles do not meet are left out.
     """
-    s = pairs.filter("feasible").withColumn("slice", F.explode(F.sequence(F.lit(1), F.lit(n - 1))))
+    s = spread(pairs.filter("feasible")).withColumn("slice", F.explode(F.sequence(F.lit(1), F.lit(n - 1))))
     frac = F.col("slice") / n
     s = s.withColumns({"time_progress": frac, "timestamp_ms": F.col("a_ms") + frac * (F.col("b_ms") - F.col("a_ms")),
                        "r1": F.col("dt_s") * speed_ms * frac, "r2": F.col("dt_s") * speed_ms * (1 - frac)}).filter("r1 > 0 and r2 > 0")
@@ -82,7 +82,7 @@ def ppa_cells(pairs: DataFrame, speed_ms: float, n: int, keys: list[str], resolu
     A centre at distances d1, d2 from the anchors is covered by the slices from ``d1 n / (v T)`` to
     ``n - d2 n / (v T)``, so each pair lists its cells once instead of once per slice.
     """
-    trips = pairs.filter("feasible").withColumns({
+    trips = spread(pairs.filter("feasible")).withColumns({
         "_mx": (F.col("a_lon") + F.col("b_lon")) / 2, "_my": (F.col("a_lat") + F.col("b_lat")) / 2, "_r": F.col("dt_s") * (speed_ms / 2)})
     cells = trips.select(*keys, "a_lon", "a_lat", "b_lon", "b_lat", "dt_s",
                          F.explode(hexes_in_box(F.col("_mx"), F.col("_my"), F.col("_r"), resolution, lat0)).alias("_h"))

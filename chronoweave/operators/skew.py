@@ -69,3 +69,16 @@ def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "i
     if fits_broadcast(small, max_rows):
         return big.join(F.broadcast(small), keys, how)
     return salted_join(big, small, keys, how, hot_rows)
+
+
+SMALL_ROWS = 2_000_000
+
+
+def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Give a small table to every core before each of its rows is expanded into many.
+
+    A few files, or a coalesced shuffle, would otherwise run the expansion in one or two tasks.
+    Large tables already come in many partitions and are left alone.
+    """
+    rows = df.limit(SMALL_ROWS + 1).count() if rows is None else rows
+    return df if rows > SMALL_ROWS else df.repartition(df.sparkSession.sparkContext.defaultParallelism)
