@@ -234,7 +234,8 @@ def corridor(traj: DataFrame, roads: DataFrame, *, mode: str = "walking", custom
     ppas = corridors.segment_ppas(traj, speed, zone, south, corridor_m, skip_empty=not merge, hot_rows=hot_rows)
     pieces = corridors.clip_roads(ppas, edges, cell_m, hot_rows)
     if merge:
-        parts = corridors.union_pieces(pieces, hot_rows)
+        # read several times below; clipping once is cheaper than clipping again
+        parts = cut_lineage(corridors.union_pieces(cut_lineage(pieces), hot_rows))
         pieces = corridors.nearest_fix(parts, traj, zone, south, hot_rows)
     return {"buffers": corridors.ppa_features(ppas, zone, south), "road_pieces": corridors.piece_lines(pieces, zone, south)}
 
