@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chronoweave.llm import bpe, mixing, urls, wavelet
+from chronoweave.llm import bpe, mixing, rotated, topk, urls, wavelet
 from chronoweave.llm.common import documents
 
 #: Files of the public tokenizers; a path, never a copy.
@@ -14,6 +15,14 @@ MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 END_ID = 2
 
 
+def op2_rotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotated.nearest_by_cosine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_inner_products(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 def op6_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.stored(documents(spark, sf_dir), BYTE_BPE, END_ID)
 
@@ -30,5 +39,5 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op6_wavelet, op8_mixing, op9_bpe, op10_urls)}
-ORACLES = {"op8_mixing": mixing.SQL, "op10_urls": urls.SQL}
+QUERIES = {f.__name__: f for f in (op2_rotated, op3_topk, op6_wavelet, op8_mixing, op9_bpe, op10_urls)}
+ORACLES = {"op2_rotated": rotated.SQL, "op3_topk": topk.SQL, "op8_mixing": mixing.SQL, "op10_urls": urls.SQL}
