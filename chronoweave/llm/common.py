@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.session import ensure_checkpoint_dir
+from chronoweave.session import ensure_checkpoint_dir, ship_package
 
 #: Bytes of text that one vectorised step takes; a longer document is a step of its own.
 STEP_BYTES = 1 << 21
@@ -28,6 +28,7 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 
     Rows without a doc_id are no documents and are left out.
     """
+    ship_package(docs.sparkSession)
     return (docs.filter(F.col("doc_id").isNotNull())
             .select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more))
 
@@ -54,12 +55,12 @@ def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES, kind=pa.binary()) -> Iterator[tuple[int, int, list]]:
-    """Consecutive rows whose texts together stay near ``limit`` bytes: first row, end row, texts (null: empty)."""
+def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES, kind=pa.binary(), most: int = 1 << 14) -> Iterator[tuple[int, int, list]]:
+    """At most ``most`` consecutive rows, their texts near ``limit`` together: first row, end row, texts (null: empty)."""
     first, size, out = 0, 0, []
     for i, v in enumerate(batch.column(column).cast(kind)):
         v = v.as_py() or ("" if kind == pa.string() else b"")
-        if out and size + len(v) > limit:
+        if out and (size + len(v) > limit or len(out) == most):
             yield first, i, out
             first, size, out = i, 0, []
         out.append(v)

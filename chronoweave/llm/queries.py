@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import bpe, mixing, rotated, topk, urls, wavelet
+from chronoweave.llm import bpe, language, mixing, ngrams, quality, rotated, topk, urls, wavelet
 from chronoweave.llm.common import documents
 
 #: Files of the public tokenizers; a path, never a copy.
@@ -23,10 +23,22 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_inner_products(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), quality.held_out())
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir), language.held_out())
+
+
 def op6_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.stored(documents(spark, sf_dir), BYTE_BPE, END_ID)
 
 
+def op7_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.similar(documents(spark, sf_dir), 3, 90)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(documents(spark, sf_dir))
 
@@ -39,5 +51,5 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op2_rotated, op3_topk, op6_wavelet, op8_mixing, op9_bpe, op10_urls)}
+QUERIES = {f.__name__: f for f in (op2_rotated, op3_topk, op4_quality, op5_language, op6_wavelet, op7_ngrams, op8_mixing, op9_bpe, op10_urls)}
 ORACLES = {"op2_rotated": rotated.SQL, "op3_topk": topk.SQL, "op8_mixing": mixing.SQL, "op10_urls": urls.SQL}
