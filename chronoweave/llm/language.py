@@ -113,6 +113,33 @@ def model(docs: DataFrame, held_out, sample: int = SAMPLE, centroids: int = CENT
     return idf, [r.lang for r in found], np.array([r.reach for r in found]), centre
 
 
+class Nearest:
+    """The model as its tasks hold it."""
+
+    def __init__(self, idf: np.ndarray, names: list[str], reaches: np.ndarray, centre: np.ndarray):
+        self.idf, self.names, self.reaches, self.centre = idf, names, reaches, centre
+
+    def __call__(self, parts: list[bytes], letters: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages, scores and rejections of texts; letters: whether each has a letter."""
+        if not self.names:
+            return ["und"] * len(parts), np.zeros(len(parts)), np.ones(len(parts), bool)
+        near = vectors(parts, self.idf) @ self.centre.T
+        best = np.argmax(near, axis=1)
+        score = np.clip(near[np.arange(len(parts)), best].astype(np.float64), 0, 1)
+        names = [self.names[b] if k else "und" for b, k in zip(best.tolist(), letters.tolist(), strict=True)]
+        return names, np.where(letters, score, 0.0), ~letters | (1 - score > self.reaches[best])
+
+
+def learned(docs: DataFrame, held_out, sample: int = SAMPLE, centroids: int = CENTROIDS, reach: float = REACH):
+    """The model of ``docs``, sent to the workers: DIM numbers for each centroid."""
+    idf, names, reaches, centre = model(docs, held_out, sample, centroids)
+    return docs.sparkSession.sparkContext.broadcast(Nearest(idf, names, np.maximum(reaches * reach, REACH_LEAST), centre))
+
+
+def _letters():
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+
 def identify(docs: DataFrame, held_out, sample: int = SAMPLE, centroids: int = CENTROIDS, reach: float = REACH) -> DataFrame:
     """doc_id, held_out, lang_pred, score (cosine to the nearest centroid), rejected.
 
@@ -120,27 +147,34 @@ def identify(docs: DataFrame, held_out, sample: int = SAMPLE, centroids: int = C
     Null, empty and letterless texts are ``und`` with score 0 and rejected, and so is everything when there is
     nothing to learn from. Rows without doc_id are left out, repeated rows each have a result.
     """
-    spark = docs.sparkSession
-    idf, names, reaches, centre = model(docs, held_out, sample, centroids)
-    shared = spark.sparkContext.broadcast((idf, names, np.maximum(reaches * reach, REACH_LEAST), centre))
+    shared = learned(docs, held_out, sample, centroids, reach)
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, names, reaches, centre = shared.value
         for batch in batches:
             letters = np.array(batch.column("letters").to_pylist(), bool)
             for first, end, parts in steps(batch, "text", most=TEXTS):
-                ids = batch.column("doc_id").slice(first, end - first)
-                near = vectors(parts, idf) @ centre.T if names else np.zeros((len(parts), 1), np.float32)
-                best = np.argmax(near, axis=1)
-                score = np.clip(near[np.arange(len(parts)), best].astype(np.float64), 0, 1)
-                known = letters[first:end] & bool(names)
-                yield rows(schema, doc_id=ids, lang_pred=[names[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)],
-                           score=np.where(known, score, 0.0), rejected=~known | (1 - score > (reaches[best] if names else 0)))
-
-    found = texts(docs).withColumn("letters", F.col("text").rlike(r"\p{L}")).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+                names, score, rejected = shared.value(parts, letters[first:end])
+                yield rows(schema, doc_id=batch.column("doc_id").slice(first, end - first), lang_pred=names, score=score, rejected=rejected)
+
+    found = texts(docs).withColumn("letters", _letters()).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def accepted(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, reach: float = REACH) -> DataFrame:
+    """The rows whose text is not rejected, with all columns as they are; learned from all rows with a lang."""
+    shared = learned(docs, F.lit(False), sample, centroids, reach)
+
+    @F.pandas_udf("boolean")
+    def near(text, letters):
+        known = np.zeros(len(text), bool)
+        table = pa.RecordBatch.from_arrays([pa.array(text, pa.string())], ["text"])
+        for first, end, parts in steps(table, "text", most=TEXTS):
+            known[first:end] = ~shared.value(parts, letters.to_numpy(bool)[first:end])[2]
+        return text.__class__(known, index=text.index)
+
+    return docs.filter(near(F.col("text"), _letters()))
+
+
 def held_out():
     return crc_mod("doc_id", 5) == 0

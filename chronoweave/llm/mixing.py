@@ -93,14 +93,15 @@ def schedule(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
     """The documents of the mix: every row as often as copies of it are begun, with all its columns, whole.
 
-    Rows that repeat a doc_id are matched in order of size, so equal rows share their copies.
+    Rows that repeat a doc_id and a size share their copies in any order.
     """
     own = schedule(docs, weights, repeats).filter("copies > 0")
-    nth = W.partitionBy("doc_id").orderBy("size")
-    left = docs.withColumn("size", _size(F.col("text"))).withColumn("nth_row", F.row_number().over(nth))
-    right = own.withColumn("nth_row", F.row_number().over(nth)).select(F.col("doc_id").alias("own_id"), F.col("nth_row").alias("own_nth"), F.col("size").alias("own_size"), "copies")
-    met = left.join(right, left["doc_id"].eqNullSafe(right["own_id"]) & (left["nth_row"] == right["own_nth"]) & (left["size"] == right["own_size"]))
-    return met.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[met[c] for c in docs.columns])
+    nth = W.partitionBy("doc_id", "size").orderBy(F.lit(0))
+    left = (docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _size(F.col("text")).alias("size"))
+            .withColumn("nth", F.row_number().over(nth)).alias("a"))
+    right = own.withColumn("nth", F.row_number().over(W.partitionBy("doc_id", "size").orderBy(F.desc("copies")))).select("doc_id", "size", "nth", "copies").alias("b")
+    met = left.join(right, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.size") == F.col("b.size")) & (F.col("a.nth") == F.col("b.nth")))
+    return met.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 SQL = f"""

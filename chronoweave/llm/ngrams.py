@@ -408,7 +408,10 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of ``docs`` that have the smallest doc_id of their component, one row each, with all columns."""
-    first = similar(docs, n, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    once = docs.dropDuplicates(["doc_id"]) if docs.columns else docs
-    return once.join(first, once["doc_id"] == first["_kept"], "left_semi")
+    """The documents that have the smallest doc_id of their component, one row each, with all columns.
+
+    Of rows that repeat a doc_id one stays; rows without doc_id go.
+    """
+    first = similar(docs, n, percent).filter("doc_id = component_id").select("doc_id").distinct()
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id")).dropDuplicates(["doc_id"])
+    return own.join(first, "doc_id", "left_semi").select("row.*")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import bpe, language, mixing, ngrams, quality, rotated, topk, urls, wavelet
+from chronoweave.llm import bpe, language, mixing, ngrams, quality, rotated, suffixes, topk, urls, wavelet
 from chronoweave.llm.common import documents
 
 #: Files of the public tokenizers; a path, never a copy.
@@ -15,6 +15,10 @@ MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 END_ID = 2
 
 
+def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_rotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotated.nearest_by_cosine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
 
@@ -51,5 +55,5 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op2_rotated, op3_topk, op4_quality, op5_language, op6_wavelet, op7_ngrams, op8_mixing, op9_bpe, op10_urls)}
+QUERIES = {f.__name__: f for f in (op1_suffixes, op2_rotated, op3_topk, op4_quality, op5_language, op6_wavelet, op7_ngrams, op8_mixing, op9_bpe, op10_urls)}
 ORACLES = {"op2_rotated": rotated.SQL, "op3_topk": topk.SQL, "op8_mixing": mixing.SQL, "op10_urls": urls.SQL}
