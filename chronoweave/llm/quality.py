@@ -145,7 +145,7 @@ def dual_coordinate_descent(data: list[np.ndarray], values: list[np.ndarray], y:
                 w[-1] += step
                 alpha[i] = new
                 moved = max(moved, abs(step))
-        if moved < 1e-4:
+        if moved < 1e-6:
             break
     return w
 
