@@ -27,12 +27,6 @@ def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colum
     return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
 
 
-def planar_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
-    """Equirectangular distance for thresholds of tens of metres."""
-    dx = (lon2 - lon1) * CIRCLE_M_PER_DEG * F.cos(F.radians((lat1 + lat2) * 0.5))
-    return F.hypot(dx, (lat2 - lat1) * CIRCLE_M_PER_DEG)
-
-
 def vertex(x: Column, y: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"))
 
@@ -42,20 +36,6 @@ def lift(ring: Column, z: Column) -> Column:
     return F.transform(ring, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), z.alias("z")))
 
 
-def drop_z(ring: Column) -> Column:
-    return F.transform(ring, lambda p: vertex(p["x"], p["y"]))
-
-
-def lift_multi(parts: Column, z: Column) -> Column:
-    return F.transform(parts, lambda ring: lift(ring, z))
-
-
-def height_scale(min_lon: Column, max_lon: Column, min_lat: Column, max_lat: Column, floor_deg: float = 1e-9) -> Column:
-    """Vertical extent in metres: half the wider horizontal side, at least one kilometre."""
-    spread = F.greatest(max_lon - min_lon, max_lat - min_lat, F.lit(floor_deg))
-    return F.greatest(spread * (CIRCLE_M_PER_DEG * 0.5), F.lit(1000.0))
-
-
 def height_scale_value(min_lon: float, max_lon: float, min_lat: float, max_lat: float, floor_deg: float = 1e-9) -> float:
     return max(max(max_lon - min_lon, max_lat - min_lat, floor_deg) * CIRCLE_M_PER_DEG * 0.5, 1000.0)
 
@@ -200,17 +180,21 @@ def cell_ring(x0: Column, y0: Column, dx: Column, dy: Column) -> Column:
 
 
 def ellipse(ax: Column, ay: Column, bx: Column, by: Column, string_m: Column, points: int = 64) -> Column:
-    """Locus with foci A and B and the given string length (planar metres); null if too short."""
-    a, c = string_m / 2, F.hypot(bx - ax, by - ay) / 2
-    b = F.sqrt(F.greatest(a * a - c * c, F.lit(0.0)))
-    theta = F.atan2(by - ay, bx - ax)
-    cx, cy = (ax + bx) / 2, (ay + by) / 2
+    """Locus with foci A and B and the given string length (planar metres); null if too short.
+
+    Points around the middle on the unit vector of the axis and its normal, scaled by the half axes.
+    """
+    gap = F.hypot(bx - ax, by - ay)
+    ux = F.when(gap > 0, (bx - ax) / gap).otherwise(F.lit(1.0))
+    uy = F.when(gap > 0, (by - ay) / gap).otherwise(F.lit(0.0))
+    long_ = string_m / 2
+    short = F.sqrt(F.greatest((string_m - gap) * (string_m + gap), F.lit(0.0))) / 2
 
     def at(i: Column) -> Column:
-        u, v = a * F.cos(i * (2 * math.pi / points)), b * F.sin(i * (2 * math.pi / points))
-        return vertex(F.cos(theta) * u - F.sin(theta) * v + cx, F.sin(theta) * u + F.cos(theta) * v + cy)
+        along, across = long_ * F.cos(i * (2 * math.pi / points)), short * F.sin(i * (2 * math.pi / points))
+        return vertex((ax + bx) / 2 + along * ux - across * uy, (ay + by) / 2 + along * uy + across * ux)
 
-    return F.when(a >= c, F.transform(F.sequence(F.lit(0), F.lit(points - 1)), at))
+    return F.when(string_m >= gap, F.transform(F.sequence(F.lit(0), F.lit(points - 1)), at))
 
 
 def capsule(ax: Column, ay: Column, bx: Column, by: Column, radius: float, per_quadrant: int = 8) -> Column:
@@ -228,18 +212,6 @@ def capsule(ax: Column, ay: Column, bx: Column, by: Column, radius: float, per_q
     return F.concat(arc(bx, by, -math.pi / 2), arc(ax, ay, math.pi / 2))
 
 
-def _next_vertex(ring: Column, i: Column) -> Column:
-    return F.element_at(ring, (i % F.size(ring) + 1).cast("int"))
-
-
-def ring_area(ring: Column) -> Column:
-    """Signed shoelace area (positive counter-clockwise)."""
-    return F.aggregate(
-        F.transform(ring, lambda p, i: p["x"] * _next_vertex(ring, i + 1)["y"] - _next_vertex(ring, i + 1)["x"] * p["y"]),
-        F.lit(0.0), lambda acc, v: acc + v,
-    ) / 2
-
-
 def ring_bounds(ring: Column) -> Column:
     """``struct<x0,y0,x1,y1>``."""
     xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
@@ -266,55 +238,48 @@ def extent_area_km2(west: Column, south: Column, east: Column, north: Column) ->
     return dx * F.greatest(F.lit(0.0), (north - south) * EXTENT_KM_PER_DEG)
 
 
-def padded_extent(min_lon: Column, max_lon: Column, min_lat: Column, max_lat: Column,
-                  max_kmh: float, cutoff_s: Column, safety: float = 1.2) -> Column:
-    """Bounding box grown by the farthest reach at top speed."""
-    reach = F.greatest(F.lit(0.0), cutoff_s) * (max_kmh / 3.6 * safety)
-    cos = F.greatest(F.lit(0.1), F.abs(F.cos(F.radians((min_lat + max_lat) / 2))))
-    dlat, dlon = reach / CIRCLE_M_PER_DEG, reach / (cos * CIRCLE_M_PER_DEG)
-    return F.struct((min_lon - dlon).alias("west"), (min_lat - dlat).alias("south"),
-                    (max_lon + dlon).alias("east"), (max_lat + dlat).alias("north"))
+def _around(lon: Column, lat: Column, half_lon: Column, half_lat: Column) -> Column:
+    return F.struct((lon - half_lon).alias("west"), (lat - half_lat).alias("south"), (lon + half_lon).alias("east"), (lat + half_lat).alias("north"))
 
 
-def ellipse_extent(a_lon: Column, a_lat: Column, b_lon: Column, b_lat: Column,
-                   budget_s: Column, max_kmh: float, safety: float = 1.15) -> Column:
-    """Axis-aligned box around everything reachable between two anchors within the budget."""
-    mid_lat, mid_lon = (a_lat + b_lat) / 2, (a_lon + b_lon) / 2
-    cos = F.greatest(F.lit(0.1), F.abs(F.cos(F.radians(mid_lat))))
-    dx, dy = (b_lon - a_lon) * GRID_M_PER_DEG * cos, (b_lat - a_lat) * GRID_M_PER_DEG
-    c = F.hypot(dx, dy) / 2
-    a = F.greatest(budget_s * (max_kmh / 3.6 / 2), c + 1.0)
-    b = F.sqrt(F.greatest(a * a - c * c, F.lit(0.0)))
-    theta = F.atan2(dy, dx)
-    hx = F.hypot(a * F.cos(theta), b * F.sin(theta)) * safety / (cos * GRID_M_PER_DEG)
-    hy = F.hypot(a * F.sin(theta), b * F.cos(theta)) * safety / GRID_M_PER_DEG
-    return F.struct((mid_lon - hx).alias("west"), (mid_lat - hy).alias("south"),
-                    (mid_lon + hx).alias("east"), (mid_lat + hy).alias("north"))
+def _shrink(lat: Column) -> Column:
+    """Length of a degree of longitude as a share of one of latitude, never below a tenth."""
+    return F.greatest(F.lit(0.1), F.abs(F.cos(F.radians(lat))))
 
 
-def corridor_extent(a_lon: Column, a_lat: Column, b_lon: Column, b_lat: Column, target_km2: float) -> Column:
-    """Box around both anchors with one margin on every side, solved so its area is the target."""
-    west, east = F.least(a_lon, b_lon), F.greatest(a_lon, b_lon)
-    south, north = F.least(a_lat, b_lat), F.greatest(a_lat, b_lat)
-    cos = F.greatest(F.lit(0.1), F.abs(F.cos(F.radians((south + north) / 2))))
-    w, h = (east - west) * EXTENT_KM_PER_DEG * cos, (north - south) * EXTENT_KM_PER_DEG
-    margin = F.greatest(F.lit(0.0), (F.sqrt(F.pow(w - h, 2) + 4 * target_km2) - (w + h)) / 4)
-    dlon, dlat = margin / (cos * EXTENT_KM_PER_DEG), margin / EXTENT_KM_PER_DEG
-    return F.struct((west - dlon).alias("west"), (south - dlat).alias("south"),
-                    (east + dlon).alias("east"), (north + dlat).alias("north"))
+def padded_extent(min_lon: Column, max_lon: Column, min_lat: Column, max_lat: Column,
+                  max_kmh: float, cutoff_s: Column, safety: float = 1.2) -> Column:
+    """A box and the farthest reach at top speed on every side."""
+    lat = (min_lat + max_lat) / 2
+    reach = F.greatest(F.lit(0.0), cutoff_s) * (max_kmh / 3.6 * safety) / CIRCLE_M_PER_DEG
+    return _around((min_lon + max_lon) / 2, lat, (max_lon - min_lon) / 2 + reach / _shrink(lat), (max_lat - min_lat) / 2 + reach)
 
 
-def boxes_intersect(a: Column, b: Column) -> Column:
-    return (a["west"] < b["east"]) & (b["west"] < a["east"]) & (a["south"] < b["north"]) & (b["south"] < a["north"])
+def ellipse_extent(a_lon: Column, a_lat: Column, b_lon: Column, b_lat: Column,
+                   budget_s: Column, max_kmh: float, safety: float = 1.15) -> Column:
+    """Axis-aligned box around everything reachable between two anchors within the budget.
 
+    With foci 2 * (cx, cy) apart and half axes a and b, an ellipse reaches ``hypot(b, cx)`` to the east and
+    ``hypot(b, cy)`` to the north of its middle, however it is turned.
+    """
+    lat = (a_lat + b_lat) / 2
+    metres_lon = GRID_M_PER_DEG * _shrink(lat)
+    cx, cy = (b_lon - a_lon) / 2 * metres_lon, (b_lat - a_lat) / 2 * GRID_M_PER_DEG
+    focal = F.hypot(cx, cy)
+    half = F.greatest(budget_s * (max_kmh / 3.6 / 2), focal + 1.0)
+    b = F.sqrt((half - focal) * (half + focal))
+    return _around((a_lon + b_lon) / 2, lat, F.hypot(b, cx) * safety / metres_lon, F.hypot(b, cy) * safety / GRID_M_PER_DEG)
 
-def box_overlap(a: Column, b: Column) -> Column:
-    """Common box, null when disjoint."""
-    return F.when(boxes_intersect(a, b), F.struct(
-        F.greatest(a["west"], b["west"]).alias("west"), F.greatest(a["south"], b["south"]).alias("south"),
-        F.least(a["east"], b["east"]).alias("east"), F.least(a["north"], b["north"]).alias("north")))
 
+def corridor_extent(a_lon: Column, a_lat: Column, b_lon: Column, b_lat: Column, target_km2: float) -> Column:
+    """Box around both anchors, as much wider as higher than their own, of the target area; their own box if that is larger.
 
-def box_contains(outer: Column, inner: Column, tol: float = 1e-6) -> Column:
-    return ((outer["west"] <= inner["west"] + tol) & (outer["south"] <= inner["south"] + tol)
-            & (outer["east"] >= inner["east"] - tol) & (outer["north"] >= inner["north"] - tol))
+    Half sides x and y with ``x - y`` given and ``4 * x * y`` the target: half the difference d and the root of
+    ``d * d`` plus a quarter of the target give both.
+    """
+    lat = (a_lat + b_lat) / 2
+    km_lon = EXTENT_KM_PER_DEG * _shrink(lat)
+    w, h = F.abs(b_lon - a_lon) / 2 * km_lon, F.abs(b_lat - a_lat) / 2 * EXTENT_KM_PER_DEG
+    d = (w - h) / 2
+    root = F.sqrt(d * d + target_km2 / 4)
+    return _around((a_lon + b_lon) / 2, lat, F.greatest(w, root + d) / km_lon, F.greatest(h, root - d) / EXTENT_KM_PER_DEG)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.functions.geo import GRID_M_PER_DEG, vertex
@@ -19,25 +19,42 @@ TARGET_CELLS = 20_000
 SAMPLE_STEP_M = {6: 7000.0, 7: 2600.0, 8: 1000.0, 9: 370.0, 10: 140.0, 11: 53.0}
 
 
-def cell_area_km2(resolution: int) -> float:
+# Resolution and reference latitude may be numbers, or columns where each row has its own.
+Number = float | Column
+
+
+def cell_area_km2(resolution: Number) -> Number:
+    if isinstance(resolution, Column):
+        return F.lit(36.129) / F.pow(F.lit(7.0), resolution - 6)
     return 36.129 / 7 ** (resolution - 6)
 
 
-def edge_length_m(resolution: int) -> float:
-    return math.sqrt(2 * cell_area_km2(resolution) * 1e6 / (3 * math.sqrt(3)))
+def edge_length_m(resolution: Number) -> Number:
+    squared = cell_area_km2(resolution) * (2 * 1e6 / (3 * math.sqrt(3)))
+    return F.sqrt(squared) if isinstance(resolution, Column) else math.sqrt(2 * cell_area_km2(resolution) * 1e6 / (3 * math.sqrt(3)))
+
+
+def sample_step_m(resolution: Number) -> Number:
+    if not isinstance(resolution, Column):
+        return SAMPLE_STEP_M[resolution]
+    return F.element_at(F.create_map(*[F.lit(x) for kv in SAMPLE_STEP_M.items() for x in kv]), resolution.cast("int"))
 
 
-def auto_resolution(box_km2: float) -> int:
+def auto_resolution(box_km2: Column) -> Column:
     """Finest resolution from 10 down to 6 whose expected cell count stays near the target."""
-    fine = [r for r in (10, 9, 8, 7) if 0.4 * box_km2 / cell_area_km2(r) <= TARGET_CELLS]
-    return fine[0] if fine else 6
+    out = F.lit(6)
+    for r in (7, 8, 9, 10):
+        out = F.when(0.4 * box_km2 / cell_area_km2(r) <= TARGET_CELLS, F.lit(r)).otherwise(out)
+    return out
 
 
-def _scales(lat0: float) -> tuple[float, float]:
+def _scales(lat0: Number) -> tuple[Number, float]:
+    if isinstance(lat0, Column):
+        return F.cos(F.radians(lat0)) * GRID_M_PER_DEG, GRID_M_PER_DEG
     return GRID_M_PER_DEG * math.cos(math.radians(lat0)), GRID_M_PER_DEG
 
 
-def to_hex(lon: Column, lat: Column, resolution: int, lat0: float) -> Column:
+def to_hex(lon: Column, lat: Column, resolution: Number, lat0: Number) -> Column:
     """``struct<hex_q,hex_r>`` of the bin containing a position."""
     sx, sy = _scales(lat0)
     e = edge_length_m(resolution)
@@ -53,35 +70,32 @@ def to_hex(lon: Column, lat: Column, resolution: int, lat0: float) -> Column:
                     F.when(fix_r, -rq - rs).otherwise(rr).cast("long").alias("hex_r"))
 
 
-def hex_center(q: Column, r: Column, resolution: int, lat0: float) -> Column:
+def hex_center(q: Column, r: Column, resolution: Number, lat0: Number) -> Column:
     sx, sy = _scales(lat0)
     e = edge_length_m(resolution)
     return vertex((q + r / 2) * (e * math.sqrt(3)) / sx, r * (1.5 * e) / sy)
 
 
-def hex_ring(q: Column, r: Column, resolution: int, lat0: float) -> Column:
+def hex_ring(q: Column, r: Column, resolution: Number, lat0: Number) -> Column:
     sx, sy = _scales(lat0)
     e = edge_length_m(resolution)
     c = hex_center(q, r, resolution, lat0)
-    corners = [(e * math.cos(math.radians(60 * k - 30)) / sx, e * math.sin(math.radians(60 * k - 30)) / sy) for k in range(6)]
+    corners = [((e * math.cos(math.radians(60 * k - 30))) / sx, (e * math.sin(math.radians(60 * k - 30))) / sy) for k in range(6)]
     return F.array(*[vertex(c["x"] + dx, c["y"] + dy) for dx, dy in corners])
 
 
-def hexes_in_box(lon: Column, lat: Column, radius_m: Column, resolution: int, lat0: float) -> Column:
-    """All bins whose centre may lie within the radius, as an array to explode."""
-    _, sy = _scales(lat0)
-    sx, e = _scales(lat0)[0], edge_length_m(resolution)
+def with_hexes(df: DataFrame, lon: Column, lat: Column, radius_m: Column, resolution: Number, lat0: Number) -> DataFrame:
+    """Each row once for every bin whose centre may lie within the radius: ``hex_q, hex_r`` are added.
+
+    Rows of bins are listed first and the bins of a row after that, so no value holds a whole disc.
+    """
+    sx, sy = _scales(lat0)
+    e = edge_length_m(resolution)
     # the reach in degrees of longitude follows the point's own latitude, with a little slack
-    y = lat * sy
-    wide = radius_m * F.greatest(F.lit(1.0), F.lit(sx) / (F.cos(F.radians(lat)) * GRID_M_PER_DEG)) * 1.05 + e
-    tall = radius_m * 1.05 + e
-    rows = F.sequence(F.ceil((y - tall) / (1.5 * e)), F.floor((y + tall) / (1.5 * e)))
-    x = lon * sx
-
-    def row_cells(r: Column) -> Column:
-        first = F.ceil((x - wide) / (e * math.sqrt(3)) - r / 2)
-        last = F.floor((x + wide) / (e * math.sqrt(3)) - r / 2)
-        return F.transform(F.sequence(first, F.greatest(first, last)),
-                           lambda q: F.struct(q.alias("hex_q"), r.alias("hex_r")))
-
-    return F.flatten(F.transform(rows, row_cells))
+    widen = F.greatest(F.lit(1.0), (sx if isinstance(sx, Column) else F.lit(sx)) / (F.cos(F.radians(lat)) * GRID_M_PER_DEG))
+    wide, tall = radius_m * widen * 1.05 + e, radius_m * 1.05 + e
+    x, y = lon * sx, lat * sy
+    out = df.withColumn("hex_r", F.explode(F.sequence(F.ceil((y - tall) / (e * 1.5)), F.floor((y + tall) / (e * 1.5)))))
+    first = F.ceil((x - wide) / (e * math.sqrt(3)) - F.col("hex_r") / 2)
+    last = F.floor((x + wide) / (e * math.sqrt(3)) - F.col("hex_r") / 2)
+    return out.withColumn("hex_q", F.explode(F.sequence(first, F.greatest(first, last))))

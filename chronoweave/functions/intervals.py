@@ -1,8 +1,9 @@
 """Travel time along one road edge, and the parts of the edge inside a time budget.
 
-A position on an edge is a fraction s in [0, 1]. Travel time is the lower envelope of a few
-straight lines ``m*s + b`` valid on [lo, hi]: one from each end already reached and, on the
-edge an anchor was snapped to, two from the snap point. Unreached ends are null.
+A position on an edge is a fraction s in [0, 1]. An edge is entered at a few places: at an end that was
+reached, after the delay of getting there, and on the edge an anchor was snapped to at the anchor's own foot
+without delay. From an entry at p with delay d, position s is reached after ``d + cost * |s - p|``; the
+travel time is the least over all entries. Unreached ends are null.
 """
 
 from __future__ import annotations
@@ -12,43 +13,25 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions.bind import bind
 
-_LINE = "struct<m:double,b:double,lo:double,hi:double>"
+_ENTRY = "struct<at:double,delay:double>"
 _SPAN = "struct<a:double,b:double>"
 EPS = 1e-9
+SLACK_S = 1e-6
 
 
-def _line(m: Column, b: Column, lo: Column, hi: Column) -> Column:
-    return F.struct(m.cast("double").alias("m"), b.cast("double").alias("b"),
-                    lo.cast("double").alias("lo"), hi.cast("double").alias("hi"))
+def entries(du: Column, dv: Column, snapped: Column, fraction: Column) -> Column:
+    """Where an edge is entered: ``array<struct<at, delay>>``."""
+    def entry(at: Column, delay: Column) -> Column:
+        return F.struct(at.cast("double").alias("at"), delay.cast("double").alias("delay"))
 
+    options = F.array(F.when(du.isNotNull(), entry(F.lit(0.0), du)), F.when(dv.isNotNull(), entry(F.lit(1.0), dv)),
+                      F.when(snapped, entry(fraction, F.lit(0.0)))).cast(f"array<{_ENTRY}>")
+    return F.filter(options, lambda e: e.isNotNull())
 
-def travel_lines(du: Column, dv: Column, cost: Column, snapped: Column, fraction: Column) -> Column:
-    zero, one = F.lit(0.0), F.lit(1.0)
-    options = F.array(
-        F.when(du.isNotNull(), _line(cost, du, zero, one)),
-        F.when(dv.isNotNull(), _line(-cost, dv + cost, zero, one)),
-        F.when(snapped, _line(-cost, cost * fraction, zero, fraction)),
-        F.when(snapped, _line(cost, -cost * fraction, fraction, one)),
-    ).cast(f"array<{_LINE}>")
-    return F.filter(options, lambda l: l.isNotNull())
 
-
-def travel_time(s: Column, lines: Column) -> Column:
-    """Envelope value at s; null where nothing reaches."""
-    return F.array_min(F.transform(
-        F.filter(lines, lambda l: (s >= l["lo"] - EPS) & (s <= l["hi"] + EPS)),
-        lambda l: l["m"] * s + l["b"],
-    ))
-
-
-def _breakpoints(lines: Column) -> Column:
-    """Line ends and pairwise crossings."""
-    ends = F.flatten(F.transform(lines, lambda l: F.array(l["lo"], l["hi"])))
-    crossings = F.flatten(F.transform(lines, lambda p: F.transform(
-        F.filter(lines, lambda q: (F.abs(p["m"] - q["m"]) >= 1e-12)),
-        lambda q: (q["b"] - p["b"]) / (p["m"] - q["m"]),
-    )))
-    return F.concat(ends, crossings)
+def travel_time(s: Column, ways: Column, cost: Column) -> Column:
+    """Least time to position s; null where nothing enters the edge."""
+    return F.array_min(F.transform(ways, lambda e: e["delay"] + cost * F.abs(s - e["at"])))
 
 
 def merge_spans(spans: Column, eps: float = EPS) -> Column:
@@ -68,52 +51,49 @@ def merge_spans(spans: Column, eps: float = EPS) -> Column:
         ))
 
 
-def _clamp(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+def _within(middle: Column, half: Column) -> Column:
+    """The part of [0, 1] that lies ``half`` around a place; null if there is none."""
+    a, b = F.greatest(F.lit(0.0), middle - half), F.least(F.lit(1.0), middle + half)
+    return F.when((half >= 0) & (b - a >= EPS), F.struct(a.alias("a"), b.alias("b"))).cast(_SPAN)
 
 
-def _span(a: Column, b: Column) -> Column:
-    return F.struct(a.alias("a"), b.alias("b"))
+def _kept(spans: Column) -> Column:
+    return merge_spans(F.filter(spans, lambda s: s.isNotNull()))
 
 
 def reachable_spans(du: Column, dv: Column, cost: Column, cutoff: Column, snapped: Column, fraction: Column) -> Column:
-    """Parts of an edge one origin reaches within the cutoff."""
-    options = F.array(
-        F.when(du <= cutoff, _span(F.lit(0.0), _clamp((cutoff - du) / cost))),
-        F.when(dv <= cutoff, _span(_clamp(1 - (cutoff - dv) / cost), F.lit(1.0))),
-        F.when(snapped, _span(_clamp(fraction - cutoff / cost), _clamp(fraction + cutoff / cost))),
-    ).cast(f"array<{_SPAN}>")
-    return merge_spans(F.filter(options, lambda s: s.isNotNull() & (s["b"] > s["a"] + EPS) & (cost > 0)))
-
-
-def span_times(a: Column, b: Column, lines: Column) -> Column:
-    """Least, middle and greatest travel time over a span."""
-    inside = F.filter(_breakpoints(lines), lambda s: (s >= a) & (s <= b))
-    samples = F.transform(F.concat(F.array(a, b, (a + b) / 2), inside), lambda s: travel_time(s, lines))
-    return F.struct(F.array_min(samples).alias("travel_min"), travel_time((a + b) / 2, lines).alias("travel_mid"),
-                    F.array_max(samples).alias("travel_max"))
-
-
-def with_feasible_spans(df: DataFrame, lines_a: Column, lines_b: Column, budget: Column, out: str = "spans") -> DataFrame:
-    """Add the parts of an edge where time from A plus time to B stays within the budget (exact)."""
-    df = bind(df, {"_la": lines_a, "_lb": lines_b, "_k": budget})
-    la, lb, k = F.col("_la"), F.col("_lb"), F.col("_k")
-    raw = F.concat(F.array(F.lit(0.0), F.lit(1.0)), _breakpoints(la), _breakpoints(lb))
-    df = bind(df, {"_s": F.array_sort(F.array_distinct(F.filter(raw, lambda s: (s >= 0) & (s <= 1))))})
-    df = bind(df, {"_g": F.transform("_s", lambda s: F.struct(s.alias("s"), (travel_time(s, la) + travel_time(s, lb)).alias("g")))})
-    n = F.size("_g")
-    pieces = F.zip_with(F.slice("_g", F.lit(1), n - 1), F.slice("_g", F.lit(2), n), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
-
-    def keep(piece: Column) -> Column:
-        p, q = piece["p"], piece["q"]
-        in_p, in_q = p["g"] <= k + 1e-6, q["g"] <= k + 1e-6
-        rise = q["g"] - p["g"]
-        share = F.when(F.abs(rise) < 1e-12, F.lit(0.5)).otherwise(_clamp((k - p["g"]) / rise))
-        cross = p["s"] + share * (q["s"] - p["s"])
-        return F.when(in_p & in_q, _span(p["s"], q["s"])).when(in_p, _span(p["s"], cross)) \
-            .when(in_q, _span(cross, q["s"]))
-
-    df = bind(df, {"_p": F.filter(F.transform(pieces, keep), lambda s: s.isNotNull() & (s["b"] - s["a"] >= EPS))})
-    both_reached = (F.size(la) > 0) & (F.size(lb) > 0)
-    spans = F.when(both_reached, merge_spans(F.col("_p"))).otherwise(F.array().cast(f"array<{_SPAN}>"))
-    return bind(df, {out: spans}).drop("_la", "_lb", "_k", "_s", "_g", "_p")
+    """Parts of an edge one origin reaches within the cutoff: what is left after the delay, around each entry."""
+    ways = entries(du, dv, snapped, fraction)
+    return F.when(cost > 0, _kept(F.transform(ways, lambda e: _within(e["at"], (cutoff - e["delay"]) / cost)))) \
+        .otherwise(F.array().cast(f"array<{_SPAN}>"))
+
+
+def span_times(a: Column, b: Column, ways: Column, cost: Column) -> Column:
+    """Least, middle and greatest travel time over a span.
+
+    The least is at the place of the span nearest to some entry; the greatest at an end of the span or
+    where the ways from two entries meet.
+    """
+    nearest = F.transform(ways, lambda e: travel_time(F.greatest(a, F.least(b, e["at"])), ways, cost))
+    meet = F.flatten(F.transform(ways, lambda p: F.transform(
+        ways, lambda q: (p["at"] + q["at"]) / 2 + (q["delay"] - p["delay"]) / (2 * cost))))
+    peaks = F.concat(F.array(a, b), F.filter(meet, lambda s: (s > a) & (s < b)))
+    return F.struct(F.array_min(nearest).alias("travel_min"), travel_time((a + b) / 2, ways, cost).alias("travel_mid"),
+                    F.array_max(F.transform(peaks, lambda s: travel_time(s, ways, cost))).alias("travel_max"))
+
+
+def with_feasible_spans(df: DataFrame, ways_a: Column, ways_b: Column, cost: Column, budget: Column, out: str = "spans") -> DataFrame:
+    """Add the parts of an edge where time from A plus time to B stays within the budget.
+
+    Entering at p and leaving at q leaves ``budget - delays`` for ``|s - p| + |s - q|``: the places around the
+    middle of p and q, as far as half of that; the answer is the union over all pairs of entries.
+    """
+    df = bind(df, {"_wa": ways_a, "_wb": ways_b, "_k": budget, "_c": cost})
+    c, k = F.col("_c"), F.col("_k") + SLACK_S
+
+    def place(p: Column, q: Column) -> Column:
+        room = (k - p["delay"] - q["delay"]) / c
+        return F.when(room >= F.abs(p["at"] - q["at"]), _within((p["at"] + q["at"]) / 2, room / 2))
+
+    spans = F.flatten(F.transform("_wa", lambda p: F.transform("_wb", lambda q: place(p, q))))
+    return bind(df, {out: _kept(spans)}).drop("_wa", "_wb", "_k", "_c")

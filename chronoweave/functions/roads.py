@@ -24,21 +24,23 @@ CYCLING = {
 WALKING = {"steps": 2.5}  # every other class walks at the default
 
 # Classes a mode may not use.
-NOT_BUILT_YET = ("construction", "proposed")
 EXCLUDED = {
     "driving": ("footway", "cycleway", "path", "steps", "bridleway", "pedestrian", "corridor", "elevator",
-                "platform") + NOT_BUILT_YET,
-    "walking": ("motorway", "motorway_link", "trunk", "trunk_link") + NOT_BUILT_YET,
-    "cycling": ("motorway", "motorway_link", "trunk", "trunk_link", "steps") + NOT_BUILT_YET,
+                "platform", "construction", "proposed"),
+    "walking": ("motorway", "motorway_link", "trunk", "trunk_link", "construction", "proposed"),
+    "cycling": ("motorway", "motorway_link", "trunk", "trunk_link", "steps", "construction", "proposed"),
 }
 
-# Classes dropped from a drawn result, largest area (km2) analysed per mode, and
-# through-road classes kept when a vehicle network is landed.
-_LOCAL_ROADS = ("residential", "living_street", "service", "track", "unclassified")
-_CONNECTORS = ("service", "track", "steps", "corridor", "platform")
-MINOR = {"driving": _LOCAL_ROADS, "transit": _LOCAL_ROADS, "custom": _LOCAL_ROADS,
-         "walking": _CONNECTORS, "cycling": _CONNECTORS}
-AREA_CAP_KM2 = {"walking": 1_500.0, "cycling": 4_000.0, "transit": 15_000.0, "driving": 25_000.0}
+# Minor classes that may be left out of a drawn result.
+MINOR = {
+    "driving": ("residential", "living_street", "service", "track", "unclassified"),
+    "transit": ("residential", "living_street", "service", "track", "unclassified"),
+    "custom": ("residential", "living_street", "service", "track", "unclassified"),
+    "walking": ("service", "track", "steps", "corridor", "platform"),
+    "cycling": ("service", "track", "steps", "corridor", "platform"),
+}
+
+# Through-road classes kept when a vehicle network is landed.
 LANDED_CLASSES = {
     "driving": ("motorway", "motorway_link", "trunk", "trunk_link", "primary", "primary_link", "secondary",
                 "secondary_link", "tertiary", "tertiary_link", "unclassified"),

@@ -78,14 +78,6 @@ def with_epoch_ms(df: DataFrame, time_col: str, on_bad: str = "drop") -> DataFra
     return out.filter(F.col("t_ms").isNotNull()) if on_bad == "drop" else out
 
 
-def first_time_column(df: DataFrame, preferred: str | None = None) -> str:
-    """The time column to use: the named one, else the usual spellings."""
-    for name in [preferred, "_timestamp", "timestamp", "time"]:
-        if name and name in df.columns:
-            return name
-    raise ValueError("no time column found")
-
-
 def clock_hour(c: Column) -> Column:
     """Hour of day exactly as written in the text."""
     return F.regexp_extract(c, r"[ T](\d{1,2}):", 1).try_cast("int")

@@ -186,15 +186,9 @@ def features_in_area(df: DataFrame, area: DataFrame, feature_id: str, coords: st
     return df.join(touching.distinct(), feature_id, "left_semi")
 
 
-def clip_report(before: int, after: int) -> list[str]:
-    if before == after:
-        return []
-    return [f"Research area clip: kept {after} of {before} features ({before - after} outside the area)."]
-
-
-def preclip_roads(roads: DataFrame, area: DataFrame | None, hot_rows: int | None = None) -> DataFrame:
-    """Whole roads touching the area; the full network when none does."""
+def preclip_roads(roads: DataFrame, area: DataFrame | None, hot_rows: int | None = None, keep_all_if_none: bool = False) -> DataFrame:
+    """Whole roads touching the area; ``keep_all_if_none`` gives the full network when none does."""
     if area is None:
         return roads
     kept = features_in_area(roads, area, "source_id", hot_rows=hot_rows)
-    return roads if kept.isEmpty() else kept
+    return roads if keep_all_if_none and kept.isEmpty() else kept

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from chronoweave.functions.geo import GRID_M_PER_DEG, cell_ring, height_scale_value
 from chronoweave.operators.quantiles import exact_quantiles
 
-# Cell caps for automatic and requested cells, slice cap.
-AUTO_CELLS, REQUESTED_CELLS, MAX_SLICES = 2_500, 62_500, 240
+# Fixed value: cells of an automatic grid, by which its cell size is chosen.
+AUTO_CELLS = 2_500
 
 
 @dataclass(frozen=True)
@@ -28,6 +28,8 @@ class Extent:
     max_lat: float
     mean_lon: float
     mean_lat: float
+    var_lon: float = 0.0
+    var_lat: float = 0.0
     t_min: int | None = None
     t_max: int | None = None
 
@@ -35,7 +37,7 @@ class Extent:
 def extent(df: DataFrame) -> Extent:
     aggs = [F.count(F.lit(1)).alias("n"), F.min("lon").alias("min_lon"), F.max("lon").alias("max_lon"),
             F.min("lat").alias("min_lat"), F.max("lat").alias("max_lat"),
-            F.avg("lon").alias("mean_lon"), F.avg("lat").alias("mean_lat")]
+            F.avg("lon").alias("mean_lon"), F.avg("lat").alias("mean_lat"), F.var_pop("lon").alias("var_lon"), F.var_pop("lat").alias("var_lat")]
     if "t_ms" in df.columns:
         aggs += [F.min("t_ms").alias("t_min"), F.max("t_ms").alias("t_max")]
     row = df.agg(*aggs).first()
@@ -48,7 +50,8 @@ def spatial_bandwidth(df: DataFrame, ext: Extent | None = None) -> float:
     """0.9 * min(SD, median distance / 0.6745) * n^(-1/6), distances to the mean centre in degrees."""
     ext = ext or extent(df)
     d2 = F.pow(F.col("lon") - ext.mean_lon, 2) + F.pow(F.col("lat") - ext.mean_lat, 2)
-    sd = math.sqrt(df.agg(F.avg(d2)).first()[0] or 0.0)
+    # the mean squared distance to the mean is the sum of both variances, which the extent has
+    sd = math.sqrt((ext.var_lon or 0.0) + (ext.var_lat or 0.0))
     median = exact_quantiles(df, F.sqrt(d2), [0.5])[0]
     if sd == 0 and median == 0:
         return 0.0
@@ -103,7 +106,8 @@ class Grid:
 
 def grid_spec(ext: Extent, pad: float, cell_m: float | None = None, cell_deg: float | None = None,
               cap: int | None = None) -> Grid:
-    """Cells square on the ground over the padded extent, coarsened when over the cell cap."""
+    """Cells square on the ground over the padded extent. A cell that was asked for is kept, unless a cap is
+    asked for too; the automatic cell is a fiftieth of the shorter side, wider where that makes too many."""
     pad = pad if pad > 0 else 1e-9
     x_min, y_min = ext.min_lon - pad, ext.min_lat - pad
     dx, dy = ext.max_lon + pad - x_min, ext.max_lat + pad - y_min
@@ -113,8 +117,8 @@ def grid_spec(ext: Extent, pad: float, cell_m: float | None = None, cell_deg: fl
     cos = max(math.cos(math.radians((y_min + (ext.max_lat + pad)) / 2)), 0.01)
     cell_x, cell_y = cell / cos, cell
     cols, rows = math.ceil(dx / cell_x), math.ceil(dy / cell_y)
-    limit = cap or (REQUESTED_CELLS if wanted else AUTO_CELLS)
-    if cols * rows > limit:
+    limit = cap or (None if wanted else AUTO_CELLS)
+    if limit and cols * rows > limit:
         scale = math.sqrt(limit / (cols * rows))
         cols, rows = max(1, int(cols * scale)), max(1, int(rows * scale))
         cell_x, cell_y = dx / cols, dy / rows
@@ -133,6 +137,7 @@ class Slices:
 
     edges: list[float]
     warnings: list[str] = field(default_factory=list)
+    step: float | None = None  # of evenly spaced edges, each at the first one plus its number of steps
 
     @property
     def n(self) -> int:
@@ -142,7 +147,14 @@ class Slices:
         return [(a + b) / 2 for a, b in zip(self.edges, self.edges[1:])]
 
     def index(self, t: Column) -> Column:
-        """Right-open bins, the last one closed: a balanced comparison tree over the edges."""
+        """Right-open bins, the last one closed: by arithmetic on even edges, else a balanced comparison tree."""
+        if self.step:
+            def edge(i: Column) -> Column:
+                return i * F.lit(self.step) + F.lit(self.edges[0])
+
+            guess = F.floor((t - self.edges[0]) / self.step)
+            exact = F.when(t < edge(guess), guess - 1).when(t >= edge(guess + 1), guess + 1).otherwise(guess)
+            return F.greatest(F.lit(0), F.least(F.lit(self.n - 1), exact)).cast("int")
 
         def pick(lo: int, hi: int) -> Column:
             if lo == hi:
@@ -155,19 +167,18 @@ class Slices:
     def height(self, t: Column, total: float) -> Column:
         """Every slice is one slab of equal height; linear inside a slice."""
         i = self.index(t)
+        if self.step:
+            share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (t - (i * F.lit(self.step) + F.lit(self.edges[0]))) / self.step))
+            return (i + share) * (total / self.n)
         lo = F.element_at(F.array(*[F.lit(e) for e in self.edges[:-1]]), i + 1)
         hi = F.element_at(F.array(*[F.lit(e) for e in self.edges[1:]]), i + 1)
         share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (t - lo) / (hi - lo)))
         return (i + share) * (total / self.n)
 
 
-def anchor_seconds(anchor_ms: float | None, t_min_ms: int) -> float | None:
-    return None if anchor_ms is None else (anchor_ms - t_min_ms) / 1000.0
-
-
 def time_slices(df: DataFrame, t: Column, method: str, n: int, duration_s: float | None = None,
-                anchor_s: float | None = None, span: tuple[float, float] | None = None) -> Slices:
-    """Slice edges by ``equal_interval``, ``equal_count`` or ``fixed_duration``."""
+                anchor_s: float | None = None, span: tuple[float, float] | None = None, max_slices: int | None = None) -> Slices:
+    """Slice edges by ``equal_interval``, ``equal_count`` or ``fixed_duration``; ``max_slices`` widens the last kind."""
     if span is None:
         row = df.agg(F.min(t), F.max(t)).first()
         span = float(row[0]), float(row[1])
@@ -189,10 +200,10 @@ def time_slices(df: DataFrame, t: Column, method: str, n: int, duration_s: float
         origin = lo if anchor_s is None else anchor_s
         start = origin + math.floor((lo - origin) / duration_s) * duration_s
         steps, notes = max(1, math.ceil((hi - start) / duration_s)), []
-        if steps > MAX_SLICES:
-            wide = (hi - start) / MAX_SLICES
+        if max_slices and steps > max_slices:
+            wide = (hi - start) / max_slices
             notes.append(f"{steps} slices of {duration_s / 3600:g}h; widened to {wide / 3600:.2f}h")
-            steps, duration_s = MAX_SLICES, wide
-        return Slices([start + duration_s * i for i in range(steps + 1)], notes)
+            steps, duration_s = max_slices, wide
+        return Slices([start + duration_s * i for i in range(steps + 1)], notes, duration_s)
     step = (hi - lo) / n
-    return Slices([lo + step * i for i in range(n)] + [hi])
+    return Slices([lo + step * i for i in range(n)] + [hi], [], step)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweave.functions.geo import project_on_segment, with_lonlat, with_utm
-from chronoweave.functions.intervals import reachable_spans, span_times, travel_lines, with_feasible_spans
+from chronoweave.functions.intervals import entries, reachable_spans, span_times, with_feasible_spans
 from chronoweave.functions.roads import (
     MINOR, ModeProfile, clamp_factor, class_speed_table, edge_kmh, maxspeed_kmh)
 from chronoweave.operators.sequence import Timeline
@@ -224,8 +224,8 @@ def origin_ppa(origins: DataFrame, edges: DataFrame, zone: int, south: bool = Fa
     f = F.coalesce("fraction", F.lit(0.0))
     spans = full.withColumns({
         "_spans": reachable_spans(F.col("du"), F.col("dv"), F.col("cost_sec"), F.col("cutoff"), on_own, f),
-        "_lines": travel_lines(F.col("du"), F.col("dv"), F.col("cost_sec"), on_own, f)})
-    pieces = spans.select("*", F.inline("_spans")).withColumn("_t", span_times(F.col("a"), F.col("b"), F.col("_lines")))
+        "_ways": entries(F.col("du"), F.col("dv"), on_own, f)})
+    pieces = spans.select("*", F.inline("_spans")).withColumn("_t", span_times(F.col("a"), F.col("b"), F.col("_ways"), F.col("cost_sec")))
     budget = F.col("budget_sec")
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     out = pieces.select(
@@ -332,9 +332,9 @@ def network_prism(pairs: DataFrame, edges: DataFrame, zone: int, south: bool = F
         mark = snapped.groupBy("pair_id").pivot("role", ["A", "B"]).agg(
             F.first("edge_id").alias("edge"), F.first("fraction").alias("fraction"))
         full = full.join(mark, "pair_id")
-        lines = {r: travel_lines(F.col(f"u{r.lower()}"), F.col(f"v{r.lower()}"), F.col("cost_sec"),
-                                 F.col(f"{r}_edge") == F.col("edge_id"), F.col(f"{r}_fraction")) for r in "AB"}
-        full = with_feasible_spans(full, lines["A"], lines["B"], F.col("travel_k")).drop("A_edge", "A_fraction", "B_edge", "B_fraction")
+        ways = {r: entries(F.col(f"u{r.lower()}"), F.col(f"v{r.lower()}"), F.col(f"{r}_edge") == F.col("edge_id"), F.col(f"{r}_fraction"))
+                for r in "AB"}
+        full = with_feasible_spans(full, ways["A"], ways["B"], F.col("cost_sec"), F.col("travel_k")).drop("A_edge", "A_fraction", "B_edge", "B_fraction")
     roads = _two_cone(full, zone, south)
     return {"roads": roads, "status": status}
 
@@ -392,15 +392,10 @@ def uniform_subsample(df: DataFrame, keys: list[str], order: str, tie: str, n: i
 def speed_factor(traj: DataFrame, edges: DataFrame, profile: ModeProfile, zone: int, south: bool = False,
                  hot_rows: int | None = None) -> DataFrame:
     """Per user: median of observed over expected road speed, clamped; null below eight samples."""
-    # At most 300 pairs, gaps of 1..600 s, 0.7 km/h up to 1.5 times the mode's top speed, 100 m to a road.
-    ranked = Timeline(traj, ["user_id"], "t_ms", "point_id", hot_rows).running(_i=F.lit(1)).result()
-    totals = traj.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
-    rows = lookup_join(ranked, totals, ["user_id"], hot_rows=hot_rows).filter("_n >= 9")
-    stride = F.greatest(F.lit(1), F.floor((F.col("_n") - 1) / 300))
-    picked = rows.filter((F.col("_i") - 1) % stride == 0)
-    picked = with_utm(picked.select("user_id", "t_ms", "point_id", "lon", "lat"), [("lon", "lat", "mx", "my")], zone, south)
-    w = Window.partitionBy("user_id").orderBy("t_ms", "point_id")  # at most ~600 picked rows per user
-    pair = picked.withColumns({f"n_{c}": F.lead(c).over(w) for c in ("t_ms", "mx", "my")}).filter("n_t_ms is not null")
+    # Gaps of 1..600 s, 0.7 km/h up to 1.5 times the mode's top speed, 100 m to a road.
+    placed = with_utm(traj.select("user_id", "t_ms", "point_id", "lon", "lat"), [("lon", "lat", "mx", "my")], zone, south)
+    line = Timeline(placed, ["user_id"], "t_ms", "point_id", hot_rows)
+    pair = line.neighbours(following={f"n_{c}": F.col(c) for c in ("t_ms", "mx", "my")}).result().filter("n_t_ms is not null")
     dt = (F.col("n_t_ms") - F.col("t_ms")) / 1000
     seen = F.hypot(F.col("n_mx") - F.col("mx"), F.col("n_my") - F.col("my")) / dt * 3.6
     moving = pair.filter(dt.between(1.0, 600.0)).withColumn("observed", seen) \

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.functions.geo import CIRCLE_M_PER_DEG, cell_ring, circle, haversine_m
-from chronoweave.functions.hexgrid import hex_center, hex_ring, hexes_in_box
+from chronoweave.functions.hexgrid import hex_center, hex_ring, with_hexes
 from chronoweave.functions.roads import preset_kmh
 from chronoweave.operators.grid import extent
 from chronoweave.operators.sequence import Timeline
@@ -116,7 +116,7 @@ class PastaGrid:
                          F.lit(self.cell_deg), F.lit(self.cell_deg))
 
 
-def pasta_grid(points: DataFrame, windows: DataFrame, cell_m: float = 250.0, cap: int | None = 12_000) -> PastaGrid:
+def pasta_grid(points: DataFrame, windows: DataFrame, cell_m: float = 250.0, cap: int | None = None) -> PastaGrid:
     """Grid over all activity places plus the farthest reach; coarser when over the cap (None: no cap)."""
     ext = extent(points)
     top = windows.agg(F.max("budget_s"), F.max("speed_ms")).first()
@@ -219,7 +219,7 @@ def anchor_rows(windows: DataFrame, origin_ms: int, z_per_ms: float) -> DataFram
 
 def activity_pasta(df: DataFrame, *, end_col: str | None = None, fixed=None, flexible=None, speed_kmh: float = 5.0,
                    default_mode: str = "walking", min_dwell_min: float = 10.0, bin_min: float = 5.0,
-                   cell_m: float = 250.0, cap: int | None = 12_000, max_voxels: int | None = None,
+                   cell_m: float = 250.0, cap: int | None = None, max_voxels: int | None = None,
                    hot_rows: int | None = None) -> dict:
     """The whole schedule surface: ``surface, voxels, anchor_windows, windows`` and the grid."""
     episodes = activity_episodes(df, end_col=end_col, fixed=fixed, flexible=flexible, default_mode=default_mode, hot_rows=hot_rows)
@@ -250,11 +250,10 @@ def circle_features(circles: DataFrame, steps: int = 32) -> DataFrame:
 
 def point_hexes(circles: DataFrame, speed_ms: float, resolution: int, lat0: float) -> DataFrame:
     """One row per fix and hexagon it could stay in, with the stay length."""
-    near = spread(circles).withColumn("_h", F.explode(hexes_in_box(F.col("lon"), F.col("lat"), F.col("radius_m"), resolution, lat0)))
-    c = hex_center(F.col("_h.hex_q"), F.col("_h.hex_r"), resolution, lat0)
+    near = with_hexes(spread(circles), F.col("lon"), F.col("lat"), F.col("radius_m"), resolution, lat0)
+    c = hex_center(F.col("hex_q"), F.col("hex_r"), resolution, lat0)
     away = haversine_m(F.col("lon"), F.col("lat"), c["x"], c["y"])
-    return near.select("*", F.col("_h.hex_q").alias("hex_q"), F.col("_h.hex_r").alias("hex_r"),
-                       (F.col("budget_s") - 2 * away / speed_ms).alias("dwell_s")).drop("_h").filter("dwell_s > 0")
+    return near.withColumn("dwell_s", F.col("budget_s") - 2 * away / speed_ms).filter("dwell_s > 0")
 
 
 def hex_dwell(pairs: DataFrame, resolution: int, lat0: float, keys: list[str] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.functions.geo import CIRCLE_M_PER_DEG, GRID_M_PER_DEG, haversine_m, height_scale_value
-from chronoweave.functions.hexgrid import SAMPLE_STEP_M, cell_area_km2, hex_center, hex_ring, hexes_in_box, to_hex
+from chronoweave.functions.hexgrid import Number, cell_area_km2, hex_center, hex_ring, sample_step_m, to_hex, with_hexes
 from chronoweave.functions.lens import circle_overlap
 from chronoweave.operators.network import relax
 from chronoweave.operators.sequence import Timeline
@@ -76,7 +76,7 @@ def euclid_slices(pairs: DataFrame, speed_ms: float, n: int = 15, steps: int = 4
         *s.columns, F.col("_o.ring").alias("ring"), (F.col("_o.area") * CIRCLE_M_PER_DEG**2).alias("area_m2"))
 
 
-def ppa_cells(pairs: DataFrame, speed_ms: float, n: int, keys: list[str], resolution: int, lat0: float) -> DataFrame:
+def ppa_cells(pairs: DataFrame, speed_ms: float, n: int, keys: list[str], resolution: int, lat0: Number) -> DataFrame:
     """Distinct hexagons whose centre any slice covers: the potential path area as cells.
 
     A centre at distances d1, d2 from the anchors is covered by the slices from ``d1 n / (v T)`` to
@@ -84,9 +84,8 @@ def ppa_cells(pairs: DataFrame, speed_ms: float, n: int, keys: list[str], resolu
     """
     trips = spread(pairs.filter("feasible")).withColumns({
         "_mx": (F.col("a_lon") + F.col("b_lon")) / 2, "_my": (F.col("a_lat") + F.col("b_lat")) / 2, "_r": F.col("dt_s") * (speed_ms / 2)})
-    cells = trips.select(*keys, "a_lon", "a_lat", "b_lon", "b_lat", "dt_s",
-                         F.explode(hexes_in_box(F.col("_mx"), F.col("_my"), F.col("_r"), resolution, lat0)).alias("_h"))
-    c = hex_center(F.col("_h.hex_q"), F.col("_h.hex_r"), resolution, lat0)
+    cells = with_hexes(trips, F.col("_mx"), F.col("_my"), F.col("_r"), resolution, lat0)
+    c = hex_center(F.col("hex_q"), F.col("hex_r"), resolution, lat0)
 
     def away(lon: Column, lat: Column) -> Column:
         return F.hypot((c["x"] - lon) * F.cos(F.radians(lat)), c["y"] - lat) * CIRCLE_M_PER_DEG
@@ -94,7 +93,7 @@ def ppa_cells(pairs: DataFrame, speed_ms: float, n: int, keys: list[str], resolu
     per_slice = F.col("dt_s") * (speed_ms / n)
     first = F.greatest(F.lit(1), F.ceil(away(F.col("a_lon"), F.col("a_lat")) / per_slice))
     last = F.least(F.lit(n - 1), F.floor(n - away(F.col("b_lon"), F.col("b_lat")) / per_slice))
-    return cells.filter(first <= last).select(*keys, F.col("_h.hex_q").alias("hex_q"), F.col("_h.hex_r").alias("hex_r")).distinct()
+    return cells.filter(first <= last).select(*keys, "hex_q", "hex_r").distinct()
 
 
 def ppa_area(cells: DataFrame, keys: list[str], resolution: int) -> DataFrame:
@@ -278,16 +277,24 @@ def prism_at(roads: DataFrame, t: float) -> DataFrame:
         .filter((F.col("fwd_norm") <= t) & (F.col("bwd_norm") <= 1 - t))
 
 
-def dwell_surface(roads: DataFrame, resolution: int, lat0: float, keys: list[str] | None = None) -> DataFrame:
-    """Longest possible stay and edge count per hexagon, from samples along each reachable edge."""
+def dwell_surface(roads: DataFrame, resolution: Number, lat0: Number, keys: list[str] | None = None) -> DataFrame:
+    """Longest possible stay and edge count per hexagon, from samples along the whole of each reachable edge.
+
+    With columns for resolution and latitude each key has its own hexagons; they must agree within a key.
+    """
     keys = keys or ["pair_id"]
-    cos = max(0.1, abs(math.cos(math.radians(lat0))))
-    length = F.hypot((F.col("lon1") - F.col("lon0")) * (GRID_M_PER_DEG * cos), (F.col("lat1") - F.col("lat0")) * GRID_M_PER_DEG)
-    k = F.greatest(F.lit(2), F.least(F.lit(12), F.ceil(length / SAMPLE_STEP_M[resolution]) + 1)).cast("int")
-    bins = F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda s: to_hex(
-        F.col("lon0") + (F.col("lon1") - F.col("lon0")) * s / (F.col("_k") - 1),
-        F.col("lat0") + (F.col("lat1") - F.col("lat0")) * s / (F.col("_k") - 1), resolution, lat0))
-    cells = roads.withColumn("_k", k).select(*keys, "activity_sec_max", F.explode(F.array_distinct(bins)).alias("_h"))
+    placed = roads.withColumns({"_res": resolution if isinstance(resolution, Column) else F.lit(resolution),
+                                "_lat0": lat0 if isinstance(lat0, Column) else F.lit(float(lat0))})
+    res, ref = (F.col("_res") if isinstance(resolution, Column) else resolution), (F.col("_lat0") if isinstance(lat0, Column) else lat0)
+    cos = F.greatest(F.lit(0.1), F.abs(F.cos(F.radians("_lat0"))))
+    length = F.hypot((F.col("lon1") - F.col("lon0")) * GRID_M_PER_DEG * cos, (F.col("lat1") - F.col("lat0")) * GRID_M_PER_DEG)
+    k = F.greatest(F.lit(2), F.ceil(length / sample_step_m(res)) + 1).cast("int")
+    # one value a sample: as many as the leg's length holds
+    bins = F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda i: to_hex(
+        F.col("lon0") + (F.col("lon1") - F.col("lon0")) * i / (F.col("_k") - 1),
+        F.col("lat0") + (F.col("lat1") - F.col("lat0")) * i / (F.col("_k") - 1), res, ref))
+    cells = placed.withColumn("_k", k).select(*keys, "activity_sec_max", "_res", "_lat0", F.explode(F.array_distinct(bins)).alias("_h"))
     out = cells.groupBy(*keys, F.col("_h.hex_q").alias("hex_q"), F.col("_h.hex_r").alias("hex_r")).agg(
-        (F.max("activity_sec_max") / 60).alias("dwell_minutes"), F.count(F.lit(1)).alias("edge_count"))
-    return out.withColumn("ring", hex_ring(F.col("hex_q"), F.col("hex_r"), resolution, lat0))
+        (F.max("activity_sec_max") / 60).alias("dwell_minutes"), F.count(F.lit(1)).alias("edge_count"),
+        F.first("_res").alias("_res"), F.first("_lat0").alias("_lat0"))
+    return out.withColumn("ring", hex_ring(F.col("hex_q"), F.col("hex_r"), res, ref)).drop("_res", "_lat0")

@@ -13,11 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoweave.operators.skew import hot_keys
+from chronoweave.operators.skew import broadcast_if_small, hot_keys
 from chronoweave.session import cut_lineage
 
-_MAX_LEVELS = 6
-
 
 class Timeline:
     def __init__(self, df: DataFrame, keys: list[str], time: str, tie: str, hot_rows: int | None = None):
@@ -29,33 +27,36 @@ class Timeline:
 
     def _cut(self, df: DataFrame, hot_rows: int | None) -> tuple[DataFrame, bool]:
         """Number the blocks. Level by level, every group still above the row budget is divided
-        evenly by time, or by tie-breaker when all its rows share one instant."""
+        evenly by time, or by tie-breaker when all its rows share one instant, until none is left
+        that can be divided. Each level leaves a fraction of a group's range, so levels end."""
         hot, budget = hot_keys(df, self.keys, hot_rows)
         if hot is None:
             return df, False
         out, group = df, list(self.keys)
-        for level in range(_MAX_LEVELS):
-            name = f"_b{level}"
-            wide = (out.groupBy(*group)
-                    .agg(F.count(F.lit(1)).alias("_n"),
-                         F.min(self.time).alias("_t0"), F.max(self.time).alias("_t1"),
-                         F.min(self.tie).alias("_i0"), F.max(self.tie).alias("_i1"))
-                    .filter(F.col("_n") > budget).filter((F.col("_t0") < F.col("_t1")) | (F.col("_i0") < F.col("_i1"))))
-            rows = wide.collect()  # few: every group here holds more rows than the budget
-            if not rows:
+        while True:
+            name = f"_b{len(group) - len(self.keys)}"
+            # one row for each group with more rows than the budget
+            wide = cut_lineage(out.groupBy(*group)
+                               .agg(F.count(F.lit(1)).alias("_n"),
+                                    F.min(self.time).alias("_t0"), F.max(self.time).alias("_t1"),
+                                    F.min(self.tie).alias("_i0"), F.max(self.tie).alias("_i1"))
+                               .filter(F.col("_n") > budget).filter((F.col("_t0") < F.col("_t1")) | (F.col("_i0") < F.col("_i1"))))
+            if wide.isEmpty():
                 break
-            plan = F.broadcast(df.sparkSession.createDataFrame(rows, wide.schema))
             parts = F.ceil(F.col("_n") / budget) * 2
             by_time = F.col("_t0") < F.col("_t1")
-            pos = F.when(by_time, (F.col(self.time) - F.col("_t0")) / (F.col("_t1") - F.col("_t0") + 1)) \
-                .otherwise((F.col(self.tie) - F.col("_i0")) / (F.col("_i1") - F.col("_i0") + 1))
-            block = F.coalesce(F.floor(pos * parts), F.lit(0)).cast("int")
-            out = out.join(plan, group, "left").withColumn(name, block).drop("_n", "_t0", "_t1", "_i0", "_i1")
+
+            def share(column: str, low: str, high: str) -> Column:
+                return (F.col(column) - F.col(low)) / (F.col(high) - F.col(low))
+
+            pos = F.when(by_time, share(self.time, "_t0", "_t1")).otherwise(share(self.tie, "_i0", "_i1"))
+            block = F.coalesce(F.least(parts - 1, F.floor(pos * parts)), F.lit(0)).cast("int")
+            out = out.join(broadcast_if_small(wide), group, "left").withColumn(name, block).drop("_n", "_t0", "_t1", "_i0", "_i1")
             group = [*group, name]
         self.blocks = group[len(self.keys):]
         if not self.blocks:  # hot, yet every row shares one instant and one tie-breaker
             return df, False
-        self.hot_keys = F.broadcast(hot.select(*self.keys))
+        self.hot_keys = broadcast_if_small(hot.select(*self.keys))
         return out, True
 
     @property
@@ -72,7 +73,7 @@ class Timeline:
                 .groupBy(*self.group).agg(*[a.alias(n) for n, a in aggs.items()]))
 
     def _carry(self, df: DataFrame, edges: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(edges), self.group, "left")
+        return df.join(broadcast_if_small(edges), self.group, "left")
 
     # ------------------------------------------------------------------ operators
 
@@ -137,7 +138,7 @@ class Timeline:
         if self.split:
             low = (self.df.join(self.hot_keys, self.keys, "left_semi").groupBy(*self.keys)
                    .agg(*[F.min(e).alias(f"_m_{n}") for n, e in values.items()]))
-            out = out.join(F.broadcast(low), self.keys, "left")
+            out = out.join(broadcast_if_small(low), self.keys, "left")
             out = out.withColumns({n: F.coalesce(F.col(f"_m_{n}"), F.col(n)) for n in values}) \
                 .drop(*[f"_m_{n}" for n in values])
         return self._with(out)

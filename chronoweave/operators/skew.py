@@ -5,34 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot above max(HOT_ROWS, total / HOT_SHARE) rows, so there are never more than
-# HOT_SHARE hot keys: that is the proven bound under which their list is broadcast.
+from chronoweave.session import cut_lineage
+
+# A key is hot above this many rows, whatever the table's size: what one task takes.
 HOT_ROWS = 1_000_000
-HOT_SHARE = 10_000
+# Rows of fixed width below which a table is broadcast.
 BROADCAST_ROWS = 200_000
 
 
-def row_budget(total: int, hot_rows: int | None = None) -> int:
-    return max(hot_rows if hot_rows is not None else HOT_ROWS, total // HOT_SHARE, 1)
-
-
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> tuple[DataFrame | None, int]:
-    """Keys with more rows than one task should take, with the number of parts each needs.
+    """Keys with more rows than one task should take, as a written table with the number of parts each needs.
 
-    The counts are combined on the map side and written to the driver only for hot keys, of
-    which there are at most ``HOT_SHARE``.
+    Counts are combined before the shuffle. The table has at most ``rows / budget`` rows; nothing is collected.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    limit = hot_rows if hot_rows is not None else HOT_ROWS
-    # one aggregation job; the total decides whether the limit has to rise
-    rows = counts.agg(F.sum("_n").alias("total"), F.max("_n").alias("top")).first()
-    total, top = rows["total"] or 0, rows["top"] or 0
-    budget = row_budget(total, limit)
-    if top <= budget:
-        return None, budget
-    hot = counts.filter(F.col("_n") > budget).withColumn("_parts", F.ceil(F.col("_n") / budget).cast("int")).drop("_n")
-    spark = df.sparkSession
-    return spark.createDataFrame(hot.collect(), hot.schema), budget
+    budget = max(hot_rows if hot_rows is not None else HOT_ROWS, 1)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > budget)
+    hot = cut_lineage(counts.select(*keys, F.ceil(F.col("_n") / budget).cast("int").alias("_parts")))
+    return (None, budget) if hot.isEmpty() else (hot, budget)
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
@@ -45,8 +34,10 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "i
     hot, _ = hot_keys(big, keys, hot_rows)
     if hot is None:
         return big.join(small, keys, how)
-    hot = F.broadcast(hot)
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns if c not in keys] or [F.lit(0)]), F.col("_parts"))
+    hot = broadcast_if_small(hot)
+    others = [F.col(c) for c in big.columns if c not in keys]
+    # rows that have nothing but their key are told apart by their place in the task
+    spread = F.pmod(F.xxhash64(*others) if others else F.monotonically_increasing_id(), F.col("_parts"))
     left = big.join(hot, keys, "left").withColumn("_part", F.coalesce(spread, F.lit(0)).cast("int")).drop("_parts")
     right = (small.join(hot, keys, "left")
              .withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)))

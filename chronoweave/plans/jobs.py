@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.functions.geo import GRID_M_PER_DEG, height_scale_value, lift, utm_zone_value, with_utm
+from chronoweave.functions.geo import GRID_M_PER_DEG, height_scale_value, lift, utm_zone, with_utm
 from chronoweave.functions.hexgrid import auto_resolution
 from chronoweave.functions.roads import mode_profile, mode_speed_kmh, resolve_speed_factor
 from chronoweave.operators import corridor as corridors
@@ -18,10 +18,34 @@ from chronoweave.operators.area import preclip_roads
 from chronoweave.operators.fold import anchor_fixes, static_clusters, thin_circles
 from chronoweave.operators.grid import extent
 from chronoweave.operators.skew import lookup_join
-from chronoweave.session import cut_lineage
+from chronoweave.operators.sequence import Timeline, union_all
+from chronoweave.session import cut_lineage, ship_package
 
 Outputs = dict[str, DataFrame]
 
+# A zone's roads: those that start within this many degrees of its middle.
+ZONE_REACH_DEG = 9.0
+
+
+def by_zone(rows: DataFrame, lon: Column, roads: DataFrame, run) -> Outputs:
+    """Run an analysis for each UTM zone that rows lie in, with the roads near the zone, and put the results together.
+
+    A row's answer then depends on no other row. There are sixty zones; each is an analysis of its own.
+    """
+    tagged = rows.withColumn("_zone", utm_zone(lon))
+    zones = sorted(r[0] for r in tagged.select("_zone").filter("_zone is not null").distinct().collect())  # sixty at most
+    parts = []
+    for zone in zones or [31]:
+        middle = zone * 6 - 183
+        away = F.pmod(F.col("coords")[0]["x"] - middle + 180, F.lit(360.0)) - 180
+        parts.append(run(tagged.filter(F.col("_zone") == zone).drop("_zone"), roads.filter(F.abs(away) <= ZONE_REACH_DEG), zone))
+    return {k: union_all([p[k] for p in parts]) for k in parts[0]}
+
+
+def middle_lat(a: str = "a_lat", b: str = "b_lat") -> Column:
+    """Reference latitude of a pair's own hexagons."""
+    return F.round((F.col(a) + F.col(b)) / 2)
+
 
 def trajectory(df: DataFrame, *, align: bool = False, flat: bool = False, stays: bool = False, stay_field: str | None = None,
                dist_m: float = 100.0, window_ms: int = 300_000, hot_rows: int | None = None) -> Outputs:
@@ -62,6 +86,7 @@ def space_time_cube(df: DataFrame, *, ground: bool = False, **options) -> Output
 def path_prism(df: DataFrame, *, mode: str = "walking", custom_kmh: float | None = None, n: int = 10, resolution: int = 9,
                hot_rows: int | None = None) -> Outputs:
     """Prism slices between the meaningful fixes of every user's path."""
+    ship_package(df.sparkSession)
     speed = mode_speed_kmh(mode, custom_kmh) / 3.6
     ext = extent(df)
     pairs = prism.with_trip(prism.path_pairs(anchor_fixes(df), hot_rows), speed)
@@ -69,22 +94,25 @@ def path_prism(df: DataFrame, *, mode: str = "walking", custom_kmh: float | None
     span = float(ext.t_max - ext.t_min or 1)
     slices = prism.euclid_slices(pairs, speed, n, steps=32).withColumn("time_progress", (F.col("timestamp_ms") - ext.t_min) / span)
     slices = slices.withColumns({"z": F.col("time_progress") * height, "height_m": F.col("dt_s") / n * (height / (span / 1000))})
-    cells = prism.ppa_cells(pairs, speed, n, ["user_id"], resolution, round(ext.mean_lat))
+    # every user has hexagons of their own
+    refs = pairs.groupBy("user_id").agg(F.round(F.avg("a_lat")).alias("_lat0"))
+    cells = prism.ppa_cells(lookup_join(pairs, refs, ["user_id"], hot_rows=hot_rows), speed, n, ["user_id"], resolution, F.col("_lat0"))
     path = df.withColumn("time_progress", (F.col("t_ms") - ext.t_min) / span).withColumn("height_m", F.col("time_progress") * height)
     return {"slices": slices, "trajectory": path, "anchors": path, "ppa_cells": cells,
             "ppa": prism.ppa_area(cells, ["user_id"], resolution), "counts": prism.feasibility_counts(pairs)}
 
 
 def two_anchor_prism(pairs: DataFrame, *, mode: str = "walking", custom_kmh: float | None = None, n: int = 15, resolution: int = 9,
-                     duration_min: float = 0.0, path: DataFrame | None = None) -> Outputs:
-    """Euclidean prism of anchor pairs; infeasible pairs are counted, not drawn."""
+                     duration_min: float = 0.0, path: DataFrame | None = None, lat0: float | None = None) -> Outputs:
+    """Euclidean prism of anchor pairs; infeasible pairs are counted, not drawn. Each pair's hexagons follow its own
+    latitude unless ``lat0`` gives one for all."""
+    ship_package(pairs.sparkSession)
     speed = mode_speed_kmh(mode, custom_kmh) / 3.6
     named = prism.anchor_heights(prism.normalise_anchors(pairs, duration_min), extent(path) if path is not None else None)
     trips = prism.with_trip(named, speed)
     slices = prism.euclid_slices(trips, speed, n)
     slices = slices.withColumn("z", F.col("z_start") + F.col("time_progress") * F.greatest(F.col("z_end") - F.col("z_start"), F.lit(1.0)))
-    lat0 = round(pairs.agg(F.avg("a_lat")).first()[0] or 0.0)
-    cells = prism.ppa_cells(trips, speed, n, ["pair_id"], resolution, lat0)
+    cells = prism.ppa_cells(trips, speed, n, ["pair_id"], resolution, middle_lat() if lat0 is None else lat0)
     return {"slices": slices, "anchors": prism.prism_anchors(named), "ppa_cells": cells,
             "ppa": prism.ppa_area(cells, ["pair_id"], resolution), "counts": prism.feasibility_counts(trips)}
 
@@ -101,13 +129,21 @@ def grid_prism(pairs: DataFrame, blocked, *, mode: str = "walking", custom_kmh:
 def road_prism(pairs: DataFrame, roads: DataFrame, *, mode: str = "walking", custom_kmh: float | None = None,
                budget_min: float | None = None, min_activity_min: float = 5.0, zone: int | None = None, south: bool = False,
                area: DataFrame | None = None, adjustment: str = "off", manual_factor: float | None = None,
-               traj: DataFrame | None = None, drop_minor: bool = True, max_segments: int | None = None,
-               sheets: int = 12, resolution: int | None = None, exact: bool = False, hot_rows: int | None = None) -> Outputs:
-    """Two-anchor road prism of many pairs with its dwell surface, time sheets and anchors."""
+               traj: DataFrame | None = None, drop_minor: bool = False, max_segments: int | None = None,
+               sheets: int = 12, resolution: int | None = None, lat0: float | None = None, exact: bool = False,
+               hot_rows: int | None = None) -> Outputs:
+    """Two-anchor road prism of many pairs with its dwell surface, time sheets and anchors.
+
+    Zone, hexagon size and reference latitude follow each pair unless they are given. Nothing is left out
+    unless ``drop_minor`` or ``max_segments`` asks for it, which then holds for ``ppa_roads`` and ``sheets``.
+    """
+    if zone is None:
+        def run(own: DataFrame, near: DataFrame, z: int) -> Outputs:
+            return road_prism(own, near, mode=mode, custom_kmh=custom_kmh, budget_min=budget_min, min_activity_min=min_activity_min,
+                              zone=z, area=area, adjustment=adjustment, manual_factor=manual_factor, traj=traj, drop_minor=drop_minor,
+                              max_segments=max_segments, sheets=sheets, resolution=resolution, lat0=lat0, exact=exact, hot_rows=hot_rows)
+        return by_zone(pairs, (F.col("a_lon") + F.col("b_lon")) / 2, roads, run)
     profile = mode_profile(mode, custom_kmh)
-    where = pairs.agg(F.avg("a_lon").alias("lon"), F.avg("a_lat").alias("lat")).first()
-    zone = zone or utm_zone_value(where["lon"])
-    lat0 = round(where["lat"])
     named = prism.anchor_heights(pairs)
     edges = cut_lineage(net.build_edges(preclip_roads(roads, area, hot_rows), profile, zone, south))
     budget = F.lit(budget_min * 60.0) if budget_min is not None else (F.col("b_ms") - F.col("a_ms")) / 1000
@@ -123,32 +159,40 @@ def road_prism(pairs: DataFrame, roads: DataFrame, *, mode: str = "walking", cus
     full = cut_lineage(res["roads"])
     drawn = net.drop_minor(full, mode) if drop_minor else full
     if max_segments is not None:
-        drawn = net.uniform_subsample(drawn, ["pair_id"], "edge_id", "edge_id", max(1000, max_segments), hot_rows)
-    if resolution is None:
-        box = full.agg(F.min(F.least("lon0", "lon1")), F.max(F.greatest("lon0", "lon1")), F.min(F.least("lat0", "lat1")),
-                       F.max(F.greatest("lat0", "lat1")), F.cos(F.radians(F.lit(float(lat0))))).first()
+        drawn = net.uniform_subsample(drawn, ["pair_id"], "edge_id", "edge_id", max_segments, hot_rows)
+    own = full
+    if resolution is None or lat0 is None:
+        refs = pairs.select("pair_id", middle_lat().alias("_ref"))
+        box = full.groupBy("pair_id").agg(F.min(F.least("lon0", "lon1")).alias("_w"), F.max(F.greatest("lon0", "lon1")).alias("_e"),
+                                          F.min(F.least("lat0", "lat1")).alias("_s"), F.max(F.greatest("lat0", "lat1")).alias("_n"))
         km = GRID_M_PER_DEG / 1000
-        resolution = 9 if box[0] is None else auto_resolution(max((box[1] - box[0]) * km * max(0.1, abs(box[4])) * (box[3] - box[2]) * km, 1e-6))
-    sheet_rows = prism.prism_sheets(drawn, sheets)
-    return {"ppa_roads": drawn, "status": res["status"], "dwell_surface": prism.dwell_surface(full, resolution, lat0),
-            "sheets": sheet_rows, "anchors": prism.prism_anchors(named)}
+        shrink = F.greatest(F.lit(0.1), F.abs(F.cos(F.radians("_ref"))))
+        km2 = F.greatest(F.lit(1e-6), (F.col("_e") - F.col("_w")) * km * shrink * (F.col("_n") - F.col("_s")) * km)
+        own = lookup_join(full, box.join(refs, "pair_id").select("pair_id", "_ref", auto_resolution(km2).alias("_fine")), ["pair_id"], hot_rows=hot_rows)
+    surface = prism.dwell_surface(own, F.col("_fine") if resolution is None else resolution, F.col("_ref") if lat0 is None else lat0)
+    return {"ppa_roads": drawn, "status": res["status"], "dwell_surface": surface,
+            "sheets": prism.prism_sheets(drawn, sheets), "anchors": prism.prism_anchors(named)}
 
 
 def origin_areas(pairs: DataFrame, traj: DataFrame, roads: DataFrame, *, mode: str = "walking", custom_kmh: float | None = None,
-                 budget_min: float | None = None, min_activity_min: float = 5.0, max_origins: int = 60, cluster_m: float = 50.0,
-                 max_segments: int = 300, zone: int | None = None, south: bool = False, hot_rows: int | None = None) -> Outputs:
-    """Reachable roads around every sampled fix between a pair's anchors.
+                 budget_min: float | None = None, min_activity_min: float = 5.0, max_origins: int | None = None, cluster_m: float = 50.0,
+                 max_segments: int | None = None, zone: int | None = None, south: bool = False, hot_rows: int | None = None) -> Outputs:
+    """Reachable roads around every fix between a pair's anchors.
 
-    ``pairs`` carries ``user_id``; fixes within the anchors' window (2 % margin, 15 s at least) are
-    evenly sampled and merged where the person stood still.
+    ``pairs`` carries ``user_id``; fixes within the anchors' window (2 % margin, 15 s at least) are merged where the
+    person stood still. ``max_origins`` samples them evenly and ``max_segments`` keeps the best pieces of each.
     """
+    if zone is None:
+        def run(own: DataFrame, near: DataFrame, z: int) -> Outputs:
+            return origin_areas(own, traj, near, mode=mode, custom_kmh=custom_kmh, budget_min=budget_min, min_activity_min=min_activity_min,
+                                max_origins=max_origins, cluster_m=cluster_m, max_segments=max_segments, zone=z, hot_rows=hot_rows)
+        return by_zone(pairs, (F.col("a_lon") + F.col("b_lon")) / 2, roads, run)
+    ship_package(pairs.sparkSession)
     profile = mode_profile(mode, custom_kmh)
-    where = pairs.agg(F.avg("a_lon").alias("lon"), F.max(F.col("b_ms") - F.col("a_ms")).alias("longest")).first()
-    zone = zone or utm_zone_value(where["lon"])
     min_act = max(0.0, min_activity_min * 60.0)
-    sampled = origin_fixes(pairs, traj, max_origins, int(where["longest"] or 1), hot_rows)
+    sampled = origin_fixes(pairs, traj, max_origins, hot_rows)
     origins = cut_lineage(static_clusters(sampled, "pair_id", cluster_m))
-    budgets = auto_budget(origins, min_act) if budget_min is None else None
+    budgets = auto_budget(origins, min_act, hot_rows=hot_rows) if budget_min is None else None
     keyed = with_utm(origins.withColumn("origin_id", F.struct("pair_id", "cluster")), [("lon", "lat", "x", "y")], zone, south)
     if budgets is not None:
         keyed = lookup_join(keyed, budgets, ["pair_id"], hot_rows=hot_rows)
@@ -161,43 +205,42 @@ def origin_areas(pairs: DataFrame, traj: DataFrame, roads: DataFrame, *, mode: s
     pieces, snapped = net.origin_ppa(keyed.select("origin_id", "x", "y", "budget_sec", "min_activity_sec"), edges, zone, south,
                                      profile.max_snap_m, hot_rows)
     pieces = cut_lineage(pieces)
-    summary = net.origin_summary(keyed, pieces, snapped, max_segments)
-    return {"ppa_roads": net.top_segments(pieces, max_segments), "origins": keyed.select("origin_id", "pair_id", "lon", "lat", "z", "t_ms", "size")
+    summary = net.origin_summary(keyed, pieces, snapped, max_segments or 0)
+    return {"ppa_roads": net.top_segments(pieces, max_segments or 0), "origins": keyed.select("origin_id", "pair_id", "lon", "lat", "z", "t_ms", "size")
             .join(summary, "origin_id"), "anchors": prism.prism_anchors(pairs)}
 
 
-def origin_fixes(pairs: DataFrame, traj: DataFrame, max_origins: int, longest_ms: int, hot_rows: int | None = None) -> DataFrame:
-    """Fixes between each pair's anchors, at most ``max_origins`` evenly spaced ones per pair.
+def origin_fixes(pairs: DataFrame, traj: DataFrame, max_origins: int | None = None, hot_rows: int | None = None) -> DataFrame:
+    """Fixes between each pair's anchors; with ``max_origins`` evenly spaced ones, at most so many a pair.
 
-    Windows are listed in the time buckets they touch (at most three), so a person's fixes meet
-    only the windows near them.
+    A window is listed in the two buckets at most that it touches among buckets as wide as its own length, rounded
+    up to a power of two; a fix is listed once for each width in use, of which a long has sixty-three.
     """
-    width = max(int(longest_ms * 1.1) + 30_000, 1)
-    dt = F.col("b_ms") - F.col("a_ms")
-    margin = F.greatest((dt * 0.02).cast("long"), F.lit(15_000))
-    windows = pairs.select("pair_id", "user_id", (F.col("a_ms") - margin).alias("_lo"), (F.col("b_ms") + margin).alias("_hi")) \
-        .withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width))))
-    fixes = traj.withColumn("_bucket", F.floor(F.col("t_ms") / width))
+    margin = F.greatest(((F.col("b_ms") - F.col("a_ms")) * 0.02).cast("long"), F.lit(15_000))
+    windows = pairs.select("pair_id", "user_id", (F.col("a_ms") - margin).alias("_lo"), (F.col("b_ms") + margin).alias("_hi"))
+    windows = windows.withColumn("_width", F.pow(F.lit(2.0), F.ceil(F.log2((F.col("_hi") - F.col("_lo") + 1).cast("double")))).cast("long"))
+    widths = [r[0] for r in windows.select("_width").filter("_width > 0").distinct().collect()]
+    listed = windows.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_lo") / F.col("_width")), F.floor(F.col("_hi") / F.col("_width")))))
+    fixes = traj.withColumn("_width", F.explode(F.array(*[F.lit(w).cast("long") for w in widths or [1]]))) \
+        .withColumn("_bucket", F.floor(F.col("t_ms") / F.col("_width")))
     z = F.col("height_m") if "height_m" in traj.columns else F.lit(0.0)
-    hits = lookup_join(fixes, windows, ["user_id", "_bucket"], hot_rows=hot_rows).filter(F.col("t_ms").between(F.col("_lo"), F.col("_hi")))
-    return net.uniform_subsample(hits.select("pair_id", "point_id", "t_ms", "lon", "lat", z.alias("z")), ["pair_id"], "t_ms", "point_id",
-                                 max_origins, hot_rows)
+    hits = lookup_join(fixes, listed, ["user_id", "_width", "_bucket"], hot_rows=hot_rows).filter(F.col("t_ms").between(F.col("_lo"), F.col("_hi")))
+    hits = hits.select("pair_id", "point_id", "t_ms", "lon", "lat", z.alias("z"))
+    return hits if max_origins is None else net.uniform_subsample(hits, ["pair_id"], "t_ms", "point_id", max_origins, hot_rows)
 
 
-def auto_budget(origins: DataFrame, min_activity_sec: float) -> DataFrame:
+def auto_budget(origins: DataFrame, min_activity_sec: float, tie: str | None = None, hot_rows: int | None = None) -> DataFrame:
     """Budget per pair: the median gap between its origins, never below the activity plus a minute."""
-    times = F.array_sort(F.collect_list("t_ms"))  # at most max_origins per pair
-    lists = origins.groupBy("pair_id").agg(times.alias("_t"))
-    gaps = F.array_sort(F.zip_with(F.slice("_t", F.lit(2), F.size("_t")), F.slice("_t", F.lit(1), F.size("_t") - 1), lambda b, a: (b - a).cast("double")))
-    n = F.size("_g")
-    median = (F.get("_g", F.floor((n - 1) / 2).cast("int")) + F.get("_g", F.floor(n / 2).cast("int"))) / 2000
-    return lists.withColumn("_g", F.when(F.size("_t") >= 2, gaps)).select("pair_id", F.when(
-        F.size("_t") >= 2, F.greatest(F.lit(min_activity_sec + 60.0), median)).otherwise(F.lit(min_activity_sec + 600.0)).alias("budget_sec"))
+    tie = tie or ("cluster" if "cluster" in origins.columns else "t_ms")
+    gaps = Timeline(origins, ["pair_id"], "t_ms", tie, hot_rows).neighbours(previous={"_before": F.col("t_ms")}).result()
+    return gaps.groupBy("pair_id").agg(F.median(F.col("t_ms") - F.col("_before")).alias("_gap")).select("pair_id", F.coalesce(
+        F.greatest(F.lit(min_activity_sec + 60.0), F.col("_gap") / 1000), F.lit(min_activity_sec + 600.0)).alias("budget_sec"))
 
 
 def fix_surface(traj: DataFrame, anchors: DataFrame, *, mode: str = "walking", custom_kmh: float | None = None, resolution: int = 9,
                 min_activity_sec: float = 600.0, lat0: float | None = None, thin: bool = True) -> Outputs:
     """Stay surface of every fix on its way to the user's end anchor (``user_id, b_lon, b_lat, b_ms``)."""
+    ship_package(traj.sparkSession)
     speed = mode_speed_kmh(mode, custom_kmh) / 3.6
     ext = extent(traj)
     lat0 = round(ext.mean_lat) if lat0 is None else lat0
@@ -216,19 +259,29 @@ def activity_surface(df: DataFrame, *, roads: DataFrame | None = None, zone: int
     out = {"surface": pasta.surface_height(res["surface"]).withColumn("ring", res["grid"].ring(F.col("col"), F.col("row"))),
            "voxels": res["voxels"], "anchor_windows": res["anchor_windows"], "counts": pasta.window_counts(res["windows"])}
     if roads is not None:
-        first = res["windows"].filter("feasible").orderBy("person_id", "gap").limit(1)
-        ends = first.select(F.lit("window").alias("user_id"), F.col("from_lon").alias("a_lon"), F.col("from_lat").alias("a_lat"),
-                            F.col("from_ms").alias("a_ms"), F.col("to_lon").alias("b_lon"), F.col("to_lat").alias("b_lat"), F.col("to_ms").alias("b_ms"))
-        out.update({f"window_{k}": v for k, v in corridor(corridors.straight_path(ends), roads, custom_kmh=options.get("speed_kmh", 5.0),
-                                                          mode="custom", zone=zone).items()})
+        # every feasible window is the way of a traveller of its own
+        ends = res["windows"].filter("feasible").select(
+            F.col("window_id").alias("user_id"), F.col("from_lon").alias("a_lon"), F.col("from_lat").alias("a_lat"),
+            F.col("from_ms").alias("a_ms"), F.col("to_lon").alias("b_lon"), F.col("to_lat").alias("b_lat"), F.col("to_ms").alias("b_ms"))
+        found = corridor(corridors.straight_path(ends), roads, custom_kmh=options.get("speed_kmh", 5.0), mode="custom", zone=zone)
+        out.update({f"window_{k}": v.withColumnRenamed("user_id", "window_id") for k, v in found.items()})
     return out
 
 
 def corridor(traj: DataFrame, roads: DataFrame, *, mode: str = "walking", custom_kmh: float | None = None, zone: int | None = None,
              south: bool = False, corridor_m: float = 100.0, merge: bool = False, cell_m: float = 500.0, hot_rows: int | None = None) -> Outputs:
-    """Potential path area of every path segment and the roads in it; ``merge`` gives each road once with its nearest fix."""
+    """Potential path area of every path segment and the roads in it; ``merge`` gives each road once with its nearest fix.
+
+    A user's path is measured in the zone of its own middle unless a zone is given.
+    """
+    if zone is None:
+        where = traj.groupBy("user_id").agg(((F.min("lon") + F.max("lon")) / 2).alias("_lon"))
+
+        def run(own: DataFrame, near: DataFrame, z: int) -> Outputs:
+            return corridor(own.drop("_lon"), near, mode=mode, custom_kmh=custom_kmh, zone=z, corridor_m=corridor_m, merge=merge, cell_m=cell_m, hot_rows=hot_rows)
+        return by_zone(lookup_join(traj, where, ["user_id"], hot_rows=hot_rows), F.col("_lon"), roads, run)
+    ship_package(traj.sparkSession)
     speed = mode_speed_kmh(mode, custom_kmh) / 3.6
-    zone = zone or utm_zone_value(extent(traj).mean_lon)
     # every class is a road here: nothing is excluded and speeds play no part
     edges = cut_lineage(net.build_edges(roads, mode_profile("custom", 5.0), zone, south))
     ppas = corridors.segment_ppas(traj, speed, zone, south, corridor_m, skip_empty=not merge, hot_rows=hot_rows)

@@ -17,7 +17,6 @@ READABLE = "_readable"
 # Plausible epoch seconds and milliseconds (years 2000 to 2100).
 EPOCH_S = (9.46e8, 4.1e9)
 EPOCH_MS = (9.46e11, 4.1e12)
-EPOCH_SAMPLE = 100
 
 
 def read_points_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -46,26 +45,19 @@ def csv_to_points(df: DataFrame, lon: str, lat: str, alt: str | None = None, ski
     return good, rejected, stats
 
 
-def first_errors(rejected: DataFrame, n: int = 10) -> DataFrame:
-    return rejected.select("error").limit(n)
-
-
 def _is_epoch(c: Column) -> Column:
     return c.between(*EPOCH_S) | c.between(*EPOCH_MS)
 
 
 def epoch_columns(df: DataFrame, exclude: tuple = ()) -> list[str]:
-    """Numeric columns whose first hundred values all look like epoch times."""
+    """Numeric columns that hold values which all look like epoch times: one pass over the whole table."""
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in exclude
                and not f.name.endswith(READABLE) and f.name + READABLE not in df.columns]
     if not numeric:
         return []
-    checks = []
-    for c in numeric:
-        sample = df.select(F.col(c).cast("double").alias("v")).filter("v is not null").limit(EPOCH_SAMPLE)
-        checks.append(sample.agg(F.lit(c).alias("name"), F.count(F.lit(1)).alias("n"), F.count_if(_is_epoch(F.col("v"))).alias("ok")))
-    rows = reduce(DataFrame.unionAll, checks).collect()
-    return [r["name"] for r in rows if r["n"] > 0 and r["n"] == r["ok"]]
+    row = df.agg(*[x for i, c in enumerate(numeric) for x in (
+        F.count(F.col(c)).alias(f"n{i}"), F.count_if(_is_epoch(F.col(c).cast("double"))).alias(f"k{i}"))]).first()
+    return [c for i, c in enumerate(numeric) if row[f"n{i}"] and row[f"n{i}"] == row[f"k{i}"]]
 
 
 def epoch_to_readable(c: Column) -> Column:

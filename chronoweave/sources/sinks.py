@@ -95,16 +95,13 @@ def to_analysis_table(df: DataFrame, label: str | None = None, dataset_type: str
     return df.select(*out)
 
 
-def write_points_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Points with every scalar attribute; open properties become text columns by their keys."""
+def write_points_csv(df: DataFrame, path: str, mode: str = "errorifexists", keys: list[str] | None = None) -> None:
+    """Points with every scalar attribute. Open properties become one JSON text column, or a column for each of ``keys``."""
     rows = df.filter(F.col("geom_type") == "Point") if "geom_type" in df.columns else df
     alt = next((c for c in ("alt", "height_m", "z") if c in df.columns), None)
     extra: list[Column] = []
     if "props" in df.columns:
-        keys = sorted(r[0] for r in rows.select(F.explode(F.map_keys("props"))).distinct().limit(10_001).collect())
-        if len(keys) > 10_000:
-            raise ValueError("more than 10 000 property names cannot become CSV columns")
-        extra = [F.col("props")[k].alias(k) for k in keys]
+        extra = [F.to_json("props").alias("props")] if keys is None else [F.col("props")[k].alias(k) for k in keys]
     nested = (T.ArrayType, T.MapType, T.StructType)
     plain = [f.name for f in df.schema.fields if f.name not in ("lon", "lat", alt, "geom_type") and not isinstance(f.dataType, nested)]
     out = rows.select(F.col("lon").alias("longitude"), F.col("lat").alias("latitude"),
@@ -129,7 +126,3 @@ def run_summary(inputs: dict[str, DataFrame], outputs: dict[str, DataFrame]) ->
     return reduce(DataFrame.unionAll, counts).agg(
         F.sum("i").alias("input_count"), F.sum("o").alias("output_count"), F.min("x0").alias("min_x"), F.min("y0").alias("min_y"),
         F.max("x1").alias("max_x"), F.max("y1").alias("max_y"))
-
-
-def warnings_table(spark, warnings: list[str]) -> DataFrame:
-    return spark.createDataFrame([(i, w) for i, w in enumerate(warnings)], "code int, message string")

@@ -115,19 +115,54 @@ def test_reachable_spans(spark):
 
 
 def test_span_times_peak_in_the_middle(spark):
-    lines = intervals.travel_lines(F.lit(0.0), F.lit(0.0), F.lit(100.0), F.lit(False), F.lit(0.0))
-    got = one(spark, intervals.span_times(F.lit(0.0), F.lit(1.0), lines))
+    ways = intervals.entries(F.lit(0.0), F.lit(0.0), F.lit(False), F.lit(0.0))
+    got = one(spark, intervals.span_times(F.lit(0.0), F.lit(1.0), ways, F.lit(100.0)))
     assert (got.travel_min, got.travel_mid, got.travel_max) == (0.0, 50.0, 50.0)
 
 
 @pytest.mark.parametrize("a,b,k,want", [((0.0, 100.0), (100.0, 0.0), 200.0, [(0, 1)]), ((0.0, 100.0), (100.0, 0.0), 50.0, []),
                                         ((0.0, 100.0), (0.0, 100.0), 100.0, [(0, 0.5)])])
 def test_feasible_spans(spark, a, b, k, want):
-    line = [intervals.travel_lines(F.lit(u), F.lit(v), F.lit(100.0), F.lit(False), F.lit(0.0)) for u, v in (a, b)]
-    got = intervals.with_feasible_spans(spark.range(1), *line, F.lit(k)).first().spans
+    ways = [intervals.entries(F.lit(u), F.lit(v), F.lit(False), F.lit(0.0)) for u, v in (a, b)]
+    got = intervals.with_feasible_spans(spark.range(1), *ways, F.lit(100.0), F.lit(k)).first().spans
     assert [(s.a, s.b) for s in got] == [pytest.approx(w) for w in want]
 
 
+def test_spans_against_sampling(spark):
+    """Reachable and feasible parts and travel times of random edges, sampled at 2000 places."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    def end():
+        return None if rng.random() < 0.3 else float(rng.uniform(0, 150))
+    rows = [(i, end(), end(), end(), end(), float(rng.uniform(20, 200)), float(rng.uniform(0, 260)), bool(rng.random() < 0.3), float(rng.random()),
+             bool(rng.random() < 0.3), float(rng.random())) for i in range(120)]
+    df = spark.createDataFrame(rows, "i long, ua double, va double, ub double, vb double, c double, k double, sa boolean, fa double, sb boolean, fb double")
+    col = F.col
+    a, b = intervals.entries(col("ua"), col("va"), col("sa"), col("fa")), intervals.entries(col("ub"), col("vb"), col("sb"), col("fb"))
+    out = intervals.with_feasible_spans(df, a, b, col("c"), col("k"))
+    out = out.withColumns({"r": intervals.reachable_spans(col("ua"), col("va"), col("c"), col("k"), col("sa"), col("fa")),
+                           "t": intervals.span_times(F.lit(0.2), F.lit(0.9), a, col("c"))})
+    s = np.linspace(0, 1, 2001)
+
+    def cone(u, v, c, snapped, f):
+        ways = [d + c * np.abs(s - p) for p, d in ((0, u), (1, v), (f, 0.0 if snapped else None)) if d is not None]
+        return np.min(ways, axis=0) if ways else np.full(len(s), np.inf)
+
+    for x in out.collect():
+        ta, tb = cone(x.ua, x.va, x.c, x.sa, x.fa), cone(x.ub, x.vb, x.c, x.sb, x.fb)
+        for spans, fits in ((x.r, ta <= x.k), (x.spans, ta + tb <= x.k)):
+            inside = np.zeros(len(s), bool)
+            for p in spans:
+                inside |= (s >= p.a - 1e-6) & (s <= p.b + 1e-6)
+            edge = np.zeros(len(s), bool)
+            edge[1:-1] = (fits[1:-1] != fits[:-2]) | (fits[1:-1] != fits[2:])
+            assert ((inside == fits) | edge).mean() > 0.999
+        part = ta[(s >= 0.2) & (s <= 0.9)]
+        if np.isfinite(part).all():
+            assert (x.t.travel_min, x.t.travel_max) == (pytest.approx(part.min(), abs=0.1), pytest.approx(part.max(), abs=0.1))
+
+
 def test_hexagons_partition_the_plane(spark):
     pts = spark.range(400).select((F.col("id") % 20 * 0.01 - 79.5).alias("x"), (F.floor(F.col("id") / 20) * 0.01 + 43.5).alias("y"))
     h = hexgrid.to_hex(F.col("x"), F.col("y"), 8, 44.0)

@@ -13,49 +13,105 @@ ROADS = "source_id long, highway string, maxspeed string, coords array<struct<x:
 PAIRS = "pair_id long, user_id string, a_lon double, a_lat double, a_ms long, b_lon double, b_lat double, b_ms long"
 
 
+KMH5 = 5 / 3.6
+
+
 @pytest.fixture(scope="module")
 def road(spark):
-    """One straight road of five vertices along the equator, about 2.2 km."""
-    return spark.createDataFrame([(1, "residential", None, [(i * 0.005, 0.0) for i in range(5)])], ROADS).cache()
+    """One straight road of seven vertices along the equator, about 3.3 km."""
+    return spark.createDataFrame([(1, "residential", None, [(i * 0.005, 0.0) for i in range(7)])], ROADS).cache()
 
 
 def test_two_anchor_road_prism(spark, road):
-    pair = spark.createDataFrame([(1, "u", 0.0, 0.0, 0, 0.02, 0.0, 3_000_000), (2, "u", 0.0, 0.0, 0, 0.02, 0.0, 600_000), (3, "u", 0.0, 1.0, 0, 0.02, 0.0, 600_000)], PAIRS)
+    """A walk of 0.025 degrees with 80 minutes, with 8 minutes, and from a place without a road."""
+    pair = spark.createDataFrame([(11, "u", 0.0, 0.0, 0, 0.025, 0.0, 4_800_000), (12, "u", 0.0, 0.0, 0, 0.025, 0.0, 480_000), (13, "u", 0.0, 1.0, 0, 0.025, 0.0, 480_000)], PAIRS)
     out = JOBS["road_prism"](pair, road, zone=31)
     status = {r.pair_id: (r.snapped, r.feasible) for r in out["status"].collect()}
-    assert status == {1: (True, True), 2: (True, False), 3: (False, False)}
+    assert status == {11: (True, True), 12: (True, False), 13: (False, False)}
     edges = out["ppa_roads"].collect()
-    assert {r.pair_id for r in edges} == {1} and len(edges) == 4
+    # the whole road: the last edge beyond B is a way of 400 s out and 400 s back
+    assert {r.pair_id for r in edges} == {11} and len(edges) == 6
     direct = edges[0].shortest_path_sec
-    assert direct == pytest.approx(2226.4 / (5 / 3.6), rel=2e-3)
+    assert direct == pytest.approx(0.025 * 111320 / KMH5, rel=2e-3)
     for e in edges:
-        assert e.activity_sec_max == pytest.approx(3000 - direct, rel=1e-6) and e.activity_sec_min <= e.activity_sec_mid + 1e-9
+        beyond = max(0.0, min(e.lon0, e.lon1) - 0.025) * 111320 / KMH5
+        assert e.activity_sec_max == pytest.approx(4800 - direct - 2 * beyond, rel=3e-3) and e.activity_sec_min <= e.activity_sec_mid + 1e-9
         assert e.travel_total_min <= e.budget_sec - e.min_activity_sec + 1e-6
-    assert out["sheets"].count() > 0 and out["dwell_surface"].agg(F.max("dwell_minutes")).first()[0] == pytest.approx((3000 - direct) / 60, rel=1e-6)
-    slow = JOBS["road_prism"](pair.filter("pair_id = 1"), road, zone=31, adjustment="manual", manual_factor=0.5)["status"].first()
-    assert not slow.feasible and slow.shortest_path_sec == pytest.approx(2 * direct, rel=1e-9)
-    exact = JOBS["road_prism"](pair.filter("pair_id = 1"), road, zone=31, exact=True)["ppa_roads"]
-    assert exact.select(F.inline("spans")).agg(F.min("a"), F.max("b")).first() == (0.0, 1.0)
-
-
-def test_origin_areas_on_a_street_grid(spark):
-    streets = [(i, "residential", None, [(0.001 * i, 0.001 * j) for j in range(6)]) for i in range(6)]
-    streets += [(10 + i, "residential", None, [(0.001 * j, 0.001 * i) for j in range(6)]) for i in range(6)]
-    roads = spark.createDataFrame(streets, ROADS)
-    traj = spark.createDataFrame([(i, "u", i * 60_000, 0.001 * i, 0.001 * i) for i in range(6)], "point_id long, user_id string, t_ms long, lon double, lat double")
-    pair = spark.createDataFrame([(1, "u", 0.0, 0.0, 0, 0.004, 0.004, 420_000)], PAIRS)
-    out = JOBS["origin_areas"](pair, traj, roads, budget_min=10.0, min_activity_min=5.0, zone=31, max_segments=0)
+    assert out["sheets"].count() > 0 and out["dwell_surface"].agg(F.max("dwell_minutes")).first()[0] == pytest.approx((4800 - direct) / 60, rel=1e-6)
+    slow = JOBS["road_prism"](pair.filter("pair_id = 11"), road, zone=31, adjustment="manual", manual_factor=0.4)["status"].first()
+    assert not slow.feasible and slow.shortest_path_sec == pytest.approx(2.5 * direct, rel=1e-9)
+    exact = JOBS["road_prism"](pair.filter("pair_id = 11"), road, zone=31, exact=True)["ppa_roads"]
+    spans = exact.select(F.inline("spans")).agg(F.min("a"), F.max("b")).first()
+    assert spans == (0.0, 1.0)
+
+
+def test_origin_areas_on_one_street(spark):
+    """Five fixes walking a street: each reaches 120 s to both sides, cut at the street's ends."""
+    street = spark.createDataFrame([(1, "residential", None, [(0.001 * i, 0.0) for i in range(9)])], ROADS)
+    traj = spark.createDataFrame([(i, "u", i * 90_000, 0.002 * i, 0.0) for i in range(5)], "point_id long, user_id string, t_ms long, lon double, lat double")
+    pair = spark.createDataFrame([(7, "u", 0.0, 0.0, 0, 0.008, 0.0, 360_000)], PAIRS)
+    options = {"budget_min": 7.0, "min_activity_min": 3.0, "zone": 31}
+    out = JOBS["origin_areas"](pair, traj, street, **options)
     pieces = out["ppa_roads"].collect()
-    assert pieces and all(p.activity_sec_min + 1e-6 >= 300 and 0 <= p.a < p.b <= 1 for p in pieces)
-    # 150 s at 5 km/h
-    assert max(p.travel_sec_max for p in pieces) <= 150 + 1e-6
+    assert pieces and all(p.activity_sec_min + 1e-6 >= 180 and 0 <= p.a < p.b <= 1 for p in pieces)
+    assert max(p.travel_sec_max for p in pieces) <= 120 + 1e-6
     origins = out["origins"].collect()
-    assert len(origins) == 6 and all(o.reachable for o in origins)
-    capped = JOBS["origin_areas"](pair, traj, roads, budget_min=10.0, min_activity_min=5.0, zone=31, max_segments=3)
-    assert capped["ppa_roads"].groupBy("origin_id").count().agg(F.max("count")).first()[0] == 3
-    # a first origin at a crossing reaches 150 s along both streets: compare the corner origin's length
-    corner = next(o for o in origins if o.lon == 0.0)
-    assert corner.reachable_length_m > 150 * 5 / 3.6 * 2 - 1
+    reach, length = 120 * KMH5, 0.008 * 111320
+    assert len(origins) == 5
+    for o in origins:
+        x = o.lon * 111320
+        assert o.reachable and o.reachable_length_m == pytest.approx(min(x, reach) + min(length - x, reach), rel=5e-3)
+    capped = JOBS["origin_areas"](pair, traj, street, max_segments=2, max_origins=3, **options)
+    assert capped["origins"].count() == 3
+    assert capped["ppa_roads"].groupBy("origin_id").count().agg(F.max("count")).first()[0] == 2
+
+
+def _town(k: int, lon: float, lat: float):
+    """Two crossing streets of about 4 km and a pair that walks along one of them."""
+    streets = [(10 * k + 1, "residential", None, [(lon + 0.004 * i, lat) for i in range(11)]),
+               (10 * k + 2, "residential", None, [(lon + 0.02, lat - 0.02 + 0.004 * i) for i in range(11)])]
+    return streets, (k, f"u{k}", lon + 0.001, lat + 0.0001, k * 1000, lon + 0.015, lat - 0.0001, k * 1000 + 4_000_000)
+
+
+def test_a_pair_is_alone_in_a_table_of_many_regions(spark):
+    """Three zones, both hemispheres and a trip beside a zone border: together as each by itself."""
+    towns = [_town(1, -79.4, 43.65), _town(2, 2.3, 48.85), _town(3, 151.2, -33.87), _town(4, 11.985, 45.4), _town(5, -58.4, -34.6)]
+    roads = spark.createDataFrame([s for streets, _ in towns for s in streets], ROADS)
+    pairs = spark.createDataFrame([p for _, p in towns], PAIRS)
+
+    def rows(p):
+        out = JOBS["road_prism"](p, roads, min_activity_min=2.0)
+        return {"roads": sorted(map(tuple, out["ppa_roads"].select("pair_id", "edge_id", "length_m", "forward_sec", "activity_sec_max").collect())),
+                "status": sorted(map(tuple, out["status"].select("pair_id", "feasible", "shortest_path_sec").collect())),
+                "hexes": sorted(map(tuple, out["dwell_surface"].select("pair_id", "hex_q", "hex_r", "dwell_minutes").collect()))}
+
+    whole = rows(pairs)
+    assert {s[0] for s in whole["status"] if s[1]} == {1, 2, 3, 4, 5}
+    for k in (1, 3, 4):
+        alone = rows(pairs.filter(F.col("pair_id") == k))
+        for name, got in alone.items():
+            assert got == [r for r in whole[name] if r[0] == k]
+
+
+def test_fixes_meet_windows_of_any_length(spark):
+    pairs = spark.createDataFrame([(1, "u", 0.0, 0.0, 0, 0.0, 0.0, 60_000), (2, "u", 0.0, 0.0, 50_000, 0.0, 0.0, 700_000_000), (3, "v", 0.0, 0.0, 0, 0.0, 0.0, 10)], PAIRS)
+    traj = spark.createDataFrame([(i, "u", i * 7_000_000, 0.0, 0.0) for i in range(-3, 110)] + [(500, "u", 70_000, 0.0, 0.0), (501, "v", 20_000, 0.0, 0.0)],
+                                 "point_id long, user_id string, t_ms long, lon double, lat double")
+    from chronoweave.plans import jobs
+    got = {(r.pair_id, r.point_id) for r in jobs.origin_fixes(pairs, traj).collect()}
+    want = set()
+    for p in pairs.collect():
+        margin = max(int((p.b_ms - p.a_ms) * 0.02), 15_000)
+        want |= {(p.pair_id, f.point_id) for f in traj.collect() if f.user_id == p.user_id and p.a_ms - margin <= f.t_ms <= p.b_ms + margin}
+    assert got == want
+
+
+def test_hex_listing_does_not_hold_a_disc(spark):
+    """One overnight budget by car: more rows than an array should hold, each a hexagon near the fix."""
+    from chronoweave.functions.hexgrid import with_hexes
+    df = spark.createDataFrame([(0.0, 44.0, 300_000.0)], "lon double, lat double, r double")
+    out = with_hexes(df, F.col("lon"), F.col("lat"), F.col("r"), 7, 44.0)
+    assert "array" not in str(out.schema) and out.count() > 3.14 * 300**2 / 5.17
 
 
 def test_euclidean_prism_and_path_area(spark):
@@ -112,7 +168,7 @@ def test_activity_surface_with_roads(spark, road):
     s = out["surface"]
     assert s.agg(F.min("dwell_minutes")).first()[0] >= 10 and s.agg(F.max("person_count")).first()[0] == 1
     assert out["voxels"].agg(F.sum("dwell_minutes")).first()[0] <= s.agg(F.sum("dwell_minutes")).first()[0]
-    assert out["window_road_pieces"].count() > 0 and out["window_buffers"].count() == 19
+    assert out["window_road_pieces"].count() > 0 and out["window_buffers"].count() == 19 and "window_id" in out["window_buffers"].columns
 
 
 def test_input_and_output_round_trip(spark, tmp_path):

@@ -182,8 +182,13 @@ def test_time_slices():
 
 def test_fixed_slices_widen_at_the_cap(spark):
     df = spark.range(2).select((F.col("id") * 10_000.0).alias("t"))
-    s = grid.time_slices(df, F.col("t"), "fixed_duration", 0, duration_s=10.0)
-    assert s.n == grid.MAX_SLICES and s.warnings
+    s = grid.time_slices(df, F.col("t"), "fixed_duration", 0, duration_s=10.0, max_slices=240)
+    assert s.n == 240 and s.warnings
+    whole = grid.time_slices(df, F.col("t"), "fixed_duration", 0, duration_s=10.0)
+    assert whole.n == 1000 and not whole.warnings
+    times = spark.createDataFrame([(10.0 * i + d,) for i in range(0, 1000, 7) for d in (-1e-9, 0.0, 4.0)], "t double")
+    tree = grid.Slices(whole.edges)
+    assert times.filter(whole.index(F.col("t")) != tree.index(F.col("t"))).count() == 0
     with pytest.raises(ValueError):
         grid.time_slices(df, F.col("t"), "fixed_duration", 0)
 
@@ -232,3 +237,26 @@ def test_time_filters(spark):
     assert prism.time_slice(df, 0.3).count() == 2
     assert prism.time_slice(df, 0.5, "window", 10).count() == 1
     assert prism.time_slice(df, 1.0).count() == 3
+
+
+def test_blocks_stay_small_on_fractions_and_ties(spark):
+    """A hot key ordered by fractions, one whose rows share an instant, and one crowded at one end."""
+    rows = [("f", i, i / 2000.0) for i in range(2000)] + [("t", i, 0.5) for i in range(2000)] + [("c", i, 1.0 / (1 + i * i)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, i long, a double")
+    line = Timeline(df, ["k"], "a", "i", 50)
+    assert line.split and line.df.groupBy(*line.group).count().agg(F.max("count")).first()[0] <= 50
+    got = line.running(n=F.lit(1)).neighbours(previous={"p": F.col("i")}).result()
+    plain = Timeline(df, ["k"], "a", "i").running(n=F.lit(1)).neighbours(previous={"p": F.col("i")}).result()
+    assert sorted(map(tuple, got.select("k", "i", "n", "p").collect()), key=repr) == sorted(map(tuple, plain.select("k", "i", "n", "p").collect()), key=repr)
+
+
+def test_row_budget_does_not_grow_with_the_table(spark):
+    from chronoweave.operators import skew
+
+    df = spark.range(5000).select(F.lit("one").alias("k"))
+    hot, budget = skew.hot_keys(df, ["k"], 100)
+    assert budget == 100 and hot.first()._parts == 50 and skew.hot_keys(df, ["k"])[0] is None
+    assert skew.HOT_ROWS == skew.hot_keys(df, ["k"])[1]
+    # a table with nothing but its key is spread too
+    spread = skew.salted_join(df, spark.createDataFrame([("one", 1)], "k string, v int"), ["k"], hot_rows=100)
+    assert spread.count() == 5000

@@ -328,13 +328,13 @@ def shortest_times(spark, sf):
 
 
 def _road_prism(spark, sf, **kw):
-    return JOBS["road_prism"](t.pairs(spark, sf), t.roads(spark, sf), min_activity_min=1.0, zone=t.ZONE, **kw)
+    return JOBS["road_prism"](t.pairs(spark, sf), t.roads(spark, sf), min_activity_min=1.0, zone=t.ZONE, lat0=44.0, **kw)
 
 
 @query(f"""WITH RECURSIVE {S.PRISM} SELECT pair_id, edge_id, highway, round(forward_sec, 4) AS forward_sec, round(backward_sec, 4) AS backward_sec, round(act_min, 4) AS activity_sec_min,
   round(act_mid, 4) AS activity_sec_mid, round(act_max, 4) AS activity_sec_max, round(time_progress, 6) AS time_progress, round(px, 6) AS lon0, round(qy, 6) AS lat1 FROM prism""")
 def road_prism(spark, sf):
-    out = _road_prism(spark, sf, drop_minor=False, resolution=10)["ppa_roads"]
+    out = _road_prism(spark, sf, resolution=10)["ppa_roads"]
     return out.select("pair_id", "edge_id", "highway", *[r(c, 4).alias(c) for c in ("forward_sec", "backward_sec", "activity_sec_min", "activity_sec_mid", "activity_sec_max")],
                       r("time_progress").alias("time_progress"), r("lon0").alias("lon0"), r("lat1").alias("lat1"))
 
@@ -349,20 +349,26 @@ def road_prism_status(spark, sf):
 m AS (SELECT pair_id, bool_or(NOT minor) AS major FROM d GROUP BY 1)
 SELECT pair_id, edge_id, CAST(s.s AS BIGINT) AS sheet FROM d JOIN m USING (pair_id) JOIN range(0, 8) s(s)
   ON forward_sec <= budget * s.s / 7e0 + 1e-6 AND backward_sec <= budget - budget * s.s / 7e0 + 1e-6 WHERE NOT major OR NOT minor""")
+def prism_sheets_major(spark, sf):
+    return _road_prism(spark, sf, sheets=8, resolution=10, drop_minor=True)["sheets"].select("pair_id", "edge_id", F.col("sheet").cast("long").alias("sheet"))
+
+
+@query(f"""WITH RECURSIVE {S.PRISM} SELECT pair_id, edge_id, CAST(s.s AS BIGINT) AS sheet FROM prism JOIN range(0, 8) s(s)
+  ON forward_sec <= budget * s.s / 7e0 + 1e-6 AND backward_sec <= budget - budget * s.s / 7e0 + 1e-6""")
 def prism_sheets(spark, sf):
     return _road_prism(spark, sf, sheets=8, resolution=10)["sheets"].select("pair_id", "edge_id", F.col("sheet").cast("long").alias("sheet"))
 
 
 @query(f"""WITH RECURSIVE {S.PRISM} SELECT pair_id, edge_id FROM prism WHERE least(1, forward_sec / budget) <= 0.4 AND least(1, backward_sec / budget) <= 1 - 0.4""")
 def prism_at_time(spark, sf):
-    return prism.prism_at(_road_prism(spark, sf, drop_minor=False, resolution=10)["ppa_roads"], 0.4).select("pair_id", "edge_id")
+    return prism.prism_at(_road_prism(spark, sf, resolution=10)["ppa_roads"], 0.4).select("pair_id", "edge_id")
 
 
 def _surface_sql(res: int) -> str:
     q, rr = S.hex_of("px + (qx - px) * s.s / (k - 1)", "py + (qy - py) * s.s / (k - 1)", res, 44)
     step = hexgrid.SAMPLE_STEP_M[res]
-    return f"""WITH RECURSIVE {S.PRISM}, k AS (SELECT *, greatest(2, least(12, ceil(sqrt(pow((qx - px) * 111320 * cos(radians(44)), 2) + pow((qy - py) * 111320, 2)) / {step}) + 1)) AS k FROM prism),
-c AS (SELECT DISTINCT pair_id, edge_id, act_max, {q} AS hex_q, {rr} AS hex_r FROM k JOIN range(0, 12) s(s) ON s.s < k)
+    return f"""WITH RECURSIVE {S.PRISM}, k AS (SELECT *, greatest(2, (ceil(sqrt(pow((qx - px) * 111320 * cos(radians(44)), 2) + pow((qy - py) * 111320, 2)) / {step}) + 1)) AS k FROM prism),
+c AS (SELECT DISTINCT pair_id, edge_id, act_max, {q} AS hex_q, {rr} AS hex_r FROM k JOIN range(0, 1000) s(s) ON s.s < k)
 SELECT pair_id, hex_q, hex_r, round(max(act_max) / 60, 5) AS dwell_minutes, count(*) AS edge_count FROM c GROUP BY 1, 2, 3"""
 
 
@@ -382,7 +388,7 @@ def sheet_hulls(spark, sf):
 @query()
 def road_prism_exact(spark, sf):
     """Feasible spans of each edge, snap lines included (closed forms in the tests)."""
-    out = _road_prism(spark, sf, drop_minor=False, resolution=10, exact=True)["ppa_roads"]
+    out = _road_prism(spark, sf, resolution=10, exact=True)["ppa_roads"]
     return out.select("pair_id", "edge_id", F.inline("spans"))
 
 
@@ -405,20 +411,17 @@ j AS (SELECT DISTINCT c, CAST(floor(j.j * (c - 1) / 7e0) AS BIGINT) AS i FROM (S
 SELECT pair_id, point_id, t_ms FROM n WHERE c <= 8 UNION ALL SELECT pair_id, point_id, t_ms FROM n JOIN j USING (c, i)""")
 def origin_samples(spark, sf):
     pairs, track = t.pairs(spark, sf), _trips_track(spark, sf)
-    longest = pairs.agg(F.max(F.col("b_ms") - F.col("a_ms"))).first()[0]
-    return jobs.origin_fixes(pairs, track, 8, longest).select("pair_id", "point_id", "t_ms")
+    return jobs.origin_fixes(pairs, track, 8).select("pair_id", "point_id", "t_ms")
 
 
 def _origin_areas(spark, sf):
     return JOBS["origin_areas"](t.pairs(spark, sf), _trips_track(spark, sf), t.roads(spark, sf), budget_min=4.0, min_activity_min=1.0,
-                                max_origins=4, cluster_m=0.0, zone=t.ZONE, max_segments=12)
+                                cluster_m=0.0, zone=t.ZONE)
 
 
 # Reachable share of each edge by inclusion and exclusion of what each end and the snap point reach.
 _ORIGINS = f"""{S.EDGES}, {_TRACK},
-n AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY t_ms, point_id) - 1 AS i, count(*) OVER (PARTITION BY pair_id) AS c FROM track),
-j AS (SELECT DISTINCT c, CAST(floor(j.j * (c - 1) / 3e0) AS BIGINT) AS i FROM (SELECT DISTINCT c FROM n WHERE c > 4), range(0, 4) j(j)),
-o AS (SELECT pair_id, point_id, lon, lat FROM n WHERE c <= 4 UNION ALL SELECT pair_id, point_id, lon, lat FROM n JOIN j USING (c, i)),
+o AS (SELECT pair_id, point_id, lon, lat FROM track),
 {S.utm('om', 'o', [('lon', 'lat', 'x', 'y')])}, {S.snap('snapped', 'om', 'point_id', 50.0)},
 seeds AS (SELECT point_id, u AS node, fraction * cost_sec AS seed FROM snapped UNION ALL SELECT point_id, v, (1 - fraction) * cost_sec FROM snapped),
 lab(point_id, node, cost) USING KEY (point_id, node) AS (
@@ -452,7 +455,7 @@ def origin_road_pieces(spark, sf):
 SELECT pair_id, CASE WHEN count(gap) >= 1 THEN greatest(360, median(gap) / 1000) ELSE 900 END AS budget_sec FROM g GROUP BY 1""")
 def automatic_budget(spark, sf):
     track = _trips_track(spark, sf)
-    return jobs.auto_budget(track.select(F.col("user_id").cast("long").alias("pair_id"), "t_ms"), 300.0)
+    return jobs.auto_budget(track.select(F.col("user_id").cast("long").alias("pair_id"), "t_ms", "point_id"), 300.0, "point_id")
 
 
 def _walkers(spark, sf):
@@ -469,8 +472,7 @@ _WALKERS = f"""walkers AS (SELECT l_orderkey * 8 + l_linenumber AS point_id, CAS
   -79.5e0 + (l_orderkey % 1500) * 0.00005::DOUBLE AS lon, 43.6e0 + l_suppkey % 3 * 0.002::DOUBLE + 0.0001::DOUBLE AS lat FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1, 2))"""
 
 
-@query(f"""WITH {S.EDGES}, {_WALKERS}, n AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id) AS c FROM walkers WINDOW w AS (PARTITION BY user_id ORDER BY t_ms, point_id)),
-picked AS (SELECT * FROM n WHERE c >= 9 AND (i - 1) % greatest(1, (c - 1) // 300) = 0), {S.utm('pm', 'picked', [('lon', 'lat', 'mx', 'my')])},
+@query(f"""WITH {S.EDGES}, {_WALKERS}, {S.utm('pm', 'walkers', [('lon', 'lat', 'mx', 'my')])},
 pairs2 AS (SELECT *, lead(t_ms) OVER w AS nt, lead(mx) OVER w AS nx, lead(my) OVER w AS ny FROM pm WINDOW w AS (PARTITION BY user_id ORDER BY t_ms, point_id)),
 seen AS (SELECT user_id, point_id, (nt - t_ms) / 1000e0 AS dt, sqrt(pow(nx - mx, 2) + pow(ny - my, 2)) / ((nt - t_ms) / 1000e0) * 3.6e0 AS v, (mx + nx) / 2 AS x, (my + ny) / 2 AS y FROM pairs2 WHERE nt IS NOT NULL AND nt > t_ms),
 moving AS (SELECT * FROM seen WHERE dt BETWEEN 1 AND 600 AND v BETWEEN 0.7 AND 9), {S.snap('onroad', 'moving', 'point_id', 100.0)}
@@ -552,45 +554,44 @@ def activity_anchors(spark, sf):
     return out.select("window_id", "anchor_role", "activity_type", "timestamp_ms", r("z", 4).alias("z"))
 
 
-def _day_ends(spark, sf):
-    """Each user's journey ends three hours after the last fix, at that fix."""
-    df = t.traj(spark, sf)
-    last = F.max(F.struct("t_ms", "point_id", "lon", "lat")).alias("l")
-    return df.groupBy("user_id").agg(last).select("user_id", F.col("l.lon").alias("b_lon"), F.col("l.lat").alias("b_lat"), (F.col("l.t_ms") + 10_800_000).alias("b_ms"))
+def _days(spark, sf):
+    """Every user's day is a journey of its own."""
+    return t.traj(spark, sf).withColumn("user_id", F.concat_ws("/", "user_id", F.floor(F.col("t_ms") / 86_400_000)))
 
 
-def _late_fixes(spark, sf):
-    """Fixes of the last day before each user's end."""
-    df = t.traj(spark, sf)
-    return df.join(_day_ends(spark, sf).select("user_id", F.col("b_ms").alias("_e")), "user_id").filter(F.col("_e") - F.col("t_ms") <= 43_200_000).drop("_e")
+def _day_ends(spark, sf):
+    """Each journey ends three hours after its last fix, at that fix."""
+    last = F.max(F.struct("t_ms", "point_id", "lon", "lat")).alias("l")
+    return _days(spark, sf).groupBy("user_id").agg(last).select("user_id", F.col("l.lon").alias("b_lon"), F.col("l.lat").alias("b_lat"), (F.col("l.t_ms") + 10_800_000).alias("b_ms"))
 
 
-_LATE = f"""{S.TRAJ}, ends AS (SELECT user_id, arg_max(lon, struct_pack(a := t_ms, b := point_id)) AS b_lon, arg_max(lat, struct_pack(a := t_ms, b := point_id)) AS b_lat, max(t_ms) + 10800000 AS b_ms FROM traj GROUP BY 1),
-circles AS (SELECT * FROM (SELECT t.*, b_lon, b_lat, b_ms, (b_ms - t_ms) / 1000e0 - {S.haversine('t.lon', 't.lat', 'b_lon', 'b_lat')} / {5 / 3.6!r} - 600 AS budget_s FROM traj t JOIN ends USING (user_id) WHERE b_ms - t_ms <= 43200000)
+_DAYS = f"""{S.TRAJ}, days AS (SELECT * REPLACE (user_id || '/' || (t_ms // 86400000) AS user_id) FROM traj),
+ends AS (SELECT user_id, arg_max(lon, struct_pack(a := t_ms, b := point_id)) AS b_lon, arg_max(lat, struct_pack(a := t_ms, b := point_id)) AS b_lat, max(t_ms) + 10800000 AS b_ms FROM days GROUP BY 1),
+circles AS (SELECT * FROM (SELECT t.*, b_lon, b_lat, b_ms, (b_ms - t_ms) / 1000e0 - {S.haversine('t.lon', 't.lat', 'b_lon', 'b_lat')} / {5 / 3.6!r} - 600 AS budget_s FROM days t JOIN ends USING (user_id))
   WHERE budget_s > 0 AND budget_s * {5 / 3.6 / 2!r} >= 10),
 sized AS (SELECT *, budget_s * {5 / 3.6 / 2!r} AS radius_m FROM circles)"""
-_HX, _HY = S.hex_center("q.q", "r.r", 8, 44)
+_HX, _HY = S.hex_center("q.q", "r.r", 7, 44)
 
 
-@query(f"""WITH {_LATE}, b AS (SELECT *, lat * 111320 / {1.5 * hexgrid.edge_length_m(8)!r} AS rm, radius_m * 1.2 / {1.5 * hexgrid.edge_length_m(8)!r} AS rr FROM sized),
+@query(f"""WITH {_DAYS}, b AS (SELECT *, lat * 111320 / {1.5 * hexgrid.edge_length_m(7)!r} AS rm, radius_m * 1.2 / {1.5 * hexgrid.edge_length_m(7)!r} AS rr FROM sized),
 r AS (SELECT *, unnest(range(CAST(floor(rm - rr) AS BIGINT) - 1, CAST(ceil(rm + rr) AS BIGINT) + 2)) AS r FROM b),
-q0 AS (SELECT *, lon * {111320 * 0.7193398003386512!r} / {hexgrid.edge_length_m(8) * 3 ** 0.5!r} - r / 2e0 AS qm, radius_m * 1.3 / {hexgrid.edge_length_m(8) * 3 ** 0.5!r} AS qr FROM r),
+q0 AS (SELECT *, lon * {111320 * 0.7193398003386512!r} / {hexgrid.edge_length_m(7) * 3 ** 0.5!r} - r / 2e0 AS qm, radius_m * 1.3 / {hexgrid.edge_length_m(7) * 3 ** 0.5!r} AS qr FROM r),
 q AS (SELECT *, unnest(range(CAST(floor(qm - qr) AS BIGINT) - 1, CAST(ceil(qm + qr) AS BIGINT) + 2)) AS q FROM q0),
 d AS (SELECT q.q AS hex_q, q.r AS hex_r, budget_s - 2 * {S.haversine('lon', 'lat', _HX.replace('r.r', 'q.r'), _HY.replace('r.r', 'q.r'))} / {5 / 3.6!r} AS dwell FROM q)
 SELECT hex_q, hex_r, round(sum(dwell) / 60, 3) AS dwell_minutes FROM d WHERE dwell > 0 GROUP BY 1, 2""")
 def fix_surface(spark, sf):
-    out = JOBS["fix_surface"](_late_fixes(spark, sf), _day_ends(spark, sf), resolution=8, lat0=44.0, thin=False)["hex_surface"]
+    out = JOBS["fix_surface"](_days(spark, sf), _day_ends(spark, sf), resolution=7, lat0=44.0, thin=False)["hex_surface"]
     return out.select("hex_q", "hex_r", r("dwell_minutes", 3).alias("dwell_minutes"))
 
 
 _MOVED = f"({S.haversine('w.kx', 'w.ky', 'n.lon', 'n.lat')} > 0.15e0 * n.radius_m)"
 
 
-@query(f"""WITH RECURSIVE {_LATE}, {_walk('', f"CASE WHEN {_MOVED} THEN n.lon ELSE w.kx END, CASE WHEN {_MOVED} THEN n.lat ELSE w.ky END, {_MOVED}",
+@query(f"""WITH RECURSIVE {_DAYS}, {_walk('', f"CASE WHEN {_MOVED} THEN n.lon ELSE w.kx END, CASE WHEN {_MOVED} THEN n.lat ELSE w.ky END, {_MOVED}",
        'lon AS kx, lat AS ky, true AS keep', 'sized', 'user_id', 'lon, lat, t_ms, radius_m')}
 SELECT user_id, point_id, round(radius_m, 4) AS radius_m FROM walk WHERE keep""")
 def thinned_circles(spark, sf):
-    out = JOBS["fix_surface"](_late_fixes(spark, sf), _day_ends(spark, sf), resolution=8)["circles"]
+    out = JOBS["fix_surface"](_days(spark, sf), _day_ends(spark, sf), resolution=7)["circles"]
     return out.select("user_id", "point_id", r("radius_m", 4).alias("radius_m"))
 
 
@@ -629,7 +630,7 @@ q AS (SELECT *, unnest(range(CAST(floor((mx * {111320 * 0.7193398003386512!r} -
 k AS (SELECT pair_id, q.q, q.r FROM q WHERE greatest(1, ceil({_PD1} / (dt * {5 / 3.6 / 15!r}))) <= least(14, floor(15 - {_PD2} / (dt * {5 / 3.6 / 15!r}))))
 SELECT pair_id, count(*) AS cells, round(count(*) * {hexgrid.cell_area_km2(10)!r}, 6) AS area_km2 FROM k GROUP BY 1""")
 def potential_path_area(spark, sf):
-    out = JOBS["two_anchor_prism"](t.pairs(spark, sf), resolution=10)["ppa"]
+    out = JOBS["two_anchor_prism"](t.pairs(spark, sf), resolution=10, lat0=44.0)["ppa"]
     return out.select("pair_id", "cells", r("area_km2").alias("area_km2"))
 
 
@@ -731,7 +732,7 @@ def csv_quarantine(spark, sf):
     return points.csv_to_points(_dms_rows(spark, sf), "x", "y")[2]
 
 
-@query(f"WITH {S.ROADS} SELECT source_id, highway, count(*) + 1 AS vertices, round(sum(px), 6) AS sum_lon FROM legs WHERE highway <> 'residential' GROUP BY 1, 2")
+@query(f"WITH {S.ROADS} SELECT source_id, highway, count(*) + 1 AS vertices, round(sum(px), 6) AS sum_lon FROM legs GROUP BY 1, 2")
 def osm_ways(spark, sf):
     """The streets handed over as separate nodes and ways."""
     roads = t.roads(spark, sf).select("source_id", "highway", F.posexplode("coords").alias("i", "p"))
@@ -742,7 +743,7 @@ def osm_ways(spark, sf):
     refs = F.transform(F.sequence(F.lit(0), F.size("coords") - 1), lambda i: F.col("source_id") * 4 + i)
     ways = base.select(F.lit("way").alias("type"), F.col("source_id").alias("id"), F.lit(None).cast("double").alias("lon"), F.lit(None).cast("double").alias("lat"),
                        F.concat(refs, F.array(F.lit(-1).cast("long"))).alias("nodes"), F.create_map(F.lit("highway"), F.col("highway")).alias("tags"))
-    out = points.osm_to_roads(nodes.unionByName(ways)).filter("highway <> 'residential'")
+    out = points.osm_to_roads(nodes.unionByName(ways))
     legs = F.slice("coords", F.lit(1), F.size("coords") - 1)
     return out.select("source_id", "highway", F.size("coords").cast("long").alias("vertices"),
                       r(F.aggregate(legs, F.lit(0.0), lambda a, p: a + p["x"])).alias("sum_lon"))
