@@ -2,32 +2,69 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import written
+from chronoweave.llm.common import rows, written
+
+EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+class Union:
+    """Sets of anything that can be ordered, named by their smallest member."""
+
+    def __init__(self):
+        self.up: dict = {}
+
+    def root(self, x):
+        up = self.up
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = up[x]
+        return x
+
+    def join(self, x, y) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x == y:
+            return False
+        self.up[max(x, y)] = min(x, y)
+        return True
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a task has of the edges as stars, one edge a node; batch by batch, so a task holds no more than a batch."""
+    for batch in batches:
+        own = Union()
+        for a, b in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            own.join(a, b)
+        found = [(x, own.root(x)) for x in own.up]
+        found = [(x, y) for x, y in found if x != y]
+        yield rows(EDGES, u=[x for x, _ in found], v=[y for _, y in found])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of every node of edges (a, b).
 
-    A large star hangs a node's larger neighbours under its smallest neighbour, a small star its smaller
-    ones; minima are combined before each shuffle and a hub's rows meet one row, so no group of neighbours
-    is gathered. Every round is written, and rounds end when the edges no longer change.
+    Edges become stars in each task. Then a large star hangs a node's larger neighbours under its smallest
+    neighbour and a small star its smaller ones; minima are combined before each shuffle and a hub's rows
+    meet one row, so no group of neighbours is gathered. Every round is written; rounds end when each node
+    has one parent and no parent has one.
     """
-    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    before = None
+    ends = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v")
+    now = ends.mapInArrow(_contract, "u long, v long")
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(smallest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(smallest.select("u", F.col("m").alias("v"))))
         now = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        nodes = now.select("u").unionByName(now.select(F.col("v").alias("u")).distinct())
+        if nodes.groupBy("u").count().filter("count > 1").isEmpty():
             break
-        before = state
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

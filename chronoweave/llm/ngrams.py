@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.llm.common import mix, prefix_sums, rows, shuffle_parts, span_hashes, steps, texts, unique_in_groups, words, written
-from chronoweave.llm.components import components
+from chronoweave.llm.components import Union, components
 from chronoweave.operators.skew import fits_broadcast
 
 #: Bytes of text in a batch.
@@ -120,8 +120,9 @@ def _batch(number: int, doc_ids: np.ndarray, grams: np.ndarray, sizes: np.ndarra
         if some:
             blobs = [pack((place[bounds[i]:bounds[i + 1]] & np.uint64(0xFFFFFFFF)).astype(np.uint32), count[bounds[i]:bounds[i + 1]]) for i in some]
             yield rows(ROWS, kind=[LISTS] * len(some), key=some, batch=[number] * len(some), blob=blobs)
-    if same.any():
-        yield rows(ROWS, kind=[EDGES], key=[0], batch=[number], blob=[pack(doc_ids[heads[same]], doc_ids[order[same]])])
+    found = _bucketed(doc_ids[heads[same]], doc_ids[order[same]], lists)
+    if found:
+        yield rows(ROWS, kind=[EDGES] * len(found), key=[k for k, _ in found], batch=[number] * len(found), blob=[x for _, x in found])
 
 
 def _batches(n: int, percent: int, lists: int):
@@ -206,8 +207,7 @@ def _prefixes(percent: int, lists: int):
                 tail = np.append(head[1:] != head[:-1], True)
                 first, last = np.unique(head), np.flatnonzero(tail)
                 a, b = doc_ids[doc[head]], doc_ids[doc]
-                pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)
-                out.append((EDGES, 0, pack(pairs[:, 0].copy(), pairs[:, 1].copy())))
+                out += [(EDGES, *x) for x in _bucketed(a, b, lists)]
                 part = (place[first] >> np.uint64(32)).astype(np.int64)
                 cut = np.searchsorted(part, np.arange(lists + 1))
                 for i in np.unique(part):
@@ -217,45 +217,37 @@ def _prefixes(percent: int, lists: int):
     return run
 
 
-def _meet(percent: int):
+def _bucketed(a: np.ndarray, b: np.ndarray, lists: int) -> list[tuple[int, bytes]]:
+    """Distinct pairs (a, b) of different documents, packed by a hash of a, so that equal pairs meet wherever they were found."""
+    pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)
+    bucket = (mix(pairs[:, 0].astype(np.uint64)) % np.uint64(lists)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    pairs, bucket = pairs[order], bucket[order]
+    own, at = np.unique(bucket, return_index=True)
+    cut = np.append(at, len(bucket)).tolist()
+    return [(k, pack(pairs[x:y, 0].copy(), pairs[x:y, 1].copy())) for k, x, y in zip(own.tolist(), cut, cut[1:])]
+
+
+def _meet(percent: int, lists: int):
     def run(table: pa.Table) -> pa.Table:
         blocks = [unpack(b) for b in table.column("blob").to_pylist()]
         place, low, high, leader = (np.concatenate([b[i] for b in blocks]) for i in range(4))
         order = np.lexsort((leader, low, place))
         place, low, high, leader = place[order], low[order], high[order], leader[order]
         head = _runs(place, low, high, leader, percent)
-        a, b = leader[head], leader
-        pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)
-        return pa.Table.from_batches([rows(PAIRS, a=pairs[:, 0], b=pairs[:, 1])])
+        found = _bucketed(leader[head], leader, lists)
+        n = len(found)
+        return pa.Table.from_batches([rows(ROWS, kind=[EDGES] * n, key=[k for k, _ in found], batch=[0] * n, blob=[x for _, x in found])])
     return run
 
 
 def _pairs_of(table: DataFrame) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            for blob in batch.column("blob").to_pylist():
-                a, b = unpack(blob)
-                yield rows(PAIRS, a=a, b=b)
-    return table.filter(F.col("kind") == EDGES).select("blob").mapInArrow(run, "a long, b long")
-
-
-class Union:
-    def __init__(self, n: int):
-        self.up, self.parts = list(range(n)), n
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        if x == y:
-            return False
-        self.up[max(x, y)] = min(x, y)
-        self.parts -= 1
-        return True
+    """The distinct pairs in packed rows."""
+    def run(own: pa.Table) -> pa.Table:
+        found = [unpack(x) for x in own.column("blob").to_pylist()]
+        pairs = np.unique(np.stack([np.concatenate([f[i] for f in found]) for i in (0, 1)], 1), axis=0)
+        return pa.Table.from_batches([rows(PAIRS, a=pairs[:, 0], b=pairs[:, 1])])
+    return table.filter(F.col("kind") == EDGES).groupBy("key").applyInArrow(run, "a long, b long")
 
 
 def t_occurrence(query: np.ndarray, starts: np.ndarray, lengths: np.ndarray, members: np.ndarray, least: int, after: int, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -297,7 +289,7 @@ def search(doc_ids: list[int], sets: list[np.ndarray], percent: int) -> list[tup
             kept.append(i)
         elif doc_ids[head] != doc_ids[i]:
             out.append((doc_ids[head], doc_ids[i]))
-    union = Union(len(kept))
+    union, parts = Union(), len(kept)
     if len(kept) < 2:
         return out
     sizes = np.array([len(sets[i]) for i in kept])
@@ -308,7 +300,7 @@ def search(doc_ids: list[int], sets: list[np.ndarray], percent: int) -> list[tup
     members = owner[np.argsort(grams, kind="stable")]
     ends = np.cumsum(sizes)
     for x in range(len(kept) - 1):
-        if union.parts == 1:
+        if parts == 1:
             break
         if 100 * sizes[x] < percent * sizes[x + 1]:  # no later set is close enough in size
             continue
@@ -316,6 +308,7 @@ def search(doc_ids: list[int], sets: list[np.ndarray], percent: int) -> list[tup
         found, overlap = t_occurrence(grams[ends[x] - sizes[x]:ends[x]], starts, lengths, members, least, x, sizes)
         for y in found[100 * overlap >= percent * (sizes[x] + sizes[found] - overlap)].tolist():
             if union.join(x, y):
+                parts -= 1
                 out.append((doc_ids[kept[x]], doc_ids[kept[y]]))
     return out
 
@@ -382,8 +375,8 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     lengths = made.filter(F.col("kind") == LISTS).groupBy("key").applyInArrow(_lengths, ROWS_DDL)
     cut = made.filter(F.col("kind") == BATCH).unionByName(lengths).groupBy("batch").applyInArrow(_prefixes(percent, lists), ROWS_DDL)
     cut = written(cut, "gram-prefixes")
-    met = cut.filter(F.col("kind") == LISTS).groupBy("key").applyInArrow(_meet(percent), "a long, b long")
-    near = written(components(met.unionByName(_pairs_of(cut))), "candidates")
+    met = cut.filter(F.col("kind") == LISTS).groupBy("key").applyInArrow(_meet(percent, lists), ROWS_DDL)
+    near = written(components(_pairs_of(met.unionByName(cut.filter(F.col("kind") == EDGES)))), "candidates")
     clusters = near.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     near = near.join(clusters, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "blocks")
     near = F.broadcast(near) if fits_broadcast(near) else near
