@@ -385,11 +385,25 @@ def sheet_hulls(spark, sf):
     return prism.sheet_hulls(sheets).select("pair_id", "sheet", F.size("ring").alias("vertices"), "ring")
 
 
-@query()
+def _islands(keys: str, src: str) -> str:
+    """Overlapping spans (lo, hi) of one key as one."""
+    return f"""(SELECT {keys}, min(lo) AS a, max(hi) AS b FROM (SELECT *, sum(CASE WHEN reach + 1e-9 >= lo THEN 0 ELSE 1 END) OVER (PARTITION BY {keys} ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS part
+  FROM (SELECT *, max(hi) OVER (PARTITION BY {keys} ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT DISTINCT {keys}, lo, hi FROM {src}))) GROUP BY {keys}, part)"""
+
+
+# From an entry of A's cone to one of B's, what the delays leave of the budget is room around their middle.
+@query(f"""WITH RECURSIVE {S.PRISM},
+ways AS MATERIALIZED (SELECT l.pair_id, l.role, e.edge_id, 0e0 AS at, l.cost AS delay FROM lab l JOIN edges e ON l.node = e.u
+  UNION ALL SELECT l.pair_id, l.role, e.edge_id, 1e0, l.cost FROM lab l JOIN edges e ON l.node = e.v
+  UNION ALL SELECT pair_id, role, edge_id, fraction, 0e0 FROM snapped),
+room AS (SELECT a.pair_id, a.edge_id, (a.at + b.at) / 2 AS m, abs(a.at - b.at) AS gap, (s.budget - 60 - a.delay - b.delay + 1e-6) / e.cost_sec AS r
+  FROM ways a JOIN ways b ON b.pair_id = a.pair_id AND b.edge_id = a.edge_id AND a.role = 'A' AND b.role = 'B'
+  JOIN edges e ON e.edge_id = a.edge_id JOIN status s ON s.pair_id = a.pair_id AND s.feasible),
+spans AS (SELECT pair_id, edge_id, greatest(0, m - r / 2) AS lo, least(1, m + r / 2) AS hi FROM room WHERE r >= gap AND least(1, m + r / 2) - greatest(0, m - r / 2) >= 1e-9)
+SELECT pair_id, edge_id, round(a, 6) AS a, round(b, 6) AS b FROM {_islands('pair_id, edge_id', 'spans')}""")
 def road_prism_exact(spark, sf):
-    """Feasible spans of each edge, snap lines included (closed forms in the tests)."""
     out = _road_prism(spark, sf, resolution=10, exact=True)["ppa_roads"]
-    return out.select("pair_id", "edge_id", F.inline("spans"))
+    return out.select("pair_id", "edge_id", F.inline("spans")).select("pair_id", "edge_id", r("a").alias("a"), r("b").alias("b"))
 
 
 def _trips_track(spark, sf):
@@ -444,9 +458,22 @@ def origin_reach(spark, sf):
     return out.select("pair_id", F.col("origin_id.cluster").alias("cluster"), "reachable", r("reachable_length_m", 3).alias("reachable_length_m"), r("snap_distance_m", 4).alias("snap_distance_m"))
 
 
-@query()
+_AT = "list_min(list_transform(ways, lambda w: w.delay + c * abs({s} - w.at)))"
+
+
+@query(f"""WITH RECURSIVE {_ORIGINS},
+w0 AS (SELECT *, list_filter([{{'at': 0e0, 'delay': du}}, {{'at': 1e0, 'delay': dv}}, {{'at': f, 'delay': CASE WHEN f IS NOT NULL THEN 0e0 END}}], lambda w: w.delay IS NOT NULL) AS ways FROM t1),
+w1 AS (SELECT point_id, edge_id, c, unnest(ways) AS w FROM w0),
+parts AS (SELECT point_id, edge_id, greatest(0, w.at - (90 - w.delay) / c) AS lo, least(1, w.at + (90 - w.delay) / c) AS hi FROM w1 WHERE w.delay <= 90),
+spans1 AS (SELECT * FROM parts WHERE hi - lo >= 1e-9),
+met AS (SELECT i.*, c, ways, list_transform(ways, lambda w: greatest(a, least(b, w.at))) AS near,
+  list_filter(flatten(list_transform(ways, lambda p: list_transform(ways, lambda q: (p.at + q.at) / 2 + (q.delay - p.delay) / (2 * c)))), lambda m: m > a AND m < b) AS peaks
+  FROM {_islands('point_id, edge_id', 'spans1')} i JOIN w0 USING (point_id, edge_id)),
+timed AS (SELECT *, list_min(list_transform(near, lambda s: {_AT.format(s='s')})) AS lo_t, list_max(list_transform(list_concat([a, b], peaks), lambda s: {_AT.format(s='s')})) AS hi_t FROM met)
+SELECT o.pair_id, o.point_id AS cluster, edge_id, round(a, 4) AS a, round(b, 4) AS b, round(lo_t, 4) AS travel_sec_min, round(hi_t, 4) AS travel_sec_max,
+  round(240 - 2 * hi_t, 4) AS activity_sec_min, round(240 - 2 * lo_t, 4) AS activity_sec_max FROM timed JOIN o USING (point_id) WHERE 240 - 2 * hi_t + 1e-6 >= 60""")
 def origin_road_pieces(spark, sf):
-    """Reachable pieces of each sampled fix with travel and activity times (closed forms in the tests)."""
+    """Reachable pieces of each fix with travel and activity times."""
     out = _origin_areas(spark, sf)["ppa_roads"]
     return out.select("origin_id.*", "edge_id", *[r(c, 4).alias(c) for c in ("a", "b", "travel_sec_min", "travel_sec_max", "activity_sec_min", "activity_sec_max")])
 
@@ -679,18 +706,56 @@ def segment_areas(spark, sf):
     return out.select("user_id", F.col("segment_index").cast("long").alias("segment_index"), "budget_s", "fallback")
 
 
-@query()
+def _ring_point(i: str) -> str:
+    """A corner of a segment's area: on an ellipse around both fixes, or on the half circles at its ends."""
+    oval = "{{'x': (x + nx) / 2 + string / 2 * cos({a}) * ux - short * sin({a}) * uy, 'y': (y + ny) / 2 + string / 2 * cos({a}) * uy + short * sin({a}) * ux}}".format(a=f"(({i}) * 2 * pi() / 64)")
+    return oval
+
+
+def _capsule_point(i: str) -> str:
+    turn = f"atan2(ny - y, nx - x) + CASE WHEN ({i}) <= 16 THEN -pi() / 2 + ({i}) * pi() / 16 ELSE pi() / 2 + (({i}) - 17) * pi() / 16 END"
+    return f"{{'x': CASE WHEN ({i}) <= 16 THEN nx ELSE x END + 100e0 * cos({turn}), 'y': CASE WHEN ({i}) <= 16 THEN ny ELSE y END + 100e0 * sin({turn})}}"
+
+
+def _corridor_sql(keep: str) -> str:
+    """Road pieces inside every segment's area: each side of the ring cuts the road's line, the piece is what all sides leave."""
+    return f"""{S.EDGES}, {_TRACK}, {S.utm('tm', 'track', [('lon', 'lat', 'x', 'y')])},
+n0 AS (SELECT user_id, point_id, t_ms, x, y, row_number() OVER w - 1 AS segment_index, (lead(t_ms) OVER w - t_ms) / 1000e0 AS budget_s, lead(x) OVER w AS nx, lead(y) OVER w AS ny
+  FROM tm WINDOW w AS (PARTITION BY user_id ORDER BY t_ms, point_id)),
+n1 AS (SELECT *, sqrt(pow(nx - x, 2) + pow(ny - y, 2)) AS gap, budget_s * {5 / 3.6!r} AS string FROM n0 WHERE nx IS NOT NULL AND {keep}),
+n2 AS (SELECT *, CASE WHEN gap > 0 THEN (nx - x) / gap ELSE 1 END AS ux, CASE WHEN gap > 0 THEN (ny - y) / gap ELSE 0 END AS uy, sqrt(greatest(0, (string - gap) * (string + gap))) / 2 AS short FROM n1),
+n3 AS (SELECT *, CASE WHEN string >= gap THEN list_transform(range(0, 64), lambda i: {_ring_point('i')}) ELSE list_transform(range(0, 34), lambda i: {_capsule_point('i')}) END AS ring FROM n2),
+n4 AS (SELECT *, list_transform(ring, lambda p, i: {{'x': p.x, 'y': p.y, 'dx': ring[i % len(ring) + 1].x - p.x, 'dy': ring[i % len(ring) + 1].y - p.y}}) AS sides,
+  list_min(list_transform(ring, lambda p: p.x)) AS bx0, list_max(list_transform(ring, lambda p: p.x)) AS bx1, list_min(list_transform(ring, lambda p: p.y)) AS by0, list_max(list_transform(ring, lambda p: p.y)) AS by1 FROM n3),
+allroads AS (SELECT edge_id, x0, y0, x1, y1 FROM (SELECT * FROM legs_m WHERE sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) >= 0.01)),
+hit AS (SELECT n4.user_id, segment_index, point_id, t_ms, e.edge_id, e.x0, e.y0, e.x1, e.y1, list_transform(sides, lambda d: {{'at': d.dx * (e.y0 - d.y) - d.dy * (e.x0 - d.x), 'go': d.dx * (e.y1 - e.y0) - d.dy * (e.x1 - e.x0)}}) AS cuts
+  FROM n4 JOIN allroads e ON least(e.x0, e.x1) <= bx1 AND greatest(e.x0, e.x1) >= bx0 AND least(e.y0, e.y1) <= by1 AND greatest(e.y0, e.y1) >= by0),
+cut AS (SELECT *, greatest(0e0, coalesce(list_max(list_transform(list_filter(cuts, lambda c: c.go > 0), lambda c: -c.at / c.go)), 0e0)) AS a,
+  least(1e0, coalesce(list_min(list_transform(list_filter(cuts, lambda c: c.go < 0), lambda c: -c.at / c.go)), 1e0)) AS b,
+  len(list_filter(cuts, lambda c: c.go = 0 AND c.at < 0)) AS outside FROM hit),
+pieces AS (SELECT * FROM cut WHERE outside = 0 AND b > a + 1e-12)"""
+
+
+@query(f"""WITH {_corridor_sql('budget_s > 0')} SELECT user_id, segment_index, edge_id, round(a, 6) AS a, round(b, 6) AS b FROM pieces""")
 def corridor_roads(spark, sf):
-    """Road pieces inside each segment's area (checked against dense sampling in the tests)."""
     out = JOBS["corridor"](_trips_track(spark, sf), t.roads(spark, sf), zone=t.ZONE)["road_pieces"]
-    return out.select("user_id", "segment_index", "edge_id", r("a").alias("a"), r("b").alias("b"), r("lon0").alias("lon0"), r("lat0").alias("lat0"))
+    return out.select("user_id", F.col("segment_index").cast("long").alias("segment_index"), "edge_id", r("a").alias("a"), r("b").alias("b"))
 
 
-@query()
+@query(f"""WITH {_corridor_sql('true')}, lo AS (SELECT user_id, edge_id, a AS lo, b AS hi FROM pieces),
+whole AS (SELECT i.*, x0 + (a + b) / 2 * (x1 - x0) AS mx, y0 + (a + b) / 2 * (y1 - y0) AS my FROM {_islands('user_id, edge_id', 'lo')} i JOIN allroads USING (edge_id)),
+d AS (SELECT w.user_id, w.edge_id, a, b, f.point_id, f.t_ms, pow(f.x - mx, 2) + pow(f.y - my, 2) AS d2 FROM whole w JOIN tm f USING (user_id))
+SELECT user_id, edge_id, round(a, 6) AS a, round(b, 6) AS b, round(sqrt(min(d2)), 4) AS away_m FROM d GROUP BY user_id, edge_id, a, b""")
 def corridor_union(spark, sf):
-    """Each road of a user's corridor once, with the time of the nearest fix."""
-    out = JOBS["corridor"](_trips_track(spark, sf), t.roads(spark, sf), zone=t.ZONE, merge=True)["road_pieces"]
-    return out.select("user_id", "edge_id", "part", r("a").alias("a"), r("b").alias("b"), "fix_id", "timestamp_ms")
+    """Each road of a user's corridor once, with how far the nearest fix is."""
+    from chronoweave.functions.geo import with_utm
+    track = _trips_track(spark, sf)
+    out = JOBS["corridor"](track, t.roads(spark, sf), zone=t.ZONE, merge=True)["road_pieces"]
+    fixes = with_utm(track, [("lon", "lat", "fx", "fy")], t.ZONE).select("user_id", F.col("point_id").alias("fix_id"), F.col("t_ms").alias("timestamp_ms"), "fx", "fy")
+    mid = (F.col("a") + F.col("b")) / 2
+    away = F.hypot(F.col("x0") + mid * (F.col("x1") - F.col("x0")) - F.col("fx"), F.col("y0") + mid * (F.col("y1") - F.col("y0")) - F.col("fy"))
+    # the fix that the job names, with its time
+    return out.join(fixes, ["user_id", "fix_id", "timestamp_ms"]).select("user_id", "edge_id", r("a").alias("a"), r("b").alias("b"), r(away, 4).alias("away_m"))
 
 
 # ================================================================ input and output
