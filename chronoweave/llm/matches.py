@@ -61,10 +61,10 @@ def match_starts(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class Matches:
-    """Encodes lists of texts; ``encode`` gives the ids of many strings, each taken as a whole text."""
+    """Encodes lists of texts; ``encode`` gives the ids of many whole texts, ``encode_matches`` those of single matches."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], encode_matches: Callable[[list[str]], list[list[int]]] | None = None):
+        self.encode, self.encode_matches = encode, encode_matches or encode
         self._clear()
 
     def _clear(self) -> None:
@@ -78,7 +78,7 @@ class Matches:
             self._clear()
         new = [i for i, k in enumerate(keys) if k not in self.known]
         if new:
-            found = self.encode([sample[i] for i in new])
+            found = self.encode_matches([sample[i] for i in new])
             at = len(self.offsets) - 1
             for j, i in enumerate(new):
                 self.known[keys[i]] = at + j
@@ -90,10 +90,8 @@ class Matches:
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of each text."""
         far = [i for i, t in enumerate(texts) if not t.isascii() and _far.search(t)]
-        near = texts if not far else [("" if i in set(far) else t) for i, t in enumerate(texts)] if len(far) < 8 else None
-        if near is None:
-            skip = set(far)
-            near = ["" if i in skip else t for i, t in enumerate(texts)]
+        skip = set(far)
+        near = ["" if i in skip else t for i, t in enumerate(texts)] if far else texts
         ids, sizes = self._near(near)
         if not far:
             return ids, sizes

@@ -116,6 +116,13 @@ class WaveletMatrix:
         return out
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter that byte-level vocabularies write for each byte: printable ones themselves, others from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return dict(zip(own, own, strict=True)) | {b: 256 + i for i, b in enumerate(rest)}
+
+
 SHARDS = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.binary()), ("sizes", pa.binary()), ("matrix", pa.binary())])
 
 
@@ -126,7 +133,9 @@ def _write(path: str, end_id: int):
 
         library = Tokenizer.from_file(path)
         library.encode_special_tokens = True
-        matches = Matches(lambda many: [x.ids for x in library.encode_batch_fast(many, add_special_tokens=False)])
+        model, spelled = library.model, str.maketrans(byte_letters())
+        matches = Matches(lambda many: [x.ids for x in library.encode_batch_fast(many, add_special_tokens=False)],
+                          lambda many: [[t.id for t in model.tokenize(m.encode().decode("latin-1").translate(spelled))] for m in many])
         bits = max(1, (max(library.get_vocab_size(), end_id + 1) - 1).bit_length())
         part, seq, before, held, held_ids = TaskContext.get().partitionId(), 0, 0, [], 0
 
