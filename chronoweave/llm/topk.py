@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from chronoweave.llm.blocks import best_of, nearest, usable
 
 #: Shares of each list read by the end of a round.
-ROUNDS = (1 / 16, 1 / 4, 1 / 2, 3 / 4, 1.0)
+ROUNDS = (1 / 8, 1 / 2, 7 / 8, 1.0)
 
 
 def ranks(vectors: np.ndarray) -> dict[str, bytes]:
@@ -20,45 +20,49 @@ def ranks(vectors: np.ndarray) -> dict[str, bytes]:
     return {"places": place.tobytes()}
 
 
-def search_one(query: np.ndarray, vectors: np.ndarray, places: np.ndarray, ordered: np.ndarray, alive: np.ndarray, k: int) -> np.ndarray:
-    """Rows that may be among the k best: lists are read from their good end, round by round.
+def search_block(queries: np.ndarray, vectors: np.ndarray, places: np.ndarray, barred: np.ndarray, k: int) -> np.ndarray:
+    """Which vectors may be among the k best of each query: lists are read from their good end, round by round.
 
-    A vector's score so far, plus for each unread component the worst or the best value that its list
-    can still hold, bounds its score. A round drops the vectors whose upper bound is below the k-th
-    lower bound; reading stops once no more than 2 k are left, or all is read.
+    A positive component of a query reads its list from the largest value, a negative one from the smallest.
+    A vector's score so far, plus for each unread component the worst or the best value that its list can
+    still hold, bounds its score; for all queries of a block these are two products each with what was read from
+    either end. A round drops the vectors whose upper bound is below the k-th lower bound; a query stops
+    once no more than 2 k are left, or all is read. ``barred``: a query's own rows.
     """
     n = len(vectors)
-    use = np.flatnonzero(query)
-    if not len(use):
+    alive = ~barred
+    if n <= 2 * k:
         return alive
-    up = query[use] > 0
-    weight = query[use]
-    low = np.where(up, ordered[-1, use], ordered[0, use]) * weight
+    ordered = np.take_along_axis(vectors, np.argsort(places, axis=0), axis=0).astype(np.float64)
+    exact = vectors.astype(np.float64)
+    plus, minus = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
+    # of sums beyond 53 bits
+    slack = (np.abs(queries).astype(np.float64) @ np.abs(exact).max(0)) * 2.0**-44
+    slack[slack < 2.0**8] = 0
+    open_ = np.arange(len(queries))
     for share in ROUNDS:
-        if len(alive) <= 2 * k:
-            break
         depth = max(1, int(n * share))
-        place = places[np.ix_(alive, use)]
-        seen = np.where(up, place, n - 1 - place) < depth
-        next_value = np.where(up, ordered[min(depth, n - 1), use], ordered[max(n - 1 - depth, 0), use]) * weight
-        known = vectors[np.ix_(alive, use)] * weight
-        lower = np.where(seen, known, low).sum(1)
-        upper = np.where(seen, known, next_value).sum(1)
-        floor = np.partition(lower, len(lower) - k)[len(lower) - k]
-        alive = alive[upper >= floor]
+        from_top, from_end = places < depth, n - 1 - places < depth
+        up, down = plus[open_], minus[open_]
+
+        def bound(unread_top, unread_end):
+            return up @ np.where(from_top, exact, unread_top).T + down @ np.where(from_end, exact, unread_end).T  # noqa: B023
+
+        lower = bound(ordered[-1], ordered[0])
+        lower[~alive[open_]] = -np.inf
+        floor = np.partition(lower, n - k, axis=1)[:, n - k]
+        upper = bound(ordered[min(depth, n - 1)], ordered[max(n - 1 - depth, 0)])
+        alive[open_] &= upper >= (floor - 2 * slack[open_])[:, None]
+        open_ = open_[alive[open_].sum(1) > 2 * k]
+        if not len(open_):
+            break
     return alive
 
 
 def search(k: int):
     def pair(query_ids, queries, ids, vectors, row):
         places = np.frombuffer(row["places"], np.int32).reshape(vectors.shape)
-        ordered = np.take_along_axis(vectors, np.argsort(places, axis=0), axis=0)
-        i, j = [], []
-        for at, (own, query) in enumerate(zip(query_ids, queries, strict=True)):
-            left = search_one(query, vectors, places, ordered, np.flatnonzero(ids != own), k)
-            i.append(np.full(len(left), at))
-            j.append(left)
-        i, j = np.concatenate(i), np.concatenate(j)
+        i, j = np.nonzero(search_block(queries, vectors, places, query_ids[:, None] == ids[None, :], k))
         score = np.empty(len(i), np.int64)  # the final scores of those that are left
         for a in range(0, len(i), 1 << 15):
             score[a:a + (1 << 15)] = (queries[i[a:a + (1 << 15)]] * vectors[j[a:a + (1 << 15)]]).sum(1)

@@ -144,10 +144,12 @@ def test_sorted_lists_keep_the_best():
     r = random.Random(4)
     v = np.array([[r.randint(-40, 40) for _ in range(6)] for _ in range(300)], np.int64)
     places = np.frombuffer(topk.ranks(v)["places"], np.int32).reshape(v.shape)
-    ordered = -np.sort(-v, axis=0)
-    for i in range(0, 300, 10):
-        alive = np.flatnonzero(np.arange(300) != i)
-        left = topk.search_one(v[i], v, places, ordered, alive, 5)
-        best = sorted(alive.tolist(), key=lambda j: (-int(v[i] @ v[j]), j))[:5]
-        assert set(best) <= set(left.tolist())
-    assert len(topk.search_one(np.zeros(6, np.int64), v, places, ordered, alive, 5)) == 299
+    queries = np.arange(0, 300, 10)
+    barred = queries[:, None] == np.arange(300)[None, :]
+    for scale in (1, 1 << 24):
+        left = topk.search_block(v[queries] * scale, v * scale, places, barred, 5)
+        for row, i in enumerate(queries):
+            best = sorted((j for j in range(300) if j != i), key=lambda j: (-int(v[i] @ v[j]), j))[:5]
+            assert set(best) <= set(np.flatnonzero(left[row])) and not left[row, i]
+        assert left.sum(1).mean() < 60
+    assert topk.search_block(np.zeros((1, 6), np.int64), v, places, barred[:1], 5).sum() == 299
