@@ -10,6 +10,7 @@ from chronoweave.functions.lens import clip_to_ring
 from chronoweave.operators.nearest import nearest
 from chronoweave.operators.sequence import Timeline
 from chronoweave.operators.skew import lookup_join
+from chronoweave.session import ship_package
 
 
 def segment_ppas(traj: DataFrame, speed_ms: float, zone: int, south: bool = False, corridor_m: float = 100.0,
@@ -43,6 +44,7 @@ def clip_roads(ppas: DataFrame, edges: DataFrame, cell_m: float = 500.0, hot_row
     Both sides are listed in the grid cells their boxes cover; a pair sharing several cells is
     taken only in the cell holding the low corner of the boxes' overlap.
     """
+    ship_package(ppas.sparkSession)
     b = ring_bounds(F.col("ring"))
     left = ppas.withColumn("_b", b).withColumns(_cells(F.col("_b.x0"), F.col("_b.y0"), F.col("_b.x1"), F.col("_b.y1"), cell_m))
     left = left.withColumn("_cx", F.explode("_cxs")).withColumn("_cy", F.explode("_cys")).drop("_cxs", "_cys")

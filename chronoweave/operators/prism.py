@@ -14,7 +14,7 @@ from chronoweave.functions.lens import circle_overlap
 from chronoweave.operators.network import relax
 from chronoweave.operators.sequence import Timeline
 from chronoweave.operators.skew import lookup_join, spread
-from chronoweave.session import cut_lineage
+from chronoweave.session import cut_lineage, ship_package
 
 
 def normalise_anchors(pairs: DataFrame, duration_min: float = 0.0, now_ms: int | None = None) -> DataFrame:
@@ -67,6 +67,7 @@ def euclid_slices(pairs: DataFrame, speed_ms: float, n: int = 15, steps: int = 4
 
     ``ring`` is the region's outline. Slices where the circles do not meet are left out.
     """
+    ship_package(pairs.sparkSession)
     s = spread(pairs.filter("feasible")).withColumn("slice", F.explode(F.sequence(F.lit(1), F.lit(n - 1))))
     frac = F.col("slice") / n
     s = s.withColumns({"time_progress": frac, "timestamp_ms": F.col("a_ms") + frac * (F.col("b_ms") - F.col("a_ms")),
@@ -219,6 +220,7 @@ def sheet_hulls(sheets: DataFrame, keys: list[str] | None = None) -> DataFrame:
     Points are spread over parts of bounded size; each part keeps only its own outline, and the
     parts are merged until one is left. Only outline points survive a pass.
     """
+    ship_package(sheets.sparkSession)
     keys = keys or ["pair_id", "sheet"]
     ends = F.array(F.struct(F.col("lon0").alias("x"), F.col("lat0").alias("y")), F.struct(F.col("lon1").alias("x"), F.col("lat1").alias("y")))
     points = cut_lineage(sheets.select(*keys, F.inline(ends)).distinct())

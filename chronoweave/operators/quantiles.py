@@ -34,39 +34,41 @@ def exact_quantiles(df: DataFrame, value: Column, probs: list[float]) -> list[fl
 
 
 def _order_statistics(values: DataFrame, ranks: list[int], n: int, lo: float, hi: float) -> dict[int, float]:
-    """Value at each zero-based rank. Intervals are (lo, hi, rows below, rows inside)."""
+    """Value at each zero-based rank. Spans are (lo, hi, rows below, rows inside) and do not overlap; every level reads the
+    values once, whatever the number of spans: short ones are fetched, the others counted by bins."""
     found: dict[int, float] = {}
     open_ranks = {r: (lo, hi, 0, n) for r in ranks}
+    v = F.col("v")
     while open_ranks:
         for r, (a, b, _, _) in list(open_ranks.items()):
             if a == b:
                 found[r] = a
                 del open_ranks[r]
-        spans = sorted(set(open_ranks.values()))
-        small, budget = [], FETCH
-        for s in spans:
+        spans, small, budget = sorted(set(open_ranks.values())), set(), FETCH
+        for i, s in enumerate(spans):
             if s[3] <= budget:
-                small.append(s)
+                small.add(i)
                 budget -= s[3]
-        for a, b, below, _ in small:
-            got = sorted(row.v for row in values.filter((F.col("v") >= a) & (F.col("v") <= b)).collect())
-            for r in [r for r, s in open_ranks.items() if s[0] == a and s[1] == b]:
-                found[r] = got[r - below]
-                del open_ranks[r]
-        for span in [s for s in spans if s not in small]:
-            a, b, below, _ = span
-            width = (b - a) / BINS
-            if width <= 0 or a + width == a:
-                width = b - a
-            bin_no = F.least(F.lit(BINS - 1), F.floor((F.col("v") - a) / width))
-            bins = (values.filter((F.col("v") >= a) & (F.col("v") <= b)).groupBy(bin_no.alias("bin"))
-                    .agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-                    .orderBy("bin").collect())
-            for r in [r for r, s in open_ranks.items() if s == span]:
-                seen = below
-                for row in bins:
-                    if r < seen + row["n"]:
-                        open_ranks[r] = (row["lo"], row["hi"], seen, row["n"])
-                        break
-                    seen += row["n"]
+        if not spans:
+            break
+        which, width = F.lit(None).cast("int"), F.lit(None).cast("double")
+        for i, (a, b, _, _) in enumerate(spans):
+            step = (b - a) / BINS
+            inside = v.between(a, b)
+            which = F.when(inside, F.lit(i)).otherwise(which)
+            # a short span's values are bins of their own
+            bin_no = v if i in small else F.least(F.lit(BINS - 1), F.floor((v - a) / (step if step > 0 and a + step != a else b - a)))
+            width = F.when(inside, bin_no.cast("double")).otherwise(width)
+        bins = (values.select("v", which.alias("span"), width.alias("bin")).filter("span is not null").groupBy("span", "bin")
+                .agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("span", "bin").collect())
+        of: dict[int, list] = {}
+        for row in bins:
+            of.setdefault(row["span"], []).append(row)
+        for r, s in list(open_ranks.items()):
+            seen = s[2]
+            for row in of[spans.index(s)]:
+                if r < seen + row["n"]:
+                    open_ranks[r] = (row["lo"], row["hi"], seen, row["n"])
+                    break
+                seen += row["n"]
     return found
