@@ -61,6 +61,16 @@ def test_haversine_and_utm_roundtrip(spark):
     assert next(r for r in out if r.lon == -81.0).x == pytest.approx(500000.0, abs=1e-6)
 
 
+def test_utm_control_points(spark):
+    """The tower in Toronto at its published grid position, and its mirror image in the south."""
+    lat, lon = 43 + 38 / 60 + 33.24 / 3600, -(79 + 23 / 60 + 13.7 / 3600)
+    df = spark.createDataFrame([(lon, lat), (lon, -lat)], "lon double, lat double")
+    north = geo.with_utm(df, [("lon", "lat", "x", "y")], 17).collect()
+    assert (north[0].x, north[0].y) == (pytest.approx(630084, abs=1), pytest.approx(4833438, abs=1))
+    south = geo.with_utm(df, [("lon", "lat", "x", "y")], 17, True).collect()
+    assert (south[1].x, south[1].y) == (pytest.approx(630084, abs=1), pytest.approx(10_000_000 - 4833438, abs=1))
+
+
 def test_ring_lonlat_matches_columns(spark):
     df = spark.createDataFrame([(630000.0, 4835000.0)], "x double, y double")
     a = geo.with_lonlat(df, [("x", "y", "lon", "lat")], 17).first()

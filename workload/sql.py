@@ -9,6 +9,14 @@ from chronoweave.functions.hexgrid import edge_length_m
 from workload.tables import ENV, EPISODES, PAIRS, ROADS, TRAJ, ZONE  # noqa: F401
 
 
+# WGS 84 third flattening, rectifying radius and transverse Mercator series as published (Karney 2011),
+# on purpose not taken from the library they check.
+THIRD_FLATTENING = 1.67922038638370426e-3
+RECTIFYING_RADIUS = 6367449.145823415
+SERIES = (8.3773182062446983e-4, 7.608527773572489e-7, 1.197645503242492e-9, 2.4291706803973131e-12)
+SCALE = 0.9996
+
+
 def haversine(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
     return (f"(2 * 6371000e0 * asin(sqrt(least(1e0, pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * "
             f"cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)))))")
@@ -16,14 +24,14 @@ def haversine(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
 
 def utm(name: str, src: str, quads: list[tuple[str, str, str, str]], zone: int = ZONE) -> str:
     """CTEs adding metre columns to ``src`` under ``name``."""
-    e = 2 * math.sqrt(geo._N) / (1 + geo._N)
-    k = geo._K0 * geo._RECT
+    e = 2 * math.sqrt(THIRD_FLATTENING) / (1 + THIRD_FLATTENING)
+    k = SCALE * RECTIFYING_RADIUS
     a = ", ".join(f"radians({lon}) - radians({zone * 6 - 183}) AS _l{i}, sinh(atanh(sin(radians({lat}))) - {e!r} * atanh({e!r} * sin(radians({lat})))) AS _t{i}"
                   for i, (lon, lat, _, _) in enumerate(quads))
     b = ", ".join(f"atan2(_t{i}, cos(_l{i})) AS _xi{i}, atanh(sin(_l{i}) / sqrt(1 + _t{i} * _t{i})) AS _et{i}" for i in range(len(quads)))
     c = ", ".join(
-        f"5e5 + {k!r} * (_et{i}" + "".join(f" + {v!r} * cos({2 * j} * _xi{i}) * sinh({2 * j} * _et{i})" for j, v in enumerate(geo.ALPHA, 1)) + f") AS {x}, "
-        f"{k!r} * (_xi{i}" + "".join(f" + {v!r} * sin({2 * j} * _xi{i}) * cosh({2 * j} * _et{i})" for j, v in enumerate(geo.ALPHA, 1)) + f") AS {y}"
+        f"5e5 + {k!r} * (_et{i}" + "".join(f" + {v!r} * cos({2 * j} * _xi{i}) * sinh({2 * j} * _et{i})" for j, v in enumerate(SERIES, 1)) + f") AS {x}, "
+        f"{k!r} * (_xi{i}" + "".join(f" + {v!r} * sin({2 * j} * _xi{i}) * cosh({2 * j} * _et{i})" for j, v in enumerate(SERIES, 1)) + f") AS {y}"
         for i, (_, _, x, y) in enumerate(quads))
     return f"{name}_a AS (SELECT *, {a} FROM {src}), {name}_b AS (SELECT *, {b} FROM {name}_a), {name} AS (SELECT *, {c} FROM {name}_b)"
 

@@ -96,20 +96,6 @@ legs AS (
     ([NULL,'50','30 mph','40 km/h','','walk','4'])[p_size % 7 + 1] AS maxspeed, px, py, qx, qy FROM legs0)"""
 
 
-def utm_sql(lon: str, lat: str, zone: int = ZONE) -> tuple[str, str]:
-    """Easting and northing expressions."""
-    from chronoweave.functions import geo
-
-    e = 2 * geo._N**0.5 / (1 + geo._N)
-    lam = f"(radians({lon}) - radians({zone * 6 - 183}))"
-    t = f"sinh(atanh(sin(radians({lat}))) - {e!r} * atanh({e!r} * sin(radians({lat}))))"
-    xi, eta = f"atan2({t}, cos({lam}))", f"atanh(sin({lam}) / sqrt(1 + pow({t}, 2)))"
-    east = " + ".join([eta] + [f"{a!r} * cos({2 * j} * {xi}) * sinh({2 * j} * {eta})" for j, a in enumerate(geo.ALPHA, 1)])
-    north = " + ".join([xi] + [f"{a!r} * sin({2 * j} * {xi}) * cosh({2 * j} * {eta})" for j, a in enumerate(geo.ALPHA, 1)])
-    k = geo._K0 * geo._RECT
-    return f"(5e5 + {k!r} * ({east}))", f"({k!r} * ({north}))"
-
-
 def lattice_rows(spark: SparkSession, sf_dir: str) -> int:
     return table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0] // LATTICE_COLS
 
