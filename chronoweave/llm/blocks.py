@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import rows, shuffle_parts, written
-from chronoweave.session import ship_package
+from chronoweave.llm.common import rows, shuffle_parts, workers, written
 
 #: Vectors of a block, and queries of a block: what one step of a task holds.
 BLOCK = 4096
@@ -23,7 +22,7 @@ def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
 
     Rows that repeat a vec_id count once, with the smallest of their vectors.
     """
-    ship_package(vectors.sparkSession)
+    workers(vectors.sparkSession)
     x = F.col(column)
     fine = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf")))
     own = vectors.filter(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), x.cast("array<double>").alias("vec"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from chronoweave.session import ensure_checkpoint_dir, ship_package
 
 #: Bytes of text that one vectorised step takes; a longer document is a step of its own.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 20
 
 _names = itertools.count()
 
@@ -23,12 +23,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def workers(spark: SparkSession) -> None:
+    """Prepare the session for work in Python: the package sent, and batches of a few MB, of which a task holds several."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (null: empty), and the columns asked for, whatever else the table has.
 
     Rows without a doc_id are no documents and are left out.
     """
-    ship_package(docs.sparkSession)
+    workers(docs.sparkSession)
     return (docs.filter(F.col("doc_id").isNotNull())
             .select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more))
 
@@ -38,6 +44,12 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+def low_hashes(order, wanted: int, count):
+    """Whether a 64-bit hash is among the lowest that hold about half as many again as the rows wanted of ``count``."""
+    share = F.least(F.lit(1.0), F.lit(1.5 * wanted) / F.greatest(count, F.lit(1)))
+    return order.cast("double") <= (share * 2 - 1) * F.lit(float(1 << 63))
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder in the shared checkpoint folder of the session."""
     ensure_checkpoint_dir(spark)

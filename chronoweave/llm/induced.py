@@ -63,8 +63,12 @@ class Shard:
         rises = np.append(text[change[:-1]] < text[change[:-1] + 1], True)
         self.small = np.repeat(rises, runs)  # S-type
         self.seeds = (np.flatnonzero(self.small[1:] & ~self.small[:-1]) + 1).astype(np.int32)
-        wide = np.append(text, np.zeros(CAP + 8, text.dtype)).astype(np.uint64)
-        self.words = wide[:-3] | wide[1:-2] << np.uint64(16) | wide[2:-1] << np.uint64(32) | wide[3:] << np.uint64(48)
+        # the four characters from each place on, in one number
+        wide = np.append(text, np.zeros(CAP + 8, text.dtype))
+        self.words = wide[3:].astype(np.uint64)
+        for part in (wide[2:-1], wide[1:-2], wide[:-3]):
+            self.words <<= np.uint64(16)
+            self.words |= part
 
     def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Common prefixes of suffixes, compared four characters at a time."""

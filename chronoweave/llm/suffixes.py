@@ -32,13 +32,15 @@ from chronoweave.llm.ngrams import groups, pack, unpack
 LENGTH = CAP
 GRAM = 32
 #: Bytes of text in a batch, and of a piece of a longer text.
-BATCH_BYTES = 1 << 24
+BATCH_BYTES = 1 << 22
 PIECE = 1 << 22
+#: Bytes of text that are hashed at once.
+STEP = 1 << 18
 #: Different segments of one anchor that a batch sends on as hashes, and that one shard takes.
 SENT = 64
 HOT = 20_000
 #: Bytes of a shard, beyond which the next group of an anchor starts another.
-SHARD_BYTES = 1 << 21
+SHARD_BYTES = 1 << 20
 
 ROWS = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("blob", pa.binary())])
 ROWS_DDL = "kind int, key long, doc_id long, mark long, blob binary"
@@ -58,11 +60,12 @@ def anchors(data: np.ndarray, begins: np.ndarray, gram: int = GRAM, length: int
     # least key of each window: of the rest of its block and of the start of the next
     pad = -len(keys) % width
     blocks = np.append(keys, np.full(pad, ~np.uint64(0))).reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     windows = n - length + 1
-    least = np.minimum(behind[:windows], ahead[width - 1:width - 1 + windows])
-    place = (least & np.uint64(0xFFFFFF)).astype(np.int64)
+    least = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()[:windows]
+    np.minimum.accumulate(blocks, axis=1, out=blocks)
+    least = np.minimum(least, blocks.ravel()[width - 1:width - 1 + windows])
+    place = (least & np.uint64(0xFFFFFF)).astype(np.int32)
+    del blocks, keys, least
     sizes = np.diff(begins)
     whole = np.maximum(sizes - length + 1, 0)
     at = np.arange(int(whole.sum())) + np.repeat(begins[:-1] - (np.cumsum(whole) - whole), whole)
@@ -141,7 +144,8 @@ def _batch(doc_ids: np.ndarray, marks: np.ndarray, doc, start, size, anchor, seg
     yield from _want_rows(doc_ids, marks, rank[often], start[often], size[often], anchor[often], salt)
     send = ~often | new
     rank, start, size, anchor, segment, often = rank[send], start[send], size[send], anchor[send], segment[send], often[send]
-    part = ((anchor >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    # anchors are minima, so their own high bits are small
+    part = ((mix(anchor) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
     order = np.lexsort((start, rank, part))
     cut = np.searchsorted(part[order], np.arange(parts + 1))
     keys, blobs = [], []
@@ -165,7 +169,7 @@ def _hashes(parts: int, sent: int):
 
         for batch in batches:
             doc_ids, marks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "mark"))
-            for first, end, many in steps(batch, "text"):
+            for first, end, many in steps(batch, "text", STEP):
                 # a long text in pieces that overlap by one byte less than a string
                 cuts = [(i, a) for i, p in enumerate(many) for a in (range(0, max(1, len(p) - LENGTH + 1), PIECE) if len(p) > PIECE else (0,))]
                 for g in range(0, len(cuts), len(cuts) if len(many) > 1 else 1):
@@ -325,7 +329,7 @@ def covered(docs: DataFrame, sent: int = SENT, hot: int = HOT) -> tuple[DataFram
     """The texts dealt out by doc_id, and the runs of bytes that each must lose: kind, key, doc_id, mark, blob."""
     parts = shuffle_parts(docs.sparkSession)
     own = texts(docs).withColumn("mark", F.xxhash64("text"))
-    hashes = own.mapInArrow(_hashes(parts, sent), ROWS_DDL)
+    hashes = own.mapInArrow(_hashes(2 * parts, sent), ROWS_DDL)
     # what a batch knows for itself passes through the exchange with the rest
     spread = hashes.withColumn("key", F.when(F.col("kind") == HASHES, F.col("key")).otherwise(-1 - F.pmod(F.col("doc_id"), F.lit(parts))))
 

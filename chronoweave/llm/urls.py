@@ -8,8 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import rows
-from chronoweave.session import ship_package
+from chronoweave.llm.common import rows, workers
 
 #: (host, path, verdict)
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -79,7 +78,7 @@ def judge(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_hits: in
     strict term or by ``soft_hits`` distinct soft ones. Null urls have empty host and path, no hits, and
     are allowed; rows with a null page_id and repeated rows each have a result; further columns are ignored.
     """
-    ship_package(pages.sparkSession)
+    workers(pages.sparkSession)
     url = F.coalesce(F.col("url"), F.lit(""))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), lower_ascii(url).alias("low"), host_of(url).alias("host"), path_of(url).alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
