@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.llm.blocks import best_of, nearest, usable
-from chronoweave.llm.common import written
+from chronoweave.llm.common import rows, written
 
 #: Width of the error bound in standard deviations of the estimate.
 EPSILON = 4.0
@@ -89,6 +91,31 @@ def search(centre: np.ndarray, k: int, epsilon: float):
     return pair
 
 
+def mean_direction(vectors: DataFrame) -> np.ndarray:
+    """Mean of all unit vectors of the most frequent length; summed in each task, then a row for each length."""
+    schema = pa.schema([("dim", pa.int32()), ("n", pa.int64()), ("total", pa.binary())])
+    ddl = "dim int, n long, total binary"
+
+    def part(batches):
+        sums: dict[int, list] = {}
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column("vec")).to_numpy()
+            for dim in np.unique(sizes).tolist():
+                x = np.array(batch.column("vec").filter(pa.array(sizes == dim)).flatten()).reshape(-1, dim)
+                own = sums.setdefault(dim, [0, np.zeros(dim)])
+                own[0] += len(x)
+                own[1] += (x / _norms(x)[:, None]).sum(0)
+        yield rows(schema, dim=list(sums), n=[v[0] for v in sums.values()], total=[v[1].tobytes() for v in sums.values()])
+
+    def whole(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(b) for b in table.column("total").to_pylist())
+        n = sum(table.column("n").to_pylist())
+        return pa.Table.from_batches([rows(schema, dim=[len(total)], n=[n], total=[total.tobytes()])])
+
+    widest = vectors.select("vec").mapInArrow(part, ddl).groupBy("dim").applyInArrow(whole, ddl).orderBy(F.desc("n"), "dim").first()
+    return np.frombuffer(widest.total) / widest.n if widest else np.zeros(0)
+
+
 def nearest_by_cosine(vectors: DataFrame, is_query, k: int = 5, epsilon: float = EPSILON) -> DataFrame:
     """Each query's k nearest other vectors by cosine: query_id, rank, vec_id, score.
 
@@ -100,12 +127,7 @@ def nearest_by_cosine(vectors: DataFrame, is_query, k: int = 5, epsilon: float =
     """
     own = usable(vectors).filter(F.exists("vec", lambda v: v != 0))
     own = written(own, "vectors")
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v * v))
-    # the mean takes one row a component and length
-    parts = own.select(F.size("vec").alias("dim"), F.posexplode(F.transform("vec", lambda v: v / norm)).alias("at", "v"))
-    means = parts.groupBy("dim", "at").agg(F.avg("v").alias("v"), F.count(F.lit(1)).alias("n"))
-    widest = means.groupBy("dim").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("at", "v"))).alias("c")).orderBy(F.desc("n"), "dim").first()
-    centre = np.array([x.v for x in widest.c]) if widest else np.zeros(0)
+    centre = mean_direction(own)
     return nearest(own, is_query, np.float64, search(centre, k, epsilon), k, "double", encode(centre), ("bits", "scalars"))
 
 
