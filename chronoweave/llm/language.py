@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import crc_mod, mix, rows, steps, texts
+from chronoweave.llm.common import crc_mod, low_hashes, mix, rows, steps, texts
 
 #: Hashed n-grams of two and three bytes of letters.
 DIM = 4096
@@ -105,7 +105,10 @@ def model(docs: DataFrame, held_out, sample: int = SAMPLE, centroids: int = CENT
     df, n = _frequencies(learn)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     order = F.xxhash64(F.col("doc_id"), F.lit(3))
-    ranked = learn.select("lang", order.alias("order")).withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("order"))).filter(F.col("nth") <= sample)
+    # a row a language; then about sample and a half rows of each
+    sizes = F.broadcast(learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    low = learn.select("lang", order.alias("order")).join(sizes, "lang").filter(low_hashes(F.col("order"), sample, F.col("n")))
+    ranked = low.select("lang", "order").withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("order"))).filter(F.col("nth") <= sample)
     last = ranked.groupBy("lang").agg(F.max("order").alias("last"))  # a row a language
     picked = learn.withColumn("order", order).join(F.broadcast(last), "lang").filter(F.col("order") <= F.col("last")).select("doc_id", "lang", "order", "text")
     found = picked.groupBy("lang").applyInArrow(_cluster(idf, centroids), "lang string, reach double, centroid binary").orderBy("lang", "centroid").collect()

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import crc_mod, mix, prefix_sums, rows, span_hashes, steps, texts, words, written
+from chronoweave.llm.common import crc_mod, low_hashes, mix, prefix_sums, rows, span_hashes, steps, texts, words, written
 
 #: Hashed indicators.
 BUCKETS = 1 << 17
@@ -177,7 +177,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float, f
     p, q = both[1] + SMOOTHING, both[0] + SMOOTHING
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     seen = both.sum(0) > 0
-    picked = labelled.withColumn("order", F.xxhash64(F.col("doc_id"), F.lit(5))).orderBy("order", "doc_id", "label").limit(sample).select("features", "label").toArrow()
+    ordered = labelled.withColumn("order", F.xxhash64(F.col("doc_id"), F.lit(5))).filter(low_hashes(F.col("order"), sample, F.lit(labelled.count())))
+    picked = ordered.orderBy("order", "doc_id", "label").limit(sample).select("features", "label").toArrow()
     label = picked.column("label").to_numpy().astype(np.int64)
     data = [np.frombuffer(r, np.uint32) for r in picked.column("features").to_pylist()]
     if len(set(label.tolist())) < 2:
