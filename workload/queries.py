@@ -378,11 +378,20 @@ def dwell_surface(spark, sf):
     return out.select("pair_id", "hex_q", "hex_r", r("dwell_minutes", 5).alias("dwell_minutes"), "edge_count")
 
 
-@query()
+@query(f"""WITH RECURSIVE {S.PRISM}, d AS MATERIALIZED (SELECT pair_id, edge_id, forward_sec, backward_sec, budget, px, py, qx, qy FROM prism),
+sheet AS MATERIALIZED (SELECT pair_id, CAST(s.s AS BIGINT) AS sheet, px, py, qx, qy FROM d JOIN range(0, 8) s(s)
+  ON forward_sec <= budget * s.s / 7e0 + 1e-6 AND backward_sec <= budget - budget * s.s / 7e0 + 1e-6),
+tips AS (SELECT pair_id, sheet, px AS x, py AS y FROM sheet UNION ALL SELECT pair_id, sheet, qx, qy FROM sheet),
+wide AS (SELECT pair_id, sheet, max(x) - min(x) AS w, max(y) - min(y) AS h, max(x + y) - min(x + y) AS d, max(x - y) - min(x - y) AS e, {", ".join(f"{v}(2 * x {o} y) AS {n}" for v, o, n in (('max', '+', 'a'), ('min', '+', 'b'), ('max', '-', 'c'), ('min', '-', 'f')))} FROM tips GROUP BY 1, 2)
+SELECT pair_id, sheet, round(w, 6) AS w, round(h, 6) AS h, round(d, 6) AS d, round(e, 6) AS e, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c, round(f, 6) AS f FROM wide WHERE w > 1e-9 AND h > 1e-9""")
 def sheet_hulls(spark, sf):
-    """Outline of every sheet (checked against brute force in the tests)."""
+    """How far the outline of every sheet reaches in eight directions: as far as the road ends."""
     sheets = _road_prism(spark, sf, sheets=8, resolution=10)["sheets"]
-    return prism.sheet_hulls(sheets).select("pair_id", "sheet", F.size("ring").alias("vertices"), "ring")
+    hulls = prism.sheet_hulls(sheets).select("pair_id", F.col("sheet").cast("long").alias("sheet"), F.explode("ring").alias("p"))
+    x, y = F.col("p.x"), F.col("p.y")
+    wide = hulls.groupBy("pair_id", "sheet").agg(*[(F.max(v) - F.min(v)).alias(n) for n, v in (("w", x), ("h", y), ("d", x + y), ("e", x - y))],
+                                                 F.max(2 * x + y).alias("a"), F.min(2 * x + y).alias("b"), F.max(2 * x - y).alias("c"), F.min(2 * x - y).alias("f"))
+    return wide.filter("w > 1e-9 and h > 1e-9").select("pair_id", "sheet", *[r(c).alias(c) for c in ("w", "h", "d", "e", "a", "b", "c", "f")])
 
 
 def _islands(keys: str, src: str) -> str:
