@@ -567,7 +567,7 @@ def activity_windows(spark, sf):
 @query(f"""WITH {S.PASTA_CELLS} SELECT row, col, round(sum(dwell_s / 60), 3) AS dwell_minutes, round(sum(dwell_s / 60 * weight), 3) AS weighted_dwell_minutes, count(*) AS window_count,
   count(DISTINCT person_id) AS person_count, string_agg(DISTINCT mode, ',' ORDER BY mode) AS mode FROM cells GROUP BY 1, 2""")
 def activity_surface(spark, sf):
-    out = JOBS["activity_surface"](t.episodes(spark, sf))["surface"]
+    out = JOBS["activity_surface"](t.episodes(spark, sf), cell_m=1000.0)["surface"]
     return out.select("row", "col", r("dwell_minutes", 3).alias("dwell_minutes"), r("weighted_dwell_minutes", 3).alias("weighted_dwell_minutes"),
                       F.col("window_count").cast("long").alias("window_count"), "person_count", "mode")
 
@@ -578,7 +578,7 @@ v AS (SELECT b.*, unnest(range(CAST(ceil((early - g) / 300000e0) AS BIGINT), CAS
 x AS (SELECT *, least(late, g + (time_bin + 1) * 300000) - greatest(early, g + time_bin * 300000) AS ov FROM v)
 SELECT window_id, CAST(time_bin AS BIGINT) AS time_bin, count(*) AS cells, CAST(sum(ov) AS BIGINT) AS dwell_ms FROM x WHERE ov > 0 GROUP BY 1, 2""")
 def activity_voxels(spark, sf):
-    out = JOBS["activity_surface"](t.episodes(spark, sf))["voxels"]
+    out = JOBS["activity_surface"](t.episodes(spark, sf), cell_m=1000.0)["voxels"]
     return out.groupBy("window_id", F.col("time_bin").cast("long").alias("time_bin")).agg(F.count(F.lit(1)).alias("cells"), F.round(F.sum("dwell_minutes") * 60_000).cast("long").alias("dwell_ms"))
 
 

@@ -165,8 +165,8 @@ checked AS (SELECT *, speed_kmh * 1000 / 3600 AS speed_ms,
 
 PASTA_CELLS = f"""{PASTA},
 pg0 AS (SELECT min(lon) AS x0, max(lon) AS x1, min(lat) AS y0, max(lat) AS y1 FROM episodes),
-pg1 AS (SELECT pg0.*, greatest((SELECT max(speed_ms) * max(budget_s) FROM checked) / 111000, 250e0 / 111000) * 1.05e0 AS b FROM pg0),
-pg2 AS (SELECT x0 - b AS gx, y0 - b AS gy, x1 + b AS hx, y1 + b AS hy, 250e0 / 111000 AS d FROM pg1),
+pg1 AS (SELECT pg0.*, greatest((SELECT max(speed_ms) * max(budget_s) FROM checked) / 111000, 1000e0 / 111000) * 1.05e0 AS b FROM pg0),
+pg2 AS (SELECT x0 - b AS gx, y0 - b AS gy, x1 + b AS hx, y1 + b AS hy, 1000e0 / 111000 AS d FROM pg1),
 pg AS (SELECT *, CAST(ceil((hx - gx) / d) AS INTEGER) AS cols, CAST(ceil((hy - gy) / d) AS INTEGER) AS rows FROM pg2),
 cells0 AS (
   SELECT w.*, CAST(r.r AS INTEGER) AS row, CAST(c.c AS INTEGER) AS col,
