@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import rows, written
-
-EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+from chronoweave.llm.common import written
 
 
 class Union:
@@ -34,27 +30,23 @@ class Union:
         return True
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What a task has of the edges as stars, one edge a node; batch by batch, so a task holds no more than a batch."""
-    for batch in batches:
-        own = Union()
-        for a, b in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
-            own.join(a, b)
-        found = [(x, own.root(x)) for x in own.up]
-        found = [(x, y) for x, y in found if x != y]
-        yield rows(EDGES, u=[x for x, _ in found], v=[y for _, y in found])
+def stars(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The components of some edges as stars: rows (node, smallest node of its component)."""
+    own = Union()
+    for x, y in np.unique(np.stack([a, b], 1), axis=0).tolist():
+        own.join(x, y)
+    found = [(x, own.root(x)) for x in own.up]
+    return np.array([(x, y) for x, y in found if x != y], np.int64).reshape(-1, 2)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of every node of edges (a, b).
 
-    Edges become stars in each task. Then a large star hangs a node's larger neighbours under its smallest
-    neighbour and a small star its smaller ones; minima are combined before each shuffle and a hub's rows
-    meet one row, so no group of neighbours is gathered. Every round is written; rounds end when each node
-    has one parent and no parent has one.
+    A large star hangs a node's larger neighbours under its smallest neighbour and a small star its smaller ones;
+    minima are combined before each shuffle and a hub's rows meet one row, so no group of neighbours is
+    gathered. Every round is written; rounds end when each node has one parent and no parent has one.
     """
-    ends = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v")
-    now = ends.mapInArrow(_contract, "u long, v long")
+    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

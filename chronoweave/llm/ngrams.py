@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.llm.common import mix, prefix_sums, rows, shuffle_parts, span_hashes, steps, texts, unique_in_groups, words, written
-from chronoweave.llm.components import Union, components
+from chronoweave.llm.components import Union, components, stars
 from chronoweave.operators.skew import fits_broadcast
 
 #: Bytes of text in a batch.
-BATCH_BYTES = 1 << 24
+BATCH_BYTES = 1 << 22
 #: Grams whose lists are measured, as a multiple of those that a document can differ in.
 MEASURED = 2.0
 #: Documents of a cluster that one search holds at most twice.
@@ -242,10 +242,10 @@ def _meet(percent: int, lists: int):
 
 
 def _pairs_of(table: DataFrame) -> DataFrame:
-    """The distinct pairs in packed rows."""
+    """The distinct pairs in packed rows, as stars: one pair a document and part."""
     def run(own: pa.Table) -> pa.Table:
         found = [unpack(x) for x in own.column("blob").to_pylist()]
-        pairs = np.unique(np.stack([np.concatenate([f[i] for f in found]) for i in (0, 1)], 1), axis=0)
+        pairs = stars(*(np.concatenate([f[i] for f in found]) for i in (0, 1)))
         return pa.Table.from_batches([rows(PAIRS, a=pairs[:, 0], b=pairs[:, 1])])
     return table.filter(F.col("kind") == EDGES).groupBy("key").applyInArrow(run, "a long, b long")
 
