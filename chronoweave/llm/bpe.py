@@ -6,6 +6,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -78,11 +79,16 @@ class RankFile:
         return memoryview(gather(data, first[ids], lengths[ids])), np.cumsum(group_sums(lengths[ids], sizes))
 
 
+@lru_cache(1)
+def rank_file(path: str, pattern: str) -> RankFile:
+    """Kept, with the matches it has encoded, for the tasks of a worker."""
+    return RankFile(path, pattern)
+
+
 def _encoder(path: str, pattern: str, emit):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = None
+        codec = rank_file(path, pattern)
         for batch in batches:
-            codec = codec or RankFile(path, pattern)
             for first, end, many in steps(batch, "text", kind=pa.string()):
                 ids, sizes = codec.encode(many)
                 yield emit(codec, batch.column("doc_id").slice(first, end - first), ids, sizes)
@@ -115,9 +121,8 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("bytes", pa.binary())])
 
     def run(batches):
-        codec = None
+        codec = rank_file(path, pattern)
         for batch in batches:
-            codec = codec or RankFile(path, pattern)
             lists = batch.column("ids")
             sizes = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
             ids = np.array([i for x in lists if x.is_valid for i in x.as_py()], np.int64)

@@ -15,7 +15,7 @@ from chronoweave.llm.common import prefix_sums, span_hashes
 LIMIT = 0x250
 LETTER, NUMBER, SPACE, OTHER = range(4)
 #: Distinct matches a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 _far = re.compile(f"[{chr(LIMIT)}-\U0010ffff]")
 
