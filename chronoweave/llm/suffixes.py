@@ -228,15 +228,17 @@ SEGMENTS = pa.schema([("anchor", pa.int64()), ("salt", pa.int64()), ("doc_id", p
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wanted segments of each text."""
     for batch in batches:
+        doc_ids, marks = (batch.column(c).to_numpy() for c in ("doc_id", "mark"))
         for first, end, many in steps(batch, "text"):
-            for i, text in enumerate(many):
-                for blob in batch.column("blobs")[first + i].as_py():
-                    start, size, anchor, salt = unpack(blob)
-                    n = len(start)
-                    ids = [batch.column(c)[first + i].as_py() for c in ("doc_id", "mark")]
-                    yield rows(SEGMENTS, anchor=anchor.view(np.int64), salt=salt.view(np.int64), doc_id=[ids[0]] * n, mark=[ids[1]] * n, start=start,
-                               segment=[text[a:a + b] for a, b in zip(start.tolist(), size.tolist(), strict=True)])
+            found = [[unpack(b) for b in blobs.as_py()] for blobs in batch.column("blobs").slice(first, end - first)]
+            start, size, anchor, salt = (np.concatenate([f[k] for own in found for f in own]) for k in range(4))
+            count = [sum(len(f[0]) for f in own) for own in found]
+            text = np.repeat(np.arange(end - first), count)
+            cut = [many[t][a:a + n] for t, a, n in zip(text.tolist(), start.tolist(), size.tolist(), strict=True)]
+            yield rows(SEGMENTS, anchor=anchor.view(np.int64), salt=salt.view(np.int64), doc_id=doc_ids[first:end][text], mark=marks[first:end][text],
+                       start=start, segment=cut)
 
 
 FOUND = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("blob", pa.binary()), ("at", pa.int64())])
