@@ -18,9 +18,9 @@ DIM = 4096
 SAMPLE = 1000
 CENTROIDS = 4
 ROUNDS = 10
-#: A text is rejected beyond this many times the largest distance of a centroid's own documents (never below REACH_LEAST).
-REACH = 1.05
-REACH_LEAST = 0.97
+#: A text is rejected if its cosine is below LEAST times the one that all but a share FAR of its language's clustered documents have.
+FAR = 0.01
+LEAST = 0.5
 #: Texts whose dense counts a step holds.
 TEXTS = 512
 
@@ -86,21 +86,21 @@ def spherical_means(x: np.ndarray, k: int, turns: int) -> tuple[np.ndarray, np.n
 
 
 def _cluster(idf: np.ndarray, k: int):
-    schema = pa.schema([("lang", pa.string()), ("reach", pa.float64()), ("centroid", pa.binary())])
+    schema = pa.schema([("lang", pa.string()), ("near", pa.float64()), ("centroid", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("order", "ascending"), ("doc_id", "ascending")])
         parts = [vectors(p, idf) for b in table.combine_chunks().to_batches() for _, _, p in steps(b, "text", most=TEXTS)]
         x = np.concatenate(parts)
         centre, own = spherical_means(x, k, ROUNDS)
-        far = 1 - np.einsum("ij,ij->i", x, centre[own])
-        reach = [float(far[own == j].max()) if (own == j).any() else 0.0 for j in range(len(centre))]
-        return pa.Table.from_batches([rows(schema, lang=[table.column("lang")[0].as_py()] * len(centre), reach=reach, centroid=[c.astype(np.float32).tobytes() for c in centre])])
+        # of all documents of the language: clusters of one or two odd documents have no quantile of their own
+        near = [float(np.quantile(np.einsum("ij,ij->i", x, centre[own]), FAR))] * len(centre)
+        return pa.Table.from_batches([rows(schema, lang=[table.column("lang")[0].as_py()] * len(centre), near=near, centroid=[c.astype(np.float32).tobytes() for c in centre])])
     return run
 
 
 def model(docs: DataFrame, held_out, sample: int = SAMPLE, centroids: int = CENTROIDS) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
-    """Inverse document frequencies; languages, reaches and centroids, a few for each language."""
+    """Inverse document frequencies; languages, cosines of their far documents and centroids, a few for each language."""
     learn = texts(docs, F.col("lang").cast("string").alias("lang")).filter(~held_out & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     df, n = _frequencies(learn)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
@@ -111,16 +111,16 @@ def model(docs: DataFrame, held_out, sample: int = SAMPLE, centroids: int = CENT
     ranked = low.select("lang", "order").withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("order"))).filter(F.col("nth") <= sample)
     last = ranked.groupBy("lang").agg(F.max("order").alias("last"))  # a row a language
     picked = learn.withColumn("order", order).join(F.broadcast(last), "lang").filter(F.col("order") <= F.col("last")).select("doc_id", "lang", "order", "text")
-    found = picked.groupBy("lang").applyInArrow(_cluster(idf, centroids), "lang string, reach double, centroid binary").orderBy("lang", "centroid").collect()
+    found = picked.groupBy("lang").applyInArrow(_cluster(idf, centroids), "lang string, near double, centroid binary").orderBy("lang", "centroid").collect()
     centre = np.array([np.frombuffer(r.centroid, np.float32) for r in found]).reshape(-1, DIM)
-    return idf, [r.lang for r in found], np.array([r.reach for r in found]), centre
+    return idf, [r.lang for r in found], np.array([r.near for r in found]), centre
 
 
 class Nearest:
     """The model as its tasks hold it."""
 
-    def __init__(self, idf: np.ndarray, names: list[str], reaches: np.ndarray, centre: np.ndarray):
-        self.idf, self.names, self.reaches, self.centre = idf, names, reaches, centre
+    def __init__(self, idf: np.ndarray, names: list[str], least: np.ndarray, centre: np.ndarray):
+        self.idf, self.names, self.least, self.centre = idf, names, least, centre
 
     def __call__(self, parts: list[bytes], letters: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Languages, scores and rejections of texts; letters: whether each has a letter."""
@@ -130,27 +130,28 @@ class Nearest:
         best = np.argmax(near, axis=1)
         score = np.clip(near[np.arange(len(parts)), best].astype(np.float64), 0, 1)
         names = [self.names[b] if k else "und" for b, k in zip(best.tolist(), letters.tolist(), strict=True)]
-        return names, np.where(letters, score, 0.0), ~letters | (1 - score > self.reaches[best])
+        return names, np.where(letters, score, 0.0), ~letters | (score < self.least[best])
 
 
-def learned(docs: DataFrame, held_out, sample: int = SAMPLE, centroids: int = CENTROIDS, reach: float = REACH):
+def learned(docs: DataFrame, held_out, sample: int = SAMPLE, centroids: int = CENTROIDS, least: float = LEAST):
     """The model of ``docs``, sent to the workers: DIM numbers for each centroid."""
-    idf, names, reaches, centre = model(docs, held_out, sample, centroids)
-    return docs.sparkSession.sparkContext.broadcast(Nearest(idf, names, np.maximum(reaches * reach, REACH_LEAST), centre))
+    idf, names, near, centre = model(docs, held_out, sample, centroids)
+    return docs.sparkSession.sparkContext.broadcast(Nearest(idf, names, near * least, centre))
 
 
 def _letters():
     return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
 
 
-def identify(docs: DataFrame, held_out, sample: int = SAMPLE, centroids: int = CENTROIDS, reach: float = REACH) -> DataFrame:
+def identify(docs: DataFrame, held_out, sample: int = SAMPLE, centroids: int = CENTROIDS, least: float = LEAST) -> DataFrame:
     """doc_id, held_out, lang_pred, score (cosine to the nearest centroid), rejected.
 
     Learned from text and non-null lang of the rows that are not held out. Ties go to the first language.
     Null, empty and letterless texts are ``und`` with score 0 and rejected, and so is everything when there is
-    nothing to learn from. Rows without doc_id are left out, repeated rows each have a result.
+    nothing to learn from, and a text much farther from its nearest centroid than that language's documents are
+    (``least``). Rows without doc_id are left out, repeated rows each have a result.
     """
-    shared = learned(docs, held_out, sample, centroids, reach)
+    shared = learned(docs, held_out, sample, centroids, least)
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,9 +165,9 @@ def identify(docs: DataFrame, held_out, sample: int = SAMPLE, centroids: int = C
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
-def accepted(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, reach: float = REACH) -> DataFrame:
+def accepted(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, least: float = LEAST) -> DataFrame:
     """The rows whose text is not rejected, with all columns as they are; learned from all rows with a lang."""
-    shared = learned(docs, F.lit(False), sample, centroids, reach)
+    shared = learned(docs, F.lit(False), sample, centroids, least)
 
     @F.pandas_udf("boolean")
     def near(text, letters):

@@ -1,5 +1,6 @@
 """Classifiers on held-out rows, vector searches against all pairs."""
 
+import base64
 import random
 
 import numpy as np
@@ -73,6 +74,27 @@ def test_language_edges(spark):
     assert {(r.lang_pred, r.score, r.rejected) for r in nothing} == {("und", 0.0, True)}
 
 
+def strangers():
+    r = random.Random(8)
+    word = lambda letters: " ".join("".join(r.choices(letters, k=r.randint(3, 9))) for _ in range(60))
+    return ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+            "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+            "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.",
+            "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+            "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心。", word("bcdfghjklmnpqrstvwxz"), word("abcdefghijklmnopqrstuvwxyz"),
+            base64.b64encode(r.randbytes(400)).decode()]
+
+
+def test_unlearned_languages_are_rejected(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(10**9 + i, t, None) for i, t in enumerate(strangers())], docs.schema)
+    met = language.identify(docs.unionByName(odd), language.held_out()).toPandas()
+    assert met[met.doc_id >= 10**9].rejected.tolist() == [True] * len(strangers())
+    own = met[(met.doc_id < 10**9) & met.held_out].merge(docs.selectExpr("doc_id", "length(text) n").toPandas(), on="doc_id")
+    assert own.rejected.mean() < 0.01 and not own[own.n >= 30].rejected.any()
+    assert language.accepted(docs.unionByName(odd)).filter("doc_id >= 1000000000").count() == 0
+
+
 def vectors():
     r = np.random.default_rng(6)
     v = [(i, [float(x) for x in r.standard_normal(16).astype(np.float32)]) for i in range(700)]
