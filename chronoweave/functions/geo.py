@@ -71,6 +71,11 @@ def utm_zone(lon: Column) -> Column:
     return (F.floor((lon + 180) / 6) % 60 + 1).cast("int")
 
 
+def middle_lon(a: Column, b: Column) -> Column:
+    """Middle of the shorter way between two longitudes."""
+    return a + (F.pmod(b - a + 180, F.lit(360.0)) - 180) / 2
+
+
 def utm_zone_value(lon: float) -> int:
     return int((lon + 180) / 6) % 60 + 1
 

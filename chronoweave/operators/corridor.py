@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.functions.geo import capsule, ellipse, ring_bounds, ring_lonlat, with_lonlat, with_utm
+from chronoweave.functions.geo import capsule, ellipse, middle_lon, ring_bounds, ring_lonlat, utm_zone, with_lonlat, with_utm
 from chronoweave.functions.lens import clip_to_ring
 from chronoweave.operators.nearest import nearest
 from chronoweave.operators.sequence import Timeline
@@ -18,11 +18,29 @@ def segment_ppas(traj: DataFrame, speed_ms: float, zone: int, south: bool = Fals
     """One convex ring (planar metres) per consecutive pair of fixes: ellipse, or a corridor when the
     person moved faster than the speed. ``skip_empty`` leaves out pairs without time between them."""
     placed = with_utm(traj, [("lon", "lat", "x", "y")], zone, south)
-    line = Timeline(placed, ["user_id"], "t_ms", "point_id", hot_rows)
-    line = line.neighbours(following={"nx": F.col("x"), "ny": F.col("y"), "n_ms": F.col("t_ms")}).running(_i=F.lit(1))
+    return _rings(_segments(placed, ("x", "y"), skip_empty, hot_rows), speed_ms, corridor_m)
+
+
+def lonlat_segments(traj: DataFrame, skip_empty: bool = True, hot_rows: int | None = None) -> DataFrame:
+    """The consecutive pairs of fixes, each with the UTM zone ``_zone`` of its own middle."""
+    middle = middle_lon(F.col("lon"), F.col("nlon"))
+    return _segments(traj, ("lon", "lat"), skip_empty, hot_rows).withColumn(
+        "_zone", F.coalesce(utm_zone(middle), utm_zone(F.col("lon")), utm_zone(F.col("nlon")), F.lit(31)))
+
+
+def zone_ppas(segments: DataFrame, speed_ms: float, zone: int, corridor_m: float = 100.0) -> DataFrame:
+    """The rings of ``lonlat_segments``, all measured in one zone."""
+    return _rings(with_utm(segments, [("lon", "lat", "x", "y"), ("nlon", "nlat", "nx", "ny")], zone), speed_ms, corridor_m)
+
+
+def _segments(traj: DataFrame, xy: tuple[str, str], skip_empty: bool, hot_rows: int | None) -> DataFrame:
+    line = Timeline(traj, ["user_id"], "t_ms", "point_id", hot_rows)
+    line = line.neighbours(following={f"n{c}": F.col(c) for c in xy} | {"n_ms": F.col("t_ms")}).running(_i=F.lit(1))
     pairs = line.result().filter("n_ms is not null").withColumn("budget_s", (F.col("n_ms") - F.col("t_ms")) / 1000)
-    if skip_empty:
-        pairs = pairs.filter("budget_s > 0")
+    return pairs.filter("budget_s > 0") if skip_empty else pairs
+
+
+def _rings(pairs: DataFrame, speed_ms: float, corridor_m: float) -> DataFrame:
     x, y, nx, ny = (F.col(c) for c in ("x", "y", "nx", "ny"))
     oval = ellipse(x, y, nx, ny, F.col("budget_s") * speed_ms)
     return pairs.select("user_id", (F.col("_i") - 1).alias("segment_index"), "point_id", "t_ms", "n_ms", "budget_s",
@@ -62,12 +80,20 @@ def clip_roads(ppas: DataFrame, edges: DataFrame, cell_m: float = 500.0, hot_row
 
 
 def union_pieces(pieces: DataFrame, hot_rows: int | None = None) -> DataFrame:
-    """Each edge's covered parts, overlapping rings merged, one row per part of one user's corridor."""
+    """Each edge's covered parts, overlapping rings merged, one row per part of one user's corridor.
+
+    Pieces measured in several zones (``_zone``) meet as fractions; the edge is then that of its lowest zone.
+    """
+    cols = ["highway", "source_id", "length_m", "x0", "y0", "x1", "y1"]
+    if "_zone" in pieces.columns:
+        edge = pieces.groupBy("user_id", "edge_id").agg(F.min_by(F.struct("_zone", *cols), F.col("_zone")).alias("_edge"))
+        merged = union_pieces(pieces.drop("_zone"), hot_rows).drop(*cols)
+        return merged.join(edge, ["user_id", "edge_id"]).select("user_id", "edge_id", "part", "a", "b", "_edge.*")
     keys = ["user_id", "edge_id"]
     line = Timeline(pieces, keys, "a", "segment_index", hot_rows).prior_max(_reach=F.col("b"))
     line = line.running(part=F.when(F.col("_reach").isNull() | (F.col("a") > F.col("_reach") + 1e-9), 1).otherwise(0))
     return line.result().groupBy(*keys, "part").agg(
-        F.min("a").alias("a"), F.max("b").alias("b"), *[F.first(c).alias(c) for c in ("highway", "source_id", "length_m", "x0", "y0", "x1", "y1")])
+        F.min("a").alias("a"), F.max("b").alias("b"), *[F.first(c).alias(c) for c in cols])
 
 
 def nearest_fix(parts: DataFrame, traj: DataFrame, zone: int, south: bool = False, hot_rows: int | None = None) -> DataFrame:

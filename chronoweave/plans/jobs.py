@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.functions.geo import GRID_M_PER_DEG, height_scale_value, lift, utm_zone, with_utm
+from chronoweave.functions.geo import GRID_M_PER_DEG, height_scale_value, lift, middle_lon, utm_zone, with_utm
 from chronoweave.functions.hexgrid import auto_resolution
 from chronoweave.functions.roads import mode_profile, mode_speed_kmh, resolve_speed_factor
 from chronoweave.operators import corridor as corridors
@@ -23,12 +23,33 @@ from chronoweave.session import cut_lineage
 
 Outputs = dict[str, DataFrame]
 
-# A zone's roads: those that start within this many degrees of its middle.
-ZONE_REACH_DEG = 9.0
+# A disc of so many times its radius holds what is measured in a zone's plane as well.
+REACH_SAFETY = 1.15
 
 
-def by_zone(rows: DataFrame, lon: Column, roads: DataFrame, run) -> Outputs:
-    """Run an analysis for each UTM zone that rows lie in, with the roads near the zone, and put the results together.
+def roads_near(roads: DataFrame, discs: DataFrame, zone: int) -> DataFrame:
+    """The roads whose extent meets the box around all discs (``lon, lat, radius_m``), a superset of what they reach."""
+    def away(lon: Column) -> Column:
+        return F.pmod(lon - (zone * 6 - 183) + 180, F.lit(360.0)) - 180
+
+    high = F.col("radius_m") * REACH_SAFETY / 110_000
+    top = F.abs("lat") + high
+    wide = F.when(top >= 89, F.lit(360.0)).otherwise(high / F.cos(F.radians(top)))
+    x = away(F.col("lon"))
+    box = discs.filter("lon is not null and lat is not null and radius_m is not null").agg(
+        F.min(x - wide).alias("w"), F.max(x + wide).alias("e"), F.min(F.col("lat") - high).alias("s"), F.max(F.col("lat") + high).alias("n")).first()
+    if box.w is None:
+        return roads.limit(0)
+    lons, lats = F.transform("coords", lambda p: away(p["x"])), F.transform("coords", lambda p: p["y"])
+    near = (F.array_min(lats) <= box.n) & (F.array_max(lats) >= box.s)
+    if box.w >= -180 and box.e <= 180:
+        near &= (F.array_min(lons) <= box.e) & (F.array_max(lons) >= box.w)
+    return roads.filter(near)
+
+
+def by_zone(rows: DataFrame, lon: Column, roads: DataFrame, reach, run) -> Outputs:
+    """Run an analysis for each UTM zone that rows lie in, with all roads that its discs (``reach``) can meet, and put the
+    results together.
 
     A row's answer then depends on no other row. There are sixty zones; each is an analysis of its own.
     """
@@ -36,12 +57,20 @@ def by_zone(rows: DataFrame, lon: Column, roads: DataFrame, run) -> Outputs:
     zones = sorted(r[0] for r in tagged.select("_zone").filter("_zone is not null").distinct().collect())  # sixty at most
     parts = []
     for zone in zones or [31]:
-        middle = zone * 6 - 183
-        away = F.pmod(F.col("coords")[0]["x"] - middle + 180, F.lit(360.0)) - 180
-        parts.append(run(tagged.filter(F.col("_zone") == zone).drop("_zone"), roads.filter(F.abs(away) <= ZONE_REACH_DEG), zone))
+        own = tagged.filter(F.col("_zone") == zone).drop("_zone")
+        parts.append(run(own, roads_near(roads, reach(own), zone), zone))
     return {k: union_all([p[k] for p in parts]) for k in parts[0]}
 
 
+def _discs(df: DataFrame, ends: list[tuple[str, str]], radius: Column) -> DataFrame:
+    return df.select(radius.alias("radius_m"), F.inline(F.array(*[F.struct(F.col(a).alias("lon"), F.col(b).alias("lat")) for a, b in ends])))
+
+
+def _top_ms(mode: str, custom_kmh: float | None) -> float:
+    """No road is quicker than this in a mode."""
+    return max(0.5, mode_profile(mode, custom_kmh).max_kmh * 1.1) / 3.6
+
+
 def middle_lat(a: str = "a_lat", b: str = "b_lat") -> Column:
     """Reference latitude of a pair's own hexagons."""
     return F.round((F.col(a) + F.col(b)) / 2)
@@ -140,7 +169,18 @@ def road_prism(pairs: DataFrame, roads: DataFrame, *, mode: str = "walking", cus
             return road_prism(own, near, mode=mode, custom_kmh=custom_kmh, budget_min=budget_min, min_activity_min=min_activity_min,
                               zone=z, area=area, adjustment=adjustment, manual_factor=manual_factor, traj=traj, drop_minor=drop_minor,
                               max_segments=max_segments, sheets=sheets, resolution=resolution, lat0=lat0, exact=exact, hot_rows=hot_rows)
-        return by_zone(pairs, (F.col("a_lon") + F.col("b_lon")) / 2, roads, run)
+
+        def reach(own: DataFrame) -> DataFrame:
+            seconds = F.lit(budget_min * 60.0) if budget_min is not None else (F.col("b_ms") - F.col("a_ms")) / 1000
+            # a speed factor is 1.5 at most
+            out = _discs(own, [("a_lon", "a_lat"), ("b_lon", "b_lat")],
+                         F.greatest(F.lit(0.0), seconds) * (1.5 * _top_ms(mode, custom_kmh)) + mode_profile(mode, custom_kmh).max_snap_m)
+            if adjustment == "auto" and traj is not None and "user_id" in own.columns:
+                # fixes ten minutes apart at most tell the factor
+                seen = traj.join(own.select("user_id").distinct(), "user_id", "left_semi")
+                out = out.unionByName(_discs(seen, [("lon", "lat")], F.lit(900.0 * _top_ms(mode, custom_kmh) + 100.0)))
+            return out
+        return by_zone(pairs, middle_lon(F.col("a_lon"), F.col("b_lon")), roads, reach, run)
     profile = mode_profile(mode, custom_kmh)
     named = prism.anchor_heights(pairs)
     edges = cut_lineage(net.build_edges(preclip_roads(roads, area, hot_rows), profile, zone, south))
@@ -184,7 +224,14 @@ def origin_areas(pairs: DataFrame, traj: DataFrame, roads: DataFrame, *, mode: s
         def run(own: DataFrame, near: DataFrame, z: int) -> Outputs:
             return origin_areas(own, traj, near, mode=mode, custom_kmh=custom_kmh, budget_min=budget_min, min_activity_min=min_activity_min,
                                 max_origins=max_origins, cluster_m=cluster_m, max_segments=max_segments, zone=z, hot_rows=hot_rows)
-        return by_zone(pairs, (F.col("a_lon") + F.col("b_lon")) / 2, roads, run)
+
+        def reach(own: DataFrame) -> DataFrame:
+            # a budget found from the fixes is their window or the activity and ten minutes at most
+            window = own.select("pair_id", ((F.col("b_ms") - F.col("a_ms")) * 1.04 / 1000 + 60).alias("_window"))
+            seconds = F.lit(budget_min * 60.0) if budget_min is not None else F.greatest(F.col("_window"), F.lit(max(0.0, min_activity_min * 60.0) + 600.0))
+            fixes = lookup_join(origin_fixes(own, traj, hot_rows=hot_rows), window, ["pair_id"], hot_rows=hot_rows)
+            return _discs(fixes, [("lon", "lat")], seconds * _top_ms(mode, custom_kmh) + mode_profile(mode, custom_kmh).max_snap_m)
+        return by_zone(pairs, middle_lon(F.col("a_lon"), F.col("b_lon")), roads, reach, run)
     profile = mode_profile(mode, custom_kmh)
     min_act = max(0.0, min_activity_min * 60.0)
     sampled = origin_fixes(pairs, traj, max_origins, hot_rows)
@@ -268,15 +315,11 @@ def corridor(traj: DataFrame, roads: DataFrame, *, mode: str = "walking", custom
              south: bool = False, corridor_m: float = 100.0, merge: bool = False, cell_m: float = 500.0, hot_rows: int | None = None) -> Outputs:
     """Potential path area of every path segment and the roads in it; ``merge`` gives each road once with its nearest fix.
 
-    A user's path is measured in the zone of its own middle unless a zone is given.
+    Each segment is measured in the zone of its own middle unless a zone is given.
     """
-    if zone is None:
-        where = traj.groupBy("user_id").agg(((F.min("lon") + F.max("lon")) / 2).alias("_lon"))
-
-        def run(own: DataFrame, near: DataFrame, z: int) -> Outputs:
-            return corridor(own.drop("_lon"), near, mode=mode, custom_kmh=custom_kmh, zone=z, corridor_m=corridor_m, merge=merge, cell_m=cell_m, hot_rows=hot_rows)
-        return by_zone(lookup_join(traj, where, ["user_id"], hot_rows=hot_rows), F.col("_lon"), roads, run)
     speed = mode_speed_kmh(mode, custom_kmh) / 3.6
+    if zone is None:
+        return _corridor_by_zone(traj, roads, speed, corridor_m, merge, cell_m, hot_rows)
     # every class is a road here: nothing is excluded and speeds play no part
     edges = cut_lineage(net.build_edges(roads, mode_profile("custom", 5.0), zone, south))
     ppas = corridors.segment_ppas(traj, speed, zone, south, corridor_m, skip_empty=not merge, hot_rows=hot_rows)
@@ -288,6 +331,32 @@ def corridor(traj: DataFrame, roads: DataFrame, *, mode: str = "walking", custom
     return {"buffers": corridors.ppa_features(ppas, zone, south), "road_pieces": corridors.piece_lines(pieces, zone, south)}
 
 
+def _corridor_by_zone(traj: DataFrame, roads: DataFrame, speed: float, corridor_m: float, merge: bool, cell_m: float, hot_rows: int | None) -> Outputs:
+    segments = cut_lineage(corridors.lonlat_segments(traj, not merge, hot_rows))
+    zones = sorted(r[0] for r in segments.select("_zone").distinct().collect()) or [31]  # sixty at most
+    # the straight way between two fixes is nowhere farther from the nearer one than they are from each other
+    dlon, dlat = F.radians(F.col("nlon") - F.col("lon")), F.radians(F.col("nlat") - F.col("lat"))
+    half = F.pow(F.sin(dlat / 2), 2) + F.cos(F.radians("lat")) * F.cos(F.radians("nlat")) * F.pow(F.sin(dlon / 2), 2)
+    apart = 2 * 6_378_137.0 * F.asin(F.least(F.lit(1.0), F.sqrt(half)))
+    radius = F.greatest(F.col("budget_s") * speed, apart) + corridor_m
+    buffers, found = [], []
+    for zone in zones:
+        own = segments.filter(F.col("_zone") == zone).drop("_zone")
+        near = roads_near(roads, _discs(own, [("lon", "lat"), ("nlon", "nlat")], radius), zone)
+        edges = cut_lineage(net.build_edges(near, mode_profile("custom", 5.0), zone))
+        ppas = corridors.zone_ppas(own, speed, zone, corridor_m)
+        buffers.append(corridors.ppa_features(ppas, zone))
+        found.append(corridors.clip_roads(ppas, edges, cell_m, hot_rows).withColumn("_zone", F.lit(zone)))
+    if not merge:
+        return {"buffers": union_all(buffers), "road_pieces": union_all([corridors.piece_lines(p.drop("_zone"), z) for p, z in zip(found, zones, strict=True)])}
+    parts = cut_lineage(corridors.union_pieces(cut_lineage(union_all(found)), hot_rows))
+    lines = []
+    for zone in zones:
+        nearest = corridors.nearest_fix(parts.filter(F.col("_zone") == zone).drop("_zone"), traj, zone, hot_rows=hot_rows)
+        lines.append(corridors.piece_lines(nearest, zone))
+    return {"buffers": union_all(buffers), "road_pieces": union_all(lines)}
+
+
 def exposure(traj: DataFrame, env: DataFrame, **options) -> Outputs:
     return {"trajectory": exposures.join_exposure(traj, env, **options)}
 

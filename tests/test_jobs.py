@@ -93,6 +93,26 @@ def test_a_pair_is_alone_in_a_table_of_many_regions(spark):
             assert got == [r for r in whole[name] if r[0] == k]
 
 
+def test_zones_keep_the_roads_of_long_paths_and_trips(spark):
+    """Towns along a path over eight zones, a road that starts far outside, and a trip far past its zone's border."""
+    towns = [(k, "residential", None, [(lon - 0.01, 45.0), (lon + 0.01, 45.0)]) for k, lon in enumerate((-120.0, -110.3, -98.2, -87.1, -75.0))]
+    long = [(50, "primary", None, [(-160.0 + 0.5 * i, 45.0 if i >= 80 else 50.0) for i in range(91)])]
+    roads = spark.createDataFrame(towns + long, ROADS)
+    traj = spark.createDataFrame([(k, "u", k * 1000, lon, 45.0) for k, lon in enumerate((-120.0, -110.3, -98.2, -87.1, -75.0))],
+                                 "point_id long, user_id string, t_ms long, lon double, lat double")
+    out = JOBS["corridor"](traj, roads, corridor_m=60_000.0)
+    assert {r.source_id for r in out["road_pieces"].collect()} == {0, 1, 2, 3, 4, 50}
+    assert {r.segment_index for r in out["buffers"].collect()} == {0, 1, 2, 3}
+    merged = JOBS["corridor"](traj, roads, corridor_m=60_000.0, merge=True)["road_pieces"].collect()
+    assert {r.source_id for r in merged} == {0, 1, 2, 3, 4, 50} and len(merged) == len({(m.edge_id, m.part) for m in merged})
+    assert all(abs(m.lat0 - 45) < 1 and m.fix_id == m.source_id for m in merged if m.source_id < 5)
+
+    road = spark.createDataFrame([(1, "motorway", None, [(0.1 + 0.5 * i, 45.0) for i in range(21)]), (2, "motorway", None, [(10.1 + 0.5 * i, 45.0) for i in range(9)])], ROADS)
+    pair = spark.createDataFrame([(1, "u", 5.2, 45.0, 0, 5.8, 45.0, 50_000_000)], PAIRS)
+    east = JOBS["road_prism"](pair, road, mode="driving")["ppa_roads"].agg(F.max(F.greatest("lon0", "lon1"))).first()[0]
+    assert east == pytest.approx(14.1, abs=0.01)
+
+
 def test_fixes_meet_windows_of_any_length(spark):
     pairs = spark.createDataFrame([(1, "u", 0.0, 0.0, 0, 0.0, 0.0, 60_000), (2, "u", 0.0, 0.0, 50_000, 0.0, 0.0, 700_000_000), (3, "v", 0.0, 0.0, 0, 0.0, 0.0, 10)], PAIRS)
     traj = spark.createDataFrame([(i, "u", i * 7_000_000, 0.0, 0.0) for i in range(-3, 110)] + [(500, "u", 70_000, 0.0, 0.0), (501, "v", 20_000, 0.0, 0.0)],

@@ -762,12 +762,22 @@ cut AS (SELECT *, greatest(0e0, coalesce(list_max(list_transform(list_filter(cut
 pieces AS (SELECT * FROM cut WHERE outside = 0 AND b > a + 1e-12)"""
 
 
-@query(f"""WITH {_corridor_sql('budget_s > 0')} SELECT user_id, segment_index, edge_id, round(a, 6) AS a, round(b, 6) AS b FROM pieces""")
+_CORRIDOR_ROADS = f"""WITH {_corridor_sql('budget_s > 0')} SELECT user_id, segment_index, edge_id, round(a, 6) AS a, round(b, 6) AS b FROM pieces"""
+
+
+@query(_CORRIDOR_ROADS)
 def corridor_roads(spark, sf):
     out = JOBS["corridor"](_trips_track(spark, sf), t.roads(spark, sf), zone=t.ZONE)["road_pieces"]
     return out.select("user_id", F.col("segment_index").cast("long").alias("segment_index"), "edge_id", r("a").alias("a"), r("b").alias("b"))
 
 
+@query(_CORRIDOR_ROADS)
+def corridor_roads_zones(spark, sf):
+    """Zones follow the segments, roads their reach."""
+    out = JOBS["corridor"](_trips_track(spark, sf), t.roads(spark, sf))["road_pieces"]
+    return out.select("user_id", F.col("segment_index").cast("long").alias("segment_index"), "edge_id", r("a").alias("a"), r("b").alias("b"))
+
+
 @query(f"""WITH {_corridor_sql('true')}, lo AS (SELECT user_id, edge_id, a AS lo, b AS hi FROM pieces),
 whole AS (SELECT i.*, x0 + (a + b) / 2 * (x1 - x0) AS mx, y0 + (a + b) / 2 * (y1 - y0) AS my FROM {_islands('user_id, edge_id', 'lo')} i JOIN allroads USING (edge_id)),
 d AS (SELECT w.user_id, w.edge_id, a, b, f.point_id, f.t_ms, pow(f.x - mx, 2) + pow(f.y - my, 2) AS d2 FROM whole w JOIN tm f USING (user_id))
