@@ -61,10 +61,12 @@ def match_starts(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class Matches:
-    """Encodes lists of texts; ``encode`` gives the ids of many whole texts, ``encode_matches`` those of single matches."""
+    """Encodes lists of texts; ``encode`` gives the ids of many whole texts, ``encode_matches`` those of single matches.
+    Texts that hold one of ``whole`` are not split here."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], encode_matches: Callable[[list[str]], list[list[int]]] | None = None):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], encode_matches: Callable[[list[str]], list[list[int]]] | None = None, whole: list[str] | None = None):
         self.encode, self.encode_matches = encode, encode_matches or encode
+        self.whole = re.compile("|".join(map(re.escape, whole))) if whole else None
         self._clear()
 
     def _clear(self) -> None:
@@ -89,7 +91,7 @@ class Matches:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of each text."""
-        far = [i for i, t in enumerate(texts) if not t.isascii() and _far.search(t)]
+        far = [i for i, t in enumerate(texts) if not t.isascii() and _far.search(t) or self.whole and self.whole.search(t)]
         skip = set(far)
         near = ["" if i in skip else t for i, t in enumerate(texts)] if far else texts
         ids, sizes = self._near(near)

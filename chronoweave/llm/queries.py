@@ -36,7 +36,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wavelet.stored(documents(spark, sf_dir), BYTE_BPE, END_ID)
+    return wavelet.stored(documents(spark, sf_dir), BYTE_BPE, END_ID, added=True)
 
 
 def op7_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:

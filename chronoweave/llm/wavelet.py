@@ -129,21 +129,26 @@ SHARDS = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int
 
 
 @lru_cache(1)
-def _tokenizer(path: str) -> tuple:
-    """The library's tokenizer and the matches it has encoded, kept for the tasks of a worker."""
+def _tokenizer(path: str, added: bool) -> tuple:
+    """The library's tokenizer and the matches it has encoded, kept for the tasks of a worker.
+
+    With ``added`` the library is left as it is: the contents of added tokens, in texts, are these tokens, and
+    texts that hold one go to the library whole. Otherwise they are spelled as ordinary characters."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
+    library.encode_special_tokens = not added
+    contents = [t.content for t in library.get_added_tokens_decoder().values()] if added else []
     model, spelled = library.model, str.maketrans(byte_letters())
     return library, Matches(lambda many: [x.ids for x in library.encode_batch_fast(many, add_special_tokens=False)],
-                            lambda many: [[t.id for t in model.tokenize(m.encode().decode("latin-1").translate(spelled))] for m in many])
+                            lambda many: [[t.id for t in model.tokenize(m.encode().decode("latin-1").translate(spelled))] for m in many],
+                            contents)
 
 
-def _write(path: str, end_id: int):
+def _write(path: str, end_id: int, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library, matches = _tokenizer(path)
+        library, matches = _tokenizer(path, added)
         bits = max(1, (max(library.get_vocab_size(), end_id + 1) - 1).bit_length())
         part, seq, before, held, held_ids = TaskContext.get().partitionId(), 0, 0, [], 0
 
@@ -168,7 +173,7 @@ def _write(path: str, end_id: int):
     return run
 
 
-def write(docs: DataFrame, path: str, end_id: int, folder: str) -> None:
+def write(docs: DataFrame, path: str, end_id: int, folder: str, added: bool = False) -> None:
     """Encode every whole text, append ``end_id``, and write matrices in ascending doc_id order.
 
     Documents are dealt out by ranges of doc_id; each range writes one file, a row a shard. Repeated
@@ -176,7 +181,7 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str) -> None:
     """
     parts = shuffle_parts(docs.sparkSession)
     ordered = texts(docs).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_write(path, end_id), "part int, seq int, before long, n_ids long, doc_ids binary, sizes binary, matrix binary").write.option("compression", "none").parquet(folder)
+    ordered.mapInArrow(_write(path, end_id, added), "part int, seq int, before long, n_ids long, doc_ids binary, sizes binary, matrix binary").write.option("compression", "none").parquet(folder)
 
 
 def read(spark, folder: str) -> DataFrame:
@@ -203,8 +208,8 @@ def read(spark, folder: str) -> DataFrame:
     return shards.select("part", "before", "doc_ids", "sizes", "matrix").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def stored(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """Write the files to the shared folder and describe each document from them."""
+def stored(docs: DataFrame, path: str, end_id: int, added: bool = False) -> DataFrame:
+    """Write the files to the shared folder and describe each document from them; ``added``: added tokens in texts are tokens."""
     folder = work_folder(docs.sparkSession, "wavelet")
-    write(docs, path, end_id, folder)
+    write(docs, path, end_id, folder, added)
     return read(docs.sparkSession, folder)

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from chronoweave.llm import bpe, urls, wavelet
-from chronoweave.llm.queries import BYTE_BPE, END_ID, MULTI_RANKS
+from chronoweave.llm.queries import BYTE_BPE, END_ID, MULTI_RANKS, op6_wavelet
 
 ODD = ["a", "'", "s", "t", "re", " ", "  ", "\n", "\t", "1", "²", "é", "!", "ll", "\x85", "\xa0", "\0", "'ve", "中", "٣", "_", "½", "ª", "\u2009", "<|endoftext|>"]
 
@@ -97,6 +97,19 @@ def test_files_hold_all_documents_in_order(spark, monkeypatch):
         at += len(ids)
 
 
+def test_added_tokens_of_the_query_are_the_librarys(spark, tmp_path):
+    many = [*odd_texts(300), "a <|endoftext|> b", "<|endoftext|>", "<|endoftext|", "é<|endoftext|><|endoftext|>中"]
+    library = Tokenizer.from_file(BYTE_BPE)
+    assert 50256 in library.encode(many[-4], add_special_tokens=False).ids
+    spark.createDataFrame(list(enumerate(many)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(op6_wavelet(spark, str(tmp_path)).collect(), key=lambda r: r.doc_id)
+    at = 0
+    for r, t in zip(got, many, strict=True):
+        ids = [*library.encode(t, add_special_tokens=False).ids, END_ID]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
 def test_urls(spark):
     cases = {
         "http://a.org/x": ("a.org", "/x", "org/", "allow"),
