@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import bpe, language, mixing, ngrams, quality, rotated, suffixes, topk, urls, wavelet
+from chronoweave.llm import bpe, language, mixing, ngrams, quality, rotated, simhash, suffixes, topk, urls, wavelet
 from chronoweave.llm.common import documents
 
 #: Files of the public tokenizers; a path, never a copy.
@@ -55,5 +55,10 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffixes, op2_rotated, op3_topk, op4_quality, op5_language, op6_wavelet, op7_ngrams, op8_mixing, op9_bpe, op10_urls)}
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir), 3, 2)
+
+
+QUERIES = {f.__name__: f for f in (op1_suffixes, op2_rotated, op3_topk, op4_quality, op5_language, op6_wavelet, op7_ngrams, op8_mixing, op9_bpe, op10_urls,
+                                 op11_simhash)}
 ORACLES = {"op2_rotated": rotated.SQL, "op3_topk": topk.SQL, "op8_mixing": mixing.SQL, "op10_urls": urls.SQL}
