@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import bpe, language, mixing, ngrams, quality, rotated, simhash, suffixes, topk, urls, wavelet
+from chronoweave.llm import bpe, language, mixing, ngrams, quality, repair, rotated, simhash, suffixes, topk, urls, wavelet, whitening
 from chronoweave.llm.common import documents
 
 #: Files of the public tokenizers; a path, never a copy.
@@ -59,6 +59,14 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), 3, 2)
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 4)
+
+
 QUERIES = {f.__name__: f for f in (op1_suffixes, op2_rotated, op3_topk, op4_quality, op5_language, op6_wavelet, op7_ngrams, op8_mixing, op9_bpe, op10_urls,
-                                 op11_simhash)}
+                                 op11_simhash, op12_repair, op13_whitening)}
 ORACLES = {"op2_rotated": rotated.SQL, "op3_topk": topk.SQL, "op8_mixing": mixing.SQL, "op10_urls": urls.SQL}
