@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,11 @@ from chronoweave.session import ensure_checkpoint_dir, ship_package
 #: Bytes of text that one vectorised step takes; a longer document is a step of its own.
 STEP_BYTES = 1 << 20
 
+#: Bytes that a batch of rows sent to Python is closed at.
+BATCH_BYTES = 8 << 20
+#: Bytes of text whose share of an exchange is one group of a task.
+PART_BYTES = 1 << 24
+
 _names = itertools.count()
 
 
@@ -24,9 +30,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def workers(spark: SparkSession) -> None:
-    """Prepare the session for work in Python: the package sent, and batches of a few MB, of which a task holds several."""
+    """Prepare the session for work in Python: the package sent, and batches of at most a few MB (or one row), of which a task holds several."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
@@ -67,6 +74,13 @@ def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def exchange_parts(docs: DataFrame, text: str = "text") -> int:
+    """Parts that an exchange of packed blocks is dealt into: some for each shuffle partition, so that these fill evenly, and more
+    where a part would hold what more than ``PART_BYTES`` of text gives."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(4 * shuffle_parts(docs.sparkSession), -(-size // PART_BYTES))
+
+
 def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES, kind=pa.binary(), most: int = 1 << 14) -> Iterator[tuple[int, int, list]]:
     """At most ``most`` consecutive rows, their texts near ``limit`` together: first row, end row, texts (null: empty)."""
     first, size, out = 0, 0, []
@@ -148,6 +162,30 @@ def words(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return data, first, end, np.searchsorted(first, begins)
 
 
+def shingle_hashes(parts: list[bytes], n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of the word n-grams of several texts, joined by one space, repeats included, and how many each text has.
+
+    A text of fewer words has its whole sequence as one gram; a text without words has none.
+    """
+    data, first, end, begins = words(parts)
+    if not len(first):
+        return np.zeros(0, np.uint64), np.zeros(len(parts), np.int64)
+    # all words one after another, a space behind each
+    sizes = end - first
+    at = np.zeros(len(first) + 1, np.int64)
+    np.cumsum(sizes + 1, out=at[1:])
+    line = np.full(at[-1], 0x20, np.uint8)
+    line[np.arange(int(sizes.sum())) + np.repeat(np.arange(len(first)), sizes)] = data[~_SPACE[data]]
+    line = line.tobytes()
+    count = np.diff(begins)
+    grams = np.where(count >= n, count - n + 1, np.minimum(count, 1))
+    head = np.arange(int(grams.sum())) + np.repeat(begins[:-1] - (np.cumsum(grams) - grams), grams)
+    tail = np.minimum(head + n, np.repeat(begins[1:], grams))
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(line[a:b], seed) for a, b in zip(at[head].tolist(), (at[tail] - 1).tolist())), np.uint64, len(head))
+    return hashes, grams
+
+
 def unique_in_groups(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values of each group, ascending; ``sizes``: rows of each group, one after another. Values and new sizes."""
     group = np.repeat(np.arange(len(sizes)), sizes)

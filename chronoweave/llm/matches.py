@@ -15,7 +15,7 @@ from chronoweave.llm.common import prefix_sums, span_hashes
 LIMIT = 0x250
 LETTER, NUMBER, SPACE, OTHER = range(4)
 #: Distinct matches a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 _far = re.compile(f"[{chr(LIMIT)}-\U0010ffff]")
 
@@ -70,24 +70,23 @@ class Matches:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[str, int] = {}
         self.ids = np.zeros(0, np.int32)
         self.offsets = np.zeros(1, np.int64)
 
-    def _places(self, hashes: np.ndarray, sample: list[str]) -> np.ndarray:
-        keys = hashes.tolist()
-        if len(self.known) + len(keys) > REMEMBERED:
+    def _places(self, matches: list[str]) -> np.ndarray:
+        """Where the ids of each match begin."""
+        if len(self.known) + len(matches) > REMEMBERED:
             self._clear()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
+        new = list(dict.fromkeys(m for m in matches if m not in self.known))
         if new:
-            found = self.encode_matches([sample[i] for i in new])
+            found = self.encode_matches(new)
             at = len(self.offsets) - 1
-            for j, i in enumerate(new):
-                self.known[keys[i]] = at + j
+            self.known.update(zip(new, range(at, at + len(new))))
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             self.ids = np.concatenate([self.ids, np.fromiter((x for f in found for x in f), np.int32, int(sizes.sum()))])
             self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
-        return np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+        return np.fromiter(map(self.known.__getitem__, matches), np.int64, len(matches))
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of each text."""
@@ -114,12 +113,22 @@ class Matches:
         real[np.searchsorted(starts, closing)] = False
         counts = np.diff(np.append(np.searchsorted(starts, first), len(starts))) - 1
         starts, ends = starts[real], ends[real]
-        hashes, where, inverse = np.unique(span_hashes(prefix_sums(codes), starts, ends), return_index=True, return_inverse=True)
-        places = self._places(hashes, [joined[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])[inverse]
+        _, where, inverse = np.unique(span_hashes(prefix_sums(codes), starts, ends), return_index=True, return_inverse=True)
+        some = [joined[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+        if same_spans(codes, starts, ends, starts[where][inverse], ends[where][inverse]):
+            places = self._places(some)[inverse]
+        else:  # two matches with one hash
+            places = self._places([joined[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
         sizes = self.offsets[places + 1] - self.offsets[places]
         return gather(self.ids, self.offsets[places], sizes), group_sums(sizes, counts)
 
 
+def same_spans(codes: np.ndarray, first: np.ndarray, end: np.ndarray, other: np.ndarray, other_end: np.ndarray) -> bool:
+    """Whether all spans [first, end) read as the other ones do."""
+    sizes = end - first
+    return bool((sizes == other_end - other).all()) and bool((gather(codes, first, sizes) == gather(codes, other, sizes)).all())
+
+
 def gather(values: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The concatenation of values[first[i]:first[i] + sizes[i]]."""
     total = int(sizes.sum())

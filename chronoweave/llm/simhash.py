@@ -14,11 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import rows, steps, texts, words, written
+from chronoweave.llm.common import rows, shingle_hashes, steps, texts, written
 from chronoweave.llm.components import components
 from chronoweave.operators.skew import broadcast_if_small, lookup_join
 
@@ -39,30 +38,11 @@ _SPACE = re.compile(rb"[ \t-\r]")
 
 def _bit_counts(parts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     """For each text, how many of its shingles' hashes have each bit set (one column a bit), and its number of shingles."""
-    data, first, end, begins = words(parts)
-    if not len(first):
-        return np.zeros((len(parts), BITS), np.int64), np.zeros(len(parts), np.int64)
-    # all words one after another, a space behind each
-    sizes = end - first
-    at = np.zeros(len(first) + 1, np.int64)
-    np.cumsum(sizes + 1, out=at[1:])
-    line = np.full(at[-1], 0x20, np.uint8)
-    own = np.repeat(first - at[:-1], sizes)
-    places = np.arange(len(own)) + np.repeat(np.arange(len(first)), sizes)
-    line[places] = data[places + own]
-    line = line.tobytes()
-    count = np.diff(begins)
-    shingles = np.where(count >= n, count - n + 1, np.minimum(count, 1))
+    hashes, shingles = shingle_hashes(parts, n, SEED)
     owner = np.repeat(np.arange(len(parts)), shingles)
-    before = np.zeros(len(parts) + 1, np.int64)
-    np.cumsum(shingles, out=before[1:])
-    head = begins[:-1][owner] + np.arange(len(owner)) - before[:-1][owner]
-    tail = np.minimum(head + n, begins[1:][owner])
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], SEED) for a, b in zip(at[head].tolist(), (at[tail] - 1).tolist())], "<u8")
     out = np.zeros((len(parts), BITS), np.int64)
     for some in range(0, len(hashes), WIDE):
-        bits = np.unpackbits(hashes[some:some + WIDE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.unpackbits(hashes[some:some + WIDE].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         texts_here, starts = np.unique(owner[some:some + WIDE], return_index=True)
         out[texts_here] += np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
     return out, shingles

@@ -222,3 +222,12 @@ def test_stages_keep_the_columns(spark):
     assert ids[0] == sorted([*range(60), *range(100, 105)])
     assert ids[1] == list(range(60)) and ids[2] == ids[1]
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == docs.count()
+
+
+def test_grams_with_equal_polynomial_hashes(spark):
+    word = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    twin = word.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, word), (2, twin), (3, word), (4, f"{word} {twin} x y"), (5, f"{twin} {word} x y")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngrams.similar(docs, 3, 90).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (1, 1), 4: (2, 4), 5: (2, 5)}
+    assert ngrams.gram_sets([f"{word} {twin} {word}".encode()], 1)[1].tolist() == [2]

@@ -130,3 +130,17 @@ def test_urls(spark):
     for i, want in enumerate(cases.values()):
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == want
     assert (got[90].host, got[90].rule, got[90].verdict) == ("", None, "allow") and got[None].verdict == "allow"
+
+
+def thue_morse(n=1024):
+    """A word and its complement, whose polynomial hashes modulo a power of two are equal for every odd base."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_matches_with_equal_hashes(library):
+    codec = bpe.RankFile(MULTI_RANKS, public_tokenizers.PATTERN)
+    t, u = thue_morse()
+    for many in ([t, u], [u, t + " " + u, "x"], [t]):
+        ids, sizes = codec.encode(many)
+        assert [p.tolist() for p in np.split(ids, np.cumsum(sizes)[:-1])] == [library.encode_ordinary(x) for x in many]
