@@ -479,12 +479,13 @@ met AS (SELECT i.*, c, ways, list_transform(ways, lambda w: greatest(a, least(b,
   list_filter(flatten(list_transform(ways, lambda p: list_transform(ways, lambda q: (p.at + q.at) / 2 + (q.delay - p.delay) / (2 * c)))), lambda m: m > a AND m < b) AS peaks
   FROM {_islands('point_id, edge_id', 'spans1')} i JOIN w0 USING (point_id, edge_id)),
 timed AS (SELECT *, list_min(list_transform(near, lambda s: {_AT.format(s='s')})) AS lo_t, list_max(list_transform(list_concat([a, b], peaks), lambda s: {_AT.format(s='s')})) AS hi_t FROM met)
-SELECT o.pair_id, o.point_id AS cluster, edge_id, round(a, 4) AS a, round(b, 4) AS b, round(lo_t, 4) AS travel_sec_min, round(hi_t, 4) AS travel_sec_max,
-  round(240 - 2 * hi_t, 4) AS activity_sec_min, round(240 - 2 * lo_t, 4) AS activity_sec_max FROM timed JOIN o USING (point_id) WHERE 240 - 2 * hi_t + 1e-6 >= 60""")
+SELECT o.pair_id, o.point_id AS cluster, edge_id, round(a, 4) AS a, round(b, 4) AS b, round(lo_t, 3) AS travel_sec_min, round(hi_t, 3) AS travel_sec_max,
+  round(240 - 2 * hi_t, 3) AS activity_sec_min, round(240 - 2 * lo_t, 3) AS activity_sec_max FROM timed JOIN o USING (point_id) WHERE 240 - 2 * hi_t + 1e-6 >= 60""")
 def origin_road_pieces(spark, sf):
     """Reachable pieces of each fix with travel and activity times."""
     out = _origin_areas(spark, sf)["ppa_roads"]
-    return out.select("origin_id.*", "edge_id", *[r(c, 4).alias(c) for c in ("a", "b", "travel_sec_min", "travel_sec_max", "activity_sec_min", "activity_sec_max")])
+    return out.select("origin_id.*", "edge_id", r("a", 4).alias("a"), r("b", 4).alias("b"),
+                      *[r(c, 3).alias(c) for c in ("travel_sec_min", "travel_sec_max", "activity_sec_min", "activity_sec_max")])
 
 
 @query(f"""WITH {_TRACK}, g AS (SELECT pair_id, t_ms - lag(t_ms) OVER (PARTITION BY pair_id ORDER BY t_ms, point_id) AS gap FROM track)
