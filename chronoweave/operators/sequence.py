@@ -143,6 +143,10 @@ class Timeline:
                 .drop(*[f"_m_{n}" for n in values])
         return self._with(out)
 
+    def adding(self, **columns: Column) -> "Timeline":
+        """Add columns made from the row itself."""
+        return self._with(self.df.withColumns(columns))
+
     def _with(self, df: DataFrame) -> "Timeline":
         other = object.__new__(Timeline)
         other.__dict__.update(self.__dict__)

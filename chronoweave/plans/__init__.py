@@ -1,8 +1,8 @@
 """Whole analyses composed from operators: plain functions from DataFrames to named DataFrames."""
 
 from chronoweave.plans.jobs import (
-    activity_surface, corridor, exposure, fix_surface, grid_prism, origin_areas, path_prism, road_prism,
-    space_time_cube, stkde, trajectory, two_anchor_prism)
+    activity_surface, corridor, encounters, exposure, fix_surface, grid_prism, observed_activities, origin_areas, path_prism,
+    prism_intersections, road_prism, space_time_cube, stkde, temporal_misses, trajectory, two_anchor_prism)
 
 JOBS = {
     "trajectory": trajectory,
@@ -17,4 +17,8 @@ JOBS = {
     "activity_surface": activity_surface,
     "corridor": corridor,
     "exposure": exposure,
+    "encounters": encounters,
+    "temporal_misses": temporal_misses,
+    "prism_intersections": prism_intersections,
+    "observed_activities": observed_activities,
 }

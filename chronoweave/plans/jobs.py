@@ -1,4 +1,4 @@
-"""The twelve analyses."""
+"""The analyses."""
 
 from __future__ import annotations
 
@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.functions.geo import GRID_M_PER_DEG, height_scale_value, lift, middle_lon, utm_zone, with_utm
-from chronoweave.functions.hexgrid import auto_resolution
+from chronoweave.functions.hexgrid import auto_resolution, to_hex
 from chronoweave.functions.roads import mode_profile, mode_speed_kmh, resolve_speed_factor
 from chronoweave.operators import corridor as corridors
 from chronoweave.operators import cube as cubes
 from chronoweave.operators import exposure as exposures
-from chronoweave.operators import kernel, pasta, prism
+from chronoweave.operators import kernel, meetings, pasta, prism, shared
 from chronoweave.operators import network as net
 from chronoweave.operators import trajectory as paths
 from chronoweave.operators.area import preclip_roads
@@ -277,8 +277,9 @@ def auto_budget(origins: DataFrame, min_activity_sec: float, tie: str | None = N
     """Budget per pair: the median gap between its origins, never below the activity plus a minute."""
     tie = tie or ("cluster" if "cluster" in origins.columns else "t_ms")
     gaps = Timeline(origins, ["pair_id"], "t_ms", tie, hot_rows).neighbours(previous={"_before": F.col("t_ms")}).result()
-    return gaps.groupBy("pair_id").agg(F.median(F.col("t_ms") - F.col("_before")).alias("_gap")).select("pair_id", F.coalesce(
-        F.greatest(F.lit(min_activity_sec + 60.0), F.col("_gap") / 1000), F.lit(min_activity_sec + 600.0)).alias("budget_sec"))
+    # a greatest() skips nulls, so a pair with one origin needs a case of its own
+    gap = F.when(F.col("_gap").isNotNull(), F.greatest(F.lit(min_activity_sec + 60.0), F.col("_gap") / 1000)).otherwise(min_activity_sec + 600.0)
+    return gaps.groupBy("pair_id").agg(F.median(F.col("t_ms") - F.col("_before")).alias("_gap")).select("pair_id", gap.alias("budget_sec"))
 
 
 def fix_surface(traj: DataFrame, anchors: DataFrame, *, mode: str = "walking", custom_kmh: float | None = None, resolution: int = 9,
@@ -361,3 +362,36 @@ def exposure(traj: DataFrame, env: DataFrame, **options) -> Outputs:
     return {"trajectory": exposures.join_exposure(traj, env, **options)}
 
 
+
+
+def encounters(traj: DataFrame, *, reach_m: float = 100.0, meeting_m: float = 20.0, max_gap_ms: int | None = 3_600_000,
+               slot_ms: int = 1_800_000, cell_m: float | None = None, hot_rows: int | None = None) -> Outputs:
+    """Times that two users are within ``reach_m`` of each other on their ways, and the nearest approach of every two motions."""
+    met = cut_lineage(meetings.approaches(meetings.motions(traj, max_gap_ms, hot_rows), reach_m, slot_ms, cell_m, hot_rows=hot_rows))
+    return {"encounters": meetings.encounters(met, meeting_m, hot_rows), "approaches": met}
+
+
+def temporal_misses(traj: DataFrame, *, max_gap_ms: int = 3_600_000, resolution: int = 10, lat0: float | None = None,
+                    hot_rows: int | None = None) -> Outputs:
+    """Visits of hexagons, and for each the next visitor who came too late."""
+    lat0 = round(extent(traj).mean_lat) if lat0 is None else lat0
+    seen = cut_lineage(meetings.visits(traj, to_hex(F.col("lon"), F.col("lat"), resolution, lat0), hot_rows))
+    return {"misses": meetings.temporal_misses(seen, max_gap_ms, hot_rows), "visits": seen}
+
+
+def prism_intersections(pairs: DataFrame, *, mode: str = "walking", custom_kmh: float | None = None, step_ms: int = 60_000, resolution: int = 9,
+                        lat0: float | None = None, hot_rows: int | None = None) -> Outputs:
+    """Prisms that share hexagons at the same instants. Hexagons follow one reference latitude, the pairs' mean unless it is given."""
+    speed = mode_speed_kmh(mode, custom_kmh) / 3.6
+    trips = prism.with_trip(pairs, speed)
+    if lat0 is None:
+        lat0 = round(trips.agg(F.avg((F.col("a_lat") + F.col("b_lat")) / 2)).first()[0] or 0.0)
+    cells = shared.shared_cells(cut_lineage(shared.occupancy(trips, speed, step_ms, resolution, lat0)), hot_rows=hot_rows)
+    return {"intersections": shared.shared_prisms(cells, step_ms), "cells": cells, "counts": prism.feasibility_counts(trips)}
+
+
+def observed_activities(activities: DataFrame, prisms: DataFrame, *, mode: str = "walking", custom_kmh: float | None = None,
+                        hot_rows: int | None = None) -> Outputs:
+    """Each activity against the user's prisms, and how many are inside, outside or without one a user."""
+    checked = shared.check_activities(activities, prisms, mode_speed_kmh(mode, custom_kmh) / 3.6, hot_rows)
+    return {"activities": checked, "counts": shared.activity_counts(checked)}

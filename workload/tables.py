@@ -22,7 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def traj(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return fixes_of(table(spark, sf_dir, "events"))
+
+
+def fixes_of(e: DataFrame) -> DataFrame:
     u, i = F.col("user_id"), F.col("event_id")
     return e.select(
         i.alias("point_id"), u.cast("string").alias("user_id"), ntz_millis(F.col("ts").cast("timestamp_ntz")).alias("t_ms"),
