@@ -1,7 +1,7 @@
 """Whole analyses composed from operators: plain functions from DataFrames to named DataFrames."""
 
 from chronoweave.plans.jobs import (
-    activity_surface, corridor, encounters, exposure, fix_surface, grid_prism, observed_activities, origin_areas, path_prism,
+    activity_surface, bundles, corridor, daily_routines, encounters, exposure, fix_surface, grid_prism, observed_activities, origin_areas, path_prism,
     prism_intersections, road_prism, space_time_cube, stkde, temporal_misses, trajectory, two_anchor_prism)
 
 JOBS = {
@@ -19,6 +19,8 @@ JOBS = {
     "exposure": exposure,
     "encounters": encounters,
     "temporal_misses": temporal_misses,
+    "bundles": bundles,
+    "daily_routines": daily_routines,
     "prism_intersections": prism_intersections,
     "observed_activities": observed_activities,
 }

@@ -11,7 +11,7 @@ from chronoweave.functions.roads import mode_profile, mode_speed_kmh, resolve_sp
 from chronoweave.operators import corridor as corridors
 from chronoweave.operators import cube as cubes
 from chronoweave.operators import exposure as exposures
-from chronoweave.operators import kernel, meetings, pasta, prism, shared
+from chronoweave.operators import kernel, meetings, pasta, prism, routines, shared
 from chronoweave.operators import network as net
 from chronoweave.operators import trajectory as paths
 from chronoweave.operators.area import preclip_roads
@@ -371,6 +371,20 @@ def encounters(traj: DataFrame, *, reach_m: float = 100.0, meeting_m: float = 20
     return {"encounters": meetings.encounters(met, meeting_m, hot_rows), "approaches": met}
 
 
+def bundles(traj: DataFrame, *, reach_m: float = 100.0, max_gap_ms: int | None = 3_600_000, min_members: int = 3, min_ms: int = 0,
+            slot_ms: int = 900_000, hot_rows: int | None = None) -> Outputs:
+    """Groups that move or stay within ``reach_m`` of each other, from neighbour to neighbour, with the stretches of time they do."""
+    met = encounters(traj, reach_m=reach_m, meeting_m=reach_m, max_gap_ms=max_gap_ms, hot_rows=hot_rows)["encounters"]
+    return {"bundles": routines.bundles(cut_lineage(met), min_members, min_ms, slot_ms, hot_rows)}
+
+
+def daily_routines(traj: DataFrame, *, gap_ms: int = 3_600_000, cell_deg: float = 0.002, min_stays: int = 3, hot_rows: int | None = None) -> Outputs:
+    """Stays, the stations they gather at, and how often a user's days and moves repeat."""
+    stays = cut_lineage(routines.stations(routines.sessions(traj, gap_ms), cell_deg, min_stays, hot_rows))
+    days = cut_lineage(routines.day_sequences(stays, hot_rows))
+    return {"stays": stays, "days": days, "routines": routines.routines(days), "transitions": routines.transitions(days)}
+
+
 def temporal_misses(traj: DataFrame, *, max_gap_ms: int = 3_600_000, resolution: int = 10, lat0: float | None = None,
                     hot_rows: int | None = None) -> Outputs:
     """Visits of hexagons, and for each the next visitor who came too late."""

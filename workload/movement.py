@@ -95,6 +95,69 @@ def temporal_misses(spark, sf):
     return out.select("place.*", "user_id", "visit", "leave_ms", "next_user", "next_visit", "next_ms", "gap_s")
 
 
+# ================================================================ groups and days
+
+GROUP_M = 600.0
+
+
+@query(f"""WITH RECURSIVE {_APPROACHES.replace(repr(REACH_M ** 2), repr(GROUP_M ** 2))},
+o AS (SELECT *, CASE WHEN enter_ms <= max(leave_ms) OVER (PARTITION BY user_a, user_b ORDER BY enter_ms, leave_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM met),
+runs AS (SELECT *, sum(fresh) OVER (PARTITION BY user_a, user_b ORDER BY enter_ms, leave_ms ROWS UNBOUNDED PRECEDING) AS run FROM o),
+e AS (SELECT user_a, user_b, CAST(round(min(enter_ms)) AS BIGINT) AS s, CAST(round(max(leave_ms)) AS BIGINT) AS e FROM runs GROUP BY user_a, user_b, run),
+marks AS (SELECT DISTINCT unnest([s, e]) AS mark FROM e), spans AS (SELECT row_number() OVER (ORDER BY mark) AS nth, mark AS s, lead(mark) OVER (ORDER BY mark) AS e FROM marks),
+now AS (SELECT nth, user_a AS a, user_b AS b FROM spans JOIN e ON e.s < spans.e AND spans.s < e.e WHERE spans.e IS NOT NULL),
+edges AS (SELECT nth, a, b FROM now UNION SELECT nth, b, a FROM now),
+reach(nth, a, b) AS (SELECT nth, a, b FROM edges UNION SELECT r.nth, r.a, e.b FROM reach r JOIN edges e ON e.nth = r.nth AND e.a = r.b),
+groups AS (SELECT DISTINCT nth, list_sort(list_distinct(list(b))) AS members FROM reach GROUP BY nth, a),
+big AS (SELECT nth, members, nth - row_number() OVER (PARTITION BY members ORDER BY nth) AS island FROM groups WHERE len(members) >= 3)
+SELECT array_to_string(members, ',') AS members, len(any_value(members))::INTEGER AS size, round(min(s) / 1000) AS start_s, round(max(e) / 1000) AS end_s
+FROM big JOIN spans USING (nth) GROUP BY members, island HAVING max(e) - min(s) >= 60000""")
+def bundles(spark, sf):
+    """Three or more persons within 600 m of each other, from one to the next, for a minute at least."""
+    out = JOBS["bundles"](t.traj(spark, sf), reach_m=GROUP_M, max_gap_ms=GAP_MS, min_ms=60_000)["bundles"]
+    return out.select(F.array_join("members", ",").alias("members"), "size", F.round(F.col("start_ms") / 1000).alias("start_s"), F.round(F.col("end_ms") / 1000).alias("end_s"))
+
+
+_DAYS = f"""{S.TRAJ}, g AS (SELECT *, CASE WHEN t_ms - lag(t_ms) OVER w < 3600000 THEN 0 ELSE 1 END AS new FROM traj WINDOW w AS (PARTITION BY user_id ORDER BY t_ms, point_id)),
+n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t_ms, point_id ROWS UNBOUNDED PRECEDING) AS nth FROM g),
+stays AS (SELECT user_id, min(t_ms) AS start_ms, max(t_ms) AS end_ms, avg(lon) AS lon, avg(lat) AS lat, count(*) AS fixes, CAST(floor(avg(lon) / 0.005e0) AS BIGINT) AS cx,
+  CAST(floor(avg(lat) / 0.005e0) AS BIGINT) AS cy FROM n GROUP BY user_id, nth),
+cores AS (SELECT user_id, cx, cy FROM stays GROUP BY ALL HAVING count(*) >= 3),
+hop AS (SELECT a.user_id, a.cx AS ax, a.cy AS ay, b.cx AS bx, b.cy AS by_ FROM cores a JOIN cores b ON a.user_id = b.user_id AND abs(a.cx - b.cx) <= 1 AND abs(a.cy - b.cy) <= 1),
+reach(user_id, ax, ay, bx, by_) AS (SELECT * FROM hop UNION SELECT r.user_id, r.ax, r.ay, h.bx, h.by_ FROM reach r JOIN hop h ON h.user_id = r.user_id AND h.ax = r.bx AND h.ay = r.by_),
+named AS (SELECT user_id, ax AS cx, ay AS cy, min({{'cx': bx, 'cy': by_}}) AS station FROM reach GROUP BY 1, 2, 3),
+placed AS (SELECT s.*, (SELECT arg_min(m.station, {{'other': m.cx <> s.cx OR m.cy <> s.cy, 'st': m.station}}) FROM named m WHERE m.user_id = s.user_id AND abs(m.cx - s.cx) <= 1 AND abs(m.cy - s.cy) <= 1) AS station FROM stays s)"""
+
+
+@query(f"""WITH RECURSIVE {_DAYS} SELECT user_id, start_ms, end_ms, fixes, round(lon, 8) AS lon, round(lat, 8) AS lat, station.cx AS station_x, station.cy AS station_y FROM placed""")
+def station_stays(spark, sf):
+    """Stays between pauses of an hour, and the dense places they belong to."""
+    out = JOBS["daily_routines"](t.traj(spark, sf), cell_deg=0.005)["stays"]
+    return out.select("user_id", "start_ms", "end_ms", "fixes", r("lon", 8).alias("lon"), r("lat", 8).alias("lat"),
+                      F.col("station.cx").alias("station_x"), F.col("station.cy").alias("station_y"))
+
+
+_SEQUENCES = f"""{_DAYS}, dated AS (SELECT user_id, start_ms // 86400000 AS day, start_ms, station FROM placed WHERE station IS NOT NULL),
+moved AS (SELECT * FROM dated QUALIFY station IS DISTINCT FROM lag(station) OVER (PARTITION BY user_id, day ORDER BY start_ms)),
+days AS (SELECT user_id, day, list(station.cx || ':' || station.cy ORDER BY start_ms) AS sequence FROM moved GROUP BY 1, 2)"""
+
+
+@query(f"""WITH RECURSIVE {_SEQUENCES} SELECT user_id, array_to_string(sequence, ' ') AS sequence, count(*) AS days,
+  round(count(*) / sum(count(*)) OVER (PARTITION BY user_id), 6) AS share FROM days GROUP BY user_id, sequence""")
+def daily_routines(spark, sf):
+    """On how many days each person's sequence of stations recurs."""
+    out = JOBS["daily_routines"](t.traj(spark, sf), cell_deg=0.005)["routines"]
+    text = F.array_join(F.transform("sequence", lambda s: F.concat_ws(":", s["cx"], s["cy"])), " ")
+    return out.select("user_id", text.alias("sequence"), "days", r("share").alias("share"))
+
+
+@query(f"""WITH RECURSIVE {_SEQUENCES}, m AS (SELECT user_id, sequence, unnest(range(1, len(sequence))) AS i FROM days)
+SELECT user_id, sequence[i] AS "from", sequence[i + 1] AS "to", count(*) AS count FROM m GROUP BY ALL""")
+def station_transitions(spark, sf):
+    out = JOBS["daily_routines"](t.traj(spark, sf), cell_deg=0.005)["transitions"]
+    return out.select("user_id", *[F.concat_ws(":", f"{c}.cx", f"{c}.cy").alias(c) for c in ("from", "to")], "count")
+
+
 # ================================================================ prisms
 
 STEP_MS = 30_000
