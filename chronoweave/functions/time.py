@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoweave.functions.bind import bind
+from chronoweave.report import Report, counted_filter
 
 DAY_MS = 86_400_000
 
@@ -65,17 +68,39 @@ def epoch_ms(c: Column, dtype: T.DataType) -> Column:
     return text_epoch_ms(c.cast("string"))
 
 
-def with_epoch_ms(df: DataFrame, time_col: str, on_bad: str = "drop") -> DataFrame:
-    """Add ``t_ms``. Unparseable rows are dropped, kept as null (``keep``) or fail the query (``raise``)."""
-    if time_col not in df.columns:
-        raise ValueError(f"time attribute '{time_col}' not found in data")
-    parsed = epoch_ms(F.col(time_col), df.schema[time_col].dataType)
+#: Columns in which a time is looked for when none is named.
+TIME_FIELDS = ("_timestamp", "timestamp", "time")
+
+
+def with_epoch_ms(df: DataFrame, time_col: str | Sequence[str], on_bad: str = "drop", report: Report | None = None) -> DataFrame:
+    """Add ``t_ms``, of the first of several time columns that a row can be read from; names that the table lacks are passed over.
+
+    Unparseable rows are dropped, kept as null (``keep``) or fail the query (``raise``); ``some`` drops them, but fails here
+    when not one row has a time. A ``report`` counts them.
+    """
+    names = [time_col] if isinstance(time_col, str) else list(time_col)
+    known = [c for c in names if c in df.columns]
+    if not known:
+        raise ValueError(f"time attribute {' or '.join(repr(c) for c in names)} not found in data")
+    # the parsers of text are long; each is bound once
+    parsed = bind(df, {f"_ms{i}": epoch_ms(F.col(c), df.schema[c].dataType) for i, c in enumerate(known)})
+    t_ms = F.coalesce(*[F.col(f"_ms{i}") for i in range(len(known))])
     if on_bad == "raise":
-        parsed = F.when(parsed.isNull(), F.raise_error(F.concat(
-            F.lit("cannot parse time "), F.coalesce(F.col(time_col).cast("string"), F.lit("null")),
-        )).cast("bigint")).otherwise(parsed)
-    out = bind(df, {"t_ms": parsed})
-    return out.filter(F.col("t_ms").isNotNull()) if on_bad == "drop" else out
+        t_ms = F.coalesce(t_ms, F.raise_error(F.concat(F.lit("cannot parse time "), F.coalesce(*[F.col(c).cast("string") for c in known], F.lit("null")))).cast("bigint"))
+    out = parsed.withColumn("t_ms", t_ms).drop(*[f"_ms{i}" for i in range(len(known))])
+    if on_bad not in ("drop", "some"):
+        return out
+    if on_bad == "some" and out.filter("t_ms is not null").isEmpty() and not df.isEmpty():
+        raise ValueError(f"could not parse any time from {' or '.join(repr(c) for c in known)}")
+    return counted_filter(report, "time", out, F.col("t_ms").isNotNull(), "rows have no readable time")
+
+
+def anchor_millis(spark: SparkSession, anchor: float | str | None) -> int | None:
+    """A wall-clock instant given as seconds or milliseconds, or as text; nothing for blank or unreadable text."""
+    if anchor is None or isinstance(anchor, str) and not anchor.strip():
+        return None
+    kind = T.StringType() if isinstance(anchor, str) else T.DoubleType()
+    return spark.range(1).select(epoch_ms(F.lit(anchor), kind)).first()[0]
 
 
 def clock_hour(c: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions.geo import ring_bounds
 from chronoweave.operators.skew import lookup_join
+from chronoweave.report import Report
 
 MAX_GRID = 256  # cells per axis, so the cell table stays below 65 536 keys
 
@@ -113,6 +114,12 @@ def _inside(x: Column, y: Column, cx: Column, cy: Column, polys: Column) -> Colu
                     | ((crossings(p["sides"]) % 2 == 1) != p["inside"]))
 
 
+def clip_points(df: DataFrame, area: DataFrame, report: Report, hot_rows: int | None = None) -> DataFrame:
+    """``points_in_area`` with the points before and after it in a report; both are counted in the pass that clips."""
+    seen = report.watch("area", df, points=F.count(F.lit(1)))
+    return report.watch("area", points_in_area(seen, area, hot_rows=hot_rows), kept=F.count(F.lit(1)))
+
+
 def points_in_area(df: DataFrame, area: DataFrame | AreaIndex, x: str = "lon", y: str = "lat",
                    hot_rows: int | None = None) -> DataFrame:
     """Points inside or on the border of any polygon. An area without polygons keeps everything."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.functions.time import readable
+from chronoweave.functions.time import anchor_millis, readable
 from chronoweave.operators.grid import Grid, Slices, extent, grid_spec, spatial_bandwidth, time_slices
 from chronoweave.operators.trajectory import segments, with_elapsed
 
@@ -32,8 +32,8 @@ def ground(cells: DataFrame) -> DataFrame:
 
 
 def space_time_cube(df: DataFrame, *, cell_m: float | None = None, cell_deg: float | None = None, n_slices: int = 10,
-                    method: str = "equal_interval", duration_s: float | None = None, anchor_ms: float | None = None,
-                    env: str | None = None, align: bool = False, path: bool = True, hot_rows: int | None = None) -> dict:
+                    method: str = "equal_interval", duration_s: float | None = None, anchor_ms: float | str | None = None,
+                    env: str | None = None, align: bool = False, path: bool = True, max_slices: int | None = None, hot_rows: int | None = None) -> dict:
     """``cubes``, ``ground``, ``segments`` (unless ``path`` is off) and the layout (``grid``, ``slices``, ``warnings``)."""
     ext = extent(df)
     warnings: list[str] = []
@@ -42,13 +42,14 @@ def space_time_cube(df: DataFrame, *, cell_m: float | None = None, cell_deg: flo
     timed = timed.withColumn("elapsed_ms", elapsed).withColumn("t_s", elapsed / 1000.0)
     grid = grid_spec(ext, spatial_bandwidth(df, ext), cell_m, cell_deg)
     anchor_s = None
+    anchor_ms = anchor_millis(df.sparkSession, anchor_ms)
     if method == "fixed_duration" and anchor_ms is not None:
         if aligned:
             warnings.append("slice anchor ignored: aligned time has no wall clock")
         else:
             anchor_s = (anchor_ms - ext.t_min) / 1000.0
     span = None if aligned else (0.0, (ext.t_max - ext.t_min) / 1000.0)
-    slices = time_slices(timed, F.col("t_s"), method, n_slices, duration_s, anchor_s, span)
+    slices = time_slices(timed, F.col("t_s"), method, n_slices, duration_s, anchor_s, span, max_slices)
     warnings += slices.warnings
 
     cells = count_cells(bin_points(timed, grid, slices), env)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.functions.time import readable
+from chronoweave.functions.time import anchor_millis, readable
 from chronoweave.operators.grid import (
     Extent, Grid, Slices, extent, grid_spec, spatial_bandwidth, temporal_bandwidth, time_slices)
 from chronoweave.operators.quantiles import exact_quantiles
@@ -118,8 +118,8 @@ def ground_footprint(classified: DataFrame) -> DataFrame:
 
 def stkde(df: DataFrame, *, h_spatial: float | None = None, h_temporal: float | None = None,
           cell_m: float | None = None, cell_deg: float | None = None, n_slices: int = 10,
-          method: str = "equal_interval", duration_s: float | None = None, anchor_ms: float | None = None,
-          align: bool = False, per_slice: bool = False, cap: int | None = None, hot_rows: int | None = None) -> dict:
+          method: str = "equal_interval", duration_s: float | None = None, anchor_ms: float | str | None = None,
+          align: bool = False, per_slice: bool = False, cap: int | None = None, max_slices: int | None = None, hot_rows: int | None = None) -> dict:
     """``cells`` (density), ``classified``, ``ground`` (2-D density) and the layout."""
     ext: Extent = extent(df)
     timed, aligned = with_elapsed(df, align, hot_rows=hot_rows)
@@ -139,7 +139,7 @@ def stkde(df: DataFrame, *, h_spatial: float | None = None, h_temporal: float |
             step = (row[1] - row[0]) / (n_slices - 1)
             centers = [row[0] + step * i for i in range(n_slices - 1)] + [row[1]]
     else:
-        anchor_s = None
+        anchor_s, anchor_ms = None, anchor_millis(df.sparkSession, anchor_ms)
         if method == "fixed_duration" and anchor_ms is not None:
             if aligned:
                 warnings.append("slice anchor ignored: aligned time has no wall clock")

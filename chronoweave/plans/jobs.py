@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.functions.geo import GRID_M_PER_DEG, height_scale_value, lift, middle_lon, utm_zone, with_utm
+from chronoweave.functions.geo import GRID_M_PER_DEG, box_meets, height_scale_value, lift, middle_lon, utm_zone, with_utm
 from chronoweave.functions.hexgrid import auto_resolution, to_hex
 from chronoweave.functions.roads import mode_profile, mode_speed_kmh, resolve_speed_factor
 from chronoweave.operators import corridor as corridors
@@ -19,7 +19,9 @@ from chronoweave.operators.fold import anchor_fixes, static_clusters, thin_circl
 from chronoweave.operators.grid import extent
 from chronoweave.operators.skew import lookup_join
 from chronoweave.operators.sequence import Timeline, union_all
+from chronoweave.report import Report
 from chronoweave.session import cut_lineage
+from chronoweave.sources.layout import BOX
 
 Outputs = dict[str, DataFrame]
 
@@ -40,6 +42,10 @@ def roads_near(roads: DataFrame, discs: DataFrame, zone: int) -> DataFrame:
         F.min(x - wide).alias("w"), F.max(x + wide).alias("e"), F.min(F.col("lat") - high).alias("s"), F.max(F.col("lat") + high).alias("n")).first()
     if box.w is None:
         return roads.limit(0)
+    middle = zone * 6 - 183
+    if set(BOX) <= set(roads.columns) and box.w + middle >= -180 and box.e + middle <= 180:
+        # the table says how far its roads reach: groups of rows outside the box are not read
+        return roads.filter(box_meets(BOX, (box.w + middle, box.s, box.e + middle, box.n)))
     lons, lats = F.transform("coords", lambda p: away(p["x"])), F.transform("coords", lambda p: p["y"])
     near = (F.array_min(lats) <= box.n) & (F.array_max(lats) >= box.s)
     if box.w >= -180 and box.e <= 180:
@@ -90,8 +96,19 @@ def trajectory(df: DataFrame, *, align: bool = False, flat: bool = False, stays:
     return out
 
 
-def stkde(df: DataFrame, *, show_trajectory: bool = False, ground: bool = False, **options) -> Outputs:
+def _note_all(report: Report | None, step: str, warnings: list[str]) -> None:
+    for text in warnings if report else ():
+        report.note(step, text)
+
+
+def _watch_trips(report: Report | None, trips: DataFrame) -> DataFrame:
+    return trips if report is None else report.watch("trips", trips, lambda n: f"{n['infeasible']} trips are too far for their time" if n["infeasible"] else "",
+                                                     feasible=F.count_if("feasible"), infeasible=F.count_if(~F.col("feasible")))
+
+
+def stkde(df: DataFrame, *, show_trajectory: bool = False, ground: bool = False, report: Report | None = None, **options) -> Outputs:
     res = kernel.stkde(df, **options)
+    _note_all(report, "slices", res["warnings"])
     cls = res["classified"].withColumn("ring", res["grid"].ring(F.col("col"), F.col("row")))
     out = {f"stkde_{k}": cls.filter(F.col("classification") == k) for k in (1, 2, 3)}
     if ground:
@@ -101,10 +118,12 @@ def stkde(df: DataFrame, *, show_trajectory: bool = False, ground: bool = False,
     return out
 
 
-def space_time_cube(df: DataFrame, *, ground: bool = False, **options) -> Outputs:
+def space_time_cube(df: DataFrame, *, ground: bool = False, report: Report | None = None, **options) -> Outputs:
     res = cubes.space_time_cube(df, **options)
+    _note_all(report, "slices", res["warnings"])
     grid = res["grid"]
-    out = {"cubes": res["cubes"].withColumn("ring", lift(grid.ring(F.col("col"), F.col("row")), F.col("z")))}
+    cells = res["cubes"].withColumn("ring", lift(grid.ring(F.col("col"), F.col("row")), F.col("z")))
+    out = {"cubes": report.watch("cubes", cells, cells=F.count(F.lit(1)), fixes=F.sum("count")) if report else cells}
     if res["segments"] is not None:
         out["segments"] = res["segments"]
     if ground:
@@ -131,7 +150,7 @@ def path_prism(df: DataFrame, *, mode: str = "walking", custom_kmh: float | None
 
 
 def two_anchor_prism(pairs: DataFrame, *, mode: str = "walking", custom_kmh: float | None = None, n: int = 15, resolution: int = 9,
-                     duration_min: float = 0.0, path: DataFrame | None = None, lat0: float | None = None) -> Outputs:
+                     duration_min: float = 0.0, path: DataFrame | None = None, lat0: float | None = None, report: Report | None = None) -> Outputs:
     """Euclidean prism of anchor pairs; infeasible pairs are counted, not drawn. Each pair's hexagons follow its own
     latitude unless ``lat0`` gives one for all."""
     speed = mode_speed_kmh(mode, custom_kmh) / 3.6
@@ -140,14 +159,15 @@ def two_anchor_prism(pairs: DataFrame, *, mode: str = "walking", custom_kmh: flo
     slices = prism.euclid_slices(trips, speed, n)
     slices = slices.withColumn("z", F.col("z_start") + F.col("time_progress") * F.greatest(F.col("z_end") - F.col("z_start"), F.lit(1.0)))
     cells = prism.ppa_cells(trips, speed, n, ["pair_id"], resolution, middle_lat() if lat0 is None else lat0)
-    return {"slices": slices, "anchors": prism.prism_anchors(named), "ppa_cells": cells,
+    return {"slices": slices, "anchors": prism.prism_anchors(_watch_trips(report, trips)), "ppa_cells": cells,
             "ppa": prism.ppa_area(cells, ["pair_id"], resolution), "counts": prism.feasibility_counts(trips)}
 
 
-def grid_prism(pairs: DataFrame, blocked, *, mode: str = "walking", custom_kmh: float | None = None, n_slices: int = 15, grid: int = 60) -> Outputs:
+def grid_prism(pairs: DataFrame, blocked, *, mode: str = "walking", custom_kmh: float | None = None, n_slices: int = 15, grid: int = 60,
+               report: Report | None = None) -> Outputs:
     """Prism on an obstacle grid. ``blocked`` is a table ``pair_id, row, col`` or a function from the pair grids to one."""
     speed = mode_speed_kmh(mode, custom_kmh) / 3.6
-    grids = cut_lineage(prism.pair_grids(prism.with_trip(prism.normalise_anchors(pairs), speed), speed, grid))
+    grids = cut_lineage(prism.pair_grids(_watch_trips(report, prism.with_trip(prism.normalise_anchors(pairs), speed)), speed, grid))
     walls = blocked(grids) if callable(blocked) else blocked
     times = prism.grid_times(grids, walls)
     return {"slices": prism.grid_slices(grids, times, n_slices), "times": times, "grids": grids, "anchors": prism.prism_anchors(grids)}
@@ -394,14 +414,14 @@ def temporal_misses(traj: DataFrame, *, max_gap_ms: int = 3_600_000, resolution:
 
 
 def prism_intersections(pairs: DataFrame, *, mode: str = "walking", custom_kmh: float | None = None, step_ms: int = 60_000, resolution: int = 9,
-                        lat0: float | None = None, hot_rows: int | None = None) -> Outputs:
+                        lat0: float | None = None, hot_rows: int | None = None, report: Report | None = None) -> Outputs:
     """Prisms that share hexagons at the same instants. Hexagons follow one reference latitude, the pairs' mean unless it is given."""
     speed = mode_speed_kmh(mode, custom_kmh) / 3.6
     trips = prism.with_trip(pairs, speed)
     if lat0 is None:
         lat0 = round(trips.agg(F.avg((F.col("a_lat") + F.col("b_lat")) / 2)).first()[0] or 0.0)
     cells = shared.shared_cells(cut_lineage(shared.occupancy(trips, speed, step_ms, resolution, lat0)), hot_rows=hot_rows)
-    return {"intersections": shared.shared_prisms(cells, step_ms), "cells": cells, "counts": prism.feasibility_counts(trips)}
+    return {"intersections": shared.shared_prisms(cells, step_ms), "cells": cells, "counts": prism.feasibility_counts(_watch_trips(report, trips))}
 
 
 def observed_activities(activities: DataFrame, prisms: DataFrame, *, mode: str = "walking", custom_kmh: float | None = None,

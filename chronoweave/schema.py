@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronoweave.functions.time import TIME_FIELDS, with_epoch_ms
+from chronoweave.report import Report
+
 POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 POINT_Z = T.StructType(POINT.fields + [T.StructField("z", T.DoubleType())])
 LINE = T.ArrayType(POINT)
@@ -58,26 +61,24 @@ EPISODES = T.StructType([
 
 @dataclass(frozen=True)
 class TrajectorySchema:
-    """Caller's column names for the canonical trajectory columns."""
+    """Caller's column names for the canonical trajectory columns; of several time columns the first that a row can be read from counts."""
 
-    time: str
+    time: str | tuple[str, ...] = TIME_FIELDS
     lon: str = "lon"
     lat: str = "lat"
     user: str | None = None
     point_id: str | None = None
 
-    def apply(self, df: DataFrame, on_bad: str = "drop") -> DataFrame:
+    def apply(self, df: DataFrame, on_bad: str = "drop", report: Report | None = None) -> DataFrame:
         """Rename to the canonical columns; a missing user becomes ``unknown``."""
-        from chronoweave.functions.time import with_epoch_ms
-
-        for name in filter(None, (self.time, self.lon, self.lat, self.point_id)):
+        for name in filter(None, (self.lon, self.lat, self.point_id)):
             if name not in df.columns:
                 raise ValueError(f"column '{name}' not found in data")
         user: Column = F.lit("unknown")
         if self.user and self.user in df.columns:
             user = F.coalesce(F.col(self.user).cast("string"), F.lit("unknown"))
         pid = F.col(self.point_id) if self.point_id else F.xxhash64(*[F.col(c) for c in df.columns])
-        timed = with_epoch_ms(df, self.time, on_bad=on_bad)
+        timed = with_epoch_ms(df, self.time, on_bad, report)
         return timed.select(
             pid.alias("point_id"), user.alias("user_id"), "t_ms",
             F.col(self.lon).cast("double").alias("lon"),

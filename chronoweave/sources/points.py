@@ -45,6 +45,11 @@ def csv_to_points(df: DataFrame, lon: str, lat: str, alt: str | None = None, ski
     return good, rejected, stats
 
 
+def first_errors(rejected: DataFrame, order: str, n: int = 10) -> DataFrame:
+    """The first ``n`` rejected rows by a column that tells their place in the input: ``order, lon, lat, error``."""
+    return rejected.select(order, "lon", "lat", "error").orderBy(order).limit(n)
+
+
 def _is_epoch(c: Column) -> Column:
     return c.between(*EPOCH_S) | c.between(*EPOCH_MS)
 

@@ -9,7 +9,9 @@ from chronoweave.functions.geo import GRID_M_PER_DEG
 from chronoweave.operators import meetings, prism, shared
 from chronoweave.operators.grid import Grid
 from chronoweave.plans import JOBS
+from chronoweave.plans.run import run_job
 from chronoweave.session import work_folder
+from chronoweave.sources import layout
 from chronoweave.streaming import cube as streams
 from workload import sql as S
 from workload import tables as t
@@ -219,3 +221,38 @@ def observed_activities(spark, sf):
   count(*) FILTER (status = 'no_prism') AS no_prism FROM checked GROUP BY 1""")
 def observed_activity_counts(spark, sf):
     return _checked(spark, sf)["counts"]
+
+
+# ================================================================ reports and layouts
+
+
+@query(f"""WITH {S.PAIRS}, f AS (SELECT {S.haversine('a_lon', 'a_lat', 'b_lon', 'b_lat')} <= (b_ms - a_ms) / 1000e0 * {1.2 / 3.6!r} AS ok FROM pairs),
+n AS (SELECT count(*) FILTER (ok) AS yes, count(*) FILTER (NOT ok) AS no FROM f)
+SELECT 'feasible' AS name, CAST(yes AS DOUBLE) AS value, NULL::VARCHAR AS message FROM n UNION ALL SELECT 'infeasible', no, NULL FROM n
+UNION ALL SELECT 'warning', NULL, no || ' trips are too far for their time' FROM n WHERE no > 0""")
+def trip_report(spark, sf):
+    """What the prisms of slow walkers leave out, counted while they are written."""
+    out = run_job(JOBS["two_anchor_prism"], t.pairs(spark, sf), into=work_folder(spark, "prisms"), mode="custom", custom_kmh=1.2, lat0=44.0)
+    return out["report"].select("name", "value", "message")
+
+
+@query(f"""WITH {S.TRAJ}, b AS (SELECT min(t_ms) AS t0, max(t_ms) AS t1, CAST(ceil((max(t_ms) - min(t_ms)) / 1000e0 / 3600) AS BIGINT) AS steps FROM traj),
+w AS (SELECT *, (t1 - t0) / 1000e0 / 240 AS wide FROM b)
+SELECT 'slices' AS step, 'note' AS name, NULL::DOUBLE AS value, steps || ' slices of 1h; widened to ' || printf('%.2f', wide / 3600) || 'h' AS message FROM w
+UNION ALL SELECT 'cubes', 'fixes', count(*), NULL FROM traj""")
+def cube_report(spark, sf):
+    """Hourly slices of a month, at most 240 of them."""
+    out = run_job(JOBS["space_time_cube"], t.traj(spark, sf), into=work_folder(spark, "cube"), method="fixed_duration", duration_s=3600.0, max_slices=240, path=False)
+    return out["report"].filter("name <> 'cells'")
+
+
+_BOX = (-79.47, 43.62, -79.45, 43.64)
+
+
+@query(f"""WITH {S.ROADS}, b AS (SELECT source_id, min(least(px, qx)) AS west, min(least(py, qy)) AS south, max(greatest(px, qx)) AS east, max(greatest(py, qy)) AS north FROM legs GROUP BY 1)
+SELECT source_id, round(west, 6) AS west, round(north, 6) AS north FROM b WHERE west <= {_BOX[2]} AND east >= {_BOX[0]} AND south <= {_BOX[3]} AND north >= {_BOX[1]}""")
+def roads_in_box(spark, sf):
+    """Streets of a small box, read from a table laid out by place."""
+    folder = work_folder(spark, "roads")
+    layout.write_places(t.roads(spark, sf), folder, "coords")
+    return layout.read_places(spark, folder, _BOX).select("source_id", r("west").alias("west"), r("north").alias("north"))
