@@ -160,11 +160,51 @@ def relax(seeds: DataFrame, expand: Callable[[DataFrame], DataFrame], key: list[
     return labels.drop("fresh", "cutoff")
 
 
-def shortest_times(sources: DataFrame, edges: DataFrame) -> DataFrame:
-    """``source, node, cost`` for every node within ``cutoff`` of each source node."""
+def contract(steps: DataFrame, keep: DataFrame, hot_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Take the nodes out of a graph that only pass a way on, and say where they lie.
+
+    ``steps``: both directions of every edge (``node, nbr, step``). A node stays if it has another number of neighbours than two, or is in
+    ``keep`` (``node``). Returns the steps between nodes that stay, each over a whole chain, and for the nodes taken out ``node, end,
+    dist``: the nodes that stay at both ends of their chain. Ways along a chain are doubled every round, so a chain of n nodes
+    takes log2(n) rounds. A ring with no node that stays is reached from nowhere and left out.
+    """
+    degree = steps.groupBy("node").agg(F.count(F.lit(1)).alias("_n"))
+    inner = degree.filter("_n = 2").select("node").join(keep.select("node").distinct(), "node", "left_anti")
+    inner = cut_lineage(inner.withColumn("_inner", F.lit(True)))
+    if inner.isEmpty():
+        return steps, steps.select("node", F.col("nbr").alias("end"), F.col("step").alias("dist")).limit(0)
+    flagged = lookup_join(steps, inner.toDF("nbr", "_pass"), ["nbr"], "left", hot_rows=hot_rows).join(inner, "node", "left")
+    flagged = cut_lineage(flagged.select("node", "nbr", "step", F.coalesce("_pass", F.lit(False)).alias("open"), F.coalesce("_inner", F.lit(False)).alias("inner")))
+    # the step that follows node -> nbr, when nbr passes on: from nbr to its other neighbour
+    follow = flagged.filter("inner").select(F.col("node").alias("at"), F.col("nbr").alias("to"))
+    ways = flagged.select("node", "nbr", F.col("nbr").alias("at"), F.col("node").alias("came"), F.col("step").alias("dist"), "open", "inner")
+    ways = ways.join(follow, "at", "left").filter("not open or to <> came or to is null")
+    ways = cut_lineage(ways.select("node", "nbr", "at", "to", "dist", "open", "inner"))
+    longest = max(1, inner.count())
+    for _ in range(longest.bit_length() + 1):
+        moving = ways.filter("open")
+        if moving.isEmpty():
+            break
+        # a way that stands before the step at -> to goes on as far as the way that begins with that step has got
+        ahead = ways.filter("inner").select(F.col("node").alias("at"), F.col("nbr").alias("to"), F.col("at").alias("_at"), F.col("to").alias("_to"),
+                                            F.col("dist").alias("_more"), F.col("open").alias("_open"))
+        gone = moving.join(ahead, ["at", "to"]).select("node", "nbr", F.col("_at").alias("at"), F.col("_to").alias("to"), (F.col("dist") + F.col("_more")).alias("dist"),
+                                                       F.col("_open").alias("open"), "inner")
+        ways = cut_lineage(ways.filter("not open").unionByName(gone))
+    done = ways.filter("not open")
+    short = done.filter("not inner and node <> at").groupBy("node", F.col("at").alias("nbr")).agg(F.min("dist").alias("step"))
+    return cut_lineage(short), cut_lineage(done.filter("inner").groupBy("node", F.col("at").alias("end")).agg(F.min("dist").alias("dist")))
+
+
+def shortest_times(sources: DataFrame, edges: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """``source, node, cost`` for every node within ``cutoff`` of each source node.
+
+    The search goes from junction to junction; the nodes of the ways between them get their times from both ends afterwards.
+    """
     steps = adjacency(edges)
-    stay = steps.select("node", F.col("node").alias("nbr"), F.lit(0.0).alias("step")).distinct()
-    adj = cut_lineage(steps.unionByName(stay).withColumnRenamed("node", "_from"))
+    short, inside = contract(cut_lineage(steps), sources.select(F.col("source").alias("node")), hot_rows)
+    stay = short.select("node").union(sources.select("source")).distinct().select("node", F.col("node").alias("nbr"), F.lit(0.0).alias("step"))
+    adj = cut_lineage(short.unionByName(stay).withColumnRenamed("node", "_from"))
     table = F.broadcast(adj) if fits_broadcast(adj) else adj
 
     def expand(wave: DataFrame) -> DataFrame:
@@ -176,7 +216,12 @@ def shortest_times(sources: DataFrame, edges: DataFrame) -> DataFrame:
             (F.coalesce("nbr", "node") == F.col("node")).alias("own"))
 
     start = sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), "cutoff")
-    return relax(start, expand, ["source", "node"])
+    found = relax(start, expand, ["source", "node"])
+    if inside.isEmpty():
+        return found
+    reached = lookup_join(found.join(sources, "source").withColumnRenamed("node", "end"), inside, ["end"], hot_rows=hot_rows)
+    between = reached.withColumn("cost", F.col("cost") + F.col("dist")).filter("cost <= cutoff").groupBy("source", "node").agg(F.min("cost").alias("cost"))
+    return found.unionByName(between)
 
 
 def origin_times(snapped: DataFrame, edges: DataFrame, key: str = "origin_id", hot_rows: int | None = None) -> DataFrame:
@@ -188,7 +233,7 @@ def origin_times(snapped: DataFrame, edges: DataFrame, key: str = "origin_id", h
     seeds = cut_lineage(seeds_of(snapped, key))
     sources = seeds.groupBy(F.col("node").alias("source")).agg(F.max(F.col("cutoff") - F.col("seed")).alias("cutoff")) \
         .filter("cutoff >= 0")
-    times = shortest_times(sources, edges)
+    times = shortest_times(sources, edges, hot_rows)
     # seeds side may hold one popular node many times; the searches of a node are one bounded list of rows
     joined = lookup_join(seeds.withColumnRenamed("node", "source"), times, ["source"], hot_rows=hot_rows)
     total = F.col("seed") + F.col("cost")
