@@ -10,7 +10,7 @@ from chronoweave.functions.lens import clip_to_ring
 from chronoweave.operators.nearest import nearest
 from chronoweave.operators.sequence import Timeline
 from chronoweave.operators.skew import lookup_join
-from chronoweave.session import ship_package
+from chronoweave.session import cut_lineage, ship_package
 
 
 def segment_ppas(traj: DataFrame, speed_ms: float, zone: int, south: bool = False, corridor_m: float = 100.0,
@@ -52,27 +52,41 @@ def ppa_features(ppas: DataFrame, zone: int, south: bool = False) -> DataFrame:
     return ppas.withColumn("ring", ring_lonlat(F.col("ring"), zone, south))
 
 
-def _cells(x0: Column, y0: Column, x1: Column, y1: Column, cell: float) -> dict[str, Column]:
-    return {"_cxs": F.sequence(F.floor(x0 / cell), F.floor(x1 / cell)), "_cys": F.sequence(F.floor(y0 / cell), F.floor(y1 / cell))}
+#: Cells that a ring's box spans along a side, at most about.
+SPAN = 4
+
+
+def ring_cells(ppas: DataFrame, cell_m: float) -> DataFrame:
+    """Each ring once for every grid cell its box covers (``_level, _cx, _cy``); cells double in size until a box has few of them."""
+    b = ring_bounds(F.col("ring"))
+    size = F.greatest(F.col("_b.x1") - F.col("_b.x0"), F.col("_b.y1") - F.col("_b.y0"))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(size, F.lit(cell_m)) / (SPAN * cell_m)))).cast("int")
+    own = ppas.withColumn("_b", b).withColumn("_level", level).withColumn("_cell", cell_m * F.pow(F.lit(2.0), F.col("_level")))
+
+    def covered(axis: str) -> Column:
+        return F.explode(F.sequence(F.floor(F.col(f"_b.{axis}0") / F.col("_cell")), F.floor(F.col(f"_b.{axis}1") / F.col("_cell"))))
+
+    return own.withColumn("_cx", covered("x")).withColumn("_cy", covered("y")).drop("_cell")
 
 
 def clip_roads(ppas: DataFrame, edges: DataFrame, cell_m: float = 500.0, hot_rows: int | None = None) -> DataFrame:
     """Road pieces inside each ring: ``user_id, segment_index, edge_id, a, b`` as fractions of the edge.
 
-    Both sides are listed in the grid cells their boxes cover; a pair sharing several cells is
-    taken only in the cell holding the low corner of the boxes' overlap.
+    Both sides are listed in the grid cells their boxes cover, rings in cells of their own size and edges in every size that a ring
+    uses; a pair sharing several cells is taken only in the cell holding the low corner of the boxes' overlap.
     """
     ship_package(ppas.sparkSession)
-    b = ring_bounds(F.col("ring"))
-    left = ppas.withColumn("_b", b).withColumns(_cells(F.col("_b.x0"), F.col("_b.y0"), F.col("_b.x1"), F.col("_b.y1"), cell_m))
-    left = left.withColumn("_cx", F.explode("_cxs")).withColumn("_cy", F.explode("_cys")).drop("_cxs", "_cys")
+    left = cut_lineage(ring_cells(ppas, cell_m))
+    levels = sorted(r[0] for r in left.select("_level").distinct().collect())  # doublings from the smallest cell to the world
     lo_x, hi_x, lo_y, hi_y = F.least("x0", "x1"), F.greatest("x0", "x1"), F.least("y0", "y1"), F.greatest("y0", "y1")
-    right = edges.select("edge_id", "highway", "source_id", "length_m", "x0", "y0", "x1", "y1").withColumns(_cells(lo_x, lo_y, hi_x, hi_y, cell_m))
-    right = right.withColumn("_cx", F.explode("_cxs")).withColumn("_cy", F.explode("_cys")).drop("_cxs", "_cys")
-    met = lookup_join(left, right, ["_cx", "_cy"], hot_rows=hot_rows)
+    right = edges.select("edge_id", "highway", "source_id", "length_m", "x0", "y0", "x1", "y1").withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels or [0]])))
+    side = cell_m * F.pow(F.lit(2.0), F.col("_level"))
+    right = (right.withColumn("_cx", F.explode(F.sequence(F.floor(lo_x / side), F.floor(hi_x / side))))
+             .withColumn("_cy", F.explode(F.sequence(F.floor(lo_y / side), F.floor(hi_y / side)))))
+    met = lookup_join(left, right, ["_level", "_cx", "_cy"], hot_rows=hot_rows)
     ox, oy = F.greatest(F.col("_b.x0"), lo_x), F.greatest(F.col("_b.y0"), lo_y)
     once = ((ox <= F.least(F.col("_b.x1"), hi_x)) & (oy <= F.least(F.col("_b.y1"), hi_y))
-            & (F.floor(ox / cell_m) == F.col("_cx")) & (F.floor(oy / cell_m) == F.col("_cy")))
+            & (F.floor(ox / side) == F.col("_cx")) & (F.floor(oy / side) == F.col("_cy")))
     cut = met.filter(once).withColumn("_t", clip_to_ring(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), F.col("ring.x"), F.col("ring.y")))
     return cut.filter(F.col("_t.t1") > F.col("_t.t0") + 1e-12).select(
         "user_id", "segment_index", "point_id", "t_ms", "edge_id", "highway", "source_id", "length_m", "x0", "y0", "x1", "y1",

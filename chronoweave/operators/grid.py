@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.functions.geo import GRID_M_PER_DEG, cell_ring, height_scale_value
-from chronoweave.operators.quantiles import exact_quantiles
+from chronoweave.operators.quantiles import exact_quantiles, quantiles
 
 # Fixed value: cells of an automatic grid, by which its cell size is chosen.
 AUTO_CELLS = 2_500
@@ -46,22 +46,25 @@ def extent(df: DataFrame) -> Extent:
     return Extent(**row.asDict())
 
 
-def spatial_bandwidth(df: DataFrame, ext: Extent | None = None) -> float:
-    """0.9 * min(SD, median distance / 0.6745) * n^(-1/6), distances to the mean centre in degrees."""
+def spatial_bandwidth(df: DataFrame, ext: Extent | None = None, error: float | None = None) -> float:
+    """0.9 * min(SD, median distance / 0.6745) * n^(-1/6), distances to the mean centre in degrees.
+
+    With ``error`` the median may be off by that share of all ranks.
+    """
     ext = ext or extent(df)
     d2 = F.pow(F.col("lon") - ext.mean_lon, 2) + F.pow(F.col("lat") - ext.mean_lat, 2)
     # the mean squared distance to the mean is the sum of both variances, which the extent has
     sd = math.sqrt((ext.var_lon or 0.0) + (ext.var_lat or 0.0))
-    median = exact_quantiles(df, F.sqrt(d2), [0.5])[0]
+    median = quantiles(df, F.sqrt(d2), [0.5], error)[0]
     if sd == 0 and median == 0:
         return 0.0
     return 0.9 * min(sd, median / 0.6745 if median > 0 else sd) * ext.n ** (-1 / 6)
 
 
-def temporal_bandwidth(df: DataFrame, t: Column) -> float:
-    """0.9 * min(sigma, IQR / 1.34) * n^(-1/5)."""
+def temporal_bandwidth(df: DataFrame, t: Column, error: float | None = None) -> float:
+    """0.9 * min(sigma, IQR / 1.34) * n^(-1/5); with ``error`` the quartiles may be off by that share of all ranks."""
     row = df.agg(F.stddev_pop(t).alias("sd"), F.count(t).alias("n")).first()
-    q1, q3 = exact_quantiles(df, t, [0.25, 0.75])
+    q1, q3 = quantiles(df, t, [0.25, 0.75], error)
     sd, iqr = row["sd"] or 0.0, q3 - q1
     if sd == 0 and iqr == 0:
         return 0.0

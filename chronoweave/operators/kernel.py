@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from chronoweave.functions.time import anchor_millis, readable
 from chronoweave.operators.grid import (
     Extent, Grid, Slices, extent, grid_spec, spatial_bandwidth, temporal_bandwidth, time_slices)
-from chronoweave.operators.quantiles import exact_quantiles
-from chronoweave.operators.skew import spread
+from chronoweave.operators.quantiles import group_quantiles, quantiles
+from chronoweave.operators.skew import broadcast_if_small, spread
 from chronoweave.operators.trajectory import with_elapsed
 from chronoweave.session import cut_lineage
 
@@ -50,6 +50,19 @@ def _near_cells(df: DataFrame, grid: Grid, h: float) -> DataFrame:
         .withColumn("ks", spatial_kernel(F.col("_d2"), h)).drop("_d2")
 
 
+def _slices_in_reach(t: Column, centers: list[float], h: float) -> Column:
+    """The slices whose centre is within the bandwidth of an instant, with their weights; evenly spaced ones are a range of numbers."""
+    step = (centers[-1] - centers[0]) / (len(centers) - 1)
+    if step > 0 and all(abs(c - (centers[0] + step * i)) <= 1e-9 * step for i, c in enumerate(centers)):
+        first = F.greatest(F.lit(0), F.ceil((t - h - centers[0]) / step - 1e-9))
+        last = F.least(F.lit(len(centers) - 1), F.floor((t + h - centers[0]) / step + 1e-9))
+        reach = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+        slots = F.transform(reach, lambda i: F.struct(i.cast("int").alias("t_idx"), temporal_kernel(t - (centers[0] + step * i), h).alias("kt")))
+    else:
+        slots = F.array(*[F.struct(F.lit(i).alias("t_idx"), temporal_kernel(t - c, h).alias("kt")) for i, c in enumerate(centers)])
+    return F.filter(slots, lambda s: s["kt"] > 0)
+
+
 def density(points: DataFrame, grid: Grid, centers: list[float], h_s: float, h_t: float) -> DataFrame:
     """``t_idx, row, col, density`` for cells with a positive sum; needs ``lon, lat, t_s``."""
     if len(centers) <= WIDE_SLICES:
@@ -62,10 +75,7 @@ def density(points: DataFrame, grid: Grid, centers: list[float], h_s: float, h_t
             *[F.sum(F.col("ks") * F.col(w)).alias(w) for w in weights])
         stacked = sums.select("row", "col", F.posexplode(F.array(*weights)).alias("t_idx", "density"))
     else:
-        slots = F.array(*[F.struct(F.lit(i).alias("t_idx"), temporal_kernel(F.col("t_s") - c, h_t).alias("kt"))
-                          for i, c in enumerate(centers)])
-        weighted = points.select("lon", "lat", F.filter(slots, lambda s: s["kt"] > 0).alias("slots")) \
-            .filter(F.size("slots") > 0)
+        weighted = points.select("lon", "lat", _slices_in_reach(F.col("t_s"), centers, h_t).alias("slots")).filter(F.size("slots") > 0)
         stacked = (_near_cells(weighted, grid, h_s)
                    .select("row", "col", "ks", F.inline("slots"))
                    .groupBy("t_idx", "row", "col").agg(F.sum(F.col("ks") * F.col("kt")).alias("density")))
@@ -84,9 +94,9 @@ def density_2d(points: DataFrame, grid: Grid, h_s: float) -> DataFrame:
 PROBS = [0.90, 0.975, 0.99]  # fixed values: class thresholds
 
 
-def density_thresholds(cells: DataFrame) -> list[float]:
-    """Quantiles of all positive cell densities, every slice pooled."""
-    return exact_quantiles(cells.filter("density > 0"), F.col("density"), PROBS)
+def density_thresholds(cells: DataFrame, error: float | None = None) -> list[float]:
+    """Quantiles of all positive cell densities, every slice pooled; with ``error`` off by at most that share of all ranks."""
+    return quantiles(cells.filter("density > 0"), F.col("density"), PROBS, error)
 
 
 def _class_of(d: Column, q90: Column, q975: Column, q99: Column) -> Column:
@@ -96,13 +106,11 @@ def _class_of(d: Column, q90: Column, q975: Column, q99: Column) -> Column:
 def classify(cells: DataFrame, thresholds: list[float] | None = None, per_slice: bool = False) -> DataFrame:
     """Add ``classification`` 1..3 and drop the rest.
 
-    Pooled thresholds by default; per slice, each slice is ranked on its own (its cells are
-    bounded by the grid) and every bound is strict.
+    Pooled thresholds by default; per slice, each slice is ranked on its own and every bound is strict.
     """
     if per_slice:
-        q = F.percentile("density", F.array(*[F.lit(p) for p in PROBS]))
-        limits = cells.groupBy("t_idx").agg(q.alias("q"))  # one row per slice, at most the slice cap
-        rows = cells.join(F.broadcast(limits), "t_idx")
+        limits = group_quantiles(cells, "t_idx", "density", PROBS)
+        rows = cells.join(broadcast_if_small(limits), "t_idx")
         d, q = F.col("density"), F.col("q")
         cls = F.when(d > q[2], 3).when((d > q[1]) & (d < q[2]), 2).when((d > q[0]) & (d < q[1]), 1)
         return rows.withColumn("classification", cls).drop("q").filter("classification is not null")
@@ -119,14 +127,15 @@ def ground_footprint(classified: DataFrame) -> DataFrame:
 def stkde(df: DataFrame, *, h_spatial: float | None = None, h_temporal: float | None = None,
           cell_m: float | None = None, cell_deg: float | None = None, n_slices: int = 10,
           method: str = "equal_interval", duration_s: float | None = None, anchor_ms: float | str | None = None,
-          align: bool = False, per_slice: bool = False, cap: int | None = None, max_slices: int | None = None, hot_rows: int | None = None) -> dict:
+          align: bool = False, per_slice: bool = False, cap: int | None = None, max_slices: int | None = None, quantile_error: float | None = None,
+          hot_rows: int | None = None) -> dict:
     """``cells`` (density), ``classified``, ``ground`` (2-D density) and the layout."""
     ext: Extent = extent(df)
     timed, aligned = with_elapsed(df, align, hot_rows=hot_rows)
     elapsed = F.col("elapsed_ms") if aligned else F.col("t_ms") - F.lit(ext.t_min)
     timed = timed.withColumn("t_s", elapsed / 1000.0)
-    h_s = h_spatial or spatial_bandwidth(df, ext) or 1e-9
-    h_t = h_temporal or temporal_bandwidth(timed, F.col("t_s")) or 1e-9
+    h_s = h_spatial or spatial_bandwidth(df, ext, quantile_error) or 1e-9
+    h_t = h_temporal or temporal_bandwidth(timed, F.col("t_s"), quantile_error) or 1e-9
     grid = grid_spec(ext, h_s, cell_m, cell_deg, cap)
 
     warnings: list[str] = []

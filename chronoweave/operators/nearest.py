@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +22,7 @@ def nearest(points: DataFrame, items: DataFrame, by: list[str], point_id: str, i
 
     Distance is planar in the units of the coordinates; ties go to the lowest ``item_id``.
 
-    Items at one spot collapse to one. A grid sized from the item density then answers nearly
+    Items at one spot collapse to one. A grid sized from each group's own item density then answers nearly
     every point with one lookup: a cell's bounded list holds the items of the 3x3 cells around
     it, and an answer no farther than one cell side is final. Points in sparse or over-full
     places walk down a quadtree, keeping only the cells that can still hold the nearest item.
@@ -34,36 +32,45 @@ def nearest(points: DataFrame, items: DataFrame, by: list[str], point_id: str, i
     spots = items.groupBy(*by, ix, iy).agg(F.min_by(F.struct(*keep), F.col(item_id)).alias("item"))
     # The index is used by several branches below; writing it keeps them consistent and cheap.
     spots = cut_lineage(spots.withColumnsRenamed({ix: "_ix", iy: "_iy"}))
-    box = spots.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_ix").alias("x0"), F.max("_ix").alias("x1"),
-                                 F.min("_iy").alias("y0"), F.max("_iy").alias("y1")) \
-        .agg(F.max("n").alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"),
-             F.min("y0").alias("y0"), F.max("y1").alias("y1")).first()
+    groups = spots.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_ix").alias("x0"), F.max("_ix").alias("x1"),
+                                    F.min("_iy").alias("y0"), F.max("_iy").alias("y1"))
+    box = groups.agg(F.max("n").alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"),
+                     F.min("y0").alias("y0"), F.max("y1").alias("y1")).first()
     if not box["n"]:
         return points.withColumn("hit", F.lit(None).cast(_hit_type(spots)))
     side = max(box["x1"] - box["x0"], box["y1"] - box["y0"], 1e-12)
-    area = max((box["x1"] - box["x0"]) * (box["y1"] - box["y0"]), side * side * 1e-6)
-    cell = max(1.5 * math.sqrt(area / box["n"]), side * 1e-6)
+    # every group has cells of its own, by how densely its items lie in its own box
+    wide = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1e-12))
+    area = F.greatest((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), wide * wide * 1e-6)
+    sizes = groups.select(*by, F.col("x0").alias("_x0"), F.col("y0").alias("_y0"), F.greatest(1.5 * F.sqrt(area / F.col("n")), wide * 1e-6).alias("_cell"))
+    sizes = cut_lineage(sizes)
+
+    def placed(df: DataFrame) -> DataFrame:
+        return lookup_join(df, sizes, by, "left", hot_rows=hot_rows) if by else df.crossJoin(F.broadcast(sizes))  # one row
 
+    laid = cut_lineage(placed(spots))
     done: list[DataFrame] = []
-    rest = spread(points)
-    for side_len in (cell, 4 * cell):  # a second, wider look settles points in uneven layouts
-        tried = cut_lineage(_look(rest, spots, by, item_id, xy, box, side_len, hot_rows))
-        sure = F.coalesce(~F.col("_full") & (F.col("hit")["d2"] <= side_len * side_len), F.lit(False))
-        done.append(tried.filter(sure).drop("_full"))
+    rest = placed(spread(points))
+    for times in (1, 4):  # a second, wider look settles points in uneven layouts
+        tried = cut_lineage(_look(rest, laid, by, item_id, xy, times, hot_rows))
+        reach = F.col("_cell") * times
+        sure = F.coalesce(~F.col("_full") & (F.col("hit")["d2"] <= reach * reach), F.lit(False))
+        done.append(tried.filter(sure).drop("_full", "_x0", "_y0", "_cell"))
         rest = tried.filter(~sure).drop("_full", "hit")
         if rest.isEmpty():
             return union_all(done)
+    rest = rest.drop("_x0", "_y0", "_cell")
     walked = _walk(rest, spots, by, point_id, item_id, xy, box, side)
     # points of a group without items come out of the walk with nothing
     return union_all([*done, rest.join(walked.select(point_id, "hit"), point_id, "left")])
 
 
-def _look(points: DataFrame, spots: DataFrame, by: list[str], item_id: str, xy: tuple[str, str], box, cell: float,
-          hot_rows: int | None) -> DataFrame:
-    """Best item among the 3x3 cells around each point (``hit``), and whether a cell there was over-full."""
+def _look(points: DataFrame, spots: DataFrame, by: list[str], item_id: str, xy: tuple[str, str], times: int, hot_rows: int | None) -> DataFrame:
+    """Best item among the 3x3 cells around each point (``hit``), and whether a cell there was over-full. Cells are ``times`` as
+    wide as the group's own."""
 
     def cell_of(x: Column, y: Column) -> dict[str, Column]:
-        return {"_cx": F.floor((x - box["x0"]) / cell), "_cy": F.floor((y - box["y0"]) / cell)}
+        return {"_cx": F.floor((x - F.col("_x0")) / (F.col("_cell") * times)), "_cy": F.floor((y - F.col("_y0")) / (F.col("_cell") * times))}
 
     keyed = spots.withColumns(cell_of(F.col("_ix"), F.col("_iy")))
     entry = F.struct(F.col("_ix").alias("x"), F.col("_iy").alias("y"), F.col("item"))
