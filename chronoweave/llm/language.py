@@ -22,7 +22,9 @@ ROUNDS = 10
 FAR = 0.01
 LEAST = 0.5
 #: Texts whose dense counts a step holds.
-TEXTS = 512
+TEXTS = 64
+#: Bytes of text that a step holds.
+STEP = 1 << 18
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -59,7 +61,7 @@ def _frequencies(learn: DataFrame) -> tuple[np.ndarray, int]:
     def run(batches):
         own = np.zeros(DIM + 1, np.int64)
         for batch in batches:
-            for _, _, parts in steps(batch, "text", most=TEXTS):
+            for _, _, parts in steps(batch, "text", STEP, most=TEXTS):
                 own[:DIM] += (gram_counts(parts) > 0).sum(0)
                 own[DIM] += len(parts)
         yield rows(schema, bucket=np.arange(DIM + 1), n=own)
@@ -90,7 +92,7 @@ def _cluster(idf: np.ndarray, k: int):
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("order", "ascending"), ("doc_id", "ascending")])
-        parts = [vectors(p, idf) for b in table.combine_chunks().to_batches() for _, _, p in steps(b, "text", most=TEXTS)]
+        parts = [vectors(p, idf) for b in table.combine_chunks().to_batches() for _, _, p in steps(b, "text", STEP, most=TEXTS)]
         x = np.concatenate(parts)
         centre, own = spherical_means(x, k, ROUNDS)
         # of all documents of the language: clusters of one or two odd documents have no quantile of their own
@@ -157,7 +159,7 @@ def identify(docs: DataFrame, held_out, sample: int = SAMPLE, centroids: int = C
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             letters = np.array(batch.column("letters").to_pylist(), bool)
-            for first, end, parts in steps(batch, "text", most=TEXTS):
+            for first, end, parts in steps(batch, "text", STEP, most=TEXTS):
                 names, score, rejected = shared.value(parts, letters[first:end])
                 yield rows(schema, doc_id=batch.column("doc_id").slice(first, end - first), lang_pred=names, score=score, rejected=rejected)
 
@@ -173,7 +175,7 @@ def accepted(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS,
     def near(text, letters):
         known = np.zeros(len(text), bool)
         table = pa.RecordBatch.from_arrays([pa.array(text, pa.string())], ["text"])
-        for first, end, parts in steps(table, "text", most=TEXTS):
+        for first, end, parts in steps(table, "text", STEP, most=TEXTS):
             known[first:end] = ~shared.value(parts, letters.to_numpy(bool)[first:end])[2]
         return text.__class__(known, index=text.index)
 
