@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.llm.common import written
+from chronoweave.operators.skew import BROADCAST_ROWS, salted_join
 
 
 class Union:
@@ -43,16 +44,22 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of every node of edges (a, b).
 
     A large star hangs a node's larger neighbours under its smallest neighbour and a small star its smaller ones;
-    minima are combined before each shuffle and a hub's rows meet one row, so no group of neighbours is
-    gathered. Every round is written; rounds end when each node has one parent and no parent has one.
+    minima are combined before each shuffle and a hub's rows meet one row (sent to all tasks where minima are few, else to
+    several), so no group of neighbours is gathered. Every round is written; rounds end when each node has one parent and no parent has one.
     """
-    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
+    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "stars")
+    # no round has more minima than nodes, and each edge has two
+    few = 2 * now.count() <= BROADCAST_ROWS
+
+    def met(many: DataFrame, minima: DataFrame) -> DataFrame:
+        return many.join(F.broadcast(minima), "u") if few else salted_join(many, minima, ["u"])
+
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        large = met(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(smallest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = (met(large, smallest).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(smallest.select("u", F.col("m").alias("v"))))
         now = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
         nodes = now.select("u").unionByName(now.select(F.col("v").alias("u")).distinct())
