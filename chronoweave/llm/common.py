@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import uuid
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ STEP_BYTES = 1 << 20
 #: Bytes that a batch of rows sent to Python is closed at.
 BATCH_BYTES = 8 << 20
 #: Bytes of text whose share of an exchange is one group of a task.
-PART_BYTES = 1 << 24
+PART_BYTES = 1 << 22
 
 _names = itertools.count()
 
@@ -78,7 +79,7 @@ def exchange_parts(docs: DataFrame, text: str = "text") -> int:
     """Parts that an exchange of packed blocks is dealt into: some for each shuffle partition, so that these fill evenly, and more
     where a part would hold what more than ``PART_BYTES`` of text gives."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(4 * shuffle_parts(docs.sparkSession), -(-size // PART_BYTES))
+    return max(2 * shuffle_parts(docs.sparkSession), -(-size // PART_BYTES))
 
 
 def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES, kind=pa.binary(), most: int = 1 << 14) -> Iterator[tuple[int, int, list]]:
@@ -93,6 +94,17 @@ def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES, kind=pa.b
         size += len(v)
     if out:
         yield first, first + len(out), out
+    give_back()
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker outlives its task, and others on its machine need the room."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def rows(schema: pa.Schema, **columns) -> pa.RecordBatch:

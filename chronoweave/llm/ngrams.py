@@ -24,16 +24,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import mix, prefix_sums, rows, shuffle_parts, span_hashes, steps, texts, unique_in_groups, words, written
+from chronoweave.llm.common import exchange_parts, give_back, mix, rows, shingle_hashes, shuffle_parts, steps, texts, unique_in_groups, written
 from chronoweave.llm.components import Union, components, stars
-from chronoweave.operators.skew import fits_broadcast
+from chronoweave.operators.skew import fits_broadcast, lookup_join
 
 #: Bytes of text in a batch.
-BATCH_BYTES = 1 << 22
+BATCH_BYTES = 1 << 21
 #: Grams whose lists are measured, as a multiple of those that a document can differ in.
 MEASURED = 2.0
-#: Documents of a cluster that one search holds at most twice.
+#: Documents of a cluster, and grams of theirs, that one search holds at most about twice.
 BLOCK = 2048
+BLOCK_GRAMS = 1 << 19
 
 ROWS = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("batch", pa.int64()), ("blob", pa.binary())])
 ROWS_DDL = "kind int, key long, batch long, blob binary"
@@ -60,13 +61,7 @@ def gram_sets(parts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
 
     A text of fewer words has its whole sequence as one gram; a text without words has none.
     """
-    data, first, end, bounds = words(parts)
-    count = np.diff(bounds)
-    grams = np.where(count >= n, count - n + 1, (count > 0).astype(np.int64))
-    word = span_hashes(prefix_sums(data), first, end)
-    at = np.arange(int(grams.sum())) + np.repeat(bounds[:-1] - (np.cumsum(grams) - grams), grams)
-    to = np.minimum(at + n, np.repeat(bounds[1:], grams))
-    return unique_in_groups(span_hashes(prefix_sums(word), at, to), grams)
+    return unique_in_groups(*shingle_hashes(parts, n))
 
 
 def least_overlap(percent: int, sizes):
@@ -355,8 +350,10 @@ def _links(percent: int):
             ids = table.column("doc_id").to_pylist()
             some = [i for i, s in enumerate(sets) if len(s)]
             found = search([ids[i] for i in some], [sets[i] for i in some], percent)
+            del table, sets
             if found:
                 yield rows(PAIRS, a=[a for a, _ in found], b=[b for _, b in found])
+            give_back()
     return run
 
 
@@ -369,7 +366,7 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     that repeat a doc_id are one document in links and have a row each. Rows without doc_id are left out.
     """
     spark = docs.sparkSession
-    lists = shuffle_parts(spark)
+    lists = exchange_parts(docs)
     own = texts(docs)
     made = written(own.mapInArrow(_batches(n, percent, lists), ROWS_DDL), "gram-batches")
     lengths = made.filter(F.col("kind") == LISTS).groupBy("key").applyInArrow(_lengths, ROWS_DDL)
@@ -377,17 +374,6 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     cut = written(cut, "gram-prefixes")
     met = cut.filter(F.col("kind") == LISTS).groupBy("key").applyInArrow(_meet(percent, lists), ROWS_DDL)
     near = written(components(_pairs_of(met.unionByName(cut.filter(F.col("kind") == EDGES)))), "candidates")
-    clusters = near.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    near = near.join(clusters, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "blocks")
-    near = F.broadcast(near) if fits_broadcast(near) else near
-    sets = own.join(near, "doc_id").mapInArrow(_sets(n), "cluster long, blocks int, doc_id long, grams binary")
-    # a large cluster is cut into blocks, and each pair of blocks is searched on its own
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    sets = (sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("cluster", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "doc_id", "grams"))
-    links = (sets.repartition(shuffle_parts(spark), "cluster", "one", "two").sortWithinPartitions("cluster", "one", "two")
-             .mapInArrow(_links(percent), "a long, b long"))
-    found = components(written(links, "links").unionByName(_pairs_of(made)))
     sized = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64())])
 
     def sizes(batches):
@@ -397,6 +383,18 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
                 yield rows(sized, doc_id=doc_ids, n_shingles=n_grams)
 
     every = made.filter(F.col("kind") == BATCH).select("blob").mapInArrow(sizes, "doc_id long, n_shingles long")
+    full = near.join(every, near["node"] == every["doc_id"]).groupBy("component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("grams"))
+    clusters = full.select("component", F.ceil(F.greatest(F.col("docs") / BLOCK, F.col("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    near = lookup_join(near, clusters, ["component"]).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "blocks")
+    near = F.broadcast(near) if fits_broadcast(near) else near
+    sets = own.join(near, "doc_id").mapInArrow(_sets(n), "cluster long, blocks int, doc_id long, grams binary")
+    # a large cluster is cut into blocks, and each pair of blocks is searched on its own
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    sets = (sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("cluster", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "doc_id", "grams"))
+    links = (sets.repartition(shuffle_parts(spark), "cluster", "one", "two").sortWithinPartitions("cluster", "one", "two")
+             .mapInArrow(_links(percent), "a long, b long"))
+    found = components(written(links, "links").unionByName(_pairs_of(made)))
     return every.join(found, every["doc_id"] == found["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 

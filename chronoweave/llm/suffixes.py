@@ -25,14 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import _INVERSE, _power, mix, prefix_sums, rows, shuffle_parts, span_hashes, steps, texts, written
+from chronoweave.llm.common import _INVERSE, _power, exchange_parts, give_back, mix, prefix_sums, rows, shuffle_parts, span_hashes, steps, texts, written
 from chronoweave.llm.induced import CAP, Shard
 from chronoweave.llm.ngrams import groups, pack, unpack
 
 LENGTH = CAP
 GRAM = 32
 #: Bytes of text in a batch, and of a piece of a longer text.
-BATCH_BYTES = 1 << 22
+BATCH_BYTES = 1 << 21
 PIECE = 1 << 22
 #: Bytes of text that are hashed at once.
 STEP = 1 << 18
@@ -261,9 +261,10 @@ def _first_of_shard(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
     text[begins[1:] - 1] = 1
     text[-1] = 0
     shard = Shard(text).sort()
-    of = np.repeat(np.arange(len(sizes)), sizes + 1)
-    offset = np.arange(len(of)) - begins[:-1][of]
-    at, group = shard.suffixes, np.cumsum(shard.prefixes < LENGTH)
+    of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)
+    offset = np.arange(len(of), dtype=np.int32) - begins[:-1].astype(np.int32)[of]
+    at, group = shard.suffixes, np.cumsum(shard.prefixes < LENGTH, dtype=np.int32)
+    del shard, text
     real = at < len(of)
     at, group = at[real], group[real]
     real = offset[at] <= sizes[of[at]] - LENGTH
@@ -299,8 +300,10 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if size >= SHARD_BYTES:
             yield from _first_of_shard(held)
             held, size = [], 0
+            give_back()
     if held:
         yield from _first_of_shard(held)
+    give_back()
 
 
 REMOVED = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
@@ -331,7 +334,7 @@ def covered(docs: DataFrame, sent: int = SENT, hot: int = HOT) -> tuple[DataFram
     """The texts dealt out by doc_id, and the runs of bytes that each must lose: kind, key, doc_id, mark, blob."""
     parts = shuffle_parts(docs.sparkSession)
     own = texts(docs).withColumn("mark", F.xxhash64("text"))
-    hashes = own.mapInArrow(_hashes(2 * parts, sent), ROWS_DDL)
+    hashes = own.mapInArrow(_hashes(exchange_parts(docs), sent), ROWS_DDL)
     # what a batch knows for itself passes through the exchange with the rest
     spread = hashes.withColumn("key", F.when(F.col("kind") == HASHES, F.col("key")).otherwise(-1 - F.pmod(F.col("doc_id"), F.lit(parts))))
 
