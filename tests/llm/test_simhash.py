@@ -48,7 +48,7 @@ def corpus():
     return rows + [(5000, None), (5001, ""), (5002, " \n"), (5003, "one"), (5004, "One  "), (5005, "a b"), (5006, long.upper()), (5007, long), (-40, "again"), (-40, "again")]
 
 
-@pytest.mark.parametrize("bounds", [{}, {"most": 4, "step": 2}, {"most": 1}])
+@pytest.mark.parametrize("bounds", [{}, {"most": 8, "step": 6}])
 def test_documents_and_components(spark, bounds):
     rows = corpus()
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows] + [(None, "lost", "x", 1)], "doc_id long, text string, print string, node int").repartition(3)
@@ -99,10 +99,10 @@ def test_crowded_prefix_is_opened_and_no_link_lost(spark):
     values = {r.getrandbits(64) for _ in range(300)} | {centre ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 4))) for _ in range(300)}
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     prints = spark.createDataFrame([(v,) for v in signed], "print long")
-    nodes = simhash.closed_nodes(prints, 16, 4).collect()
+    nodes = simhash.closed_nodes(prints, 16, 8).collect()
     assert max(len(n.prints) for n in nodes) <= 16 and sorted(p for n in nodes for p in n.prints) == sorted(signed)
     assert len({n.depth for n in nodes}) > 2
-    edges = {(e.a, e.b) for e in simhash.links(prints, 2, 16, 4).collect()}
+    edges = {(e.a, e.b) for e in simhash.links(prints, 2, 16, 8).collect()}
     least = plain_components([(v, v % (1 << 64)) for v in signed])
     up = {v: v for v in signed}
 
