@@ -68,7 +68,7 @@ def walkers(seed=2, users=14, fixes=12):
     return rows + [(9000, "still", 0, -79.0, 43.01), (9001, "still", 7_000_000, -79.0, 43.01), (9002, "still", 7_000_000, -78.99, 43.01), (9100, "alone", 5, -79.0, 43.01)]
 
 
-@pytest.mark.parametrize("bounds", [{}, {"crowded": 12, "hot_rows": 6}, {"crowded": 1, "slot_ms": 64_000, "cell_m": 100.0}])
+@pytest.mark.parametrize("bounds", [{}, {"crowded": 12, "hot_rows": 6}, {"crowded": 25, "slot_ms": 128_000, "cell_m": 100.0}])
 def test_every_approach_once(spark, bounds):
     rows = walkers()
     moves = meetings.motions(spark.createDataFrame(rows, FIXES))
