@@ -410,3 +410,49 @@ def repaired(conversations: DataFrame, rows: DataFrame | None = None) -> DataFra
     order: list[Column | str] = ["conv_id", "line", "turn", "role", "same"]
     kind, ddl = _types(found)
     return stream.repartition(shuffle_parts(own.sparkSession), "conv_id").sortWithinPartitions(*order).mapInArrow(_hashed(kind), f"{ddl}, repaired_sha256 string")
+
+
+def _paid(value: str, cost: str, edit: str) -> str:
+    """SQL of a cell (nine digits of cost, then the audit, so that text order is the cells' order) after one more edit."""
+    return f"(lpad((substr({value}, 1, 9)::INT + {cost})::VARCHAR, 9, '0') || substr({value}, 10) || '{edit}')"
+
+
+_GONE = {i: _paid(f"v{i}", str(DELETE), "D") for i in range(4)}
+_KEPT, _MADE = (lambda v: _paid(v, f"{KEEP} + cut", "K")), (lambda v: _paid(v, f"{REROLE} + cut", "R"))
+_BEFORE_U = "least(v0, v1, v3)"
+
+#: The same from the first row to the last: the cells of START, after s, after u and after a, row by row.
+SQL = f"""
+WITH RECURSIVE named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS label FROM conversations),
+dealt AS (SELECT *, xor(list_reduce(list_transform(range(length(label)), lambda i: ascii(substr(label, i + 1, 1))::BIGINT),
+  lambda crc, code: list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(crc, code)), 4294967295::BIGINT), 4294967295) % 20 AS damage FROM named),
+harmed AS (SELECT conv_id, turn, CASE damage WHEN 4 THEN 'user' ELSE role END AS role, CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE damage WHEN 3 THEN [0, 1] ELSE [0] END) AS again FROM dealt WHERE damage <> 0),
+told AS (SELECT *, coalesce('+' || conv_id::VARCHAR, '-') AS name FROM harmed),
+placed AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY turn NULLS FIRST, role, sha256(length(name) || ':' || name || ':' || length(role) || ':' || role || ':' || text), again) AS n,
+  row_number() OVER (PARTITION BY name, role, text ORDER BY turn NULLS FIRST, again) AS nth, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM told),
+faults AS (SELECT *, CASE WHEN bare = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault, left(role, 1) AS initial,
+  lag(left(role, 1)) OVER (PARTITION BY name ORDER BY n) AS earlier FROM placed),
+counted AS (SELECT name, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+  count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY name),
+parsed(name, n, v0, v1, v2, v3) AS (
+  SELECT name, 0::BIGINT, '000000000', NULL::VARCHAR, '000000002I', '000000004II' FROM counted
+  UNION ALL
+  SELECT name, n, v0, v1, w2, least(v3, {_paid("w2", str(INSERT), "I")}) FROM (
+    SELECT *, least(v2, {_paid("v0", str(INSERT), "I")}, {_paid("v1", str(INSERT), "I")}, {_paid("v3", str(INSERT), "I")}) AS w2 FROM (
+      SELECT name, n, {_GONE[0]} AS v0, least({_GONE[1]}, CASE WHEN may AND initial = 's' THEN {_KEPT("v0")} END) AS v1,
+        least({_GONE[2]}, CASE WHEN may AND initial = 'u' THEN {_KEPT(_BEFORE_U)} END, CASE WHEN may THEN {_MADE(_BEFORE_U)} END) AS v2,
+        least({_GONE[3]}, CASE WHEN may AND initial = 'a' THEN {_KEPT("v2")} END, CASE WHEN may THEN {_MADE("v2")} END) AS v3
+      FROM (SELECT p.name, f.n, p.v0, p.v1, p.v2, p.v3, f.initial, f.fault NOT IN ('b', 'd') AS may, (f.fault = 't')::INT AS cut FROM parsed p JOIN faults f ON f.name = p.name AND f.n = p.n + 1)))),
+best AS (SELECT name, least(v0, v3) AS cell FROM parsed JOIN counted USING (name) WHERE n = rows),
+edits AS (SELECT name, substr(cell, 10) AS audit, unnest(range(1, length(cell) - 8)) AS i FROM best),
+letters AS (SELECT name, i, substr(audit, i, 1) AS edit, length(replace(audit, 'D', '')) % 2 AS odd FROM edits),
+steps AS (SELECT *, count(*) FILTER (edit <> 'I') OVER w AS n, count(*) FILTER (edit <> 'D') OVER w - 1 - odd AS place FROM letters WINDOW w AS (PARTITION BY name ORDER BY i ROWS UNBOUNDED PRECEDING)),
+lines AS (SELECT s.name, i, CASE edit WHEN 'K' THEN f.role ELSE ['user', 'assistant'][place % 2 + 1] END || ':' || CASE edit WHEN 'I' THEN '' ELSE f.text END AS line
+  FROM steps s LEFT JOIN faults f ON f.name = s.name AND f.n = s.n AND edit <> 'I' WHERE edit <> 'D'),
+texts AS (SELECT name, string_agg(line, chr(10) ORDER BY i) AS text FROM lines GROUP BY name),
+every AS (SELECT DISTINCT conv_id, coalesce('+' || conv_id::VARCHAR, '-') AS name FROM conversations)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(substr(cell, 1, 9)::BIGINT, 0) AS cost, coalesce(substr(cell, 10), '') AS audit, sha256(coalesce(t.text, '')) AS repaired_sha256
+FROM every e LEFT JOIN counted USING (name) LEFT JOIN best USING (name) LEFT JOIN texts t USING (name)
+"""

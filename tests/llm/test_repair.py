@@ -170,3 +170,15 @@ def test_names_of_conversations_may_be_strings(spark):
 def test_query_reads_the_conversations_table(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert result(op12_repair(spark, "/root/testdata/sf0.01")) == plain(rows)
+
+
+def test_sql_says_the_same():
+    import duckdb
+    import pyarrow as pa
+    con = duckdb.connect()
+    table = odd_table()
+    con.register("conversations", pa.table({c: [r[i] for r in table] for i, c in enumerate(("conv_id", "turn", "role", "text"))}))
+    got = con.execute(repair.SQL)
+    names = [d[0] for d in got.description]
+    rows = [dict(zip(names, r, strict=True)) for r in got.fetchall()]
+    assert {r["conv_id"]: tuple(r[c] for c in COLUMNS) for r in rows} == plain(table)
