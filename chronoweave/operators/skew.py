@@ -29,11 +29,12 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "i
     """Equi join in which a hot key of ``big`` is spread over several tasks.
 
     Rows of ``big`` with a hot key get a random-looking part number; the matching rows of
-    ``small`` are repeated once per part. Cold keys are untouched (part 0).
+    ``small`` are repeated once per part. Cold keys are untouched (part 0). Neither side is broadcast: Spark's estimate of
+    a side knows the files it comes from, not the rows that were exploded since.
     """
     hot, _ = hot_keys(big, keys, hot_rows)
     if hot is None:
-        return big.join(small, keys, how)
+        return big.join(small.hint("merge"), keys, how)
     hot = broadcast_if_small(hot)
     others = [F.col(c) for c in big.columns if c not in keys]
     # rows that have nothing but their key are told apart by their place in the task
@@ -42,7 +43,7 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "i
     right = (small.join(hot, keys, "left")
              .withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)))
              .drop("_parts"))
-    return left.join(right, [*keys, "_part"], how).drop("_part")
+    return left.join(right.hint("merge"), [*keys, "_part"], how).drop("_part")
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
