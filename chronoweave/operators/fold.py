@@ -8,20 +8,22 @@ that of one walk from start to end, and no task ever holds more than a block.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from chronoweave.operators.sequence import Timeline
 from chronoweave.session import cut_lineage, ship_package
 
 BLOCK_ROWS = 50_000
+BATCH_MARKS = 20_000  # marks that a task sends on at a time
 
-Step = Callable[[pd.DataFrame, dict | None], tuple[list, dict | None]]
+Step = Callable[[dict[str, np.ndarray], dict | None], tuple[list, dict | None]]
 
 
 def _earth(lon1: float, lat1: float, lon2: float, lat2: float) -> float:
@@ -30,6 +32,46 @@ def _earth(lon1: float, lat1: float, lon2: float, lat2: float) -> float:
     return 2 * 6_371_000.0 * float(np.arcsin(min(1.0, np.sqrt(h))))
 
 
+def _walker(group: list[str], tie: str, step: Step, state: list[str], walked: T.StructType) -> Callable:
+    """Walk rows that stand in order, group after group: one row a group with its marks, start and end state."""
+
+    def done(key: tuple, parts: list[dict]) -> dict:
+        block = parts[0] if len(parts) == 1 else {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+        start = None if np.isnan(block[f"s_{state[0]}"][0]) else {c: float(block[f"s_{c}"][0]) for c in state}
+        marks, end = step(block, start)
+        return {**dict(zip(group, key)), "marks": [{"tie": t, "mark": m} for t, m in zip(block[tie].tolist(), marks)],
+                **{f"s_{c}": None if start is None else start[c] for c in state},
+                **{f"e_{c}": None if end is None else end[c] for c in state}}
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(walked)
+        out, parts, last, size = [], [], None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            keys = list(zip(*[columns[c].to_pylist() for c in group]))
+            values = {c: v.to_numpy(zero_copy_only=False) for c, v in columns.items() if c not in group}
+            ends = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]] + [len(keys)]
+            begin = 0
+            for end in ends:
+                if parts and keys[begin] != last:
+                    out.append(done(last, parts))
+                    size, parts = size + len(out[-1]["marks"]), []
+                    if size >= BATCH_MARKS:
+                        yield pa.RecordBatch.from_pylist(out, schema)
+                        out, size = [], 0
+                last = keys[begin]
+                parts.append({c: v[begin:end] for c, v in values.items()})
+                begin = end
+        if parts:
+            out.append(done(last, parts))
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return walk
+
+
 def chained(df: DataFrame, key: str, time: str, tie: str, columns: list[str], step: Step,
             state: list[str], out_type: T.DataType, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add ``mark`` to every row: what ``step`` returns for it.
@@ -51,18 +93,13 @@ def chained(df: DataFrame, key: str, time: str, tie: str, columns: list[str], st
         *[T.StructField(f"s_{c}", T.DoubleType()) for c in state],
         *[T.StructField(f"e_{c}", T.DoubleType()) for c in state]])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([time, tie], kind="mergesort")
-        first = pdf.iloc[0]
-        start = None if pd.isna(first[f"s_{state[0]}"]) else {c: float(first[f"s_{c}"]) for c in state}
-        marks, end = step(pdf, start)
-        row = {**{c: first[c] for c in group}, "marks": [{"tie": t, "mark": m} for t, m in zip(pdf[tie], marks)],
-               **{f"s_{c}": None if start is None else start[c] for c in state},
-               **{f"e_{c}": None if end is None else end[c] for c in state}}
-        return pd.DataFrame([row])
+    def walk(df: DataFrame) -> DataFrame:
+        # groups may be many and tiny, so a task takes them one after the other instead of one call each
+        order = [F.col(time).asc_nulls_last(), F.col(tie).asc_nulls_last()]
+        return df.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(_walker(group, tie, step, state, walked), walked)
 
     nothing = {f"s_{c}": F.lit(None).cast("double") for c in state}
-    result = rows.withColumns(nothing).groupBy(*group).applyInPandas(run, walked)
+    result = walk(rows.withColumns(nothing))
     if line.split:
         result = cut_lineage(result)
         order = Window.partitionBy(key).orderBy(*blocks)  # one small row per block of a key
@@ -76,7 +113,7 @@ def chained(df: DataFrame, key: str, time: str, tie: str, columns: list[str], st
             if stale.isEmpty():
                 break
             stale = cut_lineage(stale)
-            again = rows.join(stale, group).groupBy(*group).applyInPandas(run, walked)
+            again = walk(rows.join(stale, group))
             result = cut_lineage(result.join(stale.select(*group), group, "left_anti").unionByName(again))
     marks = result.select(key, F.inline("marks")).withColumnRenamed("tie", tie)
     return df.join(marks, [key, tie])
