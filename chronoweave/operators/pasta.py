@@ -187,7 +187,8 @@ def pasta_surface(cells: DataFrame) -> DataFrame:
 
 
 def surface_height(surface: DataFrame) -> DataFrame:
-    top = surface.agg(F.max("weighted_dwell_minutes")).first()[0] or 1.0
+    """Add ``height_m``; the greatest weighted stay is found when the heights are read, not before."""
+    top = F.coalesce(F.nullif(surface.agg(F.max("weighted_dwell_minutes")).scalar(), F.lit(0.0)), F.lit(1.0))
     return surface.withColumn("height_m", F.greatest(F.lit(20.0), F.col("weighted_dwell_minutes") / top * 1000))
 
 
