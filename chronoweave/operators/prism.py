@@ -13,7 +13,7 @@ from chronoweave.functions.hexgrid import Number, cell_area_km2, hex_center, hex
 from chronoweave.functions.lens import circle_overlap
 from chronoweave.operators.network import relax
 from chronoweave.operators.sequence import Timeline
-from chronoweave.operators.skew import lookup_join, spread
+from chronoweave.operators.skew import fits_broadcast, lookup_join, spread
 from chronoweave.session import cut_lineage, ship_package
 
 
@@ -130,6 +130,7 @@ def anchor_heights(pairs: DataFrame, path_extent=None) -> DataFrame:
 
 # ---------------------------------------------------------------- obstacle grid
 
+FRAMES = 20_000  # pairs whose grids and closed cells are broadcast
 ROOT2 = math.sqrt(2)
 MOVES = [(dr, dc, ROOT2 if dr and dc else float(bool(dr or dc))) for dr in (-1, 0, 1) for dc in (-1, 0, 1)]
 
@@ -168,20 +169,33 @@ def grid_times(grids: DataFrame, blocked: DataFrame) -> DataFrame:
 
     ``blocked``: ``pair_id, row, col``; the corridor between the anchors is opened.
     """
-    walls = cut_lineage(blocked.join(corridor_cells(grids), ["pair_id", "row", "col"], "left_anti"))
+    walls = blocked.filter("row is not null and col is not null").join(corridor_cells(grids).hint("merge"), ["pair_id", "row", "col"], "left_anti")
     roles = F.array(*[F.struct(F.lit(r).alias("role"), F.col(f"{p}_row").alias("row"), F.col(f"{p}_col").alias("col"))
                       for r, p in (("A", "a"), ("B", "b"))])
     seeds = grids.select("pair_id", F.inline(roles), F.lit(0.0).alias("cost"), F.col("dt_s").alias("cutoff"))
-    frame = cut_lineage(grids.select("pair_id", "rows", "cols", "step_s"))
+
+    def word(row: Column, col: Column) -> Column:
+        return row.cast("long") * F.lit(1 << 32) + F.shiftright(col.cast("long"), 5)
+
+    def bit(col: Column) -> Column:
+        return col.cast("int").bitwiseAND(31)
+
+    # a pair's closed cells travel with its frame, 32 to a number, so all steps of a round stay where the pair is
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("col")))
+    packed = walls.groupBy("pair_id", word(F.col("row"), F.col("col")).alias("_w")).agg(F.bit_or(one).alias("_bits")) \
+        .groupBy("pair_id").agg(F.map_from_entries(F.collect_list(F.struct("_w", "_bits"))).alias("_walls"))
+    frame = cut_lineage(grids.select("pair_id", "rows", "cols", "step_s").join(packed.hint("merge"), "pair_id", "left"))
+    frame = F.broadcast(frame) if fits_broadcast(frame, FRAMES) else frame.hint("merge")
     moves = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc"), F.lit(c).alias("k")) for a, b, c in MOVES])
     stay = F.array(F.struct(F.lit(0).alias("dr"), F.lit(0).alias("dc"), F.lit(0.0).alias("k")))
 
     def expand(wave: DataFrame) -> DataFrame:
         moved = wave.join(frame, "pair_id").withColumn("_m", F.explode(F.when(F.col("fresh"), moves).otherwise(stay))).select(
             "pair_id", "role", (F.col("row") + F.col("_m.dr")).alias("row"), (F.col("col") + F.col("_m.dc")).alias("col"),
-            (F.col("cost") + F.col("step_s") * F.col("_m.k")).alias("cost"), "cutoff", "rows", "cols", (F.col("_m.k") == 0).alias("own"))
-        inside = moved.filter("row >= 0 and row < rows and col >= 0 and col < cols").drop("rows", "cols")
-        return inside.join(walls, ["pair_id", "row", "col"], "left_anti")
+            (F.col("cost") + F.col("step_s") * F.col("_m.k")).alias("cost"), "cutoff", "rows", "cols", "_walls", (F.col("_m.k") == 0).alias("own"))
+        bits = F.coalesce(F.try_element_at("_walls", word(F.col("row"), F.col("col"))), F.lit(0).cast("long"))
+        shut = F.call_function("shiftright", bits, bit(F.col("col"))).bitwiseAND(1) == 1
+        return moved.filter("row >= 0 and row < rows and col >= 0 and col < cols").filter(~shut).drop("rows", "cols", "_walls")
 
     return relax(seeds, expand, ["pair_id", "role", "row", "col"])
 
