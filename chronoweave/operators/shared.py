@@ -60,8 +60,8 @@ def check_activities(activities: DataFrame, prisms: DataFrame, speed_ms: float,
     of very different lengths. Activities without a time or user have no prism, those without a place are in none.
     """
     windows = prisms.select("user_id", "a_lon", "a_lat", F.col("a_ms").cast("long").alias("a_ms"), "b_lon", "b_lat", F.col("b_ms").cast("long").alias("b_ms"))
-    points = activities.select("user_id", "activity_id", "lon", "lat", F.col("t_ms").alias("_t"), F.col("t_ms").alias("_t_end"))
-    met = overlapping(points, windows, ["user_id"], ("_t", "_t_end"), ("a_ms", "b_ms"), hot_rows)
+    points = activities.select("user_id", "activity_id", "lon", "lat", F.col("t_ms").alias("_t"))
+    met = overlapping(points, windows, ["user_id"], ("_t", "_t"), ("a_ms", "b_ms"), hot_rows, doublings=4)
     there = haversine_m(F.col("a_lon"), F.col("a_lat"), F.col("lon"), F.col("lat")) <= (F.col("_t") - F.col("a_ms")) / 1000 * speed_ms
     back = haversine_m(F.col("lon"), F.col("lat"), F.col("b_lon"), F.col("b_lat")) <= (F.col("b_ms") - F.col("_t")) / 1000 * speed_ms
     found = met.groupBy("activity_id").agg(F.count(F.lit(1)).alias("prisms"), F.count_if(there & back).alias("reached"))
