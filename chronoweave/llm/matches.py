@@ -126,7 +126,22 @@ class Matches:
 def same_spans(codes: np.ndarray, first: np.ndarray, end: np.ndarray, other: np.ndarray, other_end: np.ndarray) -> bool:
     """Whether all spans [first, end) read as the other ones do."""
     sizes = end - first
-    return bool((sizes == other_end - other).all()) and bool((gather(codes, first, sizes) == gather(codes, other, sizes)).all())
+    if not bool((sizes == other_end - other).all()):
+        return False
+    if len(codes) and int(codes.max()) < 1 << 16:
+        # four characters a number, as many numbers of a span as it has
+        fours = np.concatenate([codes, np.zeros(4, codes.dtype)]).astype(np.uint64)
+        fours = fours[:-3] | fours[1:-2] << np.uint64(16) | fours[2:-1] << np.uint64(32) | fours[3:] << np.uint64(48)
+        masks = np.array([0, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFFFFFF, 0xFFFFFFFFFFFFFFFF], np.uint64)
+        apart = np.flatnonzero((first != other) & (sizes > 0))
+        at, to, left = first[apart], other[apart], sizes[apart]
+        while len(left):
+            if ((fours[at] ^ fours[to]) & masks[np.minimum(left, 4)]).any():
+                return False
+            more = left > 4
+            at, to, left = at[more] + 4, to[more] + 4, left[more] - 4
+        return True
+    return bool((gather(codes, first, sizes) == gather(codes, other, sizes)).all())
 
 
 def gather(values: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
