@@ -88,3 +88,25 @@ def test_groups_of_very_different_extent(spark):
         g, x, y = where[h.p]
         near = min(((x - a) ** 2 + (y - b) ** 2, i) for i, k, a, b in items if k == g) if g != "none" else None
         assert (h.hit["item"]["i"] if h.hit else None) == (near[1] if near else None)
+
+
+def test_rings_are_listed_without_their_corners(spark, monkeypatch):
+    """Ellipses and widened lines in every direction are cut as before, and only what they are drawn from is written and shuffled."""
+    r = random.Random(5)
+    fixes = [(u * 100 + i, f"u{u}", i * 60_000 * (1 + u % 3), r.uniform(-79.51, -79.49), 43.6 + i * r.choice([0, 1e-4, 2e-3])) for u in range(6) for i in range(6)]
+    rings = corridor.segment_ppas(spark.createDataFrame(fixes, "point_id long, user_id string, t_ms long, lon double, lat double"), 1.4, 17)
+    assert {x.fallback for x in rings.collect()} == {True, False}
+    at = rings.selectExpr("ring[0].x AS x", "ring[0].y AS y").collect()
+    edges = spark.createDataFrame([(i, "x", i, 1.0, p.x + r.uniform(-300, 300), p.y + r.uniform(-300, 300), p.x + r.uniform(-300, 300), p.y + r.uniform(-300, 300))
+                                   for i, p in enumerate(at * 6)],
+                                  "edge_id long, highway string, source_id long, length_m double, x0 double, y0 double, x1 double, y1 double")
+    seen, plain = [], corridor.cut_lineage
+    monkeypatch.setattr(corridor, "cut_lineage", lambda df: seen.append(df.columns) or plain(df))
+
+    def cut(ppas):
+        return {(p.user_id, p.segment_index, p.edge_id): (pytest.approx(p.a, abs=1e-9), pytest.approx(p.b, abs=1e-9)) for p in corridor.clip_roads(ppas, edges, 200.0).collect()}
+
+    got = cut(rings)
+    assert "ring" not in seen[0]
+    want = {k: (a.expected, b.expected) for k, (a, b) in cut(rings.drop("_drawn")).items()}
+    assert len(want) > 50 and want == got
