@@ -105,6 +105,17 @@ def test_a_crowded_cell_is_opened(spark):
     assert sizes.most <= 5_000 and sizes.rows >= 2 * 99_000
 
 
+def test_a_long_motion_travels_few_times(spark, monkeypatch):
+    """Day-long motions are listed in each half hour inside a task, not before the rows are shuffled."""
+    rows = [(u * 10 + i, f"u{u}", i * 86_000_000, -79 + u * 2e-4, 43 + i * .01) for u in range(20) for i in range(4)]
+    moves, seen = meetings.motions(spark.createDataFrame(rows, FIXES)), []
+    plain = meetings.buckets
+    monkeypatch.setattr(meetings, "buckets", lambda *a: seen.append(plain(*a)) or seen[-1])
+    got = meetings.approaches(moves, 100.0).collect()
+    assert {(g.seg_a, g.seg_b): pytest.approx(g.closest_m, abs=1e-3) for g in got} == plain_approaches(rows, 100.0) and len(got) > 100
+    assert seen[0].count() <= 20 * moves.count()
+
+
 @pytest.mark.parametrize("hot", [None, 5])
 def test_next_visitor_of_a_place(spark, hot):
     r = random.Random(3)
