@@ -14,6 +14,7 @@ from chronoweave.functions.roads import preset_kmh
 from chronoweave.operators.grid import extent
 from chronoweave.operators.sequence import Timeline
 from chronoweave.operators.skew import hot_keys, spread
+from chronoweave.session import cut_lineage
 
 # Activity types.
 FIXED = ("home", "work", "school", "hospital", "errand", "worship", "family", "friend")
@@ -221,6 +222,20 @@ def voxels(cells: DataFrame, origin_ms: int, bin_min: float = 5.0, max_voxels: i
     return out if max_voxels is None else out.orderBy("window_id", "row", "col", "time_bin").limit(max_voxels)
 
 
+def first_voxels(windows: DataFrame, grid: PastaGrid, min_dwell_min: float, origin_ms: int, bin_min: float, max_voxels: int) -> DataFrame:
+    """The first ``max_voxels`` voxels, from the first windows alone: so many more of them until they hold enough."""
+    many = max(max_voxels, 1)
+    while True:
+        first = windows.filter("feasible and window_id is not null").select("window_id").orderBy("window_id").limit(many)
+        last = first.agg(F.max("window_id").alias("id"), F.count(F.lit(1)).alias("n")).first()
+        # windows of one id come together, as those without an id do
+        own = windows.filter(F.col("window_id").isNull() | (F.col("window_id") <= F.lit(last.id)))
+        found = cut_lineage(voxels(window_cells(own, grid, min_dwell_min), origin_ms, bin_min, max_voxels))
+        if last.n < many or found.count() >= max_voxels:
+            return found
+        many *= 8
+
+
 def anchor_rows(windows: DataFrame, origin_ms: int, z_per_ms: float) -> DataFrame:
     """Two rows per feasible window: leaving the first fixed place, reaching the second."""
     roles = F.array(*[F.struct(F.lit(role).alias("anchor_role"), F.col(f"{p}_lon").alias("lon"), F.col(f"{p}_lat").alias("lat"),
@@ -242,7 +257,7 @@ def activity_pasta(df: DataFrame, *, end_col: str | None = None, fixed=None, fle
     height = max((when[1] - when[0]) / (60_000 * bin_min) * 20, 1000)
     cells = window_cells(windows, grid, min_dwell_min)
     return {"surface": pasta_surface(cells), "cells": cells, "windows": windows, "grid": grid,
-            "voxels": voxels(cells, when[0], bin_min, max_voxels),
+            "voxels": voxels(cells, when[0], bin_min) if max_voxels is None else first_voxels(windows, grid, min_dwell_min, when[0], bin_min, max_voxels),
             "anchor_windows": anchor_rows(windows, when[0], height / max(when[1] - when[0], 1))}
 
 

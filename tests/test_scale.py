@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronoweave.operators import corridor, kernel, quantiles
+from chronoweave.operators import corridor, kernel, pasta, quantiles
 from chronoweave.operators.grid import Grid
 from chronoweave.operators.nearest import nearest
+from chronoweave.plans import JOBS
 
 
 @pytest.mark.parametrize("most", [4, 10_000])
@@ -110,3 +111,26 @@ def test_rings_are_listed_without_their_corners(spark, monkeypatch):
     assert "ring" not in seen[0]
     want = {k: (a.expected, b.expected) for k, (a, b) in cut(rings.drop("_drawn")).items()}
     assert len(want) > 50 and want == got
+
+
+def test_first_voxels_come_from_the_first_windows(spark, monkeypatch):
+    """Windows become cells until the voxels asked for are there; they are those that all windows would give."""
+    rows = [(f"p{p:02d}", p * 100 + i, -79.5 + (p * 7 + i * 3) % 10 / 1000, 43.6 + i / 1000, i * 2_700_000 + p * 1000, "home" if i % 2 == 0 else "shopping", "walking")
+            for p in range(40) for i in range(5)]
+    df = spark.createDataFrame(rows, "person_id string, episode_id long, lon double, lat double, start_ms long, activity_type string, mode string")
+    keys, seen, plain = ["window_id", "row", "col", "time_bin"], [], pasta.window_cells
+    every = sorted(tuple(v) for v in JOBS["activity_surface"](df, cell_m=500.0)["voxels"].select(*keys).collect())
+    windows = JOBS["activity_surface"](df, cell_m=500.0)["anchor_windows"].select("window_id").distinct().count()
+    assert len(every) > 200 and windows >= 40
+
+    def cells(w, *rest):
+        seen.append(w.filter("feasible").count())
+        return plain(w, *rest)
+
+    monkeypatch.setattr(pasta, "window_cells", cells)
+    for many in (0, 5, 200, len(every) + 7):
+        seen.clear()
+        got = sorted(tuple(v) for v in JOBS["activity_surface"](df, cell_m=500.0, max_voxels=many)["voxels"].select(*keys).collect())
+        assert got == every[:many]
+        if many == 5:
+            assert min(seen[1:]) <= 5 < seen[0]
