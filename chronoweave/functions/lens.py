@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,11 +25,15 @@ def _sides_inside(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """Ends of the part of every side of ``p`` inside the convex ring ``q``; NaN where there is none."""
     start, step = p, np.roll(p, -1, axis=1) - p
     edge = np.roll(q, -1, axis=1) - q
-    rel = start[:, :, None, :] - q[:, None, :, :]
-    num = edge[:, None, :, 0] * rel[..., 1] - edge[:, None, :, 1] * rel[..., 0]
-    den = edge[:, None, :, 0] * step[:, :, None, 1] - edge[:, None, :, 1] * step[:, :, None, 0]
+    px, py, sx, sy = (np.ascontiguousarray(v[..., i])[:, :, None] for v in (start, step) for i in (0, 1))
+    qx, qy, ex, ey = (np.ascontiguousarray(v[..., i])[:, None, :] for v in (q, edge) for i in (0, 1))
+    num = ex * (py - qy)
+    num -= ey * (px - qx)
+    den = ex * sy
+    den -= ey * sx
     with np.errstate(divide="ignore", invalid="ignore"):
-        t = -num / den
+        t = num / den
+    np.negative(t, out=t)
     t0 = np.where(den > 0, t, 0.0).max(axis=2).clip(0.0, None)
     t1 = np.where(den < 0, t, 1.0).min(axis=2).clip(None, 1.0)
     out = (t0 > t1) | ((den == 0) & (num < 0)).any(axis=2)
@@ -36,34 +41,49 @@ def _sides_inside(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start + t0[..., None] * step, start + t1[..., None] * step
 
 
+#: Pairs of circles measured together: their side-by-side tables stay in a core's cache.
+TOGETHER = 24
+
+
 def circle_overlap(steps: int):
     """Column function ``(lon1, lat1, r1, lon2, lat2, r2) -> struct<ring, area>`` (square degrees), null if apart."""
 
-    @F.pandas_udf(OVERLAP)
-    def overlap(lon1: pd.Series, lat1: pd.Series, r1: pd.Series, lon2: pd.Series, lat2: pd.Series, r2: pd.Series) -> pd.DataFrame:
-        rings: list = []
-        areas: list = []
-        for lo in range(0, len(lon1), 256):  # keeps the side-by-side tables small
-            part = [s.to_numpy(float)[lo:lo + 256] for s in (lon1, lat1, r1, lon2, lat2, r2)]
+    @F.arrow_udf(OVERLAP)
+    def overlap(lon1: pa.Array, lat1: pa.Array, r1: pa.Array, lon2: pa.Array, lat2: pa.Array, r2: pa.Array) -> pa.Array:
+        given = [np.asarray(c.to_numpy(zero_copy_only=False), float) for c in (lon1, lat1, r1, lon2, lat2, r2)]
+        rows = len(given[0])
+        sizes, corners, area = np.zeros(rows, np.int64), [], np.full(rows, np.nan)
+        for lo in range(0, rows, TOGETHER):
+            part = [c[lo:lo + TOGETHER] for c in given]
             p, q = _rings(*part[:3], steps), _rings(*part[3:], steps)
             pts = np.concatenate([*_sides_inside(p, q), *_sides_inside(q, p)], axis=1)
-            mid = np.nanmean(np.where(np.isnan(pts).all(axis=(1, 2), keepdims=True), 0.0, pts), axis=1)
+            none = np.isnan(pts[..., 0])
+            mid = np.nanmean(np.where(none.all(axis=1)[:, None, None], 0.0, pts), axis=1)
             ang = np.arctan2(pts[..., 1] - mid[:, None, 1], pts[..., 0] - mid[:, None, 0])
-            order = np.argsort(ang, axis=1, kind="stable")
-            pts = np.take_along_axis(pts, order[..., None], axis=1)
-            for row in pts:
-                row = row[~np.isnan(row[:, 0])]
-                if len(row):
-                    gap = np.abs(row - np.roll(row, 1, axis=0)).max(axis=1)
-                    row = row[gap > 1e-12]
-                if len(row) < 3:
-                    rings.append(None)
-                    areas.append(None)
-                    continue
-                x, y = row[:, 0] - row[0, 0], row[:, 1] - row[0, 1]
-                areas.append(float(abs(np.dot(x, np.roll(y, -1)) - np.dot(np.roll(x, -1), y)) / 2))
-                rings.append([{"x": a, "y": b} for a, b in row.tolist()])
-        return pd.DataFrame({"ring": pd.Series(rings, dtype=object), "area": pd.Series(areas, dtype=float)})
+            order = np.argsort(ang, axis=1, kind="stable")  # corners that there are not come last
+            pts, there = np.take_along_axis(pts, order[..., None], axis=1), ~np.take_along_axis(none, order, axis=1)
+            before = np.roll(pts, 1, axis=1)
+            before[:, 0] = pts[np.arange(len(pts)), np.maximum(there.sum(axis=1) - 1, 0)]
+            with np.errstate(invalid="ignore"):
+                keep = there & (np.abs(pts - before).max(axis=2) > 1e-12)
+            many = keep.sum(axis=1)
+            keep &= (many >= 3)[:, None]
+            drawn = np.flatnonzero(many >= 3)
+            many = many[drawn]
+            sizes[lo + drawn] = many
+            if not len(drawn):
+                continue
+            flat, first = pts[keep], np.cumsum(many) - many
+            corners.append(flat)
+            own = flat - np.repeat(flat[first], many, axis=0)
+            after = np.arange(1, len(flat) + 1)
+            after[first + many - 1] = first
+            area[lo + drawn] = np.abs(np.add.reduceat(own[:, 0] * own[after, 1] - own[after, 0] * own[:, 1], first)) / 2
+        flat, none = np.concatenate([*corners, np.zeros((0, 2))]), pa.array(sizes == 0)
+        vertices = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["x", "y"])
+        ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        rings = pa.ListArray.from_arrays(ends, vertices, mask=none)
+        return pa.StructArray.from_arrays([rings, pa.array(area, mask=sizes == 0)], names=["ring", "area"])
 
     return overlap.asNondeterministic()  # keeps the planner from evaluating it once more inside a filter
 

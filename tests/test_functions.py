@@ -103,6 +103,21 @@ def test_circle_overlap_area(spark):
     assert got[2].area * 111000**2 == pytest.approx(math.pi * 2500, rel=1e-3)
 
 
+def test_circle_overlaps_do_not_depend_on_their_batch(spark):
+    rows = [(10.0 + i % 7 * 1e-3, 40.0, 50.0 + i * 13 % 400, 10.003, 40.0 + i % 5 * 1e-3, 30.0 + i * 7 % 300) for i in range(150)]
+    df = spark.createDataFrame(rows, "lon1 double, lat1 double, r1 double, lon2 double, lat2 double, r2 double").coalesce(1)
+    many = df.select(circle_overlap(48)(*df.columns).alias("o")).select("o.*").collect()
+    one = df.repartition(150).select(*df.columns, circle_overlap(48)(*df.columns).alias("o")).select(*df.columns, "o.*").collect()
+    alone = {tuple(r)[:6]: (r.ring, r.area) for r in one}
+    assert any(m.ring is None and m.area is None for m in many) and sum(m.ring is not None for m in many) > 30
+    for row, m in zip(rows, many, strict=True):
+        assert alone[row] == (m.ring, m.area)
+        if m.ring is not None:
+            x, y = ([p[c] - m.ring[0][c] for p in m.ring] for c in "xy")
+            shoelace = abs(sum(x[i - 1] * y[i] - x[i] * y[i - 1] for i in range(len(x)))) / 2
+            assert len(m.ring) >= 3 and m.area == pytest.approx(shoelace, rel=1e-9)
+
+
 def test_clip_to_ring(spark):
     square = "array(0D, 2D, 2D, 0D)", "array(0D, 0D, 2D, 2D)"
     df = spark.createDataFrame([(-1.0, 1.0, 3.0, 1.0), (0.5, 0.5, 1.0, 1.0), (-1.0, 3.0, 3.0, 3.0)], "ax double, ay double, bx double, by double")
