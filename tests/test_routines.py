@@ -67,6 +67,38 @@ def test_bundles(spark, slot):
     assert len(want) > 20 and got == want
 
 
+@pytest.mark.parametrize("hot", [1, 30, 400])
+def test_crowded_slots_of_bundles(spark, hot):
+    """Groups within slots that lasting encounters crowd, and over their borders."""
+    r = random.Random(5)
+    users = [f"u{i}" for i in range(24)]
+    met = [(*sorted(r.sample(users[:12], 2)), s := r.randint(0, 40), s + r.randint(200, 300)) for _ in range(40)]
+    met += [(*sorted(r.sample(users, 2)), s := r.randint(0, 300), s + r.randint(1, 30)) for _ in range(60)]
+    table = spark.createDataFrame([(a, b, float(s), float(e)) for a, b, s, e in met] + [("x", None, 5.0, 9.0), ("x", "y", None, 9.0)],
+                                  "user_a string, user_b string, start_ms double, end_ms double")
+    for min_ms in (0, 6):
+        got = sorted((tuple(b.members), b.start_ms, b.end_ms) for b in routines.bundles(table, 3, min_ms, 50, hot).collect())
+        want = plain_bundles(met, 3, min_ms)
+        assert len(want) > 10 and got == want
+
+
+def test_crowds_are_not_listed_for_every_change(spark):
+    """What is shuffled for a crowd follows its encounters, not their product with the beginnings and endings among them."""
+    r = random.Random(6)
+    users = [f"u{i:02}" for i in range(36)]
+    met = [(a, b, s := r.randint(0, 400_000), s + r.randint(1, 400_000)) for i, a in enumerate(users) for b in users[i + 1:]]
+    table = spark.createDataFrame([(a, b, float(s), float(e)) for a, b, s, e in met], "user_a string, user_b string, start_ms double, end_ms double")
+
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName(): f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().endswith(".data")}
+
+    before = shuffled()
+    got = sorted((tuple(b.members), b.start_ms, b.end_ms) for b in routines.bundles(table, 3, 2_000).collect())
+    assert sum(n for name, n in shuffled().items() if name not in before) < 400_000
+    assert got == plain_bundles(met, 3, 2_000) and len(got) > 1
+
+
 def test_walking_together(spark):
     """Three walk side by side for ten minutes, then one turns away."""
     rows = []
