@@ -21,12 +21,26 @@ def _rings(lon: np.ndarray, lat: np.ndarray, r: np.ndarray, steps: int) -> np.nd
     return np.stack([lon[:, None] + rx[:, None] * np.cos(ang), lat[:, None] + ry[:, None] * np.sin(ang)], axis=2)
 
 
-def _sides_inside(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ends of the part of every side of ``p`` inside the convex ring ``q``; NaN where there is none."""
+def _sides_inside(p: np.ndarray, q: np.ndarray, lon: np.ndarray, lat: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the part of every side of ``p`` inside the convex ring ``q``, a circle of ``_rings``; NaN where there is none."""
     start, step = p, np.roll(p, -1, axis=1) - p
+    # seen from the middle of q its corners are at distance one and its sides no nearer than this
+    near = np.cos(np.pi / q.shape[1])
+    ry = r / CIRCLE_M_PER_DEG
+    rx = r / (CIRCLE_M_PER_DEG * np.cos(np.radians(lat)))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        x, y = (p[..., 0] - lon[:, None]) / rx[:, None], (p[..., 1] - lat[:, None]) / ry[:, None]
+        dx, dy = step[..., 0] / rx[:, None], step[..., 1] / ry[:, None]
+        away = np.hypot(x, y)
+        foot = np.clip(-(x * dx + y * dy) / (dx * dx + dy * dy), 0.0, 1.0)
+        outside = np.hypot(x + foot * dx, y + foot * dy) > 1 + 1e-6
+        inside = (away < near - 1e-6) & (np.roll(away, -1, axis=1) < near - 1e-6)
+    t0, t1 = np.where(outside, np.nan, 0.0), np.where(outside, np.nan, 1.0)
+    # only sides near the border of q are cut by its sides
+    row, side = np.nonzero(~outside & ~inside)
     edge = np.roll(q, -1, axis=1) - q
-    px, py, sx, sy = (np.ascontiguousarray(v[..., i])[:, :, None] for v in (start, step) for i in (0, 1))
-    qx, qy, ex, ey = (np.ascontiguousarray(v[..., i])[:, None, :] for v in (q, edge) for i in (0, 1))
+    px, py, sx, sy = (np.ascontiguousarray(v[row, side, i])[:, None] for v in (start, step) for i in (0, 1))
+    qx, qy, ex, ey = (v[row, :, i] for v in (q, edge) for i in (0, 1))
     num = ex * (py - qy)
     num -= ey * (px - qx)
     den = ex * sy
@@ -34,15 +48,15 @@ def _sides_inside(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     with np.errstate(divide="ignore", invalid="ignore"):
         t = num / den
     np.negative(t, out=t)
-    t0 = np.where(den > 0, t, 0.0).max(axis=2).clip(0.0, None)
-    t1 = np.where(den < 0, t, 1.0).min(axis=2).clip(None, 1.0)
-    out = (t0 > t1) | ((den == 0) & (num < 0)).any(axis=2)
-    t0, t1 = np.where(out, np.nan, t0), np.where(out, np.nan, t1)
+    low = np.where(den > 0, t, 0.0).max(axis=1).clip(0.0, None)
+    high = np.where(den < 0, t, 1.0).min(axis=1).clip(None, 1.0)
+    out = (low > high) | ((den == 0) & (num < 0)).any(axis=1)
+    t0[row, side], t1[row, side] = np.where(out, np.nan, low), np.where(out, np.nan, high)
     return start + t0[..., None] * step, start + t1[..., None] * step
 
 
-#: Pairs of circles measured together: their side-by-side tables stay in a core's cache.
-TOGETHER = 24
+#: Pairs of circles measured together.
+TOGETHER = 256
 
 
 def circle_overlap(steps: int):
@@ -56,7 +70,7 @@ def circle_overlap(steps: int):
         for lo in range(0, rows, TOGETHER):
             part = [c[lo:lo + TOGETHER] for c in given]
             p, q = _rings(*part[:3], steps), _rings(*part[3:], steps)
-            pts = np.concatenate([*_sides_inside(p, q), *_sides_inside(q, p)], axis=1)
+            pts = np.concatenate([*_sides_inside(p, q, *part[3:]), *_sides_inside(q, p, *part[:3])], axis=1)
             none = np.isnan(pts[..., 0])
             mid = np.nanmean(np.where(none.all(axis=1)[:, None, None], 0.0, pts), axis=1)
             ang = np.arctan2(pts[..., 1] - mid[:, None, 1], pts[..., 0] - mid[:, None, 0])

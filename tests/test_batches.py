@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from chronoweave.functions import intervals, spans
+from chronoweave.functions import intervals, lens, spans
 from chronoweave.operators import network as net
 from chronoweave.operators import prism, skew, tiles
 
@@ -125,3 +125,27 @@ def test_grids_are_searched_in_one_task(spark, monkeypatch):
     by_tasks, by_joins = found(100_000), found(1)
     assert by_tasks == by_joins and len(by_tasks[0]) > 2000 and len(by_tasks[1]) > 1000
     assert seeds == [2 * 3, 2 * 42]  # only pairs that share a number, or have none, go by joins
+
+
+def test_only_sides_near_a_border_are_cut(monkeypatch):
+    r = np.random.default_rng(4)
+    lon, lat, one = r.uniform(-80, -79.9, 300), r.uniform(43, 43.1, 300), r.uniform(1, 900, 300)
+    far, turn = r.uniform(0, 1, 300) * 0.012 * (np.arange(300) % 5 > 0), r.uniform(0, 7, 300)
+    two = np.where(np.arange(300) % 7 == 0, one, r.uniform(1, 900, 300))
+    other = lon + far * np.cos(turn), lat + far * np.sin(turn), two
+    p, q = lens._rings(lon, lat, one, 48), lens._rings(*other, 48)
+    step, edge = np.roll(p, -1, axis=1) - p, np.roll(q, -1, axis=1) - q
+    # every side against every side
+    away = p[:, :, None] - q[:, None]
+    num = edge[:, None, :, 0] * away[..., 1] - edge[:, None, :, 1] * away[..., 0]
+    den = edge[:, None, :, 0] * step[:, :, None, 1] - edge[:, None, :, 1] * step[:, :, None, 0]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = -num / den
+    low, high = np.where(den > 0, t, 0.0).max(axis=2).clip(0.0, None), np.where(den < 0, t, 1.0).min(axis=2).clip(None, 1.0)
+    out = (low > high) | ((den == 0) & (num < 0)).any(axis=2)
+    cut, real = [], np.nonzero
+    monkeypatch.setattr(np, "nonzero", lambda a: cut.append(a.sum()) or real(a))
+    a, b = lens._sides_inside(p, q, *other)
+    assert np.array_equal(np.isnan(a[..., 0]), out) and 0.1 < out.mean() < 0.9
+    assert np.allclose(a[~out], (p + low[..., None] * step)[~out], rtol=0, atol=1e-13) and np.allclose(b[~out], (p + high[..., None] * step)[~out], rtol=0, atol=1e-13)
+    assert sum(cut) < 0.4 * out.size
